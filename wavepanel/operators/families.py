@@ -37,6 +37,7 @@ class Family:
     link: str
     dispersion_known: bool
     theta: float | None = None
+    truncated: bool = False     # response conditioned on being positive
 
     @property
     def shape(self) -> str:
@@ -152,7 +153,11 @@ class Family:
         if s == "poisson":
             return numeric.poisson_cdf(y - 1, mu), numeric.poisson_cdf(y, mu)
         if s == "negbin":
-            return numeric.negbin_cdf(y - 1, mu, self.theta), numeric.negbin_cdf(y, mu, self.theta)
+            low, high = numeric.negbin_cdf(y - 1, mu, self.theta), numeric.negbin_cdf(y, mu, self.theta)
+            if self.truncated:
+                zero = np.exp(-self.theta * np.log1p(mu / self.theta))
+                low, high = (np.clip((v - zero) / (1 - zero), 0, 1) for v in (low, high))
+            return low, high
         if s == "gamma":
             u = numeric.gamma_cdf(shape, np.maximum(y, 0) * shape / mu)
         elif s == "inverse_gaussian":

@@ -302,8 +302,47 @@ class ModelFrame:
         return model
 
 
+class LinearModel:
+    """Scoring shared by all fitted models: needs ``design``, ``beta`` (all columns), ``cols``, ``family``, ``y``."""
+
+    def inputs(self, df: DataFrame) -> DataFrame:
+        return df.select("*", *self.design.input_columns())
+
+    def eta(self) -> Column:
+        """Linear predictor over the input columns."""
+        return self.design.linear_predictor(self.beta)
+
+    def with_mean(self, df: DataFrame, out: str = "fitted") -> DataFrame:
+        """Fitted mean per row, entirely JVM-side; NULL where an input is missing."""
+        scored = self.inputs(df).withColumn(out, inverse_link(self.eta(), self.family.link))
+        return scored.drop(*self.design.input_names())
+
+    def fitted(self, df: DataFrame, out: str = "fitted") -> DataFrame:
+        """Distinct fitted values: one row per observed combination of the model variables."""
+        names = [v.column if isinstance(v, Power) else v for t in self.design.terms for v in t]
+        cells = df.dropna("any", subset=[self.y, *dict.fromkeys(names)]).select(*dict.fromkeys(names)).distinct()
+        return self.with_mean(cells, out)
+
+    def term_names(self) -> list[str]:
+        return [term_label(t) for t in self.design.terms]
+
+    @property
+    def rank(self) -> int:
+        return len(self.cols)
+
+    @property
+    def labels(self) -> list[str]:
+        names = self.design.labels()
+        return [names[j] for j in self.cols]
+
+    @property
+    def coef(self) -> dict[str, float]:
+        names = self.design.labels()
+        return {names[j]: float(self.beta[j]) for j in self.cols}
+
+
 @dataclass
-class GlmModel:
+class GlmModel(LinearModel):
     """A fitted model: p-vector and p x p covariance on the driver; per-row results are DataFrames."""
 
     design: Design
@@ -331,20 +370,6 @@ class GlmModel:
         self.beta = a @ self.beta_scaled                 # all design columns; aliased ones are 0
         self.cov = (a @ self.cov_scaled @ a.T)[np.ix_(self.cols, self.cols)]
 
-    @property
-    def rank(self) -> int:
-        return len(self.cols)
-
-    @property
-    def labels(self) -> list[str]:
-        names = self.design.labels()
-        return [names[j] for j in self.cols]
-
-    @property
-    def coef(self) -> dict[str, float]:
-        names = self.design.labels()
-        return {names[j]: float(self.beta[j]) for j in self.cols}
-
     @property
     def shape(self) -> float:
         """Maximum-likelihood Gamma shape given the fitted means: log(a) - digamma(a) = deviance / 2n."""
@@ -422,29 +447,6 @@ class GlmModel:
         sd = np.sqrt(np.diag(self.cov))
         return self._matrix_table(spark, self.cov / np.outer(sd, sd), "correlation")
 
-    # ------------------------------------------------ scoring (JVM)
-
-    def inputs(self, df: DataFrame) -> DataFrame:
-        return df.select("*", *self.design.input_columns())
-
-    def eta(self) -> Column:
-        """Linear predictor over the input columns."""
-        return self.design.linear_predictor(self.beta)
-
-    def with_mean(self, df: DataFrame, out: str = "fitted") -> DataFrame:
-        """Fitted mean per row, entirely JVM-side; NULL where an input is missing."""
-        scored = self.inputs(df).withColumn(out, inverse_link(self.eta(), self.family.link))
-        return scored.drop(*self.design.input_names())
-
-    def fitted(self, df: DataFrame, out: str = "fitted") -> DataFrame:
-        """Distinct fitted values: one row per observed combination of the model variables."""
-        names = [v.column if isinstance(v, Power) else v for t in self.design.terms for v in t]
-        cells = df.dropna("any", subset=[self.y, *dict.fromkeys(names)]).select(*dict.fromkeys(names)).distinct()
-        return self.with_mean(cells, out)
-
-    def term_names(self) -> list[str]:
-        return [term_label(t) for t in self.design.terms]
-
 
 def fit_glm(df: DataFrame, y: str, terms: Sequence[tuple], family: str | Family = "gaussian",
             link: str | None = None, levels: Mapping | None = None, intercept: bool = True,

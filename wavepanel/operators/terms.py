@@ -86,7 +86,9 @@ class Design:
     ``unscale`` maps coefficients back to the original units.
     """
 
-    def __init__(self, terms: Sequence[tuple], levels: Mapping[str, Sequence], intercept: bool = True):
+    def __init__(self, terms: Sequence[tuple], levels: Mapping[str, Sequence], intercept: bool = True,
+                 tag: str = ""):
+        self.f, self.x = f"__{tag}f", f"__{tag}x"     # prefixes of the input columns
         self.terms = [tuple(t) for t in terms]
         self.intercept = intercept
         self.levels = {v: tuple(levels[v]) for t in self.terms for v in t if v in levels}
@@ -175,21 +177,21 @@ class Design:
 
     def input_columns(self) -> list[Column]:
         """Codes and numeric inputs, computed on the JVM: ``__f0.. __x0..``."""
-        out = [level_code(f, self.levels[f]).cast("int").alias(f"__f{i}") for i, f in enumerate(self.factors)]
+        out = [level_code(f, self.levels[f]).cast("int").alias(f"{self.f}{i}") for i, f in enumerate(self.factors)]
         for i, v in enumerate(self.numerics):
             c = F.col(v.column if isinstance(v, Power) else v).cast("double")
-            out.append((F.pow(c, F.lit(float(v.degree))) if isinstance(v, Power) else c).alias(f"__x{i}"))
+            out.append((F.pow(c, F.lit(float(v.degree))) if isinstance(v, Power) else c).alias(f"{self.x}{i}"))
         return out
 
     def input_names(self) -> list[str]:
-        return [f"__f{i}" for i in range(len(self.factors))] + [f"__x{i}" for i in range(len(self.numerics))]
+        return [f"{self.f}{i}" for i in range(len(self.factors))] + [f"{self.x}{i}" for i in range(len(self.numerics))]
 
     def matrix(self, batch, scaled: bool = True) -> np.ndarray:
         """Dense model matrix of one Arrow batch holding the input columns."""
-        codes = {f: np.asarray(batch[f"__f{i}"]) for i, f in enumerate(self.factors)}
+        codes = {f: np.asarray(batch[f"{self.f}{i}"]) for i, f in enumerate(self.factors)}
         nums = {}
         for i, v in enumerate(self.numerics):
-            x = np.asarray(batch[f"__x{i}"], dtype=float)
+            x = np.asarray(batch[f"{self.x}{i}"], dtype=float)
             nums[v] = (x - self.shift[v]) / self.scale[v] if scaled else x
         out = np.empty((len(batch), self.p), order="F")
         hits = {}
@@ -206,8 +208,8 @@ class Design:
 
     def linear_predictor(self, beta: Sequence[float]) -> Column:
         """x'beta as one JVM expression: per term a coefficient lookup times its numeric part."""
-        names = {f: F.col(f"__f{i}") for i, f in enumerate(self.factors)}
-        nums = {v: F.col(f"__x{i}") for i, v in enumerate(self.numerics)}
+        names = {f: F.col(f"{self.f}{i}") for i, f in enumerate(self.factors)}
+        nums = {v: F.col(f"{self.x}{i}") for i, v in enumerate(self.numerics)}
         total = F.lit(0.0)
         groups = {}
         for j, c in enumerate(self.columns):
@@ -239,8 +241,8 @@ def design(df: DataFrame, terms: Sequence[tuple], levels: Mapping[str, Sequence]
     d = Design(terms, levels or {}, intercept)
     cols = []
     with_inputs = df.select(*keep, *d.input_columns())
-    names = {f: F.col(f"__f{i}") for i, f in enumerate(d.factors)}
-    nums = {v: F.col(f"__x{i}") for i, v in enumerate(d.numerics)}
+    names = {f: F.col(f"{d.f}{i}") for i, f in enumerate(d.factors)}
+    nums = {v: F.col(f"{d.x}{i}") for i, v in enumerate(d.numerics)}
     for j, c in enumerate(d.columns):
         expr = F.lit(1.0)
         for f, k in c.dummies:
