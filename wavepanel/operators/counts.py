@@ -12,12 +12,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavepanel.functions import numeric
-from wavepanel.functions.columns import plogis
 from wavepanel.functions.results import result_table
 from wavepanel.operators.families import Family
 from wavepanel.operators.glm import (ROWS_PER_TASK, PATTERN_SHARE, GlmModel, LinearModel, fit_glm,
@@ -266,10 +266,16 @@ def fit_hurdle(df: DataFrame, y: str, terms_p: Sequence[tuple], terms_n: Sequenc
     return HurdleModel(zero, fit_ztnb(positive, y, terms_n, seen))
 
 
-def probability_zero(eta, k: float):
-    """P(y = 0) of the untruncated distribution, as a JVM expression of log mu."""
-    return F.exp(F.lit(-k) * F.log1p(F.exp(eta) / F.lit(k)))
+def count_log_likelihood(df: DataFrame, y: str, eta: Column, log_k: float, truncated: bool = False) -> DataFrame:
+    """Log-likelihood of given coefficients: ``n, log_likelihood``.
 
-
-__all__ = ["CountModel", "HurdleModel", "anova_negbin", "fit_hurdle", "fit_negbin", "fit_ztnb", "negbin_terms",
-           "plogis", "probability_zero"]
+    Rows with the same count and mean are merged first.
+    """
+    k = math.exp(log_k)
+    rows = (df.select(F.col(y).cast("double").alias("y"), eta.cast("double").alias("eta")).dropna("any")
+            .groupBy("y", "eta").agg(F.count(F.lit(1)).alias("c")))
+
+    @F.pandas_udf("double")
+    def density(count: pd.Series, lp: pd.Series) -> pd.Series:
+        return pd.Series(negbin_terms(count.to_numpy(float), np.exp(lp.to_numpy(float)), k, truncated)[0])
+    return rows.agg(F.sum("c").alias("n"), F.sum(F.col("c") * density("y", "eta")).alias("log_likelihood"))

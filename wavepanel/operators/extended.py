@@ -213,24 +213,26 @@ def fit_glmm_ri(df: DataFrame, y: str, terms: Sequence[tuple], group: str, level
     Given the coefficients, a group's likelihood depends on its rows only
     through a few sums, so a pass is one grouped aggregation (combined
     map-side, so a huge group is never gathered) followed by a map over one row
-    per group. Steps use the outer product of the group scores; the standard
-    errors are approximate for the same reason.
+    per group. Standard errors come from the outer product of the group scores and
+    are approximate.
     """
     design = Design(terms, resolve_levels(df, y, terms, levels))
     names = design.input_names()
     rows = df.select(F.col(group).alias("__g"), *design.input_columns(), F.col(y).cast("double").alias("__y")).dropna("any")
     xs = [c for c in names if c.startswith(design.x)]
-    probe = rows.agg(F.count(F.lit(1)), F.sum((F.col("__y") <= 0).cast("long")), F.var_samp(F.log("__y")),
+    probe = rows.agg(F.count(F.lit(1)), F.sum((F.col("__y") <= 0).cast("long")),
                      *[f(c) for c in xs for f in (F.avg, F.stddev_pop)]).first()
-    n, bad, spread = probe[:3]
+    n, bad = probe[:2]
     if not n:
         raise ValueError("no complete rows to fit")
     if bad:
         raise ValueError(f"{bad} values of {y!r} are not positive")
-    design.standardise({v: (probe[3 + 2 * i], probe[4 + 2 * i]) for i, v in enumerate(design.numerics)})
+    design.standardise({v: (probe[2 + 2 * i], probe[3 + 2 * i]) for i, v in enumerate(design.numerics)})
     # Rows of a group that share a covariate pattern are merged once.
+    log_y = F.log("__y")
     data = rows.groupBy("__g", *names).agg(F.count(F.lit(1)).cast("double").alias("__n"), F.sum("__y").alias("__sy"),
-                                           F.sum(F.log("__y")).alias("__ln")).persist(StorageLevel.MEMORY_AND_DISK)
+                                           F.sum(log_y).alias("__ln"), F.sum(log_y * log_y).alias("__ln2")
+                                           ).persist(StorageLevel.MEMORY_AND_DISK)
     t, wt = np.polynomial.hermite.hermgauss(nodes)
     passes = 0
 
@@ -272,8 +274,21 @@ def fit_glmm_ri(df: DataFrame, y: str, terms: Sequence[tuple], group: str, level
         gram, rhs = flat[:design.p**2].reshape(design.p, design.p), flat[design.p**2:]
         cols = independent_columns(gram)
         p = len(cols)
-        par = np.concatenate([np.linalg.solve(gram[np.ix_(cols, cols)], rhs[cols]),
-                              [0.5 * math.log(max(spread, 1e-4) / 4), -math.log(max(spread, 1e-4))]])
+        # Start from the spread of log y within and between groups.
+        per_group = data.groupBy("__g").agg(F.sum("__n").alias("n"), F.sum("__ln").alias("a"), F.sum("__ln2").alias("b"))
+        inside, free, between = per_group.agg(
+            F.sum(F.col("b") - F.col("a") * F.col("a") / F.col("n")), F.sum(F.col("n") - 1),
+            F.var_samp(F.col("a") / F.col("n"))).first()
+        within = max(inside / free if free else 0.5, 1e-4)
+        low, high = 1e-3, 1e6                       # shape with trigamma(shape) = within
+        for _ in range(100):
+            nu0 = math.sqrt(low * high)
+            low, high = (nu0, high) if numeric.trigamma(nu0) > within else (low, nu0)
+        sigma0 = math.sqrt(max((between or 0.0) - within / (n / max(n - free, 1)), 1e-3))
+        beta0 = np.linalg.solve(gram[np.ix_(cols, cols)], rhs[cols])
+        if cols[0] == 0:
+            beta0[0] += math.log(nu0) - float(numeric.digamma(nu0))
+        par = np.concatenate([beta0, [math.log(sigma0), math.log(nu0)]])
 
         def evaluate(par):
             sigma, nu = math.exp(par[-2]), math.exp(par[-1])
@@ -312,20 +327,30 @@ def fit_glmm_ri(df: DataFrame, y: str, terms: Sequence[tuple], group: str, level
             k = p + 2
             return v[:k * k].reshape(k, k), v[k * k:k * k + k], v[-2], int(v[-1])
 
-        best, converged, step, gain = None, False, None, math.inf
+        # Quasi-Newton: the score outer product starts the curvature, gradient differences refine it.
+        best, converged, inverse, last = None, False, None, None
         for _ in range(max_passes):
             info, score, ll, groups = evaluate(par)
             if best is not None and not ll >= best[1] - 1e-10 * (abs(best[1]) + 1):
                 par = (par + best[0]) / 2
                 continue
-            best = (par, ll)
-            step = np.linalg.solve(info + 1e-10 * np.diag(np.diag(info) + 1e-12), score)
-            gain = float(step @ score)
-            if gain < 1e-5:
+            if last is not None and inverse is not None:
+                s, d = par - best[0], last - score
+                if s @ d > 1e-12:
+                    rho = 1 / (s @ d)
+                    left = np.eye(len(s)) - rho * np.outer(s, d)
+                    inverse = left @ inverse @ left.T + rho * np.outer(s, s)
+            if inverse is None:
+                inverse = np.linalg.inv(info + 1e-10 * np.diag(np.diag(info) + 1e-12))
+            best, last = (par, ll), score
+            step = inverse @ score
+            if float(step @ score) < 1e-6:
                 converged = True
                 break
             biggest = np.abs(step).max()
-            par = par + (step if biggest <= 1 else step / biggest)
+            if biggest > 1:
+                step, inverse = step / biggest, None      # far away: take a fresh curvature next time
+            par = par + step
     finally:
         data.unpersist()
     par, ll = best

@@ -28,7 +28,7 @@ from wavepanel.operators.terms import Design, Power, term_label
 
 PATTERN_SHARE = 0.1          # compress when patterns are at most this share of the rows
 ROWS_PER_TASK = 50_000       # patterns per task once compressed
-STEP_TOLERANCE = 1e-11       # predicted deviance gain of the next step, relative to the deviance
+STEP_TOLERANCE = 1e-15       # predicted deviance gain of the next step, relative to the deviance
 
 
 def _level_values(levels) -> dict:
