@@ -70,8 +70,8 @@ def find_levels(df: DataFrame, cols: Sequence[str], order_by: str | None = None,
     firsts = F.min(order_by) if order_by else F.lit(0)
     pair = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
     keep = [F.col(order_by)] if order_by else []
-    values = (df.select(*keep, F.explode(pair).alias("p")).where("p.value is not null")
-              .groupBy("p.column", "p.value").agg(firsts.alias("first")))
+    values = (df.select(*keep, F.explode(pair).alias("__p")).where("__p.value is not null")
+              .groupBy("__p.column", "__p.value").agg(firsts.alias("first")))
     rows = values.limit(limit * len(cols) + 1).collect()
     out = {}
     kinds = dict(df.dtypes)

@@ -367,8 +367,8 @@ def group_intercepts(model: RandomInterceptModel, df: DataFrame, group: str) ->
     """Most likely intercept of each group given the fitted model (one row per group)."""
     sigma, nu = model.sigma, model.shape
     scored = model.inputs(df).withColumn("__e", F.col(model.y) * F.exp(-model.eta()))
-    sums = scored.where(F.col("__e").isNotNull()).groupBy(group).agg(F.count("__e").cast("double").alias("n"),
-                                                                     F.sum("__e").alias("s"))
+    sums = scored.where(F.col("__e").isNotNull()).groupBy(group).agg(F.count("__e").cast("double").alias("__n"),
+                                                                     F.sum("__e").alias("__s"))
 
     @F.pandas_udf("double")
     def mode(n: pd.Series, s: pd.Series) -> pd.Series:
@@ -378,4 +378,4 @@ def group_intercepts(model: RandomInterceptModel, df: DataFrame, group: str) ->
             pull = nu * s_ * np.exp(-sigma * b)
             b = b + np.clip((sigma * (pull - nu * n_) - b) / (1 + sigma * sigma * pull), -2, 2)
         return pd.Series(sigma * b)
-    return sums.select(group, "n", mode("n", "s").alias("intercept"))
+    return sums.select(group, F.col("__n").alias("n"), mode("__n", "__s").alias("intercept"))

@@ -32,9 +32,10 @@ def bind_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], check: b
     """Put two tables side by side by key; the keys must match one to one."""
     keys = list(keys)
     if check:
-        sides = (left.select(*keys, F.lit(1).alias("l"), F.lit(0).alias("r"))
-                 .unionByName(right.select(*keys, F.lit(0).alias("l"), F.lit(1).alias("r"))))
-        bad = sides.groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where("l <> 1 or r <> 1")
+        one, none = F.lit(1), F.lit(0)
+        sides = (left.select(*keys, one.alias("__l"), none.alias("__r"))
+                 .unionByName(right.select(*keys, none.alias("__l"), one.alias("__r"))))
+        bad = sides.groupBy(*keys).agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r")).where("__l <> 1 or __r <> 1")
         if not bad.isEmpty():
             raise ValueError(f"keys {keys} do not match one to one")
     return left.join(right, keys, "inner")

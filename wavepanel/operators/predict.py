@@ -125,7 +125,7 @@ def fit_curve(df: DataFrame, x: str, y: str, by: str, family="gamma", link: str
     model = fit_glm(df, y, [(x,), (by,), (x, by)], family, link, levels)
     groups = list(model.design.levels[by])
     ranges = (df.dropna("any", subset=[x, y, by]).where(F.col(by).isin(groups))
-              .groupBy(by).agg(F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi")))
+              .groupBy(by).agg(F.min(x).cast("double").alias("__lo"), F.max(x).cast("double").alias("__hi")))
     steps = expand_grid(df.sparkSession, __s=number_sequence(0.0, 1.0, n), **{by: groups})
-    grid = steps.join(ranges, by).select(by, (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("__s")).alias(x))
+    grid = steps.join(ranges, by).select(by, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__s")).alias(x))
     return predict_ci(model, grid, level)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from wavepanel.functions import numeric
 from wavepanel.functions.columns import all_of, inverse_link, keyed_uniform
 from wavepanel.functions.results import result_table
-from wavepanel.operators.summaries import _names, _rekeyed, box_stats, quantiles
+from wavepanel.operators.summaries import _names, _rekeyed, box_stats, hide_keys, quantiles, show_keys
 
 SIM_CELLS = 2_000_000        # rows x simulations held at once by one task
 
@@ -122,8 +122,8 @@ def uniform_ks(df: DataFrame, u: str, by: Sequence[str] | str | None = None, bin
     whole.
     """
     by = _names(by)
-    key = by or ["__all"]
-    data = df.where(F.col(u).isNotNull()).select(*by, F.col(u).alias("__u"))
+    data, keys = hide_keys(df.where(F.col(u).isNotNull()).select(*by, F.col(u).alias("__u")), by)
+    key = keys or ["__all"]
     if not by:
         data = data.withColumn("__all", F.lit(0))
     data = data.withColumn("__bin", F.least(F.floor(F.col("__u") * bins), F.lit(bins - 1)))
@@ -148,7 +148,7 @@ def uniform_ks(df: DataFrame, u: str, by: Sequence[str] | str | None = None, bin
                      F.col("__u") - (F.col("upto") - F.col("c")) / F.col("n"))
     out = (rows.withColumn("upto", upto).groupBy(*key)
            .agg(F.max("n").alias("n"), F.greatest(F.max(gap), F.max("floor")).alias("ks")))
-    return out if by else out.drop("__all")
+    return show_keys(out, by) if by else out.drop("__all")
 
 
 def _ks_p(n: Column, ks: Column) -> Column:
@@ -192,11 +192,12 @@ def levene(df: DataFrame, value: str, by: Sequence[str] | str) -> DataFrame:
     med = _rekeyed(quantiles(data, value, [0.5], by).select(*by, F.col("q0").alias("__med")), by)
     gap = F.abs(F.col(value) - F.col("__med"))
     cells = (data.join(med, all_of([F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]))
-             .groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(gap).alias("m"),
-                               (F.var_pop(gap) * F.count(F.lit(1))).alias("ss")))
+             .groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.avg(gap).alias("__m"),
+                               (F.var_pop(gap) * F.count(F.lit(1))).alias("__ss")))
     cells = cells.persist()  # one row per cell
-    k, n, within, total = cells.agg(F.count(F.lit(1)), F.sum("n"), F.sum("ss"), F.sum(F.col("n") * F.col("m"))).first()
-    between = cells.agg(F.sum(F.col("n") * (F.col("m") - F.lit(total / n)) ** 2)).first()[0]
+    k, n, within, total = cells.agg(
+        F.count(F.lit(1)), F.sum("__n"), F.sum("__ss"), F.sum(F.col("__n") * F.col("__m"))).first()
+    between = cells.agg(F.sum(F.col("__n") * (F.col("__m") - F.lit(total / n)) ** 2)).first()[0]
     cells.unpersist()
     df1, df2 = k - 1, n - k
     f = (between / df1) / (within / df2) if df1 and within else math.nan
@@ -249,17 +250,19 @@ def residual_smooth(df: DataFrame, x: str, by: Sequence[str] | str, u: str = "re
     basis = [F.lit(1.0), s, s * s, s * s * s] + [F.pow(F.greatest(s - F.lit(k), F.lit(0.0)), F.lit(3.0)) for k in inner]
     p = len(basis)
     r = F.col(u)
-    cols = data.select(*by, *[b.alias(f"b{i}") for i, b in enumerate(basis)], r.alias("r"), s.alias("s"))
-    aggs = [F.sum(F.col(f"b{i}") * F.col(f"b{j}")) for i in range(p) for j in range(i, p)]
-    aggs += [F.sum(F.col(f"b{i}") * F.col("r")) for i in range(p)] + [F.sum(F.col("r") * F.col("r"))]
-    grams = cols.groupBy(*by).agg(F.array(*aggs).alias("g"), F.min("s").alias("s0"), F.max("s").alias("s1"))
+    kinds = dict(data.dtypes)
+    cols, keys = hide_keys(data.select(*by, *[b.alias(f"__b{i}") for i, b in enumerate(basis)], r.alias("__r"),
+                                       s.alias("__s")), by)
+    aggs = [F.sum(F.col(f"__b{i}") * F.col(f"__b{j}")) for i in range(p) for j in range(i, p)]
+    aggs += [F.sum(F.col(f"__b{i}") * F.col("__r")) for i in range(p)] + [F.sum(F.col("__r") * F.col("__r"))]
+    grams = cols.groupBy(*keys).agg(F.array(*aggs).alias("__g"), F.min("__s").alias("__s0"), F.max("__s").alias("__s1"))
     upper = np.triu_indices(p)
 
     def solve(batches):
         for batch in batches:
             for row in batch.to_dict("records"):
-                g = np.asarray(row.pop("g"), float)
-                s0, s1 = row.pop("s0"), row.pop("s1")
+                g = np.asarray(row.pop("__g"), float)
+                s0, s1 = row.pop("__s0"), row.pop("__s1")
                 m = np.zeros((p, p))
                 m[upper] = g[:len(upper[0])]
                 m = m + np.triu(m, 1).T
@@ -272,12 +275,12 @@ def residual_smooth(df: DataFrame, x: str, by: Sequence[str] | str, u: str = "re
                 z = np.column_stack([np.ones(points), t, t**2, t**3] + [np.maximum(t - k, 0) ** 3 for k in inner])
                 fit = z @ beta
                 se = np.sqrt(np.maximum(((z @ inv) * z).sum(axis=1) * sigma, 0))
-                yield pd.DataFrame({**{k: [v] * points for k, v in row.items()}, x: low + width * t, "fit": fit,
+                yield pd.DataFrame({**{k: [v] * points for k, v in row.items()}, "__x": low + width * t, "fit": fit,
                                     "lower": fit - 1.959963984540054 * se, "upper": fit + 1.959963984540054 * se})
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + [f"`{x}` double", "fit double", "lower double", "upper double"])
-    return grams.mapInPandas(solve, schema)
+    schema = ", ".join([f"{k} {kinds[c]}" for k, c in zip(keys, by, strict=True)]
+                       + ["__x double", "fit double", "lower double", "upper double"])
+    return show_keys(grams.mapInPandas(solve, schema), by).withColumnRenamed("__x", x)
 
 
 # ---------------------------------------------------------------- simulation

@@ -20,6 +20,15 @@ def _names(by) -> list[str]:
     return [] if by is None else [by] if isinstance(by, str) else list(by)
 
 
+def hide_keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Rename grouping columns to ``__k0..`` so that working columns cannot clash with them."""
+    return df.withColumnsRenamed({c: f"__k{i}" for i, c in enumerate(by)}), [f"__k{i}" for i in range(len(by))]
+
+
+def show_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({f"__k{i}": c for i, c in enumerate(by)})
+
+
 def _mean(col: str, na: str) -> Column:
     if na == "skip":
         return F.avg(col)
@@ -68,11 +77,11 @@ def describe_waves(df: DataFrame, by: Sequence[str], measures: Mapping[str, Sequ
     """
     by = _names(by)
     flat = [(m, c) for m, cols in measures.items() for c in cols]
-    aggs = [F.struct(F.avg(c).alias("mean"), std_error(c).alias("se"), F.count(c).alias("n")).alias(f"s{i}")
+    aggs = [F.struct(F.avg(c).alias("mean"), std_error(c).alias("se"), F.count(c).alias("n")).alias(f"__s{i}")
             for i, (_, c) in enumerate(flat)]
     wide = df.groupBy(*by).agg(*aggs)
     rows = [F.struct(F.lit(m).alias(measure), F.lit(int(c[len(c.rstrip("0123456789")):] or 0)).alias(index),
-                     F.col(f"s{i}.mean").alias("mean"), F.col(f"s{i}.se").alias("se"), F.col(f"s{i}.n").alias("n"))
+                     F.col(f"__s{i}.mean").alias("mean"), F.col(f"__s{i}.se").alias("se"), F.col(f"__s{i}.n").alias("n"))
             for i, (m, c) in enumerate(flat)]
     return wide.select(*by, F.inline(F.array(*rows)))
 
@@ -98,7 +107,8 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
             F.count("__x").alias("n"),
             F.percentile("__x", F.array(*[F.lit(p) for p in probs])).alias("q"))
         return found.select(*by, "n", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])
-    return _bracketed_quantiles(data, by, probs, exact_distinct)
+    hidden, keys = hide_keys(data, by)
+    return show_keys(_bracketed_quantiles(hidden, keys, probs, exact_distinct), by)
 
 
 def _bracketed_quantiles(data: DataFrame, by: list[str], probs: list[float], limit: int,
@@ -242,9 +252,9 @@ def level_share(df: DataFrame, col: str, by: Sequence[str] | str, levels: Levels
         total = F.sum("__n").over(Window.partitionBy(*by))
         return counts.select(*by, col, (F.col("__n") / total).alias(out))
     values = list(levels.values if isinstance(levels, Levels) else levels)
-    wide = data.groupBy(*by).agg(*[F.avg((F.col(col) == F.lit(v)).cast("double")).alias(f"l{i}")
+    wide = data.groupBy(*by).agg(*[F.avg((F.col(col) == F.lit(v)).cast("double")).alias(f"__l{i}")
                                    for i, v in enumerate(values)])
-    pairs = F.array(*[F.struct(F.lit(v).alias(col), F.col(f"l{i}").alias(out)) for i, v in enumerate(values)])
+    pairs = F.array(*[F.struct(F.lit(v).alias(col), F.col(f"__l{i}").alias(out)) for i, v in enumerate(values)])
     return wide.select(*by, F.inline(pairs))
 
 
