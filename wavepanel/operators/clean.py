@@ -67,11 +67,12 @@ def find_levels(df: DataFrame, cols: Sequence[str], order_by: str | None = None,
     cols = list(cols)
     if not cols:
         return {}
-    firsts = F.min(order_by) if order_by else F.lit(0)
+    # Distinct combinations first (combined map-side), then one row per column of each combination.
+    combos = df.select(*cols, *([F.col(order_by).alias("__o")] if order_by else [])).groupBy(*cols).agg(
+        (F.min("__o") if order_by else F.lit(0)).alias("__first"))
     pair = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
-    keep = [F.col(order_by)] if order_by else []
-    values = (df.select(*keep, F.explode(pair).alias("__p")).where("__p.value is not null")
-              .groupBy("__p.column", "__p.value").agg(firsts.alias("first")))
+    values = (combos.select("__first", F.explode(pair).alias("__p")).where("__p.value is not null")
+              .groupBy("__p.column", "__p.value").agg(F.min("__first").alias("first")))
     rows = values.limit(limit * len(cols) + 1).collect()
     out = {}
     kinds = dict(df.dtypes)

@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from wavepanel.functions import numeric
 from wavepanel.functions.results import result_table
+from wavepanel.operators.clean import Levels, drop_levels
 from wavepanel.operators.families import Family
-from wavepanel.operators.glm import (ROWS_PER_TASK, PATTERN_SHARE, GlmModel, LinearModel, fit_glm,
-                                     independent_columns, partial_sums, resolve_levels, sum_arrays)
+from wavepanel.operators.glm import (PATTERN_SHARE, GlmModel, LinearModel, ModelInputs, _level_values, fit_glm,
+                                     independent_columns, narrow, partial_sums, sum_arrays)
 from wavepanel.operators.hypothesis import anova_ii
-from wavepanel.operators.terms import Design
+from wavepanel.operators.terms import Design, base_column
 
 POISSON_LIMIT = 8.0          # log k beyond which the data show no overdispersion
 
@@ -114,28 +115,30 @@ def negbin_terms(y, mu, k, truncated):
 
 def _fit(df: DataFrame, y: str, terms: Sequence[tuple], truncated: bool, levels: Mapping | None,
          intercept: bool, max_passes: int = 60) -> CountModel:
-    design = Design(terms, resolve_levels(df, y, terms, levels), intercept)
-    names = design.input_names()
-    rows = df.select(*design.input_columns(), F.col(y).cast("double").alias("__y")).dropna("any")
+    inputs = ModelInputs(df, y, terms, levels)
     low = 1 if truncated else 0
-    xs = [n for n in names if n.startswith(design.x)]
-    probe = rows.agg(F.count(F.lit(1)), F.sum(((F.col("__y") < low) | (F.col("__y") != F.floor("__y"))).cast("long")),
-                     F.approx_count_distinct(F.xxhash64(*names, "__y")),
-                     *[f(c) for c in xs for f in (F.avg, F.stddev_pop)]).first()
-    n, bad, patterns = probe[:3]
-    if not n:
-        raise ValueError("no complete rows to fit")
-    if bad:
-        raise ValueError(f"{bad} values of {y!r} are not counts of at least {low}")
-    design.standardise({v: (probe[3 + 2 * i], probe[4 + 2 * i]) for i, v in enumerate(design.numerics)})
-    if patterns <= max(PATTERN_SHARE * n, 1):
-        data = rows.groupBy(*names, "__y").agg(F.count(F.lit(1)).cast("double").alias("__n"))
-        tasks = math.ceil(patterns * 1.2 / ROWS_PER_TASK)
-        if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")):
-            data = data.coalesce(max(tasks, 1))
+    is_bad = (F.col("__y") < low) | (F.col("__y") != F.floor("__y"))
+    count = F.count(F.lit(1)).cast("double").alias("__n")
+    if not inputs.numerics:
+        # Factors only: one scan to the counts per cell and response.
+        cached = inputs.rows.groupBy(*inputs.factors, "__y").agg(count).persist(StorageLevel.MEMORY_AND_DISK)
+        inputs.find(cached)
+        patterns, n, bad = cached.agg(F.count(F.lit(1)), F.sum("__n"), F.sum(is_bad.cast("long") * F.col("__n"))).first()
+        design = Design(terms, inputs.levels, intercept)
+        data = narrow(df.sparkSession, cached.select(*design.input_columns(), "__y", "__n"), patterns)
     else:
-        data = rows.withColumn("__n", F.lit(1.0))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        n, bad, patterns, stats = inputs.probe(is_bad, patterns_of=["__y"])
+        design = Design(terms, inputs.levels, intercept)
+        design.standardise(stats)
+        rows = inputs.rows.select(*design.input_columns(), "__y")
+        if patterns <= max(PATTERN_SHARE * n, 1):
+            cached = narrow(df.sparkSession, rows.groupBy(*design.input_names(), "__y").agg(count), patterns)
+        else:
+            cached = rows.withColumn("__n", F.lit(1.0))
+        cached = data = cached.persist(StorageLevel.MEMORY_AND_DISK)
+    if not n or bad:
+        cached.unpersist()
+        raise ValueError(f"{bad:.0f} values of {y!r} are not counts of at least {low}" if n else "no complete rows to fit")
     passes = 0
 
     def total(kernel):
@@ -199,7 +202,7 @@ def _fit(df: DataFrame, y: str, terms: Sequence[tuple], truncated: bool, levels:
         cov = np.zeros((p + 1, p + 1))
         cov[:free, :free] = np.linalg.inv(info)
     finally:
-        data.unpersist()
+        cached.unpersist()
     family = Family("negbin", "log", True, math.exp(par[-1]), truncated)
     model = CountModel(design, family, y, int(n), cols, par[:-1], cov, float(par[-1]), float(ll),
                        float(np.abs(score[:free]).max()), converged, passes, limit)
@@ -259,11 +262,9 @@ def fit_hurdle(df: DataFrame, y: str, terms_p: Sequence[tuple], terms_n: Sequenc
     data = df.withColumn(flag, (F.col(y) > 0).cast("int"))
     zero = fit_glm(data, flag, terms_p, "binomial", levels=levels)
     positive = df.where(F.col(y) > 0)
-    seen = resolve_levels(positive, y, terms_n, None)
-    if levels:
-        given = {k: tuple(getattr(v, "values", v)) for k, v in levels.items()}
-        seen = {k: tuple(v for v in given.get(k, vals) if v in set(vals)) for k, vals in seen.items()}
-    return HurdleModel(zero, fit_ztnb(positive, y, terms_n, seen))
+    names = {base_column(v) for t in terms_n for v in t}
+    kept = {k: drop_levels(positive, Levels(k, v)).values for k, v in _level_values(levels).items() if k in names}
+    return HurdleModel(zero, fit_ztnb(positive, y, terms_n, kept))
 
 
 def count_log_likelihood(df: DataFrame, y: str, eta: Column, log_k: float, truncated: bool = False) -> DataFrame:

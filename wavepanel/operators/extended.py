@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from wavepanel.functions import numeric
 from wavepanel.functions.results import result_table
 from wavepanel.operators.families import Family
-from wavepanel.operators.glm import (PATTERN_SHARE, ROWS_PER_TASK, LinearModel, independent_columns, partial_sums,
-                                     resolve_levels, sum_arrays)
+from wavepanel.operators.glm import (PATTERN_SHARE, LinearModel, ModelInputs, independent_columns, narrow,
+                                     partial_sums, sum_arrays)
 from wavepanel.operators.hypothesis import wald_table
 from wavepanel.operators.terms import Design
 
@@ -81,26 +81,21 @@ class GammaScaleModel(LinearModel):
 def fit_gamma_ls(df: DataFrame, y: str, mean_terms: Sequence[tuple], scale_terms: Sequence[tuple],
                  levels: Mapping | None = None, max_passes: int = 60) -> GammaScaleModel:
     """Fisher scoring on both parts at once; they are orthogonal, so one pass gives both steps."""
-    lv = resolve_levels(df, y, [*mean_terms, *scale_terms], levels)
-    mean, scale = Design(mean_terms, lv), Design(scale_terms, lv, tag="s")
-    names = [*mean.input_names(), *scale.input_names()]
-    rows = df.select(*mean.input_columns(), *scale.input_columns(), F.col(y).cast("double").alias("__y")).dropna("any")
-    xs = [*[(mean, i) for i in range(len(mean.numerics))], *[(scale, i) for i in range(len(scale.numerics))]]
-    probe = rows.agg(F.count(F.lit(1)), F.sum((F.col("__y") <= 0).cast("long")), F.approx_count_distinct(F.xxhash64(*names)),
-                     *[f(f"{d.x}{i}") for d, i in xs for f in (F.avg, F.stddev_pop)]).first()
-    n, bad, patterns = probe[:3]
+    inputs = ModelInputs(df, y, [*mean_terms, *scale_terms], levels)
+    n, bad, patterns, stats = inputs.probe(F.col("__y") <= 0)
     if not n:
         raise ValueError("no complete rows to fit")
     if bad:
         raise ValueError(f"{bad} values of {y!r} are not positive")
-    for at, (d, i) in enumerate(xs):
-        d.standardise({d.numerics[i]: (probe[3 + 2 * at], probe[4 + 2 * at])})
+    mean, scale = Design(mean_terms, inputs.levels), Design(scale_terms, inputs.levels, tag="s")
+    for d in (mean, scale):
+        d.standardise({v: stats[v] for v in d.numerics})
+    names = [*mean.input_names(), *scale.input_names()]
+    rows = inputs.rows.select(*mean.input_columns(), *scale.input_columns(), "__y")
     if patterns <= max(PATTERN_SHARE * n, 1):
         data = rows.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__y").alias("__m"),
                                         F.sum(F.log("__y")).alias("__ln"))
-        tasks = math.ceil(patterns * 1.2 / ROWS_PER_TASK)
-        if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")):
-            data = data.coalesce(max(tasks, 1))
+        data = narrow(df.sparkSession, data, patterns)
     else:
         data = rows.select(*names, F.lit(1.0).alias("__n"), F.col("__y").alias("__m"), F.log("__y").alias("__ln"))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
@@ -216,18 +211,16 @@ def fit_glmm_ri(df: DataFrame, y: str, terms: Sequence[tuple], group: str, level
     per group. Standard errors come from the outer product of the group scores and
     are approximate.
     """
-    design = Design(terms, resolve_levels(df, y, terms, levels))
-    names = design.input_names()
-    rows = df.select(F.col(group).alias("__g"), *design.input_columns(), F.col(y).cast("double").alias("__y")).dropna("any")
-    xs = [c for c in names if c.startswith(design.x)]
-    probe = rows.agg(F.count(F.lit(1)), F.sum((F.col("__y") <= 0).cast("long")),
-                     *[f(c) for c in xs for f in (F.avg, F.stddev_pop)]).first()
-    n, bad = probe[:2]
+    inputs = ModelInputs(df, y, terms, levels, {"__g": F.col(group)})
+    n, bad, _, stats = inputs.probe(F.col("__y") <= 0)
     if not n:
         raise ValueError("no complete rows to fit")
     if bad:
         raise ValueError(f"{bad} values of {y!r} are not positive")
-    design.standardise({v: (probe[2 + 2 * i], probe[3 + 2 * i]) for i, v in enumerate(design.numerics)})
+    design = Design(terms, inputs.levels)
+    design.standardise(stats)
+    names = design.input_names()
+    rows = inputs.rows.select("__g", *design.input_columns(), "__y")
     # Rows of a group that share a covariate pattern are merged once.
     log_y = F.log("__y")
     data = rows.groupBy("__g", *names).agg(F.count(F.lit(1)).cast("double").alias("__n"), F.sum("__y").alias("__sy"),

@@ -24,7 +24,7 @@ from wavepanel.functions.columns import inverse_link
 from wavepanel.functions.results import result_table
 from wavepanel.operators.clean import Levels, find_levels
 from wavepanel.operators.families import Family, family as make_family
-from wavepanel.operators.terms import Design, Power, term_label
+from wavepanel.operators.terms import Design, base_column, numeric_value, term_label
 
 PATTERN_SHARE = 0.1          # compress when patterns are at most this share of the rows
 ROWS_PER_TASK = 50_000       # patterns per task once compressed
@@ -35,20 +35,74 @@ def _level_values(levels) -> dict:
     return {k: tuple(v.values if isinstance(v, Levels) else v) for k, v in (levels or {}).items()}
 
 
-def resolve_levels(df: DataFrame, y: str, terms: Sequence[tuple], levels) -> dict:
-    """Level lists of every categorical variable; those not given are read from the complete rows."""
-    given = _level_values(levels)
-    kinds = dict(df.dtypes)
-    variables = list(dict.fromkeys(v for t in terms for v in t))
-    named = [v.column if isinstance(v, Power) else v for v in variables]
-    missing = [c for c in [y, *named] if c not in kinds]
-    if missing:
-        raise ValueError(f"columns not in the table: {missing}")
-    unknown = [v for v in variables if isinstance(v, str) and v not in given and kinds[v] in ("string", "boolean")]
-    if unknown:
-        complete = df.select(*dict.fromkeys([y, *named])).dropna("any")
-        given.update({c: found.values for c, found in find_levels(complete, unknown).items()})
-    return {v: given[v] for v in variables if isinstance(v, str) and v in given}
+class ModelInputs:
+    """The complete rows of a model's variables, before level lists and scales are known.
+
+    ``levels`` holds the given lists; the rest is read from an aggregate of the
+    rows (``find``), never from an extra scan.
+    """
+
+    def __init__(self, df: DataFrame, y: str, terms: Sequence[tuple], levels: Mapping | None,
+                 extra: Mapping[str, Column] | None = None):
+        given = _level_values(levels)
+        kinds = dict(df.dtypes)
+        variables = list(dict.fromkeys(v for t in terms for v in t))
+        missing = [c for c in [y, *map(base_column, variables)] if c not in kinds]
+        if missing:
+            raise ValueError(f"columns not in the table: {missing}")
+        self.factors = [v for v in variables if isinstance(v, str) and (v in given or kinds[v] in ("string", "boolean"))]
+        self.numerics = [v for v in variables if v not in self.factors]
+        self.levels = {v: given[v] for v in self.factors if v in given}
+        self.unknown = [v for v in self.factors if v not in given]
+        named = list(dict.fromkeys(base_column(v) for v in variables))
+        rows = df.select(*named, F.col(y).cast("double").alias("__y"), *[c.alias(k) for k, c in (extra or {}).items()])
+        rows = rows.dropna("any")
+        for v, values in self.levels.items():
+            rows = rows.where(F.col(v).isin(list(values)))
+        self.rows = rows
+
+    def find(self, table: DataFrame) -> None:
+        """Complete the level lists from a table that still has the factor columns."""
+        if self.unknown:
+            found = find_levels(table, self.unknown)
+            self.levels.update({c: found[c].values for c in self.unknown})
+            self.unknown = []
+
+    def probe(self, bad: Column, patterns_of: Sequence[str] = ()) -> tuple[int, int, int, dict]:
+        """(rows, bad responses, covariate patterns, mean and sd per numeric variable) from one scan.
+
+        Grouped by the factors: the groups give the level lists, and the
+        patterns of disjoint groups add up.
+        """
+        n = F.count(F.lit(1))
+        values = [numeric_value(v) for v in self.numerics]
+        hashed = [*values, *[F.col(c) for c in patterns_of]]
+        groups = self.rows.groupBy(*self.factors).agg(
+            n.alias("__n"), F.sum(bad.cast("long")).alias("__bad"),
+            (F.approx_count_distinct(F.xxhash64(*hashed)) if hashed else F.lit(1)).alias("__d"),
+            *[x for i, v in enumerate(values) for x in (F.avg(v).alias(f"__a{i}"), (F.var_pop(v) * n).alias(f"__s{i}"))],
+        ).persist()
+        try:
+            self.find(groups)
+            weight = F.sum("__n")
+            sums = []
+            for i in range(len(values)):
+                a = F.col(f"__a{i}")
+                mean = F.sum(F.col("__n") * a) / weight
+                sums += [mean, F.sqrt((F.sum(f"__s{i}") + F.sum(F.col("__n") * a * a)) / weight - mean * mean)]
+            row = groups.agg(weight, F.sum("__bad"), F.sum("__d"), *sums).first()
+        finally:
+            groups.unpersist()
+        clean = [None if v is None or math.isnan(v) else v for v in row[3:]]
+        stats = {v: (clean[2 * i] or 0.0, clean[2 * i + 1]) for i, v in enumerate(self.numerics)}
+        return row[0] or 0, row[1] or 0, row[2] or 0, stats
+
+
+def narrow(spark: SparkSession, data: DataFrame, patterns: int) -> DataFrame:
+    """Fewer partitions for a pattern table of known size; the count bounds the rows per task."""
+    tasks = max(math.ceil(patterns * 1.2 / ROWS_PER_TASK), 1)
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return data.coalesce(tasks) if tasks < wide else data
 
 
 def independent_columns(gram: np.ndarray, tol: float = 1e-10) -> list[int]:
@@ -114,47 +168,38 @@ class ModelFrame:
                  theta: float | None = None, compress: bool | str = "auto"):
         self.spark = df.sparkSession
         self.y, self.family = y, make_family(family, link, theta)
-        self.design = Design(terms, resolve_levels(df, y, terms, levels), intercept)
         self.passes = 0
-        names = self.design.input_names()
-        yc = F.col(y).cast("double")
-        rows = df.select(*self.design.input_columns(), yc.alias("__y")).dropna("any")
-        rows = rows.where(~F.isnan("__y"))
-        bad = F.sum(self.family.bad_response(F.col("__y")).cast("long"))
-        numerics = [n for n in names if n.startswith("__x")]
-        patterns = math.prod(len(v) for v in self.design.levels.values())
-        stats = None
-        if numerics or compress is False:
-            probe = rows.agg(
-                F.count(F.lit(1)), bad,
-                F.approx_count_distinct(F.xxhash64(*names)) if names else F.lit(1),
-                *[f(n) for n in numerics for f in (F.avg, F.stddev_pop)]).first()
-            self._check(probe[0], probe[1])
-            patterns = probe[2]
-            stats = {v: (probe[3 + 2 * i], probe[4 + 2 * i]) for i, v in enumerate(self.design.numerics)}
-            if compress == "auto":
-                compress = patterns <= max(PATTERN_SHARE * probe[0], 1)
-        else:
-            compress = True
-        if stats:
-            self.design.standardise(stats)
-        self.compressed = bool(compress)
+        inputs = ModelInputs(df, y, terms, levels)
         y_ = F.col("__y")
-        if self.compressed:
-            squares = F.coalesce(F.var_pop(y_), F.lit(0.0)) * F.count(F.lit(1))
-            data = rows.groupBy(*names).agg(
-                F.count(F.lit(1)).cast("double").alias("__n"), F.avg(y_).alias("__m"), squares.alias("__ss"),
-                F.sum(self.family.saturated(y_)).alias("__sat"), bad.alias("__bad"))
-            # The pattern count bounds the rows behind this coalesce.
-            tasks = math.ceil(patterns * 1.2 / ROWS_PER_TASK)
-            wide = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
-            if tasks < wide:
-                data = data.coalesce(max(tasks, 1))
-        else:
-            data = rows.select(*names, F.lit(1.0).alias("__n"), y_.alias("__m"), F.lit(0.0).alias("__ss"),
-                               self.family.saturated(y_).alias("__sat"), F.lit(0).cast("long").alias("__bad"))
+        is_bad = self.family.bad_response(y_)
+        squares = F.coalesce(F.var_pop(y_), F.lit(0.0)) * F.count(F.lit(1))
+        sums = [F.count(F.lit(1)).cast("double").alias("__n"), F.avg(y_).alias("__m"), squares.alias("__ss"),
+                F.sum(self.family.saturated(y_)).alias("__sat"), F.sum(is_bad.cast("long")).alias("__bad")]
         # Lost blocks are recomputed from the source table; nothing here depends on one executor.
-        self.data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        if not inputs.numerics and compress is not False:
+            # Factors only: one scan to the cells, and everything else comes from the cells.
+            self._cached = inputs.rows.groupBy(*inputs.factors).agg(*sums).persist(StorageLevel.MEMORY_AND_DISK)
+            inputs.find(self._cached)
+            self.design = Design(terms, inputs.levels, intercept)
+            names = self.design.input_names()
+            cells = math.prod(len(v) for v in self.design.levels.values())
+            coded = self._cached.select(*self.design.input_columns(), "__n", "__m", "__ss", "__sat", "__bad")
+            self.data = narrow(self.spark, coded, cells)
+            self.compressed = True
+        else:
+            n, bad, patterns, stats = inputs.probe(is_bad)
+            self._check(n, bad)
+            self.design = Design(terms, inputs.levels, intercept)
+            self.design.standardise(stats)
+            names = self.design.input_names()
+            rows = inputs.rows.select(*self.design.input_columns(), "__y")
+            self.compressed = patterns <= max(PATTERN_SHARE * n, 1) if compress == "auto" else bool(compress)
+            if self.compressed:
+                self._cached = narrow(self.spark, rows.groupBy(*names).agg(*sums), patterns)
+            else:
+                self._cached = rows.select(*names, F.lit(1.0).alias("__n"), y_.alias("__m"), F.lit(0.0).alias("__ss"),
+                                           self.family.saturated(y_).alias("__sat"), F.lit(0).cast("long").alias("__bad"))
+            self._cached = self.data = self._cached.persist(StorageLevel.MEMORY_AND_DISK)
         total = self.data.agg(F.sum("__n"), F.sum("__bad"), F.sum("__sat"), F.sum(F.col("__n") * F.col("__m"))).first()
         try:
             self._check(total[0] or 0, total[1])
@@ -170,7 +215,7 @@ class ModelFrame:
             raise ValueError(f"{bad} values of {self.y!r} are outside the range of the {self.family.name} family")
 
     def release(self) -> None:
-        self.data.unpersist()
+        self._cached.unpersist()
 
     def __enter__(self):
         return self
@@ -319,7 +364,7 @@ class LinearModel:
 
     def fitted(self, df: DataFrame, out: str = "fitted") -> DataFrame:
         """Distinct fitted values: one row per observed combination of the model variables."""
-        names = [v.column if isinstance(v, Power) else v for t in self.design.terms for v in t]
+        names = [base_column(v) for t in self.design.terms for v in t]
         cells = df.dropna("any", subset=[self.y, *dict.fromkeys(names)]).select(*dict.fromkeys(names)).distinct()
         return self.with_mean(cells, out)
 

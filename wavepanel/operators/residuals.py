@@ -21,23 +21,27 @@ from wavepanel.functions.columns import all_of, inverse_link, keyed_uniform
 from wavepanel.functions.results import result_table
 from wavepanel.operators.summaries import _names, _rekeyed, box_stats, hide_keys, quantiles, show_keys
 
-SIM_CELLS = 2_000_000        # rows x simulations held at once by one task
+SIM_CELLS = 65_536           # rows x simulations worked on at once, sized for the processor cache
 
 
-def mix64(h: np.ndarray) -> np.ndarray:
-    """64-bit finaliser: turns counters into independent-looking bits."""
-    z = h.astype(np.uint64)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+_STEP, _MIX1, _MIX2 = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-def counter_uniform(h: np.ndarray, counter) -> np.ndarray:
-    """Uniforms in (0, 1) from a row hash and a counter, the same on every partitioning."""
+def counter_bits(h: np.ndarray, counter) -> np.ndarray:
+    """53 mixed bits per (row hash, counter), the same on every partitioning."""
     with np.errstate(over="ignore"):
-        step = np.asarray(counter, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        bits = mix64(h.astype(np.uint64) + step) >> np.uint64(11)
-    return (bits.astype(float) + 0.5) * 2.0**-53
+        z = h.astype(np.uint64) + np.asarray(counter, dtype=np.uint64) * _STEP
+        for shift, factor in ((30, _MIX1), (27, _MIX2)):
+            z ^= z >> np.uint64(shift)
+            z *= factor
+        z ^= z >> np.uint64(31)
+    z >>= np.uint64(11)
+    return z
+
+
+def counter_uniform(h: np.ndarray, counter) -> np.ndarray:
+    """Uniforms in (0, 1) from a row hash and a counter."""
+    return (counter_bits(h, counter).astype(float) + 0.5) * 2.0**-53
 
 
 def _scored(model, df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -93,23 +97,21 @@ def simulated_position(low, high, v, h, n: int) -> np.ndarray:
     """Share of n simulated responses below the observed one, ties broken by jitter.
 
     A simulated response is the quantile of a uniform w, so it lies below the
-    observed value exactly when w <= P(Y < y) and ties with it when w is
-    between P(Y < y) and P(Y <= y): the response itself need not be formed.
+    observed value when w <= P(Y < y), ties with it when w is between P(Y < y)
+    and P(Y <= y), and its jitter is its place in between. Both conditions
+    together are w <= low + v (high - low): the response need not be formed.
     """
-    out = np.empty(len(low))
-    step = max(1, SIM_CELLS // n)
-    counters = np.arange(1, n + 1, dtype=np.uint64)
-    for at in range(0, len(low), step):
-        s = slice(at, at + step)
-        w = counter_uniform(h[s].astype(np.int64).view(np.uint64)[:, None], counters[None, :])
-        lo, hi = low[s][:, None], high[s][:, None]
-        below = (w <= lo).sum(axis=1)
-        tied = (w > lo) & (w <= hi)
-        # The jitter of a tied simulation: its own position inside the tie.
-        width = np.maximum(hi - lo, 1e-300)
-        tied_below = (tied & ((w - lo) / width <= v[s][:, None])).sum(axis=1)
-        out[s] = (below + tied_below) / n
-    return out
+    bar = np.minimum(np.clip(low + v * (high - low), 0, 1) * 2.0**53, 2.0**53).astype(np.uint64)[:, None]
+    rows = h.astype(np.int64).view(np.uint64)[:, None]
+    below = np.zeros(len(low))
+    wide = min(n, SIM_CELLS)
+    step = max(1, SIM_CELLS // wide)
+    for first in range(1, n + 1, wide):
+        counters = np.arange(first, min(first + wide, n + 1), dtype=np.uint64)[None, :]
+        for at in range(0, len(low), step):
+            s = slice(at, at + step)
+            below[s] += np.count_nonzero(counter_bits(rows[s], counters) < bar[s], axis=1)
+    return below / n
 
 
 # ---------------------------------------------------------------- uniformity
@@ -317,16 +319,20 @@ def draw_count(u: np.ndarray, mu: np.ndarray, size: float | None, truncated: boo
             log_p0, ratio = size * (np.log(size) - np.log(size + mu)), mu / (size + mu)
         p = np.exp(log_p0)
         target = p + u * -np.expm1(log_p0) if truncated else u
-        total, y = p.copy(), np.zeros(len(mu))
-        active = total < target
+        y = np.zeros(len(mu))
+        left = np.flatnonzero(p < target)              # rows still below their target
+        p, total, target, ratio = p[left], p[left], target[left], ratio[left]
         k = 0
-        while active.any():
+        while len(left):
             k += 1
             p = p * (ratio / k if size is None else (size + k - 1) / k * ratio)
-            before = total
-            total = total + p
-            y = np.where(active, k, y)
-            active = active & (total < target) & (total > before)
+            grown = total + p
+            done = (grown >= target) | (grown <= total)
+            if done.any():
+                y[left[done]] = k
+                go = ~done
+                left, p, target, ratio, grown = left[go], p[go], target[go], ratio[go], grown[go]
+            total = grown
     return np.maximum(y, 1) if truncated else y
 
 

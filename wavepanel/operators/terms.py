@@ -27,6 +27,15 @@ class Power:
         return f"I({self.column}^{self.degree})"
 
 
+def base_column(variable) -> str:
+    return variable.column if isinstance(variable, Power) else variable
+
+
+def numeric_value(variable) -> Column:
+    c = F.col(base_column(variable)).cast("double")
+    return F.pow(c, F.lit(float(variable.degree))) if isinstance(variable, Power) else c
+
+
 def poly(column: str, degree: int) -> Power:
     """The raw power of a numeric column, a variable of its own."""
     return Power(column, degree)
@@ -178,9 +187,7 @@ class Design:
     def input_columns(self) -> list[Column]:
         """Codes and numeric inputs, computed on the JVM: ``__f0.. __x0..``."""
         out = [level_code(f, self.levels[f]).cast("int").alias(f"{self.f}{i}") for i, f in enumerate(self.factors)]
-        for i, v in enumerate(self.numerics):
-            c = F.col(v.column if isinstance(v, Power) else v).cast("double")
-            out.append((F.pow(c, F.lit(float(v.degree))) if isinstance(v, Power) else c).alias(f"{self.x}{i}"))
+        out += [numeric_value(v).alias(f"{self.x}{i}") for i, v in enumerate(self.numerics)]
         return out
 
     def input_names(self) -> list[str]:
