@@ -44,6 +44,22 @@ class Family:
         """The family whose variance and deviance apply."""
         return _SHAPE.get(self.name, self.name)
 
+    @property
+    def observed_weights(self) -> bool:
+        """Gamma with log link: the log-likelihood is concave with Hessian weights n * mean_y / mu.
+
+        Stepping with them converges quadratically; the expected weights,
+        which the covariance needs, are just n.
+        """
+        return self.shape == "gamma" and self.link == "log"
+
+    @property
+    def quadratic(self) -> bool:
+        """Steps use the exact Hessian: canonical links, and Gamma-log with observed weights."""
+        canonical = {"gaussian": "identity", "binomial": "logit", "poisson": "log", "gamma": "inverse",
+                     "inverse_gaussian": "1/mu^2"}
+        return canonical.get(self.shape) == self.link or self.observed_weights
+
     # ------------------------------------------------ columns (JVM)
 
     def bad_response(self, y: Column) -> Column:

@@ -29,6 +29,7 @@ from wavepanel.operators.terms import Design, base_column, numeric_value, term_l
 PATTERN_SHARE = 0.1          # compress when patterns are at most this share of the rows
 ROWS_PER_TASK = 50_000       # patterns per task once compressed
 STEP_TOLERANCE = 1e-15       # predicted deviance gain of the next step, relative to the deviance
+FINE_TOLERANCE = 1e-20       # worth one more pass where steps converge quadratically
 
 
 def _level_values(levels) -> dict:
@@ -150,10 +151,12 @@ class _Fit:
     before: np.ndarray | None = None
     deviance_before: float = math.inf
     halvings: int = 0
+    near: bool = False
     done: bool = False
     converged: bool = False
     checked: bool = False
-    gram: np.ndarray | None = None
+    gram: np.ndarray | None = None        # expected information, up to the dispersion
+    expected: np.ndarray | None = None    # the same where it does not depend on the estimate
     deviance: float = math.nan
     pearson: float = math.nan
     extreme: float = 0.0
@@ -248,7 +251,10 @@ class ModelFrame:
                     bad = ~fam.valid(eta, mu)
                 if beta is None:
                     work = work + eta
-                elif bad.any():
+                elif fam.observed_weights:
+                    w = n * m / mu
+                    work = 1 - mu / m
+                if beta is not None and bad.any():
                     dev = np.where(bad, np.inf, dev)
                     w, work = np.where(bad, 0.0, w), np.where(bad, 0.0, work)
                 xw = x * w[:, None]
@@ -271,10 +277,10 @@ class ModelFrame:
             dev, pearson, extreme = flat[at + size + p:at + size + p + 3]
             at += size + p + 3
             f.passes += 1
-            self._advance(f, gram, rhs, dev, pearson, extreme)
+            self._advance(f, fam, gram, rhs, dev, pearson, extreme)
 
     @staticmethod
-    def _advance(f: _Fit, gram, rhs, dev, pearson, extreme) -> None:
+    def _advance(f: _Fit, fam: Family, gram, rhs, dev, pearson, extreme) -> None:
         if not f.checked:
             kept = independent_columns(gram)
             if len(kept) < len(f.cols):
@@ -285,6 +291,7 @@ class ModelFrame:
             f.checked = True
         if f.beta is None:
             f.beta = np.linalg.solve(gram, rhs)
+            f.expected = gram if fam.observed_weights else None
             return
         if not math.isfinite(dev) or dev > f.deviance_before + 1e-9 * (abs(f.deviance_before) + 0.1):
             if f.before is None or f.halvings >= 30:
@@ -294,11 +301,15 @@ class ModelFrame:
             return
         step = np.linalg.solve(gram, rhs) if len(f.cols) else np.zeros(0)
         gain = float(rhs @ step)
-        f.gram, f.deviance, f.pearson, f.extreme = gram, dev, pearson, extreme
-        if gain <= STEP_TOLERANCE * (abs(dev) + 0.1):
-            f.beta = f.beta + step
-            f.done = f.converged = True
-            return
+        f.gram = gram if f.expected is None else f.expected
+        f.deviance, f.pearson, f.extreme = dev, pearson, extreme
+        size = abs(dev) + 0.1
+        if gain <= STEP_TOLERANCE * size:
+            if f.near or not fam.quadratic or gain <= FINE_TOLERANCE * size:
+                f.beta = f.beta + step
+                f.done = f.converged = True
+                return
+            f.near = True
         f.before, f.deviance_before = f.beta, dev
         f.beta = f.beta + step
 

@@ -61,18 +61,19 @@ def _scored(model, df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def sim_residuals(model, df: DataFrame, key: Sequence[str], seed: int = 0, mode: str = "exact", n: int = 2000,
-                  out: str = "residual") -> DataFrame:
+                  out: str = "residual", tie: Column | None = None) -> DataFrame:
     """One residual per complete row.
 
     Ties of integer responses are broken by a uniform that depends on the row
-    key and the seed, so the result does not depend on partitioning.
+    key and the seed, so the result does not depend on partitioning; ``tie``
+    supplies one instead.
     """
     if mode not in ("exact", "sim"):
         raise ValueError("mode must be 'exact' or 'sim'")
     scored, extra = _scored(model, df)
     fam, dispersion = model.family, model.dispersion
     y, mu, shape = F.col(model.y).cast("double"), F.col("__mu"), F.col("__shape")
-    tie = keyed_uniform(key, seed)
+    tie = keyed_uniform(key, seed) if tie is None else tie.cast("double")
     if mode == "exact":
         if fam.shape == "binomial":
             low = F.when(y > 0, F.lit(1.0) - F.col("__mu")).otherwise(F.lit(0.0))

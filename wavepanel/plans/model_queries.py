@@ -16,8 +16,8 @@ from wavepanel.operators.residuals import (levene, residual_by_cell, residual_ov
 from wavepanel.operators.terms import design, poly, power, star, term_list
 from wavepanel.plans.panels import LINES_SQL, lines
 from wavepanel.plans.registry import query, r, round_all
-from wavepanel.plans.sql_models import (glm_cte, glm_deviance, negbin_log_density, stencil_newton_1d,
-                                        stencil_newton_2d)
+from wavepanel.plans.sql_models import (glm_cte, glm_deviance, negbin_log_density, newton_cte, newton_deviance,
+                                        stencil_newton_1d, stencil_newton_2d, term_columns, type_ii_sql)
 
 FLAG, STATUS = "l_returnflag", "l_linestatus"
 CELL_TERMS = term_list(star(FLAG, STATUS))
@@ -241,14 +241,37 @@ def anova_wald_query(spark, sf):
 WIDE_TERMS = term_list(star("yr", FLAG), star("tax", "yr"), star("tax", FLAG), star(STATUS, "yr"), star(STATUS, FLAG))
 
 
-@query("anova_wide_logit")
+LINE_LEVELS = {"yr": [str(y) for y in range(1995, 2002)], FLAG: ["A", "N", "R"], STATUS: ["F", "O"]}
+_LINE_SRC = (f"{LINES_SQL}, src AS (SELECT yr, {FLAG}, {STATUS}, tax - 4 AS t, count(*)::DOUBLE AS n, sum(big)::DOUBLE AS s "
+             f"FROM lines GROUP BY ALL)")
+
+
+@query("anova_wide_logit", type_ii_sql(_LINE_SRC, "src", WIDE_TERMS, LINE_LEVELS, {"tax": "t"}, "binomial", steps=6))
 def anova_wide_logit(spark, sf):
-    return round_all(anova_ii(lines(spark, sf), "big", WIDE_TERMS, "binomial"))
+    return round_all(anova_ii(lines(spark, sf), "big", WIDE_TERMS, "binomial").select("term", "lr_chisq", "df"), 4)
+
+
+CUBED = power([FLAG, STATUS, "tax"], 3)
 
 
-@query("anova_cubed_terms")
+def _sequence_sql():
+    cols = term_columns(CUBED, LINE_LEVELS, {"tax": "t"})
+    names, ctes, used = [], [], ["1"]
+    for i in range(len(cols) + 1):
+        names.append(f"s{i}")
+        ctes.append(newton_cte(f"s{i}", "src", list(used), "binomial", 6))
+        if i < len(cols):
+            used += cols[i][1]
+    dev = [newton_deviance(n, "binomial") for n in names]
+    rows = [f"SELECT 0 AS position, 'NULL' AS term, NULL::INTEGER AS df, NULL::DOUBLE AS deviance, {r(dev[0], 3)} AS resid_deviance"]
+    rows += [f"SELECT {i + 1}, '{':'.join(t)}', {len(c)}, {r(f'{dev[i]} - {dev[i + 1]}', 4)}, {r(dev[i + 1], 3)}" for i, (t, c) in enumerate(cols)]
+    return f"WITH RECURSIVE {_LINE_SRC}, {', '.join(ctes)} " + " UNION ALL ".join(rows)
+
+
+@query("anova_cubed_terms", _sequence_sql())
 def anova_cubed_terms(spark, sf):
-    return round_all(anova_seq(lines(spark, sf), "big", power([FLAG, STATUS, "tax"], 3), "binomial"))
+    table = anova_seq(lines(spark, sf), "big", CUBED, "binomial")
+    return round_all(table.select("position", "term", "df", "deviance", "resid_deviance"), 4, resid_deviance=3)
 
 
 # ---------------------------------------------------------------- prediction
@@ -489,11 +512,30 @@ def _summary(df, by):
     return round_all(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("residual").alias("mean"), (F.var_samp("residual") * 12).alias("spread")), 4)
 
 
-@query("residual_exact")
+# The randomisation can be any given column; one that SQL can also compute allows an exact comparison.
+_TIE = "(l_partkey % 997 + 5e-1) / 997"      # an exponent makes the literal a double in both engines
+_RES_TERMS = term_list(star("l_quantity", FLAG), STATUS)
+_RES_COLS = ["1", *[c for _, mine in term_columns(_RES_TERMS, LINE_LEVELS, {"l_quantity": "(l_quantity - 25) / 10"}) for c in mine]]
+_RES_ROW = "[" + ", ".join(f"({c})::DOUBLE" for c in _RES_COLS) + "]"
+
+
+@query("residual_exact", f"""WITH RECURSIVE {LINES_SQL}, src AS (SELECT l_quantity, {FLAG}, {STATUS}, count(*)::DOUBLE AS n, sum(big)::DOUBLE AS s FROM lines GROUP BY ALL),
+{newton_cte("m", "src", _RES_COLS, "binomial", 6)},
+p AS (SELECT {FLAG}, {STATUS}, big, {_TIE} AS tie, 1 / (1 + exp(-list_dot_product(b, {_RES_ROW}))) AS mu FROM lines, m),
+u AS (SELECT {FLAG}, {STATUS}, CASE WHEN big = 1 THEN 1 - mu + tie * mu ELSE tie * (1 - mu) END AS u FROM p)
+SELECT {FLAG}, {STATUS}, count(*) AS n, {r('avg(u)')} AS mean, {r('var_samp(u) * 12')} AS spread, {r('min(u)')} AS low, {r('max(u)')} AS high FROM u GROUP BY ALL""")
 def residual_exact(spark, sf):
     df = lines(spark, sf)
-    m = fit_glm(df, "big", term_list(star("l_quantity", FLAG), STATUS), "binomial")
-    return _summary(sim_residuals(m, df, ROW_KEY, seed=11), [FLAG, STATUS])
+    m = fit_glm(df, "big", _RES_TERMS, "binomial")
+    res = sim_residuals(m, df, ROW_KEY, tie=F.expr(_TIE))
+    return round_all(res.groupBy(FLAG, STATUS).agg(F.count(F.lit(1)).alias("n"), F.avg("residual").alias("mean"), (F.var_samp("residual") * 12).alias("spread"),
+                                                   F.min("residual").alias("low"), F.max("residual").alias("high")))
+
+
+@query("residual_keyed")
+def residual_keyed(spark, sf):
+    df = lines(spark, sf)
+    return _summary(sim_residuals(fit_glm(df, "big", _RES_TERMS, "binomial"), df, ROW_KEY, seed=11), [FLAG, STATUS])
 
 
 @query("residual_sim")
@@ -516,6 +558,15 @@ def residual_ztnb(spark, sf):
     return _summary(sim_residuals(fit_ztnb(df, "l_quantity", [(FLAG,), (STATUS,)]), df, ROW_KEY, seed=34234), [FLAG, STATUS])
 
 
+@query("residual_truncated", f"""WITH RECURSIVE {LINES_SQL}, {_ZT.format(x='l_quantity')}, k AS (SELECT i::DOUBLE AS y, exp({negbin_log_density('i', 'exp(u)', 'exp(v)', True)}) AS f FROM z, range(1, 51) t(i)),
+c AS (SELECT y, sum(f) OVER (ORDER BY y) AS high, f FROM k), w AS (SELECT {FLAG}, high - f + {_TIE} * f AS u FROM lines JOIN c ON y = l_quantity)
+SELECT {FLAG}, count(*) AS n, {r('avg(u)', 4)} AS mean, {r('min(u)', 4)} AS low, {r('max(u)', 4)} AS high FROM w GROUP BY ALL""")
+def residual_truncated(spark, sf):
+    df = lines(spark, sf)
+    res = sim_residuals(fit_ztnb(df, "l_quantity", []), df, ROW_KEY, tie=F.expr(_TIE))
+    return round_all(res.groupBy(FLAG).agg(F.count(F.lit(1)).alias("n"), F.avg("residual").alias("mean"), F.min("residual").alias("low"), F.max("residual").alias("high")), 4)
+
+
 @query("simulate")
 def simulate_query(spark, sf):
     df = lines(spark, sf)

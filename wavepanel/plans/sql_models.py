@@ -76,3 +76,122 @@ def negbin_log_density(y: str, mu: str, k: str, truncated: bool) -> str:
     if truncated:
         text += f" - ln(1 - pow({k} / ({k} + {mu}), {k}))"
     return text + ")"
+
+
+def newton_cte(name: str, source: str, columns: Sequence[str], family: str, steps: int = 12) -> str:
+    """CTEs ``{name}_d`` (design rows), ``{name}_it`` and ``{name}``(b): a logit or Gamma-log fit by full Newton steps.
+
+    The p x p system is summed in SQL and solved by Gauss-Jordan elimination
+    on lists, one nested SELECT per pivot. ``source`` has ``n`` rows and
+    ``s`` = sum(y) per design row (and ``ln`` = sum(ln y) for Gamma).
+    """
+    p = len(columns)
+    x = ", ".join(f"({c})::DOUBLE" for c in columns)
+    if family == "binomial":
+        mean, weight, score, start = "1 / (1 + exp(-eta))", "n * mu * (1 - mu)", "s - n * mu", "ln(sum(s) / (sum(n) - sum(s)))"
+        kept = "n, s"
+    else:
+        mean, weight, score, start = "exp(eta)", "n", "s / mu - n", "ln(sum(s) / sum(n))"
+        kept = "n, s, ln"
+    rows = ", ".join("[" + ", ".join([f"h{min(j, k)}_{max(j, k)}" for k in range(p)] + [f"g{j}"]) + "]" for j in range(p))
+    sums = ", ".join([f"sum(w * x[{j + 1}] * x[{k + 1}]) AS h{j}_{k}" for j in range(p) for k in range(j, p)]
+                     + [f"sum(r * x[{j + 1}]) AS g{j}" for j in range(p)])
+    solved = (f"SELECT i, b, [{rows}] AS a FROM (SELECT i, b, {sums} FROM (SELECT i, b, x, {weight} AS w, {score} AS r FROM ("
+              f"SELECT i, b, x, n, s, {mean} AS mu FROM (SELECT i, b, x, n, s, list_dot_product(b, x) AS eta "
+              f"FROM {name}_it, {name}_d WHERE i < {steps}))) GROUP BY i, b)")
+    for k in range(1, p + 1):
+        solved = _pivot(solved, k, "i, b")
+    return (f"{name}_d AS (SELECT [{x}] AS x, {kept} FROM {source}), "
+            f"{name}_it(i, b) AS (SELECT 0, list_concat([{start}], list_resize([]::DOUBLE[], {p - 1}, 0.0::DOUBLE)) FROM {name}_d UNION ALL "
+            f"SELECT i + 1, list_transform(b, lambda v, j: v + a[j][{p + 1}]) FROM ({solved})), "
+            f"{name} AS (SELECT b FROM {name}_it WHERE i = {steps})")
+
+
+def _pivot(inner: str, k: int, keep: str) -> str:
+    return (f"SELECT {keep}, list_transform(a, lambda row, j: CASE WHEN j = {k} THEN list_transform(row, lambda v: v / row[{k}]) "
+            f"ELSE list_transform(row, lambda v, c: v - row[{k}] * q[c] / q[{k}]) END) AS a FROM (SELECT {keep}, a, a[{k}] AS q FROM ({inner}))")
+
+
+def newton_deviance(name: str, family: str) -> str:
+    """Scalar SELECT of the deviance at a ``newton_cte`` fit (without the y-only part for a Bernoulli response)."""
+    if family == "binomial":
+        return (f"(SELECT -2 * sum(s * ln(mu) + (n - s) * ln(1 - mu)) FROM (SELECT n, s, 1 / (1 + exp(-list_dot_product(b, x))) AS mu "
+                f"FROM {name}, {name}_d))")
+    return f"(SELECT 2 * sum(n * ln(mu) - ln + (s - n * mu) / mu) FROM (SELECT n, s, ln, exp(list_dot_product(b, x)) AS mu FROM {name}, {name}_d))"
+
+
+def newton_covariance(name: str, p: int, family: str) -> str:
+    """CTE ``{name}_v``(v): inverse information, a list of rows, at a ``newton_cte`` fit."""
+    weight = "n * mu * (1 - mu)" if family == "binomial" else "n"
+    mean = "1 / (1 + exp(-list_dot_product(b, x)))" if family == "binomial" else "exp(list_dot_product(b, x))"
+    rows = ", ".join("[" + ", ".join([f"h{min(j, k)}_{max(j, k)}" for k in range(p)]
+                                     + ["1.0::DOUBLE" if k == j else "0.0::DOUBLE" for k in range(p)]) + "]" for j in range(p))
+    sums = ", ".join(f"sum(w * x[{j + 1}] * x[{k + 1}]) AS h{j}_{k}" for j in range(p) for k in range(j, p))
+    solved = f"SELECT 1 AS one, [{rows}] AS a FROM (SELECT {sums} FROM (SELECT x, {weight} AS w FROM (SELECT x, n, {mean} AS mu FROM {name}, {name}_d)))"
+    for k in range(1, p + 1):
+        solved = _pivot(solved, k, "one")
+    return f"{name}_v AS (SELECT list_transform(a, lambda row: row[{p + 1}:{2 * p}]) AS v FROM ({solved}))"
+
+
+def quadratic_form(v: str, x: str) -> str:
+    """x' V x for a list of rows ``v``."""
+    return f"list_dot_product(list_transform({v}, lambda row: list_dot_product(row, {x})), {x})"
+
+
+def term_columns(terms, levels, expressions) -> list[tuple[tuple, list[str]]]:
+    """Per term its SQL design columns: first-level contrasts of factors times numeric expressions."""
+    out = []
+    for term in terms:
+        parts = [""]
+        for v in term:
+            name = str(v)
+            if name in levels:
+                pick = [f"({expressions.get(name, name)} = '{lv}')::INTEGER" for lv in levels[name][1:]]
+            else:
+                pick = [f"({expressions[name]})"]
+            parts = [f"{a} * {b}" if a else b for b in pick for a in parts]
+        out.append((term, parts))
+    return out
+
+
+def type_ii_sql(head: str, source: str, terms, levels, expressions, family: str, scale: str = "1", steps: int = 12) -> str:
+    """SELECT of a Type-II likelihood-ratio table: term, lr_chisq, df. ``scale`` may use the fit ``mfull``."""
+    cols = term_columns(terms, levels, expressions)
+    fits, ctes = {}, []
+
+    def fit(keep):
+        key = tuple(keep)
+        if key not in fits:
+            name = "mfull" if len(key) == len(terms) else f"m{len(fits)}"
+            fits[key] = name
+            ctes.append(newton_cte(name, source, ["1", *[c for i in key for c in cols[i][1]]], family, steps))
+        return newton_deviance(fits[key], family)
+
+    fit(range(len(terms)))
+    rows = []
+    for i, (term, mine) in enumerate(cols):
+        rest = [j for j in range(len(terms)) if j != i and not set(term) < set(terms[j])]
+        label = ":".join(str(v) for v in term)
+        rows.append((label, f"({fit(rest)} - {fit(sorted([*rest, i]))}) / {scale}", len(mine)))
+    from wavepanel.plans.registry import r
+    table = " UNION ALL ".join(f"SELECT '{label}' AS term, {r(lr, 4)} AS lr_chisq, {df} AS df" for label, lr, df in rows)
+    return f"WITH RECURSIVE {head}, {', '.join(ctes)} {table}"
+
+
+def design_list(terms, levels, expressions) -> str:
+    """The design row of a term list as a SQL list."""
+    cols = ["1", *[c for _, mine in term_columns(terms, levels, expressions) for c in mine]]
+    return "[" + ", ".join(f"({c})::DOUBLE" for c in cols) + "]"
+
+
+def predict_sql(name: str, source: str, terms, levels, expressions, family: str, z: str, steps: int = 12) -> tuple[list[str], str, str, str]:
+    """(CTEs, p_mle, p_lower, p_upper) to be selected from ``{name}, {name}_v, {name}_phi, grid``."""
+    cols = ["1", *[c for _, mine in term_columns(terms, levels, expressions) for c in mine]]
+    p = len(cols)
+    phi = ("SELECT 1.0::DOUBLE AS phi" if family == "binomial" else
+           f"SELECT sum(pow((s - n * mu) / mu, 2) / n) / (sum(n) - {p}) AS phi FROM (SELECT n, s, exp(list_dot_product(b, x)) AS mu FROM {name}, {name}_d)")
+    ctes = [newton_cte(name, source, cols, family, steps), newton_covariance(name, p, family), f"{name}_phi AS ({phi})"]
+    row = design_list(terms, levels, expressions)
+    eta, se = f"list_dot_product(b, {row})", f"sqrt(phi * {quadratic_form('v', row)})"
+    inv = (lambda e: f"1 / (1 + exp(-({e})))") if family == "binomial" else (lambda e: f"exp({e})")
+    return ctes, inv(eta), inv(f"{eta} - {z} * {se}"), inv(f"{eta} + {z} * {se}")

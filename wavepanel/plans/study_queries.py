@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wavepanel.functions.numeric import normal_quantile
 from wavepanel.operators import clean, joins, reshape, summaries
 from wavepanel.operators.counts import fit_hurdle, fit_negbin
 from wavepanel.operators.extended import fit_gamma_ls
@@ -20,9 +21,11 @@ from wavepanel.operators.residuals import residual_by_cell, residual_overall, re
 from wavepanel.operators.terms import poly, star, term_list
 from wavepanel.plans.panels import ALT, FRUTOS, IDS, LINES_SQL, PANEL_SQL, SUP, TIME, lines, long_sql, wide_panel
 from wavepanel.plans.registry import query, r, round_all
+from wavepanel.plans.sql_models import predict_sql, type_ii_sql
 from wavepanel.plans.table_queries import observed_survival
 
 W = f"WITH {PANEL_SQL}"
+Z = repr(normal_quantile(0.975))
 LEVELS = {"trat": ["a", "b", "c"], "dom": ["dom", "sub"], "sp": ["ang", "ata"]}
 HEIGHT_CLASSES = ["low", "mid", "high"]
 
@@ -100,10 +103,33 @@ def q3_calibration(spark, sf):
                                 F.when(total, F.col("fy")).alias("fitted_by_year")), 4, observed_by_year=3, fitted_by_year=3)
 
 
-@query("q3_anova")
+# SQL design: the wave and height are shifted and scaled, which leaves the column space as it is.
+_SURV_SRC = (f"{PANEL_SQL}, src AS (SELECT wave, trat, dom, sp, (alt0 - 250) / 100 AS z, 1.0::DOUBLE AS n, survival::DOUBLE AS s "
+             f"FROM ({long_sql(SUP, 'name', 'survival', IDS + ['alt0'])}) WHERE survival IS NOT NULL AND alt0 IS NOT NULL)")
+_SURV_X = {"year": "wave - 3", "alt0": "z"}
+
+
+def _q3_dominance_sql():
+    ctes, mle, lower, upper = predict_sql("m", "src", SURVIVAL, LEVELS, _SURV_X, "binomial", Z, steps=7)
+    return (f"WITH RECURSIVE {_SURV_SRC}, {', '.join(ctes)}, a AS (SELECT (avg(alt0) - 250) / 100 AS z FROM panel), "
+            f"grid AS (SELECT 1 + 4 * i / 99.0 AS wave, trat, dom, z FROM a, range(100) t(i), (VALUES ('a'), ('b'), ('c')) x(trat), (VALUES ('dom'), ('sub')) y(dom)) "
+            f"SELECT {r('wave')} AS year, trat, dom, {r(mle)} AS p_mle, {r(lower)} AS p_lower, {r(upper)} AS p_upper FROM m, m_v, m_phi, grid")
+
+
+@query("q3_dominance", _q3_dominance_sql())
+def q3_dominance(spark, sf):
+    """Predicted survival by wave, treatment and dominance at the mean height."""
+    panel, long = survival_long(spark, sf)
+    grid = joins.expand_grid(spark, year=joins.number_sequence(1, 5, 100), trat=LEVELS["trat"], dom=LEVELS["dom"])
+    grid = grid.drop("grid_id").withColumn("alt0", F.lit(panel.agg(F.avg("alt0")).first()[0]))
+    return round_all(predict_ci(survival_model(long), grid).drop("alt0"))
+
+
+@query("q3_anova", type_ii_sql(_SURV_SRC, "src", SURVIVAL, LEVELS, _SURV_X, "binomial", steps=7))
 def q3_anova(spark, sf):
     _, long = survival_long(spark, sf)
-    return round_all(anova_ii(long, "survival", SURVIVAL, "binomial", levels={k: LEVELS[k] for k in ("trat", "dom")}), 5)
+    table = anova_ii(long, "survival", SURVIVAL, "binomial", levels={k: LEVELS[k] for k in ("trat", "dom")})
+    return round_all(table.select("term", "lr_chisq", "df"), 4)
 
 
 @query("q3_residuals")
@@ -142,7 +168,29 @@ def _height_grid(spark, long, species: bool):
     return joins.expand_grid(spark, **lists).drop("grid_id")
 
 
-@query("q4_height")
+_HEIGHT_SRC = (f"{PANEL_SQL}, src AS (SELECT wave::VARCHAR AS year, trat, dom, sp, alt0, (alt0 - 250) / 100 AS z, 1.0::DOUBLE AS n, alt AS s, ln(alt) AS ln "
+               f"FROM ({long_sql(ALT, 'name', 'alt', IDS + ['alt0'])}) WHERE wave <> 0 AND alt IS NOT NULL AND alt0 IS NOT NULL)")
+# The square is shifted on its own: a square of the shifted height would bring the linear term with it.
+_HEIGHT_X = {"alt0": "z", "I(alt0^2)": "(alt0 * alt0 - 65000) / 50000"}
+_HEIGHT_LEVELS = height_levels(True)
+_HEIGHT_PHI = ("(SELECT sum(pow((s - mu) / mu, 2)) / (sum(n) - {p}) FROM (SELECT n, s, exp(list_dot_product(b, x)) AS mu FROM mfull, mfull_d))")
+
+
+def _height_grid_sql(species: bool):
+    lists = [("year", height_levels()["year"]), ("trat", LEVELS["trat"]), ("dom", LEVELS["dom"])] + ([("sp", LEVELS["sp"])] if species else [])
+    values = ", ".join("(VALUES " + ", ".join(f"('{v}')" for v in vals) + f") g_{c}({c})" for c, vals in lists)
+    cols = ", ".join(c for c, _ in lists)
+    return (f"SELECT lo + (hi - lo) * i / 119.0 AS alt0, (lo + (hi - lo) * i / 119.0 - 250) / 100 AS z, {cols} FROM "
+            f"(SELECT min(alt0) AS lo, max(alt0) AS hi FROM panel), range(120) t(i), {values}")
+
+
+def _q4_height_sql():
+    ctes, mle, lower, upper = predict_sql("m", "src", HEIGHT, _HEIGHT_LEVELS, _HEIGHT_X, "gamma", Z, steps=24)
+    return (f"WITH RECURSIVE {_HEIGHT_SRC}, {', '.join(ctes)}, grid AS ({_height_grid_sql(False)}) SELECT {r('alt0', 3)} AS alt0, year, trat, dom, "
+            f"{r(mle, 3)} AS p_mle, {r(lower, 3)} AS p_lower, {r(upper, 3)} AS p_upper, 'quadratic' AS name FROM m, m_v, m_phi, grid")
+
+
+@query("q4_height", _q4_height_sql())
 def q4_height(spark, sf):
     long = height_long(spark, sf)
     model = fit_glm(long, "alt", HEIGHT, "gamma", "log", levels=height_levels())
@@ -160,9 +208,10 @@ def q4_calibration(spark, sf):
                                                         F.sum(F.col("alt") / F.col("fitted")).alias("ratio_total")), 4)
 
 
-@query("q4_anova")
+@query("q4_anova", type_ii_sql(_HEIGHT_SRC, "src", HEIGHT, _HEIGHT_LEVELS, _HEIGHT_X, "gamma", _HEIGHT_PHI.format(p=36)))
 def q4_anova(spark, sf):
-    return round_all(anova_ii(height_long(spark, sf), "alt", HEIGHT, "gamma", "log", levels=height_levels()), 5)
+    table = anova_ii(height_long(spark, sf), "alt", HEIGHT, "gamma", "log", levels=height_levels())
+    return round_all(table.select("term", "lr_chisq", "df"), 4)
 
 
 @query("q4_residuals")
@@ -199,14 +248,28 @@ def q4_boxes(spark, sf):
     return round_all(joins.union_labelled(stats, "layer"), 9)
 
 
-@query("q5_models")
+HEIGHT_SPECS = {"linear with interaction": HEIGHT_LINEAR, "quadratic without interaction": HEIGHT_PLAIN,
+                "quadratic with interaction": HEIGHT, "quadratic with interaction and sp": HEIGHT_SPECIES}
+
+
+def _q5_sql():
+    ctes, parts = [], []
+    for i, (name, terms) in enumerate(HEIGHT_SPECS.items()):
+        species = name.endswith("sp")
+        mine, mle, lower, upper = predict_sql(f"m{i}", "src", terms, _HEIGHT_LEVELS, _HEIGHT_X, "gamma", Z, steps=24)
+        ctes += mine
+        parts.append(f"SELECT {r('alt0', 3)} AS alt0, year, trat, dom, {'sp' if species else 'NULL::VARCHAR AS sp'}, {r(mle, 3)} AS p_mle, {r(lower, 3)} AS p_lower, "
+                     f"{r(upper, 3)} AS p_upper, '{name}' AS name FROM m{i}, m{i}_v, m{i}_phi, {'grid_sp' if species else 'grid'}")
+    return (f"WITH RECURSIVE {_HEIGHT_SRC}, {', '.join(ctes)}, grid AS ({_height_grid_sql(False)}), grid_sp AS ({_height_grid_sql(True)}) "
+            + " UNION ALL ".join(parts))
+
+
+@query("q5_models", _q5_sql())
 def q5_models(spark, sf):
     """Competing height models side by side, predicted on the same grid."""
     long = height_long(spark, sf)
-    specs = {"linear with interaction": HEIGHT_LINEAR, "quadratic without interaction": HEIGHT_PLAIN,
-             "quadratic with interaction": HEIGHT, "quadratic with interaction and sp": HEIGHT_SPECIES}
     out = {}
-    for name, terms in specs.items():
+    for name, terms in HEIGHT_SPECS.items():
         species = name.endswith("sp")
         model = fit_glm(long, "alt", terms, "gamma", "log", levels=height_levels(species))
         out[name] = predict_ci(model, _height_grid(spark, long, species))
@@ -276,7 +339,18 @@ def q13_fruit_prob(spark, sf):
                                                               F.avg("fitted").alias("fitted")))
 
 
-@query("q13_predictions")
+_FRUIT_LEVELS = {"yr": [str(y) for y in range(1995, 2002)], "l_returnflag": ["A", "N", "R"], "l_linestatus": ["F", "O"]}
+
+
+def _q13_sql():
+    ctes, mle, lower, upper = predict_sql("m", "src", FRUIT_P, _FRUIT_LEVELS, {"tax": "t"}, "binomial", Z, steps=6)
+    return (f"WITH RECURSIVE {LINES_SQL}, src AS (SELECT yr, l_returnflag, l_linestatus, tax - 4 AS t, count(*)::DOUBLE AS n, sum((excess > 0)::INTEGER)::DOUBLE AS s "
+            f"FROM lines GROUP BY ALL), {', '.join(ctes)}, grid AS (SELECT yr, l_returnflag, l_linestatus, mid AS tax, mid - 4 AS t FROM "
+            f"(SELECT DISTINCT yr, l_returnflag, l_linestatus FROM lines), (SELECT avg(tax) AS mid FROM lines)) "
+            f"SELECT yr, l_returnflag, l_linestatus, {r('tax', 5)} AS tax, {r(mle, 5)} AS p_mle, {r(lower, 5)} AS p_lower, {r(upper, 5)} AS p_upper FROM m, m_v, m_phi, grid")
+
+
+@query("q13_predictions", _q13_sql())
 def q13_predictions(spark, sf):
     df = clean.indicator(lines(spark, sf), F.col("excess") > 0, "positive")
     model = fit_glm(df, "positive", FRUIT_P, "binomial")
@@ -344,7 +418,19 @@ def time_by_size(spark, sf):
     return long.withColumn("type", F.when(F.col("year") == 0, "Adulto").otherwise("Rebrote"))
 
 
-@query("q11_time_size")
+_Q11_X = {"alt": "(alt - 250) / 100"}
+_Q11_TERMS = [("alt",), ("type",), ("alt", "type")]
+
+
+def _q11_sql():
+    long = " UNION ALL ".join(f"SELECT '{'Adulto' if k == 0 else 'Rebrote'}' AS type, t{k} AS time, alt{k} AS alt FROM panel" for k in range(6))
+    ctes, mle, lower, upper = predict_sql("m", "src", _Q11_TERMS, {"type": ["Adulto", "Rebrote"]}, _Q11_X, "gamma", Z, steps=40)
+    return (f"{W.replace('WITH', 'WITH RECURSIVE', 1)}, src AS (SELECT type, alt, 1.0::DOUBLE AS n, time AS s, ln(time) AS ln FROM ({long}) WHERE time IS NOT NULL AND alt IS NOT NULL), "
+            f"{', '.join(ctes)}, grid AS (SELECT type, lo + (hi - lo) * i / 79.0 AS alt FROM (SELECT type, min(alt) AS lo, max(alt) AS hi FROM src GROUP BY type), range(80) t(i)) "
+            f"SELECT type, {r('alt', 4)} AS alt, {r(mle, 4)} AS p_mle, {r(lower, 4)} AS p_lower, {r(upper, 4)} AS p_upper FROM m, m_v, m_phi, grid")
+
+
+@query("q11_time_size", _q11_sql())
 def q11_time_size(spark, sf):
     return round_all(fit_curve(time_by_size(spark, sf), "alt", "time", "type", n=80), 4)
 
