@@ -292,3 +292,13 @@ def test_group_curves_cover_their_own_range(data):
     for t, grp in out.groupby("trat"):
         assert [grp.x.min(), grp.x.max()] == pytest.approx(list(own.loc[t]))
     assert (out.p_lower < out.p_mle).all() and (out.p_mle < out.p_upper).all()
+
+
+def test_fit_from_a_checkpoint_folder(spark, data, tmp_path):
+    df, _ = data
+    want = fit_glm(df, "y", term_list(star("trat", "dom")), "binomial")
+    # only here, because the test session names no folder of its own
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    got = fit_glm(df, "y", term_list(star("trat", "dom")), "binomial")
+    assert got.beta == pytest.approx(want.beta, rel=1e-12)
+    assert any(tmp_path.rglob("part-*"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from wavepanel.functions import numeric
 from wavepanel.functions.results import result_table
+from wavepanel.functions.storage import durable
 from wavepanel.operators.clean import Levels, drop_levels
 from wavepanel.operators.families import Family
 from wavepanel.operators.glm import (PATTERN_SHARE, GlmModel, LinearModel, ModelInputs, _level_values, fit_glm,
@@ -121,7 +122,7 @@ def _fit(df: DataFrame, y: str, terms: Sequence[tuple], truncated: bool, levels:
     count = F.count(F.lit(1)).cast("double").alias("__n")
     if not inputs.numerics:
         # Factors only: one scan to the counts per cell and response.
-        cached = inputs.rows.groupBy(*inputs.factors, "__y").agg(count).persist(StorageLevel.MEMORY_AND_DISK)
+        cached = durable(inputs.rows.groupBy(*inputs.factors, "__y").agg(count))
         inputs.find(cached)
         patterns, n, bad = cached.agg(F.count(F.lit(1)), F.sum("__n"), F.sum(is_bad.cast("long") * F.col("__n"))).first()
         design = Design(terms, inputs.levels, intercept)
@@ -132,10 +133,10 @@ def _fit(df: DataFrame, y: str, terms: Sequence[tuple], truncated: bool, levels:
         design.standardise(stats)
         rows = inputs.rows.select(*design.input_columns(), "__y")
         if patterns <= max(PATTERN_SHARE * n, 1):
-            cached = narrow(df.sparkSession, rows.groupBy(*design.input_names(), "__y").agg(count), patterns)
+            data = durable(narrow(df.sparkSession, rows.groupBy(*design.input_names(), "__y").agg(count), patterns))
         else:
-            cached = rows.withColumn("__n", F.lit(1.0))
-        cached = data = cached.persist(StorageLevel.MEMORY_AND_DISK)
+            data = rows.withColumn("__n", F.lit(1.0)).persist(StorageLevel.MEMORY_AND_DISK)
+        cached = data
     if not n or bad:
         cached.unpersist()
         raise ValueError(f"{bad:.0f} values of {y!r} are not counts of at least {low}" if n else "no complete rows to fit")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wavepanel.functions import numeric
 from wavepanel.functions.results import result_table
+from wavepanel.functions.storage import durable
 from wavepanel.operators.families import Family
 from wavepanel.operators.glm import (PATTERN_SHARE, LinearModel, ModelInputs, independent_columns, narrow,
                                      partial_sums, sum_arrays)
@@ -95,10 +96,10 @@ def fit_gamma_ls(df: DataFrame, y: str, mean_terms: Sequence[tuple], scale_terms
     if patterns <= max(PATTERN_SHARE * n, 1):
         data = rows.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__y").alias("__m"),
                                         F.sum(F.log("__y")).alias("__ln"))
-        data = narrow(df.sparkSession, data, patterns)
+        data = durable(narrow(df.sparkSession, data, patterns))
     else:
         data = rows.select(*names, F.lit(1.0).alias("__n"), F.col("__y").alias("__m"), F.log("__y").alias("__ln"))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
     p1, p2 = mean.p, scale.p
 
     def unpack(v, k):
@@ -223,9 +224,9 @@ def fit_glmm_ri(df: DataFrame, y: str, terms: Sequence[tuple], group: str, level
     rows = inputs.rows.select("__g", *design.input_columns(), "__y")
     # Rows of a group that share a covariate pattern are merged once.
     log_y = F.log("__y")
-    data = rows.groupBy("__g", *names).agg(F.count(F.lit(1)).cast("double").alias("__n"), F.sum("__y").alias("__sy"),
-                                           F.sum(log_y).alias("__ln"), F.sum(log_y * log_y).alias("__ln2")
-                                           ).persist(StorageLevel.MEMORY_AND_DISK)
+    data = durable(rows.groupBy("__g", *names).agg(
+        F.count(F.lit(1)).cast("double").alias("__n"), F.sum("__y").alias("__sy"), F.sum(log_y).alias("__ln"),
+        F.sum(log_y * log_y).alias("__ln2")))
     t, wt = np.polynomial.hermite.hermgauss(nodes)
     passes = 0
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from wavepanel.functions import numeric
 from wavepanel.functions.columns import inverse_link
 from wavepanel.functions.results import result_table
+from wavepanel.functions.storage import durable
 from wavepanel.operators.clean import Levels, find_levels
 from wavepanel.operators.families import Family, family as make_family
 from wavepanel.operators.terms import Design, base_column, numeric_value, term_label
@@ -178,10 +179,9 @@ class ModelFrame:
         squares = F.coalesce(F.var_pop(y_), F.lit(0.0)) * F.count(F.lit(1))
         sums = [F.count(F.lit(1)).cast("double").alias("__n"), F.avg(y_).alias("__m"), squares.alias("__ss"),
                 F.sum(self.family.saturated(y_)).alias("__sat"), F.sum(is_bad.cast("long")).alias("__bad")]
-        # Lost blocks are recomputed from the source table; nothing here depends on one executor.
         if not inputs.numerics and compress is not False:
             # Factors only: one scan to the cells, and everything else comes from the cells.
-            self._cached = inputs.rows.groupBy(*inputs.factors).agg(*sums).persist(StorageLevel.MEMORY_AND_DISK)
+            self._cached = durable(inputs.rows.groupBy(*inputs.factors).agg(*sums))
             inputs.find(self._cached)
             self.design = Design(terms, inputs.levels, intercept)
             names = self.design.input_names()
@@ -198,11 +198,13 @@ class ModelFrame:
             rows = inputs.rows.select(*self.design.input_columns(), "__y")
             self.compressed = patterns <= max(PATTERN_SHARE * n, 1) if compress == "auto" else bool(compress)
             if self.compressed:
-                self._cached = narrow(self.spark, rows.groupBy(*names).agg(*sums), patterns)
+                self._cached = durable(narrow(self.spark, rows.groupBy(*names).agg(*sums), patterns))
             else:
-                self._cached = rows.select(*names, F.lit(1.0).alias("__n"), y_.alias("__m"), F.lit(0.0).alias("__ss"),
+                raw = rows.select(*names, F.lit(1.0).alias("__n"), y_.alias("__m"), F.lit(0.0).alias("__ss"),
                                            self.family.saturated(y_).alias("__sat"), F.lit(0).cast("long").alias("__bad"))
-            self._cached = self.data = self._cached.persist(StorageLevel.MEMORY_AND_DISK)
+                # As many rows as the source: a lost block is recomputed from its own split of it.
+                self._cached = raw.persist(StorageLevel.MEMORY_AND_DISK)
+            self.data = self._cached
         total = self.data.agg(F.sum("__n"), F.sum("__bad"), F.sum("__sat"), F.sum(F.col("__n") * F.col("__m"))).first()
         try:
             self._check(total[0] or 0, total[1])

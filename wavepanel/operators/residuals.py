@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from wavepanel.functions import numeric
 from wavepanel.functions.columns import all_of, inverse_link, keyed_uniform
 from wavepanel.functions.results import result_table
-from wavepanel.operators.summaries import _names, _rekeyed, box_stats, hide_keys, quantiles, show_keys
+from wavepanel.functions.storage import durable, maybe_broadcast
+from wavepanel.operators.summaries import _names, _rekeyed, box_stats, counted_quantiles, hide_keys, quantiles, show_keys
 
 SIM_CELLS = 65_536           # rows x simulations worked on at once, sized for the processor cache
 
@@ -140,8 +141,9 @@ def uniform_ks(df: DataFrame, u: str, by: Sequence[str] | str | None = None, bin
     at_edges = F.greatest(F.abs(F.col("before") / F.col("n") - F.col("left")),
                           F.abs(F.col("upto") / F.col("n") - F.col("right")))
     inside = F.greatest(F.col("upto") / F.col("n") - F.col("left"), F.col("right") - F.col("before") / F.col("n"))
-    open_bins = (edges.withColumn("floor", F.max(at_edges).over(cell)).where(inside >= F.col("floor"))
-                 .select(*key, "__bin", "n", "before", "floor"))
+    open_bins = durable(edges.withColumn("floor", F.max(at_edges).over(cell)).where(inside >= F.col("floor"))
+                        .select(*key, "__bin", "n", "before", "floor"))
+    open_bins = maybe_broadcast(open_bins, open_bins.count())
     same = all_of([F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*key, "__bin"]])
     rows = (data.alias("d").join(open_bins.alias("o"), same)
             .groupBy(*[F.col(f"o.{c}").alias(c) for c in [*key, "__bin", "n", "before", "floor"]], F.col("d.__u"))
@@ -172,11 +174,12 @@ def residual_overall(df: DataFrame, u: str = "residual", sims: int | None = None
     """
     spread = df.agg(F.count(u).alias("n"), F.avg(u).alias("mean"), (F.var_samp(u) * 12.0).alias("dispersion"),
                     F.count(F.when((F.col(u) <= 0) | (F.col(u) >= 1), 1)).alias("outliers"))
-    ks = uniform_ks(df, u).select("ks")
+    # Two one-row results side by side, without a join.
+    both = spread.unionByName(uniform_ks(df, u).select("ks"), allowMissingColumns=True)
+    one = both.agg(*[F.max(c).alias(c) for c in ("n", "mean", "dispersion", "ks", "outliers")])
     expected = F.lit(None).cast("double") if sims is None else F.col("n") * F.lit(2.0 / (sims + 1))
-    return spread.join(ks).select(  # one row each
-        "n", "mean", "dispersion", "ks", _ks_p(F.col("n"), F.col("ks")).alias("ks_p"), "outliers",
-        expected.alias("outliers_expected"))
+    return one.select("n", "mean", "dispersion", "ks", _ks_p(F.col("n"), F.col("ks")).alias("ks_p"), "outliers",
+                      expected.alias("outliers_expected"))
 
 
 def residual_qq(df: DataFrame, u: str = "residual", points: int = 100) -> DataFrame:
@@ -192,7 +195,8 @@ def levene(df: DataFrame, value: str, by: Sequence[str] | str) -> DataFrame:
     """Levene test around cell medians: ``df1, df2, f_statistic, p_value``."""
     by = _names(by)
     data = df.where(F.col(value).isNotNull())
-    med = _rekeyed(quantiles(data, value, [0.5], by).select(*by, F.col("q0").alias("__med")), by)
+    med, groups = counted_quantiles(data, value, [0.5], by)
+    med = maybe_broadcast(_rekeyed(med.select(*by, F.col("q0").alias("__med")), by), groups)
     gap = F.abs(F.col(value) - F.col("__med"))
     cells = (data.join(med, all_of([F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]))
              .groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.avg(gap).alias("__m"),

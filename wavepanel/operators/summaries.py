@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavepanel.functions.columns import all_of
+from wavepanel.functions.storage import durable, maybe_broadcast
 from wavepanel.operators.clean import Levels
 
 # A group with at most this many distinct values is summarised by Spark's exact
@@ -97,21 +98,35 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
     Otherwise the wanted order statistics are enclosed in value brackets that
     shrink by counting, so no task ever holds a whole group.
     """
+    return counted_quantiles(df, col, probs, by, exact_distinct)[0]
+
+
+def counted_quantiles(df: DataFrame, col: str, probs: Sequence[float], by=None, exact_distinct: int = EXACT_DISTINCT,
+                      with_moments: bool = False) -> tuple[DataFrame, int]:
+    """``quantiles`` and the number of groups; ``with_moments`` adds ``min``, ``mean`` and ``max``."""
     by = _names(by)
     probs = [float(p) for p in probs]
     x = F.col(col).cast("double")
-    data = df.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("__x"))
-    widest = data.groupBy(*by).agg(F.approx_count_distinct("__x").alias("d")).agg(F.max("d")).first()[0] or 0
-    if widest * 1.2 <= exact_distinct:
-        found = data.groupBy(*by).agg(
+    data, keys = hide_keys(df.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("__x")), by)
+    widest, groups = data.groupBy(*keys).agg(F.approx_count_distinct("__x").alias("d")).agg(F.max("d"), F.count("d")).first()
+    moments = [F.min("__x").alias("min"), F.avg("__x").alias("mean"), F.max("__x").alias("max")] if with_moments else []
+    if (widest or 0) * 1.2 <= exact_distinct:
+        found = data.groupBy(*keys).agg(
             F.count("__x").alias("n"),
-            F.percentile("__x", F.array(*[F.lit(p) for p in probs])).alias("q"))
-        return found.select(*by, "n", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])
-    hidden, keys = hide_keys(data, by)
-    return show_keys(_bracketed_quantiles(hidden, keys, probs, exact_distinct), by)
+            F.percentile("__x", F.array(*[F.lit(p) for p in probs])).alias("__q"), *moments)
+        names = ["min", "mean", "max"] if with_moments else []
+        out = found.select(*keys, "n", *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))], *names)
+        return show_keys(out, by), groups
+    if not by:
+        data, keys = data.withColumn("__k0", F.lit(0)), ["__k0"]
+    out = _bracketed_quantiles(data, keys, probs, exact_distinct)
+    if with_moments:
+        extra = data.groupBy(*keys).agg(*moments).withColumnsRenamed({k: f"__m{k}" for k in keys})
+        out = out.join(extra, all_of([F.col(k).eqNullSafe(F.col(f"__m{k}")) for k in keys])).drop(*[f"__m{k}" for k in keys])
+    return (show_keys(out, by) if by else out.drop("__k0")), groups
 
 
-def _bracketed_quantiles(data: DataFrame, by: list[str], probs: list[float], limit: int,
+def _bracketed_quantiles(data: DataFrame, key: list[str], probs: list[float], limit: int,
                          cells: int = 1024) -> DataFrame:
     """Narrow a closed bracket [lo, hi] around each order statistic, one counting pass per round.
 
@@ -119,22 +134,20 @@ def _bracketed_quantiles(data: DataFrame, by: list[str], probs: list[float], lim
     map-side) and keeps the cell that contains the wanted rank. A bracket is
     done when it holds at most ``limit`` rows or a single value.
     """
-    key = by or ["__all"]
-    if not by:
-        data = data.withColumn("__all", F.lit(0))
     total = data.groupBy(*key).agg(F.count("__x").alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
     # The two order statistics that a type-7 quantile interpolates between.
-    targets = (total.select(*key, "n", "lo", "hi", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("qi", "p"))
+    targets = durable(total.select(*key, "n", "lo", "hi", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("qi", "p"))
                .withColumn("h", (F.col("n") - 1) * F.col("p"))
                .withColumn("k", F.floor("h") + 1)
                .select(*key, "qi", "n", "h", "lo", "hi", F.posexplode(F.array(
-                   F.col("k"), F.least(F.col("k") + 1, F.col("n")))).alias("side", "rank"))).persist()
+                   F.col("k"), F.least(F.col("k") + 1, F.col("n")))).alias("side", "rank")))
+    wanted = targets.count()                      # groups x probs x 2, also bounds the brackets
 
     def same(left, right, extra=()):
         return all_of([F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in [*key, *extra]])
 
     while True:
-        brackets = targets.select(*key, "lo", "hi").distinct()
+        brackets = maybe_broadcast(targets.select(*key, "lo", "hi").distinct(), wanted)
         within = (data.alias("d").join(brackets.alias("b"), same("d", "b") & F.expr("d.__x between b.lo and b.hi"))
                   .select(*[F.col(f"b.{c}") for c in [*key, "lo", "hi"]], "d.__x"))
         place = F.floor((F.col("__x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(cells))
@@ -142,20 +155,19 @@ def _bracketed_quantiles(data: DataFrame, by: list[str], probs: list[float], lim
         counted = within.groupBy(*key, "lo", "hi", cell.alias("cell")).agg(
             F.count(F.lit(1)).alias("c"), F.min("__x").alias("mn"), F.max("__x").alias("mx"))
         upto = F.sum("c").over(Window.partitionBy(*key, "lo", "hi").orderBy("cell"))
-        narrowed = (counted.withColumn("upto", upto).alias("c")
+        narrowed = durable(counted.withColumn("upto", upto).alias("c")
                     .join(targets.alias("t"), same("c", "t", ("lo", "hi"))
                           & F.expr("c.upto >= t.rank and c.upto - c.c < t.rank"))
                     .select(*[F.col(f"t.{c}") for c in [*key, "qi", "side", "n", "h"]],
                             F.expr("t.rank - (c.upto - c.c)").alias("rank"),
-                            F.col("c.mn").alias("lo"), F.col("c.mx").alias("hi"), F.col("c.c").alias("rows"))
-                    .persist())
+                            F.col("c.mn").alias("lo"), F.col("c.mx").alias("hi"), F.col("c.c").alias("rows")))
         left = narrowed.where("hi > lo").agg(F.max("rows")).first()[0] or 0
         targets.unpersist()
         targets = narrowed
         if left <= limit:
             break
     # Each bracket now holds few rows or one value: finish on value counts.
-    brackets = targets.select(*key, "lo", "hi").distinct()
+    brackets = maybe_broadcast(targets.select(*key, "lo", "hi").distinct(), wanted)
     values = (data.alias("d").join(brackets.alias("b"), same("d", "b") & F.expr("d.__x between b.lo and b.hi"))
               .groupBy(*[F.col(f"b.{c}").alias(c) for c in [*key, "lo", "hi"]], F.col("d.__x").alias("v"))
               .agg(F.count(F.lit(1)).alias("c")))
@@ -171,21 +183,14 @@ def _bracketed_quantiles(data: DataFrame, by: list[str], probs: list[float], lim
         high = F.max(F.when(at & (F.col("side") == 1), F.col("v")))
         part = F.max(F.when(at, F.col("h") - F.floor("h")))
         cols.append((low + part * (high - low)).alias(f"q{i}"))
-    out = found.groupBy(*key).agg(F.max("n").alias("n"), *cols)
-    return out if by else out.drop("__all")
+    return found.groupBy(*key).agg(F.max("n").alias("n"), *cols)
 
 
 def six_num(df: DataFrame, col: str, by: Sequence[str] | str | None = None) -> DataFrame:
     """min, Q1, median, mean, Q3, max and n per group."""
-    by = _names(by)
-    q = quantiles(df, col, (0.25, 0.5, 0.75), by)
-    x = F.col(col).cast("double")
-    m = df.where(x.isNotNull()).groupBy(*by).agg(F.min(x).alias("min"), F.avg(x).alias("mean"),
-                                                 F.max(x).alias("max"))
-    joined = q.join(_rekeyed(m, by), all_of([F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by])) if by \
-        else q.join(m)  # one row each
-    return joined.select(*by, "n", "min", F.col("q0").alias("q1"), F.col("q1").alias("median"), "mean",
-                         F.col("q2").alias("q3"), "max")
+    q = counted_quantiles(df, col, (0.25, 0.5, 0.75), by, with_moments=True)[0]
+    return q.select(*_names(by), "n", "min", F.col("q0").alias("q1"), F.col("q1").alias("median"), "mean",
+                    F.col("q2").alias("q3"), "max")
 
 
 def _rekeyed(df: DataFrame, by: Sequence[str], prefix: str = "__k_") -> DataFrame:
@@ -200,13 +205,13 @@ def box_stats(df: DataFrame, by: Sequence[str] | str, col: str, whisker: float =
     """
     by = _names(by)
     data = df.where(F.col(col).isNotNull())
-    q = quantiles(data, col, (0.25, 0.5, 0.75), by)
+    q, cells = counted_quantiles(data, col, (0.25, 0.5, 0.75), by)
     iqr = F.col("q2") - F.col("q0")
     fences = _rekeyed(q.select(*by, "n", F.col("q0").alias("__lower"), F.col("q1").alias("__median"),
                                F.col("q2").alias("__upper"), (F.col("q0") - whisker * iqr).alias("__lo"),
                                (F.col("q2") + whisker * iqr).alias("__hi")), by)
-    # One row per cell on the right: no hint, so Spark broadcasts it only when it is small.
-    fenced = data.join(fences, all_of([F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]))
+    # One row per cell on the right; the cells have been counted.
+    fenced = data.join(maybe_broadcast(fences, cells), all_of([F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]))
     x = F.col(col)
     inside = x.between(F.col("__lo"), F.col("__hi"))
     stats = fenced.groupBy(*by).agg(
