@@ -17,7 +17,7 @@ from wavepanel.operators.terms import design, poly, power, star, term_list
 from wavepanel.plans.panels import LINES_SQL, lines
 from wavepanel.plans.registry import query, r, round_all
 from wavepanel.plans.sql_models import (glm_cte, glm_deviance, negbin_log_density, newton_cte, newton_deviance,
-                                        stencil_newton_1d, stencil_newton_2d, term_columns, type_ii_sql)
+                                        stencil_newton_1d, stencil_newton_2d, term_columns, type_ii_sql, wald_sql, ztnb_cte)
 
 FLAG, STATUS = "l_returnflag", "l_linestatus"
 CELL_TERMS = term_list(star(FLAG, STATUS))
@@ -395,14 +395,23 @@ def ztnb_loglik(spark, sf):
     return round_all(count_log_likelihood(lines(spark, sf), "l_quantity", eta, 0.8, truncated=True), 4)
 
 
-@query("ztnb_terms")
+_ZT2 = ", ".join([f"{LINES_SQL}, src AS (SELECT {FLAG}, {STATUS}, l_quantity AS y, count(*)::DOUBLE AS n FROM lines GROUP BY ALL)",
+                  *ztnb_cte("m", "src", ["1", f"({FLAG} = 'N')::INTEGER", f"({FLAG} = 'R')::INTEGER", f"({STATUS} = 'O')::INTEGER"])])
+_ZT2_LABELS = ["(Intercept)", f"{FLAG}N", f"{FLAG}R", f"{STATUS}O"]
+
+
+@query("ztnb_terms", f"WITH RECURSIVE {_ZT2} " + " UNION ALL ".join(
+    [f"SELECT '{t}' AS term, {r(f'b[{i + 1}]', 5)} AS estimate, {r(f'sqrt(v[{i + 1}][{i + 1}])', 5)} AS std_error FROM m, m_v" for i, t in enumerate(_ZT2_LABELS)]
+    + [f"SELECT 'log(k)', {r('c', 5)}, {r('sqrt(v[5][5])', 5)} FROM m, m_v"]))
 def ztnb_terms(spark, sf):
-    return round_all(fit_ztnb(lines(spark, sf), "l_quantity", [(FLAG,), (STATUS,)]).coef_table(spark))
+    m = fit_ztnb(lines(spark, sf), "l_quantity", [(FLAG,), (STATUS,)])
+    return round_all(m.coef_table(spark).select("term", "estimate", "std_error"), 5)
 
 
-@query("ztnb_wald")
+@query("ztnb_wald", f"WITH RECURSIVE {_ZT2} SELECT '{FLAG}' AS term, 2 AS df, {r(wald_sql('m', [2, 3]), 4)} AS chisq UNION ALL SELECT '{STATUS}', 1, {r(wald_sql('m', [4]), 4)}")
 def ztnb_wald(spark, sf):
-    return round_all(anova_wald(spark, fit_ztnb(lines(spark, sf), "l_quantity", [(FLAG,), (STATUS,)])))
+    table = anova_wald(spark, fit_ztnb(lines(spark, sf), "l_quantity", [(FLAG,), (STATUS,)]))
+    return round_all(table.select("term", "df", "chisq"), 4)
 
 
 @query("hurdle_fit", f"""WITH RECURSIVE {LINES_SQL}, {_ZT.format(x='excess')}, p AS (SELECT l_returnflag AS f, l_linestatus AS g, avg((excess > 0)::INTEGER) AS p FROM lines GROUP BY ALL),

@@ -195,3 +195,60 @@ def predict_sql(name: str, source: str, terms, levels, expressions, family: str,
     eta, se = f"list_dot_product(b, {row})", f"sqrt(phi * {quadratic_form('v', row)})"
     inv = (lambda e: f"1 / (1 + exp(-({e})))") if family == "binomial" else (lambda e: f"exp({e})")
     return ctes, inv(eta), inv(f"{eta} - {z} * {se}"), inv(f"{eta} + {z} * {se}")
+
+
+def _ztnb_score(k: str) -> str:
+    q, p0 = f"(mu / (mu + {k}))", f"pow({k} / ({k} + mu), {k})"
+    return f"(y - (y + {k}) * {q} - {p0} / (1 - {p0}) * {k} * {q})"
+
+
+def _ztnb_sums(name: str, p: int, state: str, step: str, h: float = 1e-3) -> str:
+    """SELECT of the negative Hessian (h<j>_<k>) and score (g<j>) sums in the coefficients and log k.
+
+    Derivatives in log mu are analytic, those in log k come from a three-point stencil.
+    """
+    k0, km, kp = "exp(c)", f"exp(c - {h})", f"exp(c + {h})"
+    q, p0 = f"(mu / (mu + {k0}))", f"pow({k0} / ({k0} + mu), {k0})"
+    ratio = f"({p0} / (1 - {p0}))"
+    hmm = f"(-(y + {k0}) * {q} * (1 - {q}) - {ratio} * {k0} * {q} * (1 - {q}) + {ratio} * (1 + {ratio}) * pow({k0} * {q}, 2))"
+    ll = [negbin_log_density("y", "mu", k, True) for k in (km, k0, kp)]
+    rows = (f"SELECT {state}, x, n * {_ztnb_score(k0)} AS s, -n * {hmm} AS w, -n * ({_ztnb_score(kp)} - {_ztnb_score(km)}) / (2 * {h}) AS wk, "
+            f"n * ({ll[2]} - {ll[0]}) / (2 * {h}) AS sk, -n * ({ll[2]} - 2 * {ll[1]} + {ll[0]}) / ({h} * {h}) AS wkk FROM ("
+            f"SELECT {state}, x, y, n, exp(list_dot_product(b, x)) AS mu FROM {step}, {name}_d)")
+    sums = ([f"sum(w * x[{j + 1}] * x[{k + 1}]) AS h{j}_{k}" for j in range(p) for k in range(j, p)]
+            + [f"sum(wk * x[{j + 1}]) AS h{j}_{p}" for j in range(p)] + [f"sum(wkk) AS h{p}_{p}"]
+            + [f"sum(s * x[{j + 1}]) AS g{j}" for j in range(p)] + [f"sum(sk) AS g{p}"])
+    return f"SELECT {state}, {', '.join(sums)} FROM ({rows}) GROUP BY {state}"
+
+
+def ztnb_cte(name: str, source: str, columns: Sequence[str], steps: int = 15) -> list[str]:
+    """CTEs of a zero-truncated NB fit: ``{name}``(b, c) with c = log k, and its covariance ``{name}_v``(v)."""
+    p = len(columns)
+    x = ", ".join(f"({c})::DOUBLE" for c in columns)
+    lower = f"(SELECT i, b, c FROM {name}_it WHERE i < {steps})"
+    rows = ", ".join("[" + ", ".join([f"h{min(j, k)}_{max(j, k)}" for k in range(p + 1)] + [f"g{j}"]) + "]" for j in range(p + 1))
+    solved = f"SELECT i, b, c, [{rows}] AS a FROM ({_ztnb_sums(name, p, 'i, b, c', lower)})"
+    for k in range(1, p + 2):
+        solved = _pivot(solved, k, "i, b, c")
+    eye = ", ".join("[" + ", ".join([f"h{min(j, k)}_{max(j, k)}" for k in range(p + 1)]
+                                    + ["1.0::DOUBLE" if k == j else "0.0::DOUBLE" for k in range(p + 1)]) + "]" for j in range(p + 1))
+    inverse = f"SELECT 1 AS one, [{eye}] AS a FROM ({_ztnb_sums(name, p, 'b, c', name)})"
+    for k in range(1, p + 2):
+        inverse = _pivot(inverse, k, "one")
+    return [f"{name}_d AS (SELECT [{x}] AS x, y, n FROM {source})",
+            f"{name}_it(i, b, c) AS (SELECT 0, list_concat([ln(sum(n * y) / sum(n))], list_resize([]::DOUBLE[], {p - 1}, 0.0::DOUBLE)), 0.0::DOUBLE "
+            f"FROM {name}_d UNION ALL SELECT i + 1, list_transform(b, lambda v, j: v + a[j][{p + 2}]), "
+            f"c + greatest(-1.0, least(1.0, a[{p + 1}][{p + 2}])) FROM ({solved}))",
+            f"{name} AS (SELECT b, c FROM {name}_it WHERE i = {steps})",
+            f"{name}_v AS (SELECT list_transform(a, lambda row: row[{p + 2}:{2 * p + 2}]) AS v FROM ({inverse}))"]
+
+
+def wald_sql(name: str, positions: Sequence[int]) -> str:
+    """Scalar SELECT of b' V^-1 b over the given 1-based coefficient positions."""
+    m = len(positions)
+    rows = ", ".join("[" + ", ".join([f"v[{i}][{j}]" for j in positions] + [f"b[{i}]"]) + "]" for i in positions)
+    solved = f"SELECT b, [{rows}] AS a FROM {name}, {name}_v"
+    for k in range(1, m + 1):
+        solved = _pivot(solved, k, "b")
+    total = " + ".join(f"b[{i}] * a[{k + 1}][{m + 1}]" for k, i in enumerate(positions))
+    return f"(SELECT {total} FROM ({solved}))"

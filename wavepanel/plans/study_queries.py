@@ -21,7 +21,7 @@ from wavepanel.operators.residuals import residual_by_cell, residual_overall, re
 from wavepanel.operators.terms import poly, star, term_list
 from wavepanel.plans.panels import ALT, FRUTOS, IDS, LINES_SQL, PANEL_SQL, SUP, TIME, lines, long_sql, wide_panel
 from wavepanel.plans.registry import query, r, round_all
-from wavepanel.plans.sql_models import predict_sql, type_ii_sql
+from wavepanel.plans.sql_models import design_list, predict_sql, term_columns, type_ii_sql, wald_sql, ztnb_cte
 from wavepanel.plans.table_queries import observed_survival
 
 W = f"WITH {PANEL_SQL}"
@@ -296,7 +296,25 @@ FRUIT_P = term_list(star("yr", "l_returnflag"), star("tax", "l_returnflag"), sta
 FRUIT_N = [("yr",), ("l_returnflag",), ("tax",), ("l_linestatus",)]
 
 
-@query("q6_hurdle")
+_FRUIT_LEVELS = {"yr": [str(y) for y in range(1995, 2002)], "l_returnflag": ["A", "N", "R"], "l_linestatus": ["F", "O"]}
+_FRUIT_COUNT_COLS = ["1", *[c for _, mine in term_columns(FRUIT_N, _FRUIT_LEVELS, {"tax": "t"}) for c in mine]]
+_FRUIT_COUNT = [f"pos AS (SELECT yr, l_returnflag, l_linestatus, tax - 4 AS t, excess AS y, count(*)::DOUBLE AS n FROM lines WHERE excess > 0 GROUP BY ALL)",
+                *ztnb_cte("k", "pos", _FRUIT_COUNT_COLS)]
+
+
+def _q6_sql():
+    ctes, mle, _, _ = predict_sql("m", "src", FRUIT_P, _FRUIT_LEVELS, {"tax": "t"}, "binomial", Z, steps=6)
+    p = mle.replace("list_dot_product(b,", "list_dot_product(m.b,")
+    mu = f"exp(list_dot_product(k.b, {design_list(FRUIT_N, _FRUIT_LEVELS, {'tax': 't'})}))"
+    return (f"WITH RECURSIVE {LINES_SQL}, src AS (SELECT yr, l_returnflag, l_linestatus, tax - 4 AS t, count(*)::DOUBLE AS n, sum((excess > 0)::INTEGER)::DOUBLE AS s "
+            f"FROM lines GROUP BY ALL), {ctes[0]}, {', '.join(_FRUIT_COUNT[:4])}, "
+            f"cells AS (SELECT yr, l_returnflag, l_linestatus, avg(tax) AS tax, avg(tax) - 4 AS t, avg((excess > 0)::INTEGER) AS seen_p, avg(excess) AS seen_mean FROM lines GROUP BY ALL), "
+            f"out AS (SELECT cells.*, {p} AS p, {mu} AS mu, exp(k.c) AS size FROM cells, m, k) "
+            f"SELECT yr, l_returnflag, l_linestatus, {r('tax', 4)} AS tax, {r('seen_p', 4)} AS seen_p, {r('seen_mean', 4)} AS seen_mean, {r('p', 4)} AS p_positive, "
+            f"{r('mu / (1 - pow(size / (size + mu), size))', 4)} AS mean_positive, {r('p * mu / (1 - pow(size / (size + mu), size))', 4)} AS expected FROM out")
+
+
+@query("q6_hurdle", _q6_sql())
 def q6_hurdle(spark, sf):
     df = lines(spark, sf)
     model = fit_hurdle(df, "excess", FRUIT_P, FRUIT_N)
@@ -305,10 +323,12 @@ def q6_hurdle(spark, sf):
     return round_all(model.predict(cells), 4)
 
 
-@query("q6_wald")
+@query("q6_wald", f"WITH RECURSIVE {LINES_SQL}, {', '.join(_FRUIT_COUNT)} " + " UNION ALL ".join(
+    f"SELECT '{t}' AS term, {len(at)} AS df, {r(wald_sql('k', at), 3)} AS chisq"
+    for t, at in (("yr", range(2, 8)), ("l_returnflag", (8, 9)), ("tax", (10,)), ("l_linestatus", (11,)))))
 def q6_wald(spark, sf):
     model = fit_hurdle(lines(spark, sf), "excess", FRUIT_P, FRUIT_N)
-    return round_all(anova_wald(spark, model.count), 4)
+    return round_all(anova_wald(spark, model.count).select("term", "df", "chisq"), 3)
 
 
 _FRUIT_BOX = """q AS (SELECT yr, l_returnflag, l_linestatus, quantile_cont(excess + 1, 0.25) AS lo, median(excess + 1) AS md, quantile_cont(excess + 1, 0.75) AS hi FROM lines GROUP BY ALL),
@@ -339,9 +359,6 @@ def q13_fruit_prob(spark, sf):
                                                               F.avg("fitted").alias("fitted")))
 
 
-_FRUIT_LEVELS = {"yr": [str(y) for y in range(1995, 2002)], "l_returnflag": ["A", "N", "R"], "l_linestatus": ["F", "O"]}
-
-
 def _q13_sql():
     ctes, mle, lower, upper = predict_sql("m", "src", FRUIT_P, _FRUIT_LEVELS, {"tax": "t"}, "binomial", Z, steps=6)
     return (f"WITH RECURSIVE {LINES_SQL}, src AS (SELECT yr, l_returnflag, l_linestatus, tax - 4 AS t, count(*)::DOUBLE AS n, sum((excess > 0)::INTEGER)::DOUBLE AS s "
