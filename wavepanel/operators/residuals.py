@@ -240,6 +240,13 @@ def residual_trend(df: DataFrame, x: str, u: str = "residual", bins: int = 20,
     return joined.select(*keys, "n", "x_mean", *[F.col(f"q{i}").alias(f"q{round(p * 100)}") for i, p in enumerate(probs)])
 
 
+def _bump(t: Column) -> Column:
+    """Cubic B-spline centred at 0 on unit-spaced knots."""
+    d = F.abs(t)
+    return (F.when(d < 1, (4 - 6 * d * d + 3 * d * d * d) / 6)
+            .when(d < 2, (2 - d) * (2 - d) * (2 - d) / 6).otherwise(F.lit(0.0)))
+
+
 def residual_smooth(df: DataFrame, x: str, by: Sequence[str] | str, u: str = "residual", knots: int = 5,
                     points: int = 50) -> DataFrame:
     """Cubic regression spline of the residuals on a covariate, per facet, with a 95% band.
@@ -252,17 +259,16 @@ def residual_smooth(df: DataFrame, x: str, by: Sequence[str] | str, u: str = "re
     at = data.agg(F.min(x).cast("double"), F.max(x).cast("double")).first()
     low, high = at
     width = (high - low) or 1.0
-    inner = [(i + 1) / (knots + 1) for i in range(knots)]
+    pieces = knots + 1
+    p = knots + 4
     s = (F.col(x).cast("double") - F.lit(low)) / F.lit(width)
-    basis = [F.lit(1.0), s, s * s, s * s * s] + [F.pow(F.greatest(s - F.lit(k), F.lit(0.0)), F.lit(3.0)) for k in inner]
-    p = len(basis)
-    r = F.col(u)
     kinds = dict(data.dtypes)
-    cols, keys = hide_keys(data.select(*by, *[b.alias(f"__b{i}") for i, b in enumerate(basis)], r.alias("__r"),
-                                       s.alias("__s")), by)
+    cols, keys = hide_keys(data.select(*by, s.alias("__s"), F.col(u).alias("__r")), by)
+    cols = cols.select(*keys, "__s", "__r", *[_bump(F.col("__s") * pieces - (j - 1)).alias(f"__b{j}") for j in range(p)])
     aggs = [F.sum(F.col(f"__b{i}") * F.col(f"__b{j}")) for i in range(p) for j in range(i, p)]
     aggs += [F.sum(F.col(f"__b{i}") * F.col("__r")) for i in range(p)] + [F.sum(F.col("__r") * F.col("__r"))]
-    grams = cols.groupBy(*keys).agg(F.array(*aggs).alias("__g"), F.min("__s").alias("__s0"), F.max("__s").alias("__s1"))
+    grams = cols.groupBy(*keys).agg(F.array(*aggs).alias("__g"), F.count(F.lit(1)).alias("__n"), F.min("__s").alias("__s0"),
+                                    F.max("__s").alias("__s1"))
     upper = np.triu_indices(p)
 
     def solve(batches):
@@ -273,13 +279,14 @@ def residual_smooth(df: DataFrame, x: str, by: Sequence[str] | str, u: str = "re
                 m = np.zeros((p, p))
                 m[upper] = g[:len(upper[0])]
                 m = m + np.triu(m, 1).T
-                b, yy, n = g[-p - 1:-1], g[-1], g[0]
+                b, yy, n = g[-p - 1:-1], g[-1], row.pop("__n")
                 inv = np.linalg.pinv(m, rcond=1e-10, hermitian=True)
                 beta = inv @ b
                 rank = np.linalg.matrix_rank(m, tol=1e-10 * m.max(), hermitian=True)
                 sigma = max(yy - beta @ b, 0) / max(n - rank, 1)
                 t = np.linspace(s0, s1, points)
-                z = np.column_stack([np.ones(points), t, t**2, t**3] + [np.maximum(t - k, 0) ** 3 for k in inner])
+                away = np.abs(t[:, None] * pieces - (np.arange(p) - 1))
+                z = np.where(away < 1, (4 - 6 * away**2 + 3 * away**3) / 6, np.maximum(2 - away, 0) ** 3 / 6)
                 fit = z @ beta
                 se = np.sqrt(np.maximum(((z @ inv) * z).sum(axis=1) * sigma, 0))
                 yield pd.DataFrame({**{k: [v] * points for k, v in row.items()}, "__x": low + width * t, "fit": fit,

@@ -16,7 +16,7 @@ from wavepanel.operators.residuals import (levene, residual_by_cell, residual_ov
 from wavepanel.operators.terms import design, poly, power, star, term_list
 from wavepanel.plans.panels import LINES_SQL, lines
 from wavepanel.plans.registry import query, r, round_all
-from wavepanel.plans.sql_models import (glm_cte, glm_deviance, negbin_log_density, newton_cte, newton_deviance,
+from wavepanel.plans.sql_models import (glm_cte, glm_deviance, negbin_log_density, newton_cte, newton_deviance, pivot_sql,
                                         stencil_newton_1d, stencil_newton_2d, term_columns, type_ii_sql, wald_sql, ztnb_cte)
 
 FLAG, STATUS = "l_returnflag", "l_linestatus"
@@ -512,7 +512,32 @@ def residual_trend_by(spark, sf):
     return round_all(residual_trend(_u(lines(spark, sf)), "l_quantity", "u", bins=4, probs=[0.5], by=STATUS))
 
 
-@query("residual_smooth")
+def _smooth_sql(knots=5, points=50):
+    """Spline regression per facet: normal equations, Gauss-Jordan and the curve, all in SQL."""
+    p, pieces = knots + 4, knots + 1
+
+    def bump(t):
+        d = f"abs({t})"
+        return f"CASE WHEN {d} < 1 THEN (4 - 6 * pow({d}, 2) + 3 * pow({d}, 3)) / 6 WHEN {d} < 2 THEN pow(2 - {d}, 3) / 6 ELSE 0.0 END::DOUBLE"
+    basis = "[" + ", ".join(bump(f"(s * {pieces} - ({j - 1}))") for j in range(p)) + "]"
+    sums = ", ".join([f"sum(x[{j + 1}] * x[{k + 1}]) AS h{j}_{k}" for j in range(p) for k in range(j, p)] + [f"sum(x[{j + 1}] * u) AS g{j}" for j in range(p)])
+    rows = ", ".join("[" + ", ".join([f"h{min(j, k)}_{max(j, k)}" for k in range(p)] + ["1.0::DOUBLE" if k == j else "0.0::DOUBLE" for k in range(p)] + [f"g{j}"]) + "]"
+                     for j in range(p))
+    rhs = "[" + ", ".join(f"g{j}" for j in range(p)) + "]"
+    solved = f"SELECT f, g, n, yy, s0, s1, {rhs} AS rhs, [{rows}] AS a FROM (SELECT f, g, count(*) AS n, sum(u * u) AS yy, min(s) AS s0, max(s) AS s1, {sums} FROM d GROUP BY f, g)"
+    for k in range(1, p + 1):
+        solved = pivot_sql(solved, k, "f, g, n, yy, s0, s1, rhs")
+    band = f"{Z} * sqrt(list_dot_product(list_transform(v, lambda row: list_dot_product(row, z)), z) * s2)"
+    return (f"WITH {_U}, rng AS (SELECT min(l_quantity) AS lo, max(l_quantity) - min(l_quantity) AS w FROM u), "
+            f"t AS (SELECT {FLAG} AS f, {STATUS} AS g, u, (l_quantity - lo) / w AS s FROM u, rng), d AS (SELECT f, g, u, s, {basis} AS x FROM t), "
+            f"b AS (SELECT f, g, n, yy, s0, s1, rhs, list_transform(a, lambda row: row[{2 * p + 1}]) AS beta, list_transform(a, lambda row: row[{p + 1}:{2 * p}]) AS v FROM ({solved})), "
+            f"q AS (SELECT *, (yy - list_dot_product(beta, rhs)) / (n - {p}) AS s2 FROM b), "
+            f"c AS (SELECT *, s0 + (s1 - s0) * i / {points - 1}.0 AS s FROM q, range({points}) r(i)), o AS (SELECT *, {basis} AS z FROM c) "
+            f"SELECT f AS {FLAG}, g AS {STATUS}, {r('lo + w * s')} AS l_quantity, {r('list_dot_product(beta, z)')} AS fit, {r(f'list_dot_product(beta, z) - {band}')} AS lower, "
+            f"{r(f'list_dot_product(beta, z) + {band}')} AS upper FROM o, rng")
+
+
+@query("residual_smooth", _smooth_sql())
 def residual_smooth_query(spark, sf):
     return round_all(residual_smooth(_u(lines(spark, sf)), "l_quantity", [FLAG, STATUS], "u"))
 

@@ -100,14 +100,15 @@ def newton_cte(name: str, source: str, columns: Sequence[str], family: str, step
               f"SELECT i, b, x, n, s, {mean} AS mu FROM (SELECT i, b, x, n, s, list_dot_product(b, x) AS eta "
               f"FROM {name}_it, {name}_d WHERE i < {steps}))) GROUP BY i, b)")
     for k in range(1, p + 1):
-        solved = _pivot(solved, k, "i, b")
+        solved = pivot_sql(solved, k, "i, b")
     return (f"{name}_d AS (SELECT [{x}] AS x, {kept} FROM {source}), "
             f"{name}_it(i, b) AS (SELECT 0, list_concat([{start}], list_resize([]::DOUBLE[], {p - 1}, 0.0::DOUBLE)) FROM {name}_d UNION ALL "
             f"SELECT i + 1, list_transform(b, lambda v, j: v + a[j][{p + 1}]) FROM ({solved})), "
             f"{name} AS (SELECT b FROM {name}_it WHERE i = {steps})")
 
 
-def _pivot(inner: str, k: int, keep: str) -> str:
+def pivot_sql(inner: str, k: int, keep: str) -> str:
+    """One Gauss-Jordan step on the list of rows ``a``."""
     return (f"SELECT {keep}, list_transform(a, lambda row, j: CASE WHEN j = {k} THEN list_transform(row, lambda v: v / row[{k}]) "
             f"ELSE list_transform(row, lambda v, c: v - row[{k}] * q[c] / q[{k}]) END) AS a FROM (SELECT {keep}, a, a[{k}] AS q FROM ({inner}))")
 
@@ -129,7 +130,7 @@ def newton_covariance(name: str, p: int, family: str) -> str:
     sums = ", ".join(f"sum(w * x[{j + 1}] * x[{k + 1}]) AS h{j}_{k}" for j in range(p) for k in range(j, p))
     solved = f"SELECT 1 AS one, [{rows}] AS a FROM (SELECT {sums} FROM (SELECT x, {weight} AS w FROM (SELECT x, n, {mean} AS mu FROM {name}, {name}_d)))"
     for k in range(1, p + 1):
-        solved = _pivot(solved, k, "one")
+        solved = pivot_sql(solved, k, "one")
     return f"{name}_v AS (SELECT list_transform(a, lambda row: row[{p + 1}:{2 * p}]) AS v FROM ({solved}))"
 
 
@@ -229,12 +230,12 @@ def ztnb_cte(name: str, source: str, columns: Sequence[str], steps: int = 15) ->
     rows = ", ".join("[" + ", ".join([f"h{min(j, k)}_{max(j, k)}" for k in range(p + 1)] + [f"g{j}"]) + "]" for j in range(p + 1))
     solved = f"SELECT i, b, c, [{rows}] AS a FROM ({_ztnb_sums(name, p, 'i, b, c', lower)})"
     for k in range(1, p + 2):
-        solved = _pivot(solved, k, "i, b, c")
+        solved = pivot_sql(solved, k, "i, b, c")
     eye = ", ".join("[" + ", ".join([f"h{min(j, k)}_{max(j, k)}" for k in range(p + 1)]
                                     + ["1.0::DOUBLE" if k == j else "0.0::DOUBLE" for k in range(p + 1)]) + "]" for j in range(p + 1))
     inverse = f"SELECT 1 AS one, [{eye}] AS a FROM ({_ztnb_sums(name, p, 'b, c', name)})"
     for k in range(1, p + 2):
-        inverse = _pivot(inverse, k, "one")
+        inverse = pivot_sql(inverse, k, "one")
     return [f"{name}_d AS (SELECT [{x}] AS x, y, n FROM {source})",
             f"{name}_it(i, b, c) AS (SELECT 0, list_concat([ln(sum(n * y) / sum(n))], list_resize([]::DOUBLE[], {p - 1}, 0.0::DOUBLE)), 0.0::DOUBLE "
             f"FROM {name}_d UNION ALL SELECT i + 1, list_transform(b, lambda v, j: v + a[j][{p + 2}]), "
@@ -249,6 +250,6 @@ def wald_sql(name: str, positions: Sequence[int]) -> str:
     rows = ", ".join("[" + ", ".join([f"v[{i}][{j}]" for j in positions] + [f"b[{i}]"]) + "]" for i in positions)
     solved = f"SELECT b, [{rows}] AS a FROM {name}, {name}_v"
     for k in range(1, m + 1):
-        solved = _pivot(solved, k, "b")
+        solved = pivot_sql(solved, k, "b")
     total = " + ".join(f"b[{i}] * a[{k + 1}][{m + 1}]" for k, i in enumerate(positions))
     return f"(SELECT {total} FROM ({solved}))"
