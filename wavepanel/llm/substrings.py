@@ -213,7 +213,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> D
             .groupBy("t0", "t1").agg(F.collect_set(F.struct("start", "covered")).alias("places")))
 
 
-def _remove(columns: list[str], kept_text: str):
+def _remove(columns: list[str], kept_text: str, join_untouched: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _unpacked(batches, "__packed"):
             texts = batch.column(batch.schema.get_field_index("__packed")).to_pylist()
@@ -233,7 +233,7 @@ def _remove(columns: list[str], kept_text: str):
                     parts = [w for w, s in zip(parts, stay.tolist(), strict=True) if s]
                 else:
                     n_removed.append(0)
-                kept.append(b" ".join(parts).decode())
+                kept.append((b" ".join(parts) if own or join_untouched else text).decode())
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns),
                                               pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
                                              names=[*columns, "n_words", "n_removed", kept_text])
@@ -241,8 +241,11 @@ def _remove(columns: list[str], kept_text: str):
 
 
 def drop_repeated_passages(docs: DataFrame, text: str = "text", window: int = WINDOW, mer: int = MER,
-                           kept_text: str = "kept_text") -> DataFrame:
-    """The columns of docs but the text, with n_words, n_removed and the kept words joined by one space."""
+                           kept_text: str = "kept_text", join_untouched: bool = True) -> DataFrame:
+    """The columns of docs but the text, with n_words, n_removed and the kept words joined by one space.
+
+    Without join_untouched a text that loses nothing keeps its own white space.
+    """
     columns = [c for c in docs.columns if c != text]
     clash = {c.lower() for c in columns} & {"n_words", "n_removed", kept_text.lower()}
     if clash:
@@ -256,4 +259,5 @@ def drop_repeated_passages(docs: DataFrame, text: str = "text", window: int = WI
     joined = renamed.mapInArrow(pack_texts, packed_schema).join(
         places, (F.col("__t0") == F.col("t0")) & (F.col("__t1") == F.col("t1")), "left")
     out = "n_words bigint, n_removed bigint, " + f"`{kept_text}` string"
-    return joined.select("__packed", "places", *columns).mapInArrow(_remove(columns, kept_text), (f"{schema}, " if schema else "") + out)
+    return joined.select("__packed", "places", *columns).mapInArrow(
+        _remove(columns, kept_text, join_untouched), (f"{schema}, " if schema else "") + out)
