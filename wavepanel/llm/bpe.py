@@ -6,7 +6,7 @@ distinct word of the block is looked up in the automaton once, and words that it
 The lexicon only saves time: results are the same with any lexicon, also with none.
 
 Null and empty texts have no ids. A special token written in a text counts as that token, as the public library does
-by default. Rows, columns and ties stay as they are; a clashing output column is an error that names it.
+by default. Rows, columns and ties stay as they are; an output replaces an input column of its name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavepanel.llm.blocks import column_buffers, ragged, span_hashes, text_blocks
+from wavepanel.llm.blocks import ragged, span_hashes, text_blocks
+from wavepanel.llm.names import carried, ddl, quoted, unused
 
 #: Words in the lexicon at most; the others are merged when they occur.
 LEXICON_WORDS = 60_000
@@ -441,13 +442,6 @@ def ship_lexicon(spark: SparkSession, docs: DataFrame, text: str, path: str, siz
 _COLUMNS = {"ids": "array<int>", "decoded": "string", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def _append(schema, outputs: dict[str, str]) -> str:
-    clash = {c.lower() for c in schema.names} & {c.lower() for c in outputs}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"`{c}` {t}" for c, t in outputs.items()])
-
-
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", lexicon_words: int = LEXICON_WORDS,
                outputs: tuple[str, ...] = ("ids",), keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns of docs (or those in keep) and the outputs asked for.
@@ -456,16 +450,16 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", lexicon_words: in
     decoded_sha256. Digests are made where the ids are, so the ids need not travel.
     """
     wanted = {c: _COLUMNS[c] for c in outputs}
-    rest = docs.select(*([c for c in docs.columns] if keep is None else keep))
-    schema = _append(rest.schema, wanted)
+    columns = [c for c in carried(docs, wanted) if keep is None or c in keep]
+    whole_text = unused(docs) + "text"
+    schema = ddl(docs, columns, wanted)
     name = ship_lexicon(docs.sparkSession, docs, text, path, lexicon_words) if lexicon_words else ""
-    carried = list(rest.columns)
-    source = docs.select(*carried, F.col(text).alias("__text"))
+    source = docs.select(*[docs[quoted(c)] for c in columns], docs[quoted(text)].alias(whole_text))
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         lexicon = map_lexicon(SparkFiles.get(name)) if name else None
-        for rows, data, offsets in text_blocks(batches, "__text", ENCODE_BLOCK):
+        for rows, data, offsets in text_blocks(batches, whole_text, ENCODE_BLOCK):
             ids, at, decoded, byte_at = checked_encode(data, offsets, vocab, lexicon)
             made = {}
             if "ids" in wanted:
@@ -487,15 +481,16 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", lexicon_words: in
                     made["decoded"] = pa.array(texts, pa.string())
                 if "decoded_sha256" in wanted:
                     made["decoded_sha256"] = pa.array([sha256(t.encode()).hexdigest() for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(carried))), *(made[c] for c in wanted)],
-                                             names=[*carried, *wanted])
+            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(columns))), *(made[c] for c in wanted)],
+                                             names=[*columns, *wanted])
 
     return source.mapInArrow(encode, schema)
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
     """The columns of df and the text of its ids; null ids give an empty text, invalid UTF-8 the replacement sign."""
-    schema = _append(df.schema, {output: "string"})
+    columns = carried(df, [output])
+    schema = ddl(df, columns, {output: "string"})
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
@@ -505,9 +500,10 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", output: str = "decode
             for value in lists:
                 own = np.array(value.as_py() or [], np.int64)
                 texts.append(decode_block(own, vocab)[0].tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, output])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(texts, pa.string())],
+                                             names=[*columns, output])
 
     return df.mapInArrow(decode, schema)
 
 
-__all__ = ["bpe_decode", "bpe_encode", "column_buffers", "vocabulary", "word_counts"]
+__all__ = ["bpe_decode", "bpe_encode", "vocabulary", "word_counts"]

@@ -22,7 +22,8 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from wavepanel.llm.names import carried, ddl, quoted, unused
 
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                        "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -360,16 +361,14 @@ def main_text(html: str, field: Field) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", output: str = "text", field: Field | None = None) -> DataFrame:
-    """The columns of pages but the html, with the main text."""
-    columns = [c for c in pages.columns if c != html]
-    if output.lower() in {c.lower() for c in columns}:
-        raise ValueError(f"column {output} exists already")
+    """The columns of pages but the html, with the main text, which replaces a column of its name."""
+    columns = carried(pages, [output], [html])
     shared = pages.sparkSession.sparkContext.broadcast(field or trained_field())
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html] + [f"`{output}` string"])
+    schema = ddl(pages, columns, {output: "string"})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h or "", shared.value) for h in batch.column(len(columns)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*columns, output])
 
-    return pages.select(*columns, F.col(html).alias("__html")).mapInArrow(run, schema)
+    return pages.select(*[pages[quoted(c)] for c in columns], pages[quoted(html)].alias(unused(pages) + "html")).mapInArrow(run, schema)

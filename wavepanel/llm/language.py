@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wavepanel.llm.names import carried, ddl, quoted, unused
 from wavepanel.llm.letters import letter_stream, strings
 
 #: Texts per language in the fit at most, and languages at most (those with most rows).
@@ -142,14 +143,12 @@ def fit(docs: DataFrame, learnable: Column, doc_id: str = "doc_id", text: str =
     return Model(languages, idf, np.stack(centers), np.array(radius))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The columns of docs with lang_pred, score and rejected."""
-    clash = {c.lower() for c in docs.columns} & {"lang_pred", "score", "rejected"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
+    """The columns of docs with lang_pred, score and rejected (after prefix); they replace columns of their names."""
+    outputs = {prefix + "lang_pred": "string", prefix + "score": "double", prefix + "rejected": "boolean"}
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string, score double, rejected boolean"])
+    columns = carried(docs, outputs)
+    schema = ddl(docs, columns, outputs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,9 +156,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 part = batch.slice(start, ROWS)
                 names, score, rejected = shared.value.predict(strings(part.column(len(columns))))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64()),
-                                                  pa.array(rejected)], names=[*columns, "lang_pred", "score", "rejected"])
+                                                  pa.array(rejected)], names=[*columns, *outputs])
 
-    return docs.select("*", F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[docs[quoted(c)] for c in columns], docs[quoted(text)].alias(unused(docs) + "text")).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

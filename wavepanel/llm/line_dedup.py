@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavepanel.llm.names import carried, quoted, unused
 from wavepanel.llm.store import keep
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,18 +42,20 @@ def shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 
 
 def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5,
-                      kept_text: str = "kept_text") -> DataFrame:
-    """The columns of docs with n_lines, n_dropped and the kept text."""
+                      kept_text: str = "kept_text", prefix: str = "") -> DataFrame:
+    """The columns of docs with n_lines, n_dropped and the kept text (all after prefix); they replace columns of their names."""
     shared = keep(shared_lines(docs, doc_id, text, min_chars, min_docs))
     held = docs.select(F.col(doc_id).alias("__id"), F.explode(line_hashes(F.col(text), min_chars)).alias("hash"))
     drops = (held.join(shared, "hash").where(F.col("__id") < F.col("keeper"))
              .groupBy("__id").agg(F.collect_set("hash").alias("__drops")))
-    joined = docs.join(drops, docs[doc_id] == drops["__id"], "left")
-    lines = lines_of(F.col(text))
-    stay = F.filter(lines, lambda line: ~F.array_contains(F.col("__drops"), F.unhex(F.md5(line_key(line))))
-                    | (F.length(line_key(line)) < min_chars))
-    touched = F.col("__drops").isNotNull()
-    joined = joined.withColumn("__lines", lines).withColumn("__stay", F.when(touched, stay).otherwise(F.col("__lines")))
-    return joined.select(*docs.columns, F.size("__lines").cast("bigint").alias("n_lines"),
-                         (F.size("__lines") - F.size("__stay")).cast("bigint").alias("n_dropped"),
-                         F.array_join("__stay", "\n").alias(kept_text))
+    own = unused(docs)
+    drops = drops.withColumnsRenamed({"__id": own + "id", "__drops": own + "drops"})
+    joined = docs.join(drops, docs[quoted(doc_id)] == drops[own + "id"], "left")
+    lines = lines_of(docs[quoted(text)])
+    gone = F.col(own + "drops")
+    stay = F.filter(lines, lambda line: ~F.array_contains(gone, F.unhex(F.md5(line_key(line)))) | (F.length(line_key(line)) < min_chars))
+    joined = joined.withColumn(own + "lines", lines).withColumn(own + "stay", F.when(gone.isNotNull(), stay).otherwise(F.col(own + "lines")))
+    outputs = {"n_lines": F.size(own + "lines").cast("bigint"), "n_dropped": (F.size(own + "lines") - F.size(own + "stay")).cast("bigint"),
+               kept_text: F.array_join(own + "stay", "\n")}
+    return joined.select(*[F.col(quoted(c)) for c in carried(docs, [prefix + c for c in outputs])],
+                         *[v.alias(prefix + c) for c, v in outputs.items()])

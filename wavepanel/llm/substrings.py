@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavepanel.llm.blocks import column_buffers, run_hashes, span_hashes, text_blocks, words
+from wavepanel.llm.names import carried, ddl, quoted, unused
 from wavepanel.llm.store import keep, shuffle_width
 
 WINDOW, MER = 35, 8
@@ -213,11 +214,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> D
             .groupBy("t0", "t1").agg(F.collect_set(F.struct("start", "covered")).alias("places")))
 
 
-def _remove(columns: list[str], kept_text: str, join_untouched: bool):
+def _remove(columns: list[str], outputs: list[str], packed: str, places_column: str, join_untouched: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _unpacked(batches, "__packed"):
-            texts = batch.column(batch.schema.get_field_index("__packed")).to_pylist()
-            places = batch.column(batch.schema.get_field_index("places")).to_pylist()
+        for batch in _unpacked(batches, packed):
+            texts = batch.column(batch.schema.get_field_index(packed)).to_pylist()
+            places = batch.column(batch.schema.get_field_index(places_column)).to_pylist()
             kept, n_words, n_removed = [], [], []
             for text, own in zip(texts, places, strict=True):
                 parts = text.split()
@@ -236,28 +237,25 @@ def _remove(columns: list[str], kept_text: str, join_untouched: bool):
                 kept.append((b" ".join(parts) if own or join_untouched else text).decode())
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns),
                                               pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-                                             names=[*columns, "n_words", "n_removed", kept_text])
+                                             names=[*columns, *outputs])
     return run
 
 
 def drop_repeated_passages(docs: DataFrame, text: str = "text", window: int = WINDOW, mer: int = MER,
-                           kept_text: str = "kept_text", join_untouched: bool = True) -> DataFrame:
-    """The columns of docs but the text, with n_words, n_removed and the kept words joined by one space.
+                           kept_text: str = "kept_text", join_untouched: bool = True, prefix: str = "") -> DataFrame:
+    """The columns of docs but the text, with n_words, n_removed and the kept words joined by one space (names after prefix).
 
     Without join_untouched a text that loses nothing keeps its own white space.
     """
-    columns = [c for c in docs.columns if c != text]
-    clash = {c.lower() for c in columns} & {"n_words", "n_removed", kept_text.lower()}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
-    source = F.coalesce(F.col(text), F.lit(""))
+    outputs = {prefix + "n_words": "bigint", prefix + "n_removed": "bigint", prefix + kept_text: "string"}
+    columns = carried(docs, outputs, [text])
+    own = unused(docs)
+    source = F.coalesce(docs[quoted(text)], F.lit(""))
     t0, t1 = F.xxhash64(source), F.xxhash64(F.lit(1), source)
     places = repeated_windows(docs.select(source.alias("text"), t0.alias("t0"), t1.alias("t1")), window, mer)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    renamed = docs.select(source.alias("__packed"), t0.alias("__t0"), t1.alias("__t1"), *columns)
-    packed_schema = "__packed binary, __t0 bigint, __t1 bigint" + (f", {schema}" if schema else "")
-    joined = renamed.mapInArrow(pack_texts, packed_schema).join(
-        places, (F.col("__t0") == F.col("t0")) & (F.col("__t1") == F.col("t1")), "left")
-    out = "n_words bigint, n_removed bigint, " + f"`{kept_text}` string"
-    return joined.select("__packed", "places", *columns).mapInArrow(
-        _remove(columns, kept_text, join_untouched), (f"{schema}, " if schema else "") + out)
+    renamed = docs.select(source.alias(own + "packed"), t0.alias(own + "t0"), t1.alias(own + "t1"), *[docs[quoted(c)] for c in columns])
+    packed = renamed.mapInArrow(pack_texts, ", ".join([f"{own}packed binary", f"{own}t0 bigint", f"{own}t1 bigint", ddl(docs, columns, {})]).rstrip(", "))
+    places = places.withColumnsRenamed({c: f"{own}p_{c}" for c in ("t0", "t1", "places")})
+    joined = packed.join(places, (F.col(own + "t0") == F.col(own + "p_t0")) & (F.col(own + "t1") == F.col(own + "p_t1")), "left")
+    return joined.select(own + "packed", own + "p_places", *[F.col(quoted(c)) for c in columns]).mapInArrow(
+        _remove(columns, list(outputs), own + "packed", own + "p_places", join_untouched), ddl(docs, columns, outputs))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavepanel.llm.letters import letter_stream, strings
+from wavepanel.llm.names import carried, ddl, quoted, unused
 from wavepanel.llm.store import keep
 
 #: n-grams of the language model at most, the most frequent first (all of a natural alphabet fit).
@@ -196,7 +197,7 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def logistic(rows: list[np.ndarray], y: np.ndarray, size: int, penalty: float = 0.02, steps: int = 300) -> tuple[np.ndarray, float]:
+def logistic(rows: list[np.ndarray], y: np.ndarray, size: int, penalty: float = 0.004, steps: int = 400) -> tuple[np.ndarray, float]:
     """L2-penalised logistic regression on sets of features, by accelerated gradient steps."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     feature = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
@@ -261,18 +262,16 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, doc_id: str = "do
     return Classifier(chars, places, weights, bias, True)
 
 
-def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
-    """The columns of docs with their score."""
-    if "score" in {c.lower() for c in docs.columns}:
-        raise ValueError("column score exists already")
+def score(docs: DataFrame, model: Classifier, text: str = "text", output: str = "score") -> DataFrame:
+    """The columns of docs with their score, which replaces a column of its name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["score double"])
-    columns = docs.columns
+    columns = carried(docs, [output])
+    schema = ddl(docs, columns, {output: "double"})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple] = {}
         for batch in batches:
             scores = [shared.value.score(t, memo) for t in strings(batch.column(len(columns)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*columns, output])
 
-    return docs.select("*", F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[docs[quoted(c)] for c in columns], docs[quoted(text)].alias(unused(docs) + "text")).mapInArrow(run, schema)
