@@ -12,36 +12,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavepanel.llm import jaccard, language, line_dedup, packing, substrings
+from wavepanel.llm.names import quoted, unused
 from wavepanel.llm.store import keep
 
 
 def _with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
     new = {"text": F.col(text), "n_chars": F.length(text).cast("bigint")}
-    return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
+    return df.select(*[new[c].alias(c) if c in new else F.col(quoted(c)) for c in columns])
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is recognised; the stored language is not changed."""
     model = language.fit(docs, ~language.held_out())
-    return language.identify(docs, model).where("not rejected").select(*docs.columns)
+    own = unused(docs)
+    return language.identify(docs, model, prefix=own).where(~F.col(own + "rejected")).select(*map(quoted, docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that five documents or more share; every document stays."""
-    return _with_text(line_dedup.drop_shared_lines(docs, kept_text="__kept"), docs.columns, "__kept")
+    own = unused(docs)
+    return _with_text(line_dedup.drop_shared_lines(docs, prefix=own), docs.columns, own + "kept_text")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
-    groups = jaccard.near_components(docs).select(F.col("doc_id").alias("__id"), "component_id")
-    gone = groups.where(F.col("__id") != F.col("component_id")).select("__id").distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti").select(*docs.columns)
+    own = unused(docs)
+    groups = jaccard.near_components(docs)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(own + "id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(own + "id"), "left_anti")
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove passages of 35 words or more that stand anywhere else. Texts without such passages keep their white space."""
-    kept = substrings.drop_repeated_passages(docs, kept_text="__kept", join_untouched=False)
-    return _with_text(kept, docs.columns, "__kept")
+    own = unused(docs)
+    kept = substrings.drop_repeated_passages(docs, join_untouched=False, prefix=own)
+    return _with_text(kept, docs.columns, own + "kept_text")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
