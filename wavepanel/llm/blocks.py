@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 
 #: ASCII white space: space and \x09-\x0D.
 _SPACE = np.zeros(256, bool)

@@ -28,14 +28,16 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavepanel.llm.bounded import most_frequent
 from wavepanel.llm.blocks import ragged, span_hashes, text_blocks
 from wavepanel.llm.names import carried, ddl, quoted, unused
+from wavepanel.llm.store import keep as keep_table
 
-#: Words in the lexicon at most; the others are merged when they occur.
+#: Words in the lexicon, about; the others are merged when they occur.
 LEXICON_WORDS = 60_000
 #: A word counts towards the lexicon from a block in which it occurs so often.
 LEXICON_MIN_COUNT = 3
-ENCODE_BLOCK = 4 << 20
+ENCODE_BLOCK = 1 << 20
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _SPECIAL = range(5)
 
@@ -424,10 +426,10 @@ def word_counts(docs: DataFrame, text: str, path: str, min_count: int = LEXICON_
 def ship_lexicon(spark: SparkSession, docs: DataFrame, text: str, path: str, size: int = LEXICON_WORDS) -> str:
     """Compile the most frequent words of docs and hand the file to all executors; its name there.
 
-    Only size words reach the driver, whatever the corpus. Long words (over 64 bytes) stay out.
+    Only about size words reach the driver, whatever the corpus. Long words (over 64 bytes) stay out.
     """
-    top = (word_counts(docs, text, path).where(F.octet_length("word") <= 64)
-           .orderBy(F.desc("n"), "word").limit(size).select("word").collect())
+    counts = keep_table(word_counts(docs, text, path).where(F.octet_length("word") <= 64))
+    top = most_frequent(counts, "word", "n", size).select("word").collect()
     if not top:
         return ""
     block = compile_lexicon([bytes(r.word) for r in top], vocabulary(path))

@@ -29,13 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavepanel.llm.blocks import LOWER, mix, run_hashes, span_hashes, text_blocks, words
+from wavepanel.llm.bounded import most_frequent
 from wavepanel.llm.graph import components
 from wavepanel.llm.store import BROADCAST_ROWS, keep
 
 SHINGLE = 5
 #: Similarity of a link as a fraction.
 NUMERATOR, DENOMINATOR = 75, 100
-#: A shingle is hot if so many different sets of one block (of BLOCK_SHINGLES) hold it; at most HOT_SHINGLES are put last.
+#: A shingle is hot if so many different sets of one block (of BLOCK_SHINGLES) hold it; about HOT_SHINGLES at most are put last.
 HOT_COUNT, HOT_SHINGLES, BLOCK_SHINGLES = 4, 500_000, 4_000_000
 #: Tasks over which the list of a hot shingle is spread.
 HOT_SPREAD = 16
@@ -223,7 +224,8 @@ class Sets:
         self.texts = source
         found = keep(source.mapInArrow(_survey(size), "kind int, a bigint, n bigint, s bigint, doc_id bigint"))
         self.rows = found.where("kind = 0").select("doc_id", F.col("a").alias("k"), "n", "s")
-        hot = (found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "a").limit(HOT_SHINGLES)).toPandas()
+        hot = keep(found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")))
+        hot = most_frequent(hot, "a", "c", HOT_SHINGLES).toPandas()
         self.order = spark.sparkContext.broadcast(Order(hot["a"].to_numpy(np.int64).view(np.uint64), hot["c"].to_numpy(np.int64)))
 
     def shared_prefixes(self) -> DataFrame:

@@ -4,7 +4,7 @@ A text becomes a vector of letter n-grams (1 to 3, words bounded): 1 + log of ea
 language has several centroids from spherical k-means over its sample. A text takes the language of the centroid with the
 largest cosine; it is rejected where it lies farther from that centroid than the training texts did, with a margin.
 
-The fit reads at most SAMPLE texts per language (those with the smallest hashes of their ids); executors send sparse vectors, so no
+The fit reads about SAMPLE texts per language (a hashed share of the ids); executors send sparse vectors, so no
 text reaches the driver. Prediction reads every whole text. Null, empty and letterless texts are `und`, with score 0, and rejected. Texts under MIN_LETTERS n-grams say
 too little about distance and are never rejected for it. Rows without an id are predicted, not learned from. Without learnable rows every text is `und`.
 Ties go to the language that sorts first.
@@ -19,12 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from wavepanel.llm.names import carried, ddl, quoted, unused
+from wavepanel.llm.bounded import hash_share
 from wavepanel.llm.letters import letter_stream, strings
+from wavepanel.llm.names import carried, ddl, quoted, unused
 
-#: Texts per language in the fit at most, and languages at most (those with most rows).
+#: Texts per language in the fit, about, and languages at most (those with most rows).
 SAMPLE, LANGUAGES = 600, 200
 BUCKETS, CENTROIDS, ROUNDS = 4096, 4, 12
 #: Rejected beyond this multiple of the largest training distance of the centroid, from so many n-grams on.
@@ -113,12 +113,11 @@ def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, learnable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learn from the rows where learnable holds and the language is known."""
     rows = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    names = [r[0] for r in rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES).collect()]
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    sample = (rows.where(F.col(lang).isin(names)).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("h"))
-              .withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).select("id", "lang"))
-    chosen = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(
-        F.broadcast(sample), ["id", "lang"], "left_semi")           # at most SAMPLE * LANGUAGES rows
+    have = rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    share = F.lit(0.0)
+    for r in have:
+        share = F.when(F.col(lang) == r.lang, F.lit(SAMPLE / r.n)).otherwise(share)
+    chosen = rows.where(hash_share(F.col(doc_id), share)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     found = sorted(((r.lang, r.places, r.counts) for r in chosen.select("text", "lang").mapInArrow(
         _vectors, "lang string, places array<int>, counts array<float>").collect() if r.places))
     x = np.zeros((len(found), BUCKETS), np.float32)

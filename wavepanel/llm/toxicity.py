@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavepanel.llm.bounded import hash_share, most_frequent
 from wavepanel.llm.letters import letter_stream, strings
 from wavepanel.llm.names import carried, ddl, quoted, unused
 from wavepanel.llm.store import keep
 
-#: n-grams of the language model at most, the most frequent first (all of a natural alphabet fit).
+#: n-grams of the language model, about, the most frequent first (all of a natural alphabet fit).
 GRAMS = 400_000
 #: Labelled rows in the fit at most, toxic and not; features of the classifier at most.
 TOXIC_ROWS, CLEAN_ROWS, FEATURES = 6_000, 18_000, 4_000
@@ -82,8 +83,8 @@ class CharModel:
 
 def fit_char_model(docs: DataFrame, text: str = "text") -> CharModel:
     """Count over all texts; only the counts of the most frequent runs reach the driver."""
-    rows = (docs.select(text).mapInArrow(_grams, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "g").limit(GRAMS).toPandas())
+    rows = keep(docs.select(text).mapInArrow(_grams, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")))
+    rows = most_frequent(rows, "g", "n", GRAMS).toPandas()
     counts: dict[str, int] = {}
     total = 0
     for g, n in zip(rows["g"].astype(np.int64), rows["n"].astype(np.int64), strict=True):
@@ -219,11 +220,12 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, size: int, penalty: float =
 
 
 def sample_labels(labels: DataFrame, learnable: Column, doc_id: str = "doc_id", toxic: str = "toxic") -> DataFrame:
-    """(id, y) of at most TOXIC_ROWS and CLEAN_ROWS labelled ids, those with the smallest hashes."""
+    """(id, y) of about TOXIC_ROWS and CLEAN_ROWS labelled ids at most, a hashed share of each class."""
     rows = labels.where(learnable & F.col(doc_id).isNotNull() & F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(
         F.max(F.col(toxic).cast("int")).alias("y"))
-    part = [rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
-    return part[0].unionByName(part[1])
+    have = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.when(F.col("y") == 1, F.lit(TOXIC_ROWS / have.get(1, 1))).otherwise(F.lit(CLEAN_ROWS / have.get(0, 1)))
+    return rows.where(hash_share(F.col("id"), share))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Classifier:
@@ -231,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, doc_id: str = "do
     chars = fit_char_model(docs, text)
     shared = spark.sparkContext.broadcast(chars)
     rows = keep(docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(
-        F.broadcast(sample_labels(labels, learnable, doc_id, toxic)), "id"))                # at most TOXIC_ROWS + CLEAN_ROWS
+        F.broadcast(sample_labels(labels, learnable, doc_id, toxic)), "id"))                # about TOXIC_ROWS + CLEAN_ROWS
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
