@@ -260,7 +260,7 @@ def labelled_pages(count: int = 260, seed: int = 5) -> list[tuple[str, list[str]
 
     def prose() -> str:
         n = rng.choice((1, 1, 2, 3, 4))
-        return " ".join(some(*rng.choice(((1, 2), (4, 12), (10, 40)))) + rng.choice((".", ".", "!", "?")) for _ in range(n))
+        return " ".join(some(*rng.choice(((1, 2), (4, 12), (10, 40)))) + rng.choice((".", ".", "!", "?", "")) for _ in range(n))
 
     def links(n: int) -> str:
         return "".join(f'<li><a href="/{i}">{some(1, 3)}</a></li>' for i in range(n))
@@ -307,8 +307,10 @@ def labelled_pages(count: int = 260, seed: int = 5) -> list[tuple[str, list[str]
             out = [keep("h1", some(2, 9))] if rng.random() < 0.8 else []
             for _ in range(rng.randint(1, 9)):
                 kind = rng.random()
-                if kind < 0.62:
+                if kind < 0.56:
                     out.append(keep("p", prose()))
+                elif kind < 0.62:
+                    out.append(keep("div", rng.choice((prose(), some(1, 4)))))
                 elif kind < 0.7:
                     out.append(keep(rng.choice(("h2", "h3", "blockquote", "pre")), some(2, 8)))
                 elif kind < 0.76:

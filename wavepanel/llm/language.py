@@ -2,7 +2,7 @@
 
 A text becomes a vector of letter n-grams (1 to 3, words bounded): 1 + log of each count, times the inverse document frequency, scaled to length 1. Each
 language has several centroids from spherical k-means over its sample. A text takes the language of the centroid with the
-largest cosine; it is rejected where it lies farther from that centroid than the training texts did, with a margin.
+largest cosine; it is rejected where its distance passes the middle between the language's farthest training text and no likeness at all.
 
 The fit reads about SAMPLE texts per language (a hashed share of the ids); executors send sparse vectors, so no
 text reaches the driver. Prediction reads every whole text. Null, empty and letterless texts are `und`, with score 0, and rejected. Texts under MIN_LETTERS n-grams say
@@ -27,8 +27,8 @@ from wavepanel.llm.names import carried, ddl, quoted, unused
 #: Texts per language in the fit, about, and languages at most (those with most rows).
 SAMPLE, LANGUAGES = 600, 200
 BUCKETS, CENTROIDS, ROUNDS = 4096, 4, 12
-#: Rejected beyond this multiple of the largest training distance of the centroid, from so many n-grams on.
-MARGIN, MIN_LETTERS = 1.15, 60
+#: Where between the largest training distance (0) and distance 1 (1) rejection begins, for texts of so many n-grams on.
+MARGIN, MIN_LETTERS = 0.5, 60
 ROWS = 256
 
 
@@ -55,7 +55,7 @@ class Model:
     languages: list[str]            # of each centroid
     idf: np.ndarray
     centroids: np.ndarray           # rows of length 1
-    radius: np.ndarray              # largest training distance of each centroid
+    radius: np.ndarray              # largest training distance of the language of each centroid
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return _scaled(np.log1p(counts), self.idf)
@@ -69,7 +69,7 @@ class Model:
         best = cosine.argmax(1)
         score = np.clip(cosine[np.arange(len(texts)), best], 0, 1).astype(float)
         blank = grams == 0
-        far = (1 - score > MARGIN * self.radius[best]) & (grams >= MIN_LETTERS)
+        far = (1 - score > self.radius[best] + MARGIN * (1 - self.radius[best])) & (grams >= MIN_LETTERS)
         names = ["und" if e else self.languages[k] for e, k in zip(blank, best, strict=True)]
         return names, np.where(blank, 0.0, score), blank | far
 
@@ -124,19 +124,18 @@ def fit(docs: DataFrame, learnable: Column, doc_id: str = "doc_id", text: str =
     for i, (_, places, counts) in enumerate(found):
         x[i, places] = counts
     label = np.array([f[0] for f in found], object)
+    enough = x.sum(1) / 3 >= MIN_LETTERS
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.05).astype(np.float32)
     x = _scaled(np.log1p(x), idf)
     languages, centers, radius = [], [], []
     for name in sorted(set(label.tolist())):
         own = x[label == name]
         c = spherical_means(own, CENTROIDS)
-        cosine = own @ c.T
-        nearest = cosine.argmax(1)
-        widest = 1 - cosine.max(1).min()
-        for i in range(len(c)):
+        cosine = (own @ c.T).max(1)[enough[label == name]]
+        for center in c:
             languages.append(name)
-            centers.append(c[i])
-            radius.append(widest if not (nearest == i).any() else max(widest, 0.05))
+            centers.append(center)
+            radius.append(1 - float(cosine.min()) if len(cosine) else 1.0)
     if not centers:
         return Model([], idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     return Model(languages, idf, np.stack(centers), np.array(radius))
