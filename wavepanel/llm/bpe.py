@@ -37,6 +37,7 @@ from wavepanel.llm.store import keep as keep_table
 LEXICON_WORDS = 60_000
 #: A word counts towards the lexicon from a block in which it occurs so often.
 LEXICON_MIN_COUNT = 3
+#: Bytes encoded at once; a worker's memory is about 60 times this.
 ENCODE_BLOCK = 1 << 20
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _SPECIAL = range(5)
