@@ -18,6 +18,7 @@ def durable(df: DataFrame) -> DataFrame:
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        kept.count()      # made at its own width, before a reader asks for fewer partitions
         return kept
     written = kept.checkpoint()
     kept.unpersist()

@@ -6,6 +6,8 @@ import math
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,11 @@ def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.dropna(how="any", subset=list(cols))
 
 
+# Level values keep the type of their column.
+_READERS = {**dict.fromkeys(("int", "bigint", "smallint", "tinyint"), int), "double": float, "float": float,
+            "boolean": lambda s: s == "true", "date": date.fromisoformat, "decimal": Decimal}
+
+
 def relabel(df: DataFrame, col: str, mapping: Mapping, out: str | None = None) -> DataFrame:
     return df.withColumn(out or col, relabelled(col, mapping))
 
@@ -56,6 +63,13 @@ def with_levels(df: DataFrame, col: str, levels: Sequence, labels: Sequence | No
     return df.withColumn(out or col, expr), Levels(out or col, tuple(names))
 
 
+def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct non-missing values of each column as a table ``column, level`` (text), however many there are."""
+    pair = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in cols])
+    return (df.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).select(F.explode(pair).alias("__p"))
+            .select("__p.*").where("level is not null").distinct())
+
+
 def find_levels(df: DataFrame, cols: Sequence[str], order_by: str | None = None,
                 limit: int = 1000) -> dict[str, Levels]:
     """Distinct non-missing values of each column, in one job.
@@ -80,8 +94,7 @@ def find_levels(df: DataFrame, cols: Sequence[str], order_by: str | None = None,
         mine = [r for r in rows if r["column"] == c]
         if len(mine) > limit or len(rows) > limit * len(cols):
             raise ValueError(f"{c!r} has more than {limit} levels")
-        cast = int if kinds[c] in ("int", "bigint", "smallint", "tinyint") else (
-            float if kinds[c] in ("double", "float") else str)
+        cast = _READERS.get(kinds[c].split("(")[0], str)
         pairs = [(r["first"], cast(r["value"])) for r in mine]
         out[c] = Levels(c, tuple(v for _, v in sorted(pairs)))
     return out

@@ -133,10 +133,10 @@ def _fit(df: DataFrame, y: str, terms: Sequence[tuple], truncated: bool, levels:
         design.standardise(stats)
         rows = inputs.rows.select(*design.input_columns(), "__y")
         if patterns <= max(PATTERN_SHARE * n, 1):
-            data = durable(narrow(df.sparkSession, rows.groupBy(*design.input_names(), "__y").agg(count), patterns))
+            cached = durable(rows.groupBy(*design.input_names(), "__y").agg(count))
+            data = narrow(df.sparkSession, cached, patterns)
         else:
-            data = rows.withColumn("__n", F.lit(1.0)).persist(StorageLevel.MEMORY_AND_DISK)
-        cached = data
+            cached = data = rows.withColumn("__n", F.lit(1.0)).persist(StorageLevel.MEMORY_AND_DISK)
     if not n or bad:
         cached.unpersist()
         raise ValueError(f"{bad:.0f} values of {y!r} are not counts of at least {low}" if n else "no complete rows to fit")

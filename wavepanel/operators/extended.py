@@ -96,10 +96,11 @@ def fit_gamma_ls(df: DataFrame, y: str, mean_terms: Sequence[tuple], scale_terms
     if patterns <= max(PATTERN_SHARE * n, 1):
         data = rows.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__y").alias("__m"),
                                         F.sum(F.log("__y")).alias("__ln"))
-        data = durable(narrow(df.sparkSession, data, patterns))
+        cached = durable(data)
+        data = narrow(df.sparkSession, cached, patterns)
     else:
         data = rows.select(*names, F.lit(1.0).alias("__n"), F.col("__y").alias("__m"), F.log("__y").alias("__ln"))
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        cached = data = data.persist(StorageLevel.MEMORY_AND_DISK)
     p1, p2 = mean.p, scale.p
 
     def unpack(v, k):
@@ -159,7 +160,9 @@ def fit_gamma_ls(df: DataFrame, y: str, mean_terms: Sequence[tuple], scale_terms
             if converged:
                 break
     finally:
-        data.unpersist()
+        cached.unpersist()
+    if not converged:
+        raise ArithmeticError(f"the location-scale fit did not converge in {max_passes} passes")
     return GammaScaleModel(
         mean, scale, GAMMA_LOG, y, int(n), c1, par[0][c1], np.linalg.inv(a[np.ix_(c1, c1)]), c2, par[1][c2],
         np.linalg.inv(b[np.ix_(c2, c2)]), float(ll), converged, passes)
@@ -224,9 +227,10 @@ def fit_glmm_ri(df: DataFrame, y: str, terms: Sequence[tuple], group: str, level
     rows = inputs.rows.select("__g", *design.input_columns(), "__y")
     # Rows of a group that share a covariate pattern are merged once.
     log_y = F.log("__y")
-    data = durable(rows.groupBy("__g", *names).agg(
+    merged = rows.groupBy("__g", *names).agg(
         F.count(F.lit(1)).cast("double").alias("__n"), F.sum("__y").alias("__sy"), F.sum(log_y).alias("__ln"),
-        F.sum(log_y * log_y).alias("__ln2")))
+        F.sum(log_y * log_y).alias("__ln2"))
+    data = durable(merged.repartition("__g"))     # kept by group, so that a pass moves nothing
     t, wt = np.polynomial.hermite.hermgauss(nodes)
     passes = 0
 

@@ -198,13 +198,13 @@ class ModelFrame:
             rows = inputs.rows.select(*self.design.input_columns(), "__y")
             self.compressed = patterns <= max(PATTERN_SHARE * n, 1) if compress == "auto" else bool(compress)
             if self.compressed:
-                self._cached = durable(narrow(self.spark, rows.groupBy(*names).agg(*sums), patterns))
+                self._cached = durable(rows.groupBy(*names).agg(*sums))
             else:
                 raw = rows.select(*names, F.lit(1.0).alias("__n"), y_.alias("__m"), F.lit(0.0).alias("__ss"),
                                            self.family.saturated(y_).alias("__sat"), F.lit(0).cast("long").alias("__bad"))
                 # As many rows as the source: a lost block is recomputed from its own split of it.
                 self._cached = raw.persist(StorageLevel.MEMORY_AND_DISK)
-            self.data = self._cached
+            self.data = narrow(self.spark, self._cached, patterns) if self.compressed else self._cached
         total = self.data.agg(F.sum("__n"), F.sum("__bad"), F.sum("__sat"), F.sum(F.col("__n") * F.col("__m"))).first()
         try:
             self._check(total[0] or 0, total[1])
@@ -332,10 +332,14 @@ class ModelFrame:
         """Full model, plus further column subsets solved in the same passes."""
         everything = list(range(self.design.p))
         null = [0] if self.design.intercept else []
+        if not null and self.family.link in ("inverse", "1/mu^2"):     # eta = 0 has no mean: the deviance is infinite
+            null = everything
         sets = [everything, null, *[list(s) for s in also]]
         distinct = list(dict.fromkeys(tuple(s) for s in sets))
         fits = dict(zip(distinct, self.solve(distinct), strict=True))
         model = self._model(fits[tuple(everything)], fits[tuple(null)])
+        if not self.design.intercept and null is everything:
+            model.null_deviance, model.df_null = math.inf, self.n
         return model, [fits[tuple(s)] for s in also]
 
     def _model(self, full: _Fit, null: _Fit) -> GlmModel:

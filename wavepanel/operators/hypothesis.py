@@ -22,6 +22,12 @@ def _type_ii_sets(design) -> list[tuple[list[int], list[int]]]:
     return out
 
 
+def _all_converged(fits) -> None:
+    open_fits = sum(not f.converged for f in fits)
+    if open_fits:
+        raise ArithmeticError(f"{open_fits} of {len(fits)} nested models did not converge; their deviances cannot be compared")
+
+
 def fit_and_test(df: DataFrame, y: str, terms: Sequence[tuple], family="gaussian", link: str | None = None,
                  levels: Mapping | None = None, intercept: bool = True, theta: float | None = None
                  ) -> tuple[GlmModel, DataFrame]:
@@ -33,6 +39,7 @@ def fit_and_test(df: DataFrame, y: str, terms: Sequence[tuple], family="gaussian
     with ModelFrame(df, y, terms, family, link, levels, intercept, theta) as frame:
         pairs = _type_ii_sets(frame.design)
         model, fits = frame.fit([s for pair in pairs for s in pair])
+    _all_converged(fits)
     gaussian = model.family.name == "gaussian"
     rows = []
     for i, label in enumerate(model.term_names()):
@@ -63,6 +70,7 @@ def anova_seq(df: DataFrame, y: str, terms: Sequence[tuple], family="gaussian",
     with ModelFrame(df, y, terms, family, link, levels, intercept) as frame:
         d = frame.design
         model, fits = frame.fit([d.columns_of(range(k)) for k in range(len(d.terms) + 1)])
+    _all_converged(fits)
     rows = [(0, "NULL", None, None, model.n - len(fits[0].cols), float(fits[0].deviance), None)]
     for k, label in enumerate(model.term_names(), start=1):
         df1 = len(fits[k].cols) - len(fits[k - 1].cols)

@@ -29,7 +29,7 @@ def left_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str, na_mat
 
 
 def bind_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], check: bool = True) -> DataFrame:
-    """Put two tables side by side by key; the keys must match one to one."""
+    """Put two tables side by side by key; the keys must match one to one, and a missing key matches a missing key."""
     keys = list(keys)
     if check:
         one, none = F.lit(1), F.lit(0)
@@ -38,7 +38,9 @@ def bind_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], check: b
         bad = sides.groupBy(*keys).agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r")).where("__l <> 1 or __r <> 1")
         if not bad.isEmpty():
             raise ValueError(f"keys {keys} do not match one to one")
-    return left.join(right, keys, "inner")
+    renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in keys})
+    match = all_of([F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in keys])
+    return left.join(renamed, match, "inner").drop(*[f"__r_{c}" for c in keys])
 
 
 def expand_grid(spark: SparkSession, **lists: Sequence) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from wavepanel.functions import numeric
 from wavepanel.functions.columns import inverse_link
 from wavepanel.operators.glm import GlmModel, fit_glm
-from wavepanel.operators.joins import expand_grid, number_sequence
+from wavepanel.operators.joins import expand_grid, left_join, number_sequence
 
 BATCH_BYTES = 64_000_000     # largest prediction x draw matrix held by one task
+MAX_LEVELS = 10_000          # grid rows averaged into one row
 
 
 def _missing(names: Sequence[str]) -> Column:
@@ -41,13 +42,18 @@ def with_link_se(model, df: DataFrame, fit: str = "fit", se: str = "se") -> Data
 
 
 def predict_ci(model, df: DataFrame, level: float = 0.95, name: str | None = None, keep_se: bool = False) -> DataFrame:
-    """Mean with a Wald interval built on the link scale: ``p_mle, p_lower, p_upper``."""
+    """Mean with a Wald interval built on the link scale: ``p_mle, p_lower, p_upper``.
+
+    A decreasing link turns the ends round. An end beyond the link's range (inverse links, at or below 0) is NULL.
+    """
     z = numeric.normal_quantile(0.5 + level / 2)
     link = model.family.link
+    falling = link in ("inverse", "1/mu^2")
+    low, high = F.col("__fit") - F.lit(z) * F.col("__se"), F.col("__fit") + F.lit(z) * F.col("__se")
+    if falling:
+        low, high = F.when(high > 0, high), F.when(low > 0, low)
     out = with_link_se(model, df, "__fit", "__se").withColumns({
-        "p_mle": inverse_link(F.col("__fit"), link),
-        "p_lower": inverse_link(F.col("__fit") - F.lit(z) * F.col("__se"), link),
-        "p_upper": inverse_link(F.col("__fit") + F.lit(z) * F.col("__se"), link)})
+        "p_mle": inverse_link(F.col("__fit"), link), "p_lower": inverse_link(low, link), "p_upper": inverse_link(high, link)})
     if name is not None:
         out = out.withColumn("name", F.lit(name))
     if keep_se:
@@ -55,11 +61,18 @@ def predict_ci(model, df: DataFrame, level: float = 0.95, name: str | None = Non
     return out.drop("__fit", "__se")
 
 
-def coefficient_draws(beta: np.ndarray, cov: np.ndarray, draws: int, seed: int) -> np.ndarray:
-    """draws x p matrix from N(beta, cov); the same in every task for a given seed."""
+def covariance_root(cov: np.ndarray) -> np.ndarray:
+    """A matrix r with r r' = cov. Made once on the driver, as a factor's signs may differ between machines."""
+    try:
+        return np.linalg.cholesky(cov)
+    except np.linalg.LinAlgError:                 # semi-definite
+        value, vector = np.linalg.eigh(cov)
+        return vector * np.sqrt(np.maximum(value, 0))
+
+
+def coefficient_draws(beta: np.ndarray, root: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """draws x p matrix from N(beta, root root'); the same in every task for a given seed."""
     rng = np.random.Generator(np.random.Philox(seed))
-    value, vector = np.linalg.eigh(cov)
-    root = vector * np.sqrt(np.maximum(value, 0))
     return beta + rng.standard_normal((draws, len(beta))) @ root.T
 
 
@@ -70,7 +83,8 @@ def marginal_ci(model: GlmModel, grid: DataFrame, over: str, keys: Sequence[str]
 
     Every grid key gathers its levels (and weights) into one row; a task
     regenerates the coefficient draws from the seed, so only the seed travels,
-    and reduces each row's draws to two quantiles on the spot.
+    and reduces each row's draws to two quantiles on the spot. A key that lacks a weight for one of its levels
+    keeps its row, with NULL results.
     """
     keys = list(keys)
     names = model.design.input_names()
@@ -79,11 +93,15 @@ def marginal_ci(model: GlmModel, grid: DataFrame, over: str, keys: Sequence[str]
         data = data.withColumn("__w", F.lit(1.0))
     else:
         on = [*weight_keys, over]
-        data = data.join(weights.select(*on, F.col(weight).alias("__w")), on)
-    packed = data.dropna("any", subset=[*names, "__w"]).groupBy(*keys).agg(
-        F.collect_list(F.struct(*names, "__w")).alias("__levels"))  # as many entries as ``over`` has levels
+        data = left_join(data, weights.select(*on, F.col(weight).alias("__w")), on)
+    packed = data.dropna("any", subset=names).groupBy(*keys).agg(
+        F.collect_list(F.struct(*names, "__w")).alias("__levels"), F.max(F.col("__w").isNull()).alias("__open"))
+    widest = packed.agg(F.max(F.size("__levels"))).first()[0] or 0
+    if widest > MAX_LEVELS:
+        raise ValueError(f"keys {keys} leave {widest} rows of the grid together; they and {over!r} must tell its rows apart")
+    packed = packed.withColumn("__levels", F.when(~F.col("__open"), F.col("__levels")))
     design, cols, fam = model.design, model.cols, model.family
-    beta, cov = model.beta_scaled, model.cov_scaled
+    beta, root = model.beta_scaled, covariance_root(model.cov_scaled)
     lower, upper = 0.5 - level / 2, 0.5 + level / 2
     unweighted = weights is None
 
@@ -93,7 +111,13 @@ def marginal_ci(model: GlmModel, grid: DataFrame, over: str, keys: Sequence[str]
             if not len(batch):
                 continue
             if sims is None:
-                sims = coefficient_draws(beta, cov, draws, seed).T
+                sims = coefficient_draws(beta, root, draws, seed).T
+            lacking = batch["__levels"].isna()
+            if lacking.any():
+                yield batch[lacking].drop(columns=["__levels", "__open"]).assign(p_mle=None, p_lower=None, p_upper=None)
+                batch = batch[~lacking]
+                if not len(batch):
+                    continue
             widest = max(len(v) for v in batch["__levels"])
             step = max(1, BATCH_BYTES // (8 * draws * widest))
             for at in range(0, len(batch), step):
@@ -109,9 +133,9 @@ def marginal_ci(model: GlmModel, grid: DataFrame, over: str, keys: Sequence[str]
                 point = np.add.reduceat(fam.mean(x @ beta) * w, starts)
                 means = np.add.reduceat(fam.mean(x @ sims) * w[:, None], starts, axis=0)
                 lo, hi = np.quantile(means, [lower, upper], axis=1)
-                yield part.drop(columns="__levels").assign(p_mle=point, p_lower=lo, p_upper=hi)
+                yield part.drop(columns=["__levels", "__open"]).assign(p_mle=point, p_lower=lo, p_upper=hi)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields if f.name != "__levels")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields if f.name not in ("__levels", "__open"))
     return packed.mapInPandas(run, schema + ", p_mle double, p_lower double, p_upper double")
 
 

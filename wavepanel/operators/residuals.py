@@ -47,6 +47,8 @@ def counter_uniform(h: np.ndarray, counter) -> np.ndarray:
 
 def _scored(model, df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Complete rows with the fitted mean ``__mu`` and, for a Gamma response, the shape ``__shape``."""
+    if hasattr(model, "sigma"):
+        raise ValueError("a random-intercept model has no mean without its intercepts; residuals of its fixed part would be wrong")
     names = model.design.input_names()
     out = model.inputs(df).withColumn("__mu", inverse_link(model.eta(), model.family.link))
     scale = getattr(model, "scale_design", None)
@@ -198,7 +200,9 @@ def levene(df: DataFrame, value: str, by: Sequence[str] | str) -> DataFrame:
     med, groups = counted_quantiles(data, value, [0.5], by)
     med = maybe_broadcast(_rekeyed(med.select(*by, F.col("q0").alias("__med")), by), groups)
     gap = F.abs(F.col(value) - F.col("__med"))
-    cells = (data.join(med, all_of([F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]))
+    if not by:
+        data, med = data.withColumn("__all", F.lit(0)), med.withColumn("__k___all", F.lit(0))
+    cells = (data.join(med, all_of([F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by or ["__all"]]))
              .groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.avg(gap).alias("__m"),
                                (F.var_pop(gap) * F.count(F.lit(1))).alias("__ss")))
     cells = cells.persist()  # one row per cell
@@ -322,6 +326,28 @@ def draw_gamma(shape: np.ndarray, h: np.ndarray, counter: int) -> np.ndarray:
     return np.where(boost, out * lift, out)
 
 
+def _count_quantile(target: np.ndarray, mu: np.ndarray, size: float | None) -> np.ndarray:
+    """Smallest y with P(Y <= y) >= target, by doubling steps around the mean and then halving."""
+    def cdf(y):
+        return numeric.poisson_cdf(y, mu) if size is None else numeric.negbin_cdf(y, mu, size)
+
+    if not len(mu):
+        return mu
+    sd = np.sqrt(mu if size is None else mu + mu * mu / size)
+    low, high = np.floor(mu - sd), np.ceil(mu + sd)
+    for _ in range(60):
+        too_high, too_low = (cdf(np.maximum(low, 0)) >= target) & (low > 0), cdf(high) < target
+        if not (too_high.any() or too_low.any()):
+            break
+        low, high = np.where(too_high, np.maximum(low - (high - low), -1), low), np.where(too_low, high + (high - low), high)
+    low = np.maximum(low, -1)
+    while (high - low > 1).any():
+        middle = np.floor((low + high) / 2)
+        enough = cdf(np.maximum(middle, 0)) >= target
+        low, high = np.where(enough, low, middle), np.where(enough, middle, high)
+    return high
+
+
 def draw_count(u: np.ndarray, mu: np.ndarray, size: float | None, truncated: bool = False) -> np.ndarray:
     """Poisson or negative binomial variates (size k), optionally given y > 0, by inverting the distribution."""
     with np.errstate(all="ignore"):
@@ -332,7 +358,9 @@ def draw_count(u: np.ndarray, mu: np.ndarray, size: float | None, truncated: boo
         p = np.exp(log_p0)
         target = p + u * -np.expm1(log_p0) if truncated else u
         y = np.zeros(len(mu))
-        left = np.flatnonzero(p < target)              # rows still below their target
+        far = np.flatnonzero(log_p0 < -600)            # P(0) underflows: no recurrence from 0
+        y[far] = _count_quantile(target[far], mu[far], size)
+        left = np.flatnonzero((p < target) & (log_p0 >= -600))  # rows still below their target
         p, total, target, ratio = p[left], p[left], target[left], ratio[left]
         k = 0
         while len(left):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 from wavepanel.functions.columns import all_of
 from wavepanel.functions.storage import durable, maybe_broadcast
 from wavepanel.operators.clean import Levels
+from wavepanel.operators.joins import left_join
 
 # A group with at most this many distinct values is summarised by Spark's exact
 # percentile, whose state is one entry per distinct value.
 EXACT_DISTINCT = 200_000
+LARGEST = sys.float_info.max
 
 
 def _names(by) -> list[str]:
@@ -126,6 +129,13 @@ def counted_quantiles(df: DataFrame, col: str, probs: Sequence[float], by=None,
     return (show_keys(out, by) if by else out.drop("__k0")), groups
 
 
+def _unclipped(bound: tuple[str, Column, Column, Column]) -> Column:
+    """Interpolate between two order statistics; the largest finite doubles stand for the infinities."""
+    name, *ends, part = bound
+    low, high = (F.when(e >= LARGEST, F.lit(math.inf)).when(e <= -LARGEST, F.lit(-math.inf)).otherwise(e) for e in ends)
+    return F.when((low == high) | (part == 0), low).otherwise(low + part * (high - low)).alias(name)
+
+
 def _bracketed_quantiles(data: DataFrame, key: list[str], probs: list[float], limit: int,
                          cells: int = 1024) -> DataFrame:
     """Narrow a closed bracket [lo, hi] around each order statistic, one counting pass per round.
@@ -134,6 +144,8 @@ def _bracketed_quantiles(data: DataFrame, key: list[str], probs: list[float], li
     map-side) and keeps the cell that contains the wanted rank. A bracket is
     done when it holds at most ``limit`` rows or a single value.
     """
+    # Infinite ends have no width: brackets are cut between the largest finite doubles.
+    data = data.withColumn("__x", F.greatest(F.least(F.col("__x"), F.lit(LARGEST)), F.lit(-LARGEST)))
     total = data.groupBy(*key).agg(F.count("__x").alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
     # The two order statistics that a type-7 quantile interpolates between.
     targets = durable(total.select(*key, "n", "lo", "hi", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("qi", "p"))
@@ -146,11 +158,13 @@ def _bracketed_quantiles(data: DataFrame, key: list[str], probs: list[float], li
     def same(left, right, extra=()):
         return all_of([F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in [*key, *extra]])
 
+    before = None
     while True:
         brackets = maybe_broadcast(targets.select(*key, "lo", "hi").distinct(), wanted)
         within = (data.alias("d").join(brackets.alias("b"), same("d", "b") & F.expr("d.__x between b.lo and b.hi"))
                   .select(*[F.col(f"b.{c}") for c in [*key, "lo", "hi"]], "d.__x"))
-        place = F.floor((F.col("__x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(cells))
+        # halves, as the whole range of doubles has no finite width
+        place = F.floor((F.col("__x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * F.lit(cells))
         cell = F.when(F.col("hi") > F.col("lo"), F.least(place, F.lit(cells - 1))).otherwise(F.lit(0))
         counted = within.groupBy(*key, "lo", "hi", cell.alias("cell")).agg(
             F.count(F.lit(1)).alias("c"), F.min("__x").alias("mn"), F.max("__x").alias("mx"))
@@ -161,11 +175,14 @@ def _bracketed_quantiles(data: DataFrame, key: list[str], probs: list[float], li
                     .select(*[F.col(f"t.{c}") for c in [*key, "qi", "side", "n", "h"]],
                             F.expr("t.rank - (c.upto - c.c)").alias("rank"),
                             F.col("c.mn").alias("lo"), F.col("c.mx").alias("hi"), F.col("c.c").alias("rows")))
-        left = narrowed.where("hi > lo").agg(F.max("rows")).first()[0] or 0
+        left, width = narrowed.where("hi > lo").agg(F.max("rows"), F.sum(F.col("hi") / 2 - F.col("lo") / 2)).first()
         targets.unpersist()
         targets = narrowed
-        if left <= limit:
+        if (left or 0) <= limit:
             break
+        if (left, width) == before:
+            raise ValueError("quantile brackets no longer shrink")
+        before = (left, width)
     # Each bracket now holds few rows or one value: finish on value counts.
     brackets = maybe_broadcast(targets.select(*key, "lo", "hi").distinct(), wanted)
     values = (data.alias("d").join(brackets.alias("b"), same("d", "b") & F.expr("d.__x between b.lo and b.hi"))
@@ -182,8 +199,8 @@ def _bracketed_quantiles(data: DataFrame, key: list[str], probs: list[float], li
         low = F.max(F.when(at & (F.col("side") == 0), F.col("v")))
         high = F.max(F.when(at & (F.col("side") == 1), F.col("v")))
         part = F.max(F.when(at, F.col("h") - F.floor("h")))
-        cols.append((low + part * (high - low)).alias(f"q{i}"))
-    return found.groupBy(*key).agg(F.max("n").alias("n"), *cols)
+        cols.append((f"q{i}", low, high, part))
+    return found.groupBy(*key).agg(F.max("n").alias("n"), *[_unclipped(c) for c in cols])
 
 
 def six_num(df: DataFrame, col: str, by: Sequence[str] | str | None = None) -> DataFrame:
@@ -204,14 +221,16 @@ def box_stats(df: DataFrame, by: Sequence[str] | str, col: str, whisker: float =
     ``whisker`` interquartile ranges of the hinges.
     """
     by = _names(by)
-    data = df.where(F.col(col).isNotNull())
+    data = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
     q, cells = counted_quantiles(data, col, (0.25, 0.5, 0.75), by)
     iqr = F.col("q2") - F.col("q0")
     fences = _rekeyed(q.select(*by, "n", F.col("q0").alias("__lower"), F.col("q1").alias("__median"),
                                F.col("q2").alias("__upper"), (F.col("q0") - whisker * iqr).alias("__lo"),
                                (F.col("q2") + whisker * iqr).alias("__hi")), by)
     # One row per cell on the right; the cells have been counted.
-    fenced = data.join(maybe_broadcast(fences, cells), all_of([F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]))
+    if not by:
+        data, fences = data.withColumn("__all", F.lit(0)), fences.withColumn("__k___all", F.lit(0))
+    fenced = data.join(maybe_broadcast(fences, cells), all_of([F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by or ["__all"]]))
     x = F.col(col)
     inside = x.between(F.col("__lo"), F.col("__hi"))
     stats = fenced.groupBy(*by).agg(
@@ -235,9 +254,10 @@ def crosstab_prop(df: DataFrame, row: str, col: str, row_levels: Levels | Sequen
         cols = list(col_levels.values if isinstance(col_levels, Levels) else col_levels)
         cells = df.sparkSession.createDataFrame([(r, c) for r in rows for c in cols], [row, col])
         counts = cells.join(counts, [row, col], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    window = Window.partitionBy(row) if margin == "row" else Window.partitionBy(F.lit(0))
-    # The window runs over cells (levels x levels), not over rows.
-    total = F.sum("n").over(window)
+    if margin == "row":                           # the window runs over cells (levels x levels), not over rows
+        total = F.sum("n").over(Window.partitionBy(row))
+    else:
+        total = F.lit(data.count())
     return counts.withColumn("prop", F.when(total > 0, F.col("n") / total))
 
 
@@ -280,7 +300,7 @@ def pretty_breaks(low: float, high: float, n: int) -> list[float]:
 
 
 def histogram(df: DataFrame, col: str, breaks: Sequence[float] | str = "sturges") -> DataFrame:
-    """Counts per right-closed interval (the first one closed on both sides)."""
+    """Counts per right-closed interval (the first one closed on both sides). Values outside the breaks are an error."""
     x = F.col(col).cast("double")
     if isinstance(breaks, str):
         if breaks != "sturges":
@@ -291,10 +311,13 @@ def histogram(df: DataFrame, col: str, breaks: Sequence[float] | str = "sturges"
         breaks = pretty_breaks(low, high, math.ceil(math.log2(n) + 1))
     edges = [float(b) for b in breaks]
     data = df.where(x.isNotNull()).select(x.alias("x"))
-    expr = F.when((F.col("x") < edges[0]) | (F.col("x") > edges[-1]), F.lit(None))
+    expr = F.when((F.col("x") < edges[0]) | (F.col("x") > edges[-1]) | F.isnan("x"), F.lit(-1))
     for i, edge in enumerate(edges[1:]):
         expr = expr.when(F.col("x") <= edge, F.lit(i))
-    counts = data.groupBy(expr.alias("bin")).agg(F.count(F.lit(1)).alias("count")).where("bin is not null")
+    counts = durable(data.groupBy(expr.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
+    outside = counts.where("bin = -1").first()
+    if outside:
+        raise ValueError(f"{outside['count']} values of {col!r} lie outside the breaks")
     bins = df.sparkSession.createDataFrame(
         [(i, a, b) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))],
         "bin int, lower double, upper double")
@@ -306,11 +329,13 @@ def marginalise(pred: DataFrame, over: str, keys: Sequence[str], value: str, wei
     """Average a prediction over the levels of ``over``.
 
     Weighted by a table keyed on ``weight_keys`` + ``over`` (always matched by
-    key), or unweighted when no weights are given.
+    key, missing keys too), or unweighted when no weights are given. A group with a level that has no
+    weight keeps its row, with a NULL mean.
     """
     out = out or value
     if weights is None:
         return pred.groupBy(*keys).agg(F.avg(value).alias(out))
     on = [*(weight_keys or []), over]
-    joined = pred.join(weights.select(*on, F.col(weight).alias("__w")), on)
-    return joined.groupBy(*keys).agg(F.sum(F.col(value) * F.col("__w")).alias(out))
+    joined = left_join(pred, weights.select(*on, F.col(weight).alias("__w")), on)
+    part = F.col(value) * F.col("__w")
+    return joined.groupBy(*keys).agg(F.when(F.count(part) == F.count(F.lit(1)), F.sum(part)).alias(out))

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WAVE_YEARS = {0: 1995, 1: 1996, 2: 1997, 3: 1998, 4: 1999, 5: 2000}
+WAVE_YEARS = {k: 1995 + k for k in range(7)}        # every year in which the table has orders
 TREATMENTS = {"AUTOMOBILE": "a", "BUILDING": "b", "FURNITURE": "c", "HOUSEHOLD": "a", "MACHINERY": "b"}
 URGENT = ("1-URGENT", "2-HIGH")
 
+LAST_WAVE = max(WAVE_YEARS)
 ALT = [f"alt{k}" for k in WAVE_YEARS]
 SUP = [f"sup{k}" for k in WAVE_YEARS if k > 0]
 FRUTOS = [f"frutos{k}" for k in WAVE_YEARS]
@@ -83,5 +84,5 @@ LINES_SQL = ("lines AS (SELECT *, (l_discount > 0.05)::INTEGER AS big, year(l_sh
 
 def long_sql(cols, name: str, value: str, ids=("id", "sp", "trat", "dom", "alt0")) -> str:
     """UNION ALL unpivot of panel columns, missing cells kept."""
-    parts = [f"SELECT {', '.join(ids)}, '{c}' AS {name}, {c[-1]}::INTEGER AS wave, {c} AS {value} FROM panel" for c in cols]
+    parts = [f"SELECT {', '.join(ids)}, '{c}' AS {name}, {c.lstrip('abcdefghijklmnopqrstuvwxyz')}::INTEGER AS wave, {c} AS {value} FROM panel" for c in cols]
     return " UNION ALL ".join(parts)

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from wavepanel.functions.numeric import normal_quantile
 from wavepanel.operators import clean, joins, reshape, summaries
-from wavepanel.operators.counts import fit_hurdle, fit_negbin
+from wavepanel.operators.counts import fit_hurdle, fit_negbin, fit_ztnb
 from wavepanel.operators.extended import fit_gamma_ls
 from wavepanel.operators.glm import fit_glm
 from wavepanel.operators.hypothesis import anova_ii, anova_wald, fit_and_test
 from wavepanel.operators.predict import fit_curve, marginal_ci, predict_ci
 from wavepanel.operators.residuals import residual_by_cell, residual_overall, residual_smooth, sim_residuals
-from wavepanel.operators.terms import poly, star, term_list
-from wavepanel.plans.panels import ALT, FRUTOS, IDS, LINES_SQL, PANEL_SQL, SUP, TIME, lines, long_sql, wide_panel
+from wavepanel.operators.terms import base_column, poly, star, term_list
+from wavepanel.plans.panels import ALT, FRUTOS, IDS, LAST_WAVE, LINES_SQL, PANEL_SQL, SUP, TIME, lines, long_sql, wide_panel
 from wavepanel.plans.registry import query, r, round_all
 from wavepanel.plans.sql_models import design_list, predict_sql, term_columns, type_ii_sql, wald_sql, ztnb_cte
 from wavepanel.plans.table_queries import observed_survival
@@ -53,7 +53,7 @@ def survival_layers(spark, sf, draws: int = 30_000):
     """Predictions by dominance, and marginal predictions overall and by height class, with the observed points."""
     panel, long = survival_long(spark, sf)
     model = survival_model(long)
-    years = joins.number_sequence(1, 5, 100)
+    years = joins.number_sequence(1, LAST_WAVE, 100)
     mean_height = panel.agg(F.avg("alt0")).first()[0]
     class_means = {row["alt_cat"]: row["alt0"] for row in
                    summaries.group_mean(panel, "alt_cat", ["alt0"], casewise=True).collect()}  # three classes
@@ -112,7 +112,7 @@ _SURV_X = {"year": "wave - 3", "alt0": "z"}
 def _q3_dominance_sql():
     ctes, mle, lower, upper = predict_sql("m", "src", SURVIVAL, LEVELS, _SURV_X, "binomial", Z, steps=7)
     return (f"WITH RECURSIVE {_SURV_SRC}, {', '.join(ctes)}, a AS (SELECT (avg(alt0) - 250) / 100 AS z FROM panel), "
-            f"grid AS (SELECT 1 + 4 * i / 99.0 AS wave, trat, dom, z FROM a, range(100) t(i), (VALUES ('a'), ('b'), ('c')) x(trat), (VALUES ('dom'), ('sub')) y(dom)) "
+            f"grid AS (SELECT 1 + {LAST_WAVE - 1} * i / 99.0 AS wave, trat, dom, z FROM a, range(100) t(i), (VALUES ('a'), ('b'), ('c')) x(trat), (VALUES ('dom'), ('sub')) y(dom)) "
             f"SELECT {r('wave')} AS year, trat, dom, {r(mle)} AS p_mle, {r(lower)} AS p_lower, {r(upper)} AS p_upper FROM m, m_v, m_phi, grid")
 
 
@@ -120,7 +120,7 @@ def _q3_dominance_sql():
 def q3_dominance(spark, sf):
     """Predicted survival by wave, treatment and dominance at the mean height."""
     panel, long = survival_long(spark, sf)
-    grid = joins.expand_grid(spark, year=joins.number_sequence(1, 5, 100), trat=LEVELS["trat"], dom=LEVELS["dom"])
+    grid = joins.expand_grid(spark, year=joins.number_sequence(1, LAST_WAVE, 100), trat=LEVELS["trat"], dom=LEVELS["dom"])
     grid = grid.drop("grid_id").withColumn("alt0", F.lit(panel.agg(F.avg("alt0")).first()[0]))
     return round_all(predict_ci(survival_model(long), grid).drop("alt0"))
 
@@ -158,7 +158,7 @@ def height_long(spark, sf):
 
 
 def height_levels(species: bool = False):
-    out = {**{k: LEVELS[k] for k in ("trat", "dom")}, "year": ["1", "2", "3", "4", "5"]}
+    out = {**{k: LEVELS[k] for k in ("trat", "dom")}, "year": [str(k) for k in range(1, LAST_WAVE + 1)]}
     return {**out, "sp": LEVELS["sp"]} if species else out
 
 
@@ -208,7 +208,7 @@ def q4_calibration(spark, sf):
                                                         F.sum(F.col("alt") / F.col("fitted")).alias("ratio_total")), 4)
 
 
-@query("q4_anova", type_ii_sql(_HEIGHT_SRC, "src", HEIGHT, _HEIGHT_LEVELS, _HEIGHT_X, "gamma", _HEIGHT_PHI.format(p=36)))
+@query("q4_anova", type_ii_sql(_HEIGHT_SRC, "src", HEIGHT, _HEIGHT_LEVELS, _HEIGHT_X, "gamma", _HEIGHT_PHI.format(p=6 * LAST_WAVE + 6)))
 def q4_anova(spark, sf):
     table = anova_ii(height_long(spark, sf), "alt", HEIGHT, "gamma", "log", levels=height_levels())
     return round_all(table.select("term", "lr_chisq", "df"), 4)
@@ -248,14 +248,21 @@ def q4_boxes(spark, sf):
     return round_all(joins.union_labelled(stats, "layer"), 9)
 
 
-HEIGHT_SPECS = {"linear with interaction": HEIGHT_LINEAR, "quadratic without interaction": HEIGHT_PLAIN,
-                "quadratic with interaction": HEIGHT, "quadratic with interaction and sp": HEIGHT_SPECIES}
+def spec_label(terms):
+    """How the height enters a model: its degree, its crossings, and further variables."""
+    names = [[base_column(v) for v in t] for t in terms]
+    degree = 2 if any(v != base_column(v) for t in terms for v in t) else 1
+    crossed = sorted({v for t in names for v in t if "alt0" in t} - {"alt0"})
+    return f"alt0^{degree}" + (" x " + ",".join(crossed) if crossed else "")
+
+
+HEIGHT_SPECS = {spec_label(terms): terms for terms in (HEIGHT_LINEAR, HEIGHT_PLAIN, HEIGHT, HEIGHT_SPECIES)}
 
 
 def _q5_sql():
     ctes, parts = [], []
     for i, (name, terms) in enumerate(HEIGHT_SPECS.items()):
-        species = name.endswith("sp")
+        species = terms is HEIGHT_SPECIES
         mine, mle, lower, upper = predict_sql(f"m{i}", "src", terms, _HEIGHT_LEVELS, _HEIGHT_X, "gamma", Z, steps=24)
         ctes += mine
         parts.append(f"SELECT {r('alt0', 3)} AS alt0, year, trat, dom, {'sp' if species else 'NULL::VARCHAR AS sp'}, {r(mle, 3)} AS p_mle, {r(lower, 3)} AS p_lower, "
@@ -270,7 +277,7 @@ def q5_models(spark, sf):
     long = height_long(spark, sf)
     out = {}
     for name, terms in HEIGHT_SPECS.items():
-        species = name.endswith("sp")
+        species = terms is HEIGHT_SPECIES
         model = fit_glm(long, "alt", terms, "gamma", "log", levels=height_levels(species))
         out[name] = predict_ci(model, _height_grid(spark, long, species))
     return round_all(joins.union_labelled(out), 3)
@@ -327,8 +334,8 @@ def q6_hurdle(spark, sf):
     f"SELECT '{t}' AS term, {len(at)} AS df, {r(wald_sql('k', at), 3)} AS chisq"
     for t, at in (("yr", range(2, 8)), ("l_returnflag", (8, 9)), ("tax", (10,)), ("l_linestatus", (11,)))))
 def q6_wald(spark, sf):
-    model = fit_hurdle(lines(spark, sf), "excess", FRUIT_P, FRUIT_N)
-    return round_all(anova_wald(spark, model.count).select("term", "df", "chisq"), 3)
+    model = fit_ztnb(lines(spark, sf).where(F.col("excess") > 0), "excess", FRUIT_N)
+    return round_all(anova_wald(spark, model).select("term", "df", "chisq"), 3)
 
 
 _FRUIT_BOX = """q AS (SELECT yr, l_returnflag, l_linestatus, quantile_cont(excess + 1, 0.25) AS lo, median(excess + 1) AS md, quantile_cont(excess + 1, 0.75) AS hi FROM lines GROUP BY ALL),
@@ -345,7 +352,7 @@ def q6_boxes(spark, sf):
 @query("q6_count_residuals")
 def q6_count_residuals(spark, sf):
     df = lines(spark, sf).where("excess > 0")
-    model = fit_hurdle(lines(spark, sf), "excess", FRUIT_P, FRUIT_N).count
+    model = fit_ztnb(lines(spark, sf).where(F.col("excess") > 0), "excess", FRUIT_N)
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
     return round_all(residual_by_cell(sim_residuals(model, df, key, seed=34234), ["yr"]), 4)
 
@@ -387,7 +394,7 @@ def _q7_sql():
     fruit_src = (f"{_SP_LINES}, src AS (SELECT yr, l_returnflag, l_linestatus, sp, tax - 4 AS t, count(*)::DOUBLE AS n, "
                  f"sum((excess > 0)::INTEGER)::DOUBLE AS s FROM lines GROUP BY ALL)")
     lr = {"survival": type_ii_sql(_SURV_SRC, "src", term_list(SURVIVAL, "sp"), LEVELS, _SURV_X, "binomial", steps=7),
-          "height": type_ii_sql(_HEIGHT_SRC, "src", term_list(HEIGHT, "sp"), _HEIGHT_LEVELS, _HEIGHT_X, "gamma", _HEIGHT_PHI.format(p=37)),
+          "height": type_ii_sql(_HEIGHT_SRC, "src", term_list(HEIGHT, "sp"), _HEIGHT_LEVELS, _HEIGHT_X, "gamma", _HEIGHT_PHI.format(p=6 * LAST_WAVE + 7)),
           "fruit probability": type_ii_sql(fruit_src, "src", term_list(FRUIT_P, "sp"), _FRUIT_LEVELS_SP, {"tax": "t"}, "binomial", steps=6)}
     terms = [*FRUIT_N, ("sp",)]
     cols = term_columns(terms, _FRUIT_LEVELS_SP, {"tax": "t"})
@@ -409,13 +416,13 @@ def q7_species(spark, sf):
     two = {k: LEVELS[k] for k in ("trat", "dom", "sp")}
     height = height_long(spark, sf)
     df = lines(spark, sf).withColumn("sp", F.when(F.col("l_suppkey") % 2 == 0, "ang").otherwise("ata"))
-    positive = fit_hurdle(df, "excess", term_list(FRUIT_P, "sp"), [*FRUIT_N, ("sp",)])
+    positive = fit_ztnb(df.where(F.col("excess") > 0), "excess", [*FRUIT_N, ("sp",)])
     fruit = anova_ii(clean.indicator(df, F.col("excess") > 0, "positive"), "positive", term_list(FRUIT_P, "sp"), "binomial")
     tables = {
         "survival": anova_ii(surv, "survival", term_list(SURVIVAL, "sp"), "binomial", levels=two),
         "height": anova_ii(height, "alt", term_list(HEIGHT, "sp"), "gamma", "log", levels=height_levels(True)),
         "fruit probability": fruit,
-        "fruit count": anova_wald(spark, positive.count).withColumnRenamed("chisq", "wald_chisq"),
+        "fruit count": anova_wald(spark, positive).withColumnRenamed("chisq", "wald_chisq"),
     }
     return round_all(joins.union_labelled(tables, "model").drop("position", "p_value"), 4, wald_chisq=3)
 
@@ -435,7 +442,7 @@ def q8_first_growth(spark, sf):
                      f_statistic=5)
 
 
-@query("q9_total_nb", f"""{W}, d AS (SELECT trat, coalesce(frutos1,0)+coalesce(frutos2,0)+coalesce(frutos3,0)+coalesce(frutos4,0)+coalesce(frutos5,0) AS y FROM panel)
+@query("q9_total_nb", f"""{W}, d AS (SELECT trat, {' + '.join(f'coalesce({c},0)' for c in FRUTOS[1:])} AS y FROM panel)
 SELECT trat, {r('avg(y)', 4)} AS fitted FROM d GROUP BY trat""")
 def q9_total_nb(spark, sf):
     """Total count per subject by treatment, without intercept; fitted values are the group means."""
@@ -445,17 +452,17 @@ def q9_total_nb(spark, sf):
 
 
 @query("q10_total_time", f"""{W}, d AS (SELECT trat, CASE WHEN t = 0 THEN 1e-5 ELSE t END AS t FROM (SELECT trat, {' + '.join(f'coalesce({c},0)' for c in TIME[1:])} AS t FROM panel))
-SELECT trat, {r('avg(t)')} AS fitted, {r('avg(t) / 4')} AS per_year FROM d GROUP BY trat""")
+SELECT trat, {r('avg(t)')} AS fitted, {r(f'avg(t) / {LAST_WAVE - 1}')} AS per_year FROM d GROUP BY trat""")
 def q10_total_time(spark, sf):
     df = clean.row_sum(wide_panel(spark, sf), TIME[1:], "t_resprout")
     df = df.withColumn("t_resprout", F.when(F.col("t_resprout") == 0, F.lit(1e-5)).otherwise(F.col("t_resprout")))
     model = fit_glm(df, "t_resprout", [("trat",)], "gamma", "log", levels={"trat": LEVELS["trat"]})
-    return round_all(model.fitted(df).withColumn("per_year", F.col("fitted") / 4))
+    return round_all(model.fitted(df).withColumn("per_year", F.col("fitted") / (LAST_WAVE - 1)))
 
 
 def time_by_size(spark, sf):
     long = reshape.to_long_multi(wide_panel(spark, sf), ["id"], {"time": TIME, "alt": ALT}, "year")
-    return long.withColumn("type", F.when(F.col("year") == 0, "Adulto").otherwise("Rebrote"))
+    return long.withColumn("type", F.when(F.col("year") == 0, "baseline").otherwise("later waves"))
 
 
 _Q11_X = {"alt": "(alt - 250) / 100"}
@@ -463,8 +470,8 @@ _Q11_TERMS = [("alt",), ("type",), ("alt", "type")]
 
 
 def _q11_sql():
-    long = " UNION ALL ".join(f"SELECT '{'Adulto' if k == 0 else 'Rebrote'}' AS type, t{k} AS time, alt{k} AS alt FROM panel" for k in range(6))
-    ctes, mle, lower, upper = predict_sql("m", "src", _Q11_TERMS, {"type": ["Adulto", "Rebrote"]}, _Q11_X, "gamma", Z, steps=40)
+    long = " UNION ALL ".join(f"SELECT '{'baseline' if k == 0 else 'later waves'}' AS type, t{k} AS time, alt{k} AS alt FROM panel" for k in range(LAST_WAVE + 1))
+    ctes, mle, lower, upper = predict_sql("m", "src", _Q11_TERMS, {"type": ["baseline", "later waves"]}, _Q11_X, "gamma", Z, steps=40)
     return (f"{W.replace('WITH', 'WITH RECURSIVE', 1)}, src AS (SELECT type, alt, 1.0::DOUBLE AS n, time AS s, ln(time) AS ln FROM ({long}) WHERE time IS NOT NULL AND alt IS NOT NULL), "
             f"{', '.join(ctes)}, grid AS (SELECT type, lo + (hi - lo) * i / 79.0 AS alt FROM (SELECT type, min(alt) AS lo, max(alt) AS hi FROM src GROUP BY type), range(80) t(i)) "
             f"SELECT type, {r('alt', 8)} AS alt, {r(mle, 8)} AS p_mle, {r(lower, 8)} AS p_lower, {r(upper, 8)} AS p_upper FROM m, m_v, m_phi, grid")
@@ -475,7 +482,7 @@ def q11_time_size(spark, sf):
     return round_all(fit_curve(time_by_size(spark, sf), "alt", "time", "type", n=80), 8)
 
 
-@query("q11_calibration", f"""{W}, l AS ({' UNION ALL '.join(f"SELECT '{'Adulto' if k == 0 else 'Rebrote'}' AS type, t{k} AS time, alt{k} AS alt FROM panel" for k in range(6))})
+@query("q11_calibration", f"""{W}, l AS ({' UNION ALL '.join(f"SELECT '{'baseline' if k == 0 else 'later waves'}' AS type, t{k} AS time, alt{k} AS alt FROM panel" for k in range(LAST_WAVE + 1))})
 SELECT type, count(*) AS n, {r('count(*)', 4)} AS ratio_total, {r('sum(alt) / 1000', 4)} AS weighted_total FROM l WHERE time IS NOT NULL AND alt IS NOT NULL GROUP BY type""")
 def q11_calibration(spark, sf):
     df = time_by_size(spark, sf)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wavepanel.functions.columns import paste, plogis, wave_index
 from wavepanel.functions.numeric import normal_quantile
 from wavepanel.operators import clean, joins, reshape, summaries
-from wavepanel.plans.panels import ALT, FRUTOS, IDS, LINES_SQL, PANEL_SQL, SUP, TIME, lines, long_sql, wide_panel
+from wavepanel.plans.panels import ALT, FRUTOS, IDS, LAST_WAVE, LINES_SQL, PANEL_SQL, SUP, TIME, lines, long_sql, wide_panel
 from wavepanel.plans.registry import query, r, round_all
 from wavepanel.sources.tables import preview, read_panel
 
@@ -29,9 +29,9 @@ def _preview_sql(cols):
     return f"{W} " + " UNION ALL ".join(one.format(c, r(f"min({c})"), r(f"avg({c})"), r(f"max({c})")) for c in cols)
 
 
-@query("preview", _preview_sql(["alt0", "alt3", "frutos2", "sup4", "t5", "tocon0"]))
+@query("preview", _preview_sql([*ALT, *SUP, *FRUTOS, *TIME, "tocon0"]))
 def preview_query(spark, sf):
-    df = wide_panel(spark, sf).select("alt0", "alt3", "frutos2", "sup4", "t5", "tocon0")
+    df = wide_panel(spark, sf).select(*ALT, *SUP, *FRUTOS, *TIME, "tocon0")
     return round_all(preview(df).drop("position", "type"))
 
 
@@ -78,8 +78,7 @@ SELECT 'l_returnflag' AS "column", l_returnflag AS level FROM lineitem GROUP BY
 UNION ALL SELECT 'l_linestatus', l_linestatus FROM lineitem GROUP BY ALL
 UNION ALL SELECT 'l_linenumber', l_linenumber::VARCHAR FROM lineitem GROUP BY ALL""")
 def distinct_levels(spark, sf):
-    found = clean.find_levels(lines(spark, sf), ["l_returnflag", "l_linestatus", "l_linenumber"])
-    return spark.createDataFrame([(c, str(v)) for c, lv in found.items() for v in lv.values], "column string, level string")
+    return clean.distinct_values(lines(spark, sf), ["l_returnflag", "l_linestatus", "l_linenumber"])
 
 
 @query("complete_cases", f"""{W} SELECT id, trat, {r('alt1', 9)} AS alt1, {r('alt2', 9)} AS alt2, frutos1 FROM panel
@@ -136,7 +135,7 @@ def polynomial(spark, sf):
     return round_all(df.select("l_orderkey", "l_linenumber", "l_quantity", F.col("m0").alias("q2"), F.col("m1").alias("q3")))
 
 
-@query("row_sum", f"""{W} SELECT id, coalesce(frutos1,0)+coalesce(frutos2,0)+coalesce(frutos3,0)+coalesce(frutos4,0)+coalesce(frutos5,0)::DOUBLE AS frut_sum,
+@query("row_sum", f"""{W} SELECT id, ({' + '.join(f'coalesce({c},0)' for c in FRUTOS[1:])})::DOUBLE AS frut_sum,
 {r(' + '.join(f'coalesce({c},0)' for c in TIME[1:]))} AS t_resprout FROM panel""")
 def row_sum(spark, sf):
     df = clean.row_sum(wide_panel(spark, sf), FRUTOS[1:], "frut_sum")
@@ -165,7 +164,7 @@ def to_long(spark, sf):
 
 @query("to_long_multi", f"{W} " + " UNION ALL ".join(
     f"SELECT id, {k}::INTEGER AS year, {r(f't{k}', 9)} AS time, {r(f'alt{k}', 9)} AS alt, "
-    f"{f'sup{k}' if k else 'NULL::INTEGER'} AS sup FROM panel" for k in range(6)))
+    f"{f'sup{k}' if k else 'NULL::INTEGER'} AS sup FROM panel" for k in range(LAST_WAVE + 1)))
 def to_long_multi(spark, sf):
     return round_all(reshape.to_long_multi(wide_panel(spark, sf), ["id"], {"time": TIME, "alt": ALT, "sup": SUP}, "year"), 9)
 
@@ -180,11 +179,11 @@ def left_join_nullsafe(spark, sf):
     return round_all(joins.left_join(df.select("id", "frutos1"), means, "frutos1"))
 
 
-@query("left_join_composite", f"""{W}, s AS (SELECT trat, dom, avg(t1) AS mean_t FROM panel WHERE sp = 'ang' GROUP BY ALL)
+@query("left_join_composite", f"""{W}, s AS (SELECT trat, dom, avg(t1) AS mean_t FROM panel GROUP BY ALL)
 SELECT p.id, p.trat, p.dom, {r('mean_t')} AS mean_t FROM panel p LEFT JOIN s ON p.trat IS NOT DISTINCT FROM s.trat AND p.dom IS NOT DISTINCT FROM s.dom""")
 def left_join_composite(spark, sf):
     df = wide_panel(spark, sf)
-    means = summaries.group_mean(df.where(F.col("sp") == "ang"), ["trat", "dom"], ["t1"]).withColumnRenamed("t1", "mean_t")
+    means = summaries.group_mean(df, ["trat", "dom"], ["t1"]).withColumnRenamed("t1", "mean_t")
     return round_all(joins.left_join(df.select("id", "trat", "dom"), means, ["trat", "dom"]))
 
 
@@ -281,14 +280,13 @@ def column_range(spark, sf):
 
 
 @query("crosstab_prop", f"""WITH f AS (SELECT DISTINCT o_orderstatus FROM orders), p AS (SELECT DISTINCT o_orderpriority FROM orders),
-c AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 300000 AND NOT (o_orderstatus = 'F' AND o_orderpriority = '5-LOW') GROUP BY ALL)
+c AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)
 SELECT f.o_orderstatus, p.o_orderpriority, coalesce(n, 0) AS n, {r('coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY f.o_orderstatus)')} AS prop
 FROM f CROSS JOIN p LEFT JOIN c ON c.o_orderstatus = f.o_orderstatus AND c.o_orderpriority = p.o_orderpriority""")
 def crosstab_prop(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     lv = clean.find_levels(orders, ["o_orderstatus", "o_orderpriority"])
-    hit = orders.where("o_totalprice > 300000 and not (o_orderstatus = 'F' and o_orderpriority = '5-LOW')")
-    return round_all(summaries.crosstab_prop(hit, "o_orderstatus", "o_orderpriority", lv["o_orderstatus"], lv["o_orderpriority"]))
+    return round_all(summaries.crosstab_prop(orders, "o_orderstatus", "o_orderpriority", lv["o_orderstatus"], lv["o_orderpriority"]))
 
 
 @query("pivot_counts", """SELECT l_returnflag, count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS "F", count(CASE WHEN l_linestatus = 'O' THEN 1 END) AS "O"
