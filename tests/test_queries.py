@@ -1,4 +1,7 @@
-"""Every registered query runs; those with a SQL twin give the same table."""
+"""Every registered query runs; those with a SQL twin give the same table.
+
+Queries of the corpus operators are tested with their operators.
+"""
 
 import math
 

@@ -200,9 +200,12 @@ def levene(df: DataFrame, value: str, by: Sequence[str] | str) -> DataFrame:
     med, groups = counted_quantiles(data, value, [0.5], by)
     med = maybe_broadcast(_rekeyed(med.select(*by, F.col("q0").alias("__med")), by), groups)
     gap = F.abs(F.col(value) - F.col("__med"))
-    if not by:
-        data, med = data.withColumn("__all", F.lit(0)), med.withColumn("__k___all", F.lit(0))
-    cells = (data.join(med, all_of([F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by or ["__all"]]))
+    if by:
+        centred = data.join(med, all_of([F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]))
+    else:
+        only = med.first()
+        centred = data.withColumn("__med", F.lit(only["__med"] if only else None).cast("double"))
+    cells = (centred
              .groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.avg(gap).alias("__m"),
                                (F.var_pop(gap) * F.count(F.lit(1))).alias("__ss")))
     cells = cells.persist()  # one row per cell

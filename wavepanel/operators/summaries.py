@@ -227,10 +227,11 @@ def box_stats(df: DataFrame, by: Sequence[str] | str, col: str, whisker: float =
     fences = _rekeyed(q.select(*by, "n", F.col("q0").alias("__lower"), F.col("q1").alias("__median"),
                                F.col("q2").alias("__upper"), (F.col("q0") - whisker * iqr).alias("__lo"),
                                (F.col("q2") + whisker * iqr).alias("__hi")), by)
-    # One row per cell on the right; the cells have been counted.
-    if not by:
-        data, fences = data.withColumn("__all", F.lit(0)), fences.withColumn("__k___all", F.lit(0))
-    fenced = data.join(maybe_broadcast(fences, cells), all_of([F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by or ["__all"]]))
+    if by:      # one row per cell on the right; the cells have been counted
+        fenced = data.join(maybe_broadcast(fences, cells), all_of([F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]))
+    else:
+        only = fences.first()
+        fenced = data.withColumns({c: F.lit(only[c] if only else None).cast("double") for c in fences.columns if c != "n"})
     x = F.col(col)
     inside = x.between(F.col("__lo"), F.col("__hi"))
     stats = fenced.groupBy(*by).agg(
