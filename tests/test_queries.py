@@ -42,6 +42,13 @@ def test_query_equals_sql(spark, con, sf, name):
             x == y or (isinstance(x, float) and x == pytest.approx(y, rel=1e-9, abs=1e-9)) for x, y in zip(a, b, strict=True))
 
 
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+def test_query_without_sql_runs(spark, sf, name):
+    df = entry.queries()[name](spark, sf)
+    rows = df.collect()
+    assert rows and len(df.columns) == len(set(df.columns))
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "survival" in df.columns

@@ -48,7 +48,7 @@ def test_boxes_leave_nan_out_and_need_no_group(spark):
     row = stats.first()
     assert row["n"] == 4 and row["middle"] == 2.5
     assert "NestedLoop" not in stats._jdf.queryExecution().executedPlan().toString()
-    assert levene(df.where("x > 0"), [], "x").first()["df1"] == 0
+    assert levene(df.where("x > 0"), "x", []).first()["df1"] == 0
 
 
 def test_crosstab_shares_of_all(spark):
