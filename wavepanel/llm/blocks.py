@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+#: Bytes worked on at once; a worker's memory is some tens of times this.
+BLOCK_BYTES = 1 << 20
 
 #: ASCII white space: space and \x09-\x0D.
 _SPACE = np.zeros(256, bool)

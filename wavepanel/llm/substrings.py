@@ -35,7 +35,7 @@ WINDOW, MER = 35, 8
 #: Distinct strings of one minimiser from which its windows are spread one by one.
 HOT_STRINGS = 2000
 #: Distinct strings in a bucket on average.
-BUCKET_STRINGS = 20_000
+BUCKET_STRINGS = 5_000
 
 
 def sliding(op: Callable, values: np.ndarray, width: int) -> np.ndarray:
@@ -90,9 +90,14 @@ def _minimisers(window: int, mer: int):
             starts, ends, first = words(data, offsets)
             runs, least, valid = window_minimisers(span_hashes(data, starts, ends), first, window, mer)
             at = minimiser_places(runs, least, valid, window - mer + 1)
-            doc = pa.array(np.searchsorted(first, at, "right") - 1)
-            yield pa.RecordBatch.from_arrays([_signed(runs[at]) if len(at) else pa.array([], pa.int64()),
-                                              rows.column(1).take(doc), rows.column(2).take(doc)], names=["mini", "t0", "t1"])
+            doc, mini = np.searchsorted(first, at, "right") - 1, runs[at] if len(at) else np.zeros(0, np.uint64)
+            order = np.lexsort((mini, doc))                      # a text that repeats a minimiser gives one row with a count
+            doc, mini = doc[order], mini[order]
+            heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mini[1:] != mini[:-1])])) if len(doc) else order
+            n = np.diff(np.append(heads, len(doc)))
+            doc = pa.array(doc[heads])
+            yield pa.RecordBatch.from_arrays([_signed(mini[heads]), rows.column(1).take(doc), rows.column(2).take(doc), pa.array(n, pa.int32())],
+                                             names=["mini", "t0", "t1", "n"])
     return run
 
 
@@ -193,8 +198,8 @@ def _spread(window: int):
 def repeated_windows(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
     """docs: packed (compressed text), t0, t1, text. Returns t0, t1 and places: array of (start, covered) per text with repeats."""
     spark = docs.sparkSession
-    minis = keep(docs.select("text", "t0", "t1").mapInArrow(_minimisers(window, mer), "mini bigint, t0 bigint, t1 bigint"))
-    shared = minis.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mini")
+    minis = keep(docs.select("text", "t0", "t1").mapInArrow(_minimisers(window, mer), "mini bigint, t0 bigint, t1 bigint, n int"))
+    shared = keep(minis.groupBy("mini").agg(F.sum("n").alias("n")).where("n > 1").select("mini"))
     wanted = minis.join(shared, "mini", "left_semi").groupBy("t0", "t1").agg(F.collect_set("mini").alias("minis"))
     packed = docs.select("text", "t0", "t1").mapInArrow(pack_texts, "packed binary, t0 bigint, t1 bigint")
     places = keep(packed.join(wanted, ["t0", "t1"]).mapInArrow(
