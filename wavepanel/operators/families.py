@@ -87,6 +87,17 @@ class Family:
 
     # ------------------------------------------------ arrays (inside tasks)
 
+    def density_constant(self, y):
+        """The part of the log density that depends on y alone and that the deviance lacks; None where there is none."""
+        if self.name == "poisson":
+            return -y - numeric.lgamma(y + 1)
+        if self.name == "negbin":
+            t = self.theta
+            return numeric.lgamma(y + t) - numeric.lgamma(np.full_like(y, t)) - numeric.lgamma(y + 1) + t * math.log(t)
+        if self.name == "inverse_gaussian":
+            return -1.5 * np.log(y)
+        return None
+
     def link_fun(self, mu):
         return {"identity": lambda m: m, "logit": lambda m: np.log(m / (1 - m)), "log": np.log,
                 "inverse": lambda m: 1 / m, "1/mu^2": lambda m: m**-2.0}[self.link](mu)

@@ -212,6 +212,19 @@ class ModelFrame:
             self.release()
             raise
         self.n, self.saturated, self.sum_y = int(total[0]), total[2], total[3]
+        self.constant = self._density_constant(inputs.rows)
+
+    def _density_constant(self, rows: DataFrame) -> float:
+        """Sum of the density's constants, one evaluation per distinct response."""
+        family = self.family
+        if family.density_constant(np.ones(1)) is None:
+            return 0.0
+
+        @F.pandas_udf("double")
+        def constant(y: pd.Series) -> pd.Series:
+            return pd.Series(family.density_constant(y.to_numpy(float)))
+        counts = rows.groupBy("__y").agg(F.count(F.lit(1)).alias("c"))
+        return counts.agg(F.sum(F.col("c") * constant("__y"))).first()[0]
 
     def _check(self, n, bad) -> None:
         if not n:
@@ -352,7 +365,8 @@ class ModelFrame:
             design=self.design, family=fam, y=self.y, n=self.n, cols=full.cols, beta_scaled=full.beta,
             cov_scaled=inverse * dispersion, dispersion=dispersion, deviance=full.deviance, pearson=full.pearson,
             df_resid=df_resid, null_deviance=null.deviance, df_null=self.n - len(null.cols),
-            converged=full.converged, passes=full.passes, saturated=self.saturated, compressed=self.compressed)
+            converged=full.converged, passes=full.passes, saturated=self.saturated, compressed=self.compressed,
+            constant=self.constant)
         labels = self.design.labels()
         model.aliased = [labels[j] for j in range(self.design.p) if j not in full.cols]
         if model.aliased:
@@ -424,6 +438,7 @@ class GlmModel(LinearModel):
     passes: int
     saturated: float
     compressed: bool
+    constant: float = 0.0
     aliased: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
 
@@ -471,6 +486,10 @@ class GlmModel(LinearModel):
         if s == "gamma":
             a = n / dev
             return n * (a * math.log(a) - math.lgamma(a)) + (a - 1) * self.saturated - a * (dev / 2 + self.saturated + n)
+        if s in ("poisson", "negbin"):
+            return self.saturated - dev / 2 + self.constant
+        if s == "inverse_gaussian":
+            return -0.5 * n * (math.log(2 * math.pi * dev / n) + 1) + self.constant
         return None
 
     @property

@@ -85,18 +85,25 @@ def sim_residuals(model, df: DataFrame, key: Sequence[str], seed: int = 0, mode:
 
         @F.pandas_udf("double")
         def place(value: pd.Series, mean: pd.Series, a: pd.Series, v: pd.Series) -> pd.Series:
-            low, high = fam.cdf(value.to_numpy(float), mean.to_numpy(float), dispersion, a.to_numpy(float))
+            low, high = distinct_cdf(fam, value.to_numpy(float), mean.to_numpy(float), dispersion, a.to_numpy(float))
             return pd.Series(low + v.to_numpy(float) * (high - low))
         return scored.withColumn(out, place(y, mu, shape, tie)).drop(*extra)
 
     @F.pandas_udf("double")
     def place_sim(value: pd.Series, mean: pd.Series, a: pd.Series, v: pd.Series, h: pd.Series) -> pd.Series:
-        low, high = fam.cdf(value.to_numpy(float), mean.to_numpy(float), dispersion, a.to_numpy(float))
+        low, high = distinct_cdf(fam, value.to_numpy(float), mean.to_numpy(float), dispersion, a.to_numpy(float))
         return pd.Series(simulated_position(low, high, v.to_numpy(float), h.to_numpy(), n))
     row = F.xxhash64(*key, F.lit(int(seed)), F.lit(1))
     return scored.withColumn(out, place_sim(y, mu, shape, tie, row)).drop(*extra)
 
 
+def distinct_cdf(fam, y, mu, dispersion, shape) -> tuple[np.ndarray, np.ndarray]:
+    """The family's distribution function, evaluated once per distinct (y, mean, shape) of a batch."""
+    points, where = np.unique(np.stack([y, mu, shape]), axis=1, return_inverse=True)
+    low, high = fam.cdf(points[0], points[1], dispersion, points[2])
+    return np.asarray(low)[where.ravel()], np.asarray(high)[where.ravel()]
+
+
 def simulated_position(low, high, v, h, n: int) -> np.ndarray:
     """Share of n simulated responses below the observed one, ties broken by jitter.
 

@@ -162,6 +162,47 @@ def fit_stats(spark, sf):
     return round_all(s.select("n", "rank", "null_deviance", "df_null", "deviance", "df_resid", "aic"), 4)
 
 
+_COUNT_CELLS = (f"{LINES_SQL}, c AS (SELECT excess AS y, avg(excess) OVER (PARTITION BY l_returnflag, l_linestatus) AS mu, "
+                "avg(excess) OVER () AS m FROM lines), k AS (SELECT count(*) AS n FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lines))")
+_STATS = ["n", "rank", "null_deviance", "deviance", "aic"]
+
+
+@query("poisson_stats", f"""WITH {_COUNT_CELLS} SELECT count(*) AS n, any_value(k.n)::INTEGER AS rank,
+{r('2 * sum(CASE WHEN y > 0 THEN y * ln(y / m) ELSE 0 END)', 3)} AS null_deviance, {r('2 * sum(CASE WHEN y > 0 THEN y * ln(y / mu) ELSE 0 END)', 3)} AS deviance,
+{r('-2 * sum(y * ln(mu) - mu - lgamma(y + 1)) + 2 * any_value(k.n)', 3)} AS aic FROM c, k""")
+def poisson_stats(spark, sf):
+    return round_all(fit_glm(lines(spark, sf), "excess", CELL_TERMS, "poisson").stats(spark).select(*_STATS), 3)
+
+
+_NB_DEV = "2 * sum(CASE WHEN y > 0 THEN y * ln(y / {0}) ELSE 0 END - (y + 2) * ln((y + 2) / ({0} + 2)))"
+
+
+@query("negbin_stats", f"""WITH {_COUNT_CELLS} SELECT count(*) AS n, any_value(k.n)::INTEGER AS rank,
+{r(_NB_DEV.format('m'), 3)} AS null_deviance, {r(_NB_DEV.format('mu'), 3)} AS deviance,
+{r('-2 * sum(lgamma(y + 2) - lgamma(y + 1) + 2 * ln(2) + y * ln(mu) - (y + 2) * ln(mu + 2)) + 2 * any_value(k.n)', 3)} AS aic FROM c, k""")
+def negbin_stats(spark, sf):
+    return round_all(fit_glm(lines(spark, sf), "excess", CELL_TERMS, "negbin", theta=2.0).stats(spark).select(*_STATS), 3)
+
+
+@query("inverse_gaussian_stats", f"""WITH {LINES_SQL}, c AS (SELECT l_extendedprice / 1000 AS y, avg(l_extendedprice / 1000) OVER (PARTITION BY l_returnflag) AS mu,
+avg(l_extendedprice / 1000) OVER () AS m FROM lines), d AS (SELECT count(*)::DOUBLE AS n, sum((y - m) * (y - m) / (m * m * y)) AS d0, sum((y - mu) * (y - mu) / (mu * mu * y)) AS d1,
+sum(ln(y)) AS ln FROM c)
+SELECT n::BIGINT AS n, 3::INTEGER AS rank, {r('d0', 3)} AS null_deviance, {r('d1', 3)} AS deviance, {r('n * (ln(2 * pi() * d1 / n) + 1) + 3 * ln + 8', 2)} AS aic FROM d""")
+def inverse_gaussian_stats(spark, sf):
+    df = lines(spark, sf).withColumn("price", F.col("l_extendedprice") / 1000)
+    return round_all(fit_glm(df, "price", [(FLAG,)], "inverse_gaussian", "log").stats(spark).select(*_STATS), 3, aic=2)
+
+
+@query("predict_ci_inverse", f"""WITH {LINES_SQL}, c AS (SELECT l_returnflag, l_extendedprice / 1000 AS y, avg(l_extendedprice / 1000) OVER (PARTITION BY l_returnflag) AS mu FROM lines),
+f AS (SELECT sum((y - mu) * (y - mu) / (mu * mu)) / (count(*) - 3) AS phi FROM c),
+g AS (SELECT l_returnflag, any_value(mu) AS mu, sqrt(any_value(phi) / (count(*) * any_value(mu) * any_value(mu))) AS se FROM c, f GROUP BY 1)
+SELECT l_returnflag, {r('mu')} AS p_mle, {r(f'1 / (1 / mu + {Z} * se)')} AS p_lower, {r(f'1 / (1 / mu - {Z} * se)')} AS p_upper FROM g""")
+def predict_ci_inverse(spark, sf):
+    df = lines(spark, sf).withColumn("price", F.col("l_extendedprice") / 1000)
+    model = fit_glm(df, "price", [(FLAG,)], "gamma", "inverse")
+    return round_all(predict_ci(model, df.select(FLAG).distinct()).select(FLAG, "p_mle", "p_lower", "p_upper"))
+
+
 @query("vcov_corr", """WITH m AS (SELECT l_returnflag AS f, 1 / sum((l_discount > 0.05)::INTEGER) + 1 / sum((l_discount <= 0.05)::INTEGER) AS v FROM lineitem GROUP BY 1),
 w AS (SELECT max(CASE f WHEN 'A' THEN v END) AS a, max(CASE f WHEN 'N' THEN v END) AS n, max(CASE f WHEN 'R' THEN v END) AS q FROM m),
 k AS (SELECT unnest(['(Intercept)', 'l_returnflagN', 'l_returnflagR']) AS t, unnest([a, a + n, a + q]) AS d FROM w)

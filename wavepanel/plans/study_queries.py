@@ -460,6 +460,18 @@ def q10_total_time(spark, sf):
     return round_all(model.fitted(df).withColumn("per_year", F.col("fitted") / (LAST_WAVE - 1)))
 
 
+@query("q10_anova", f"""{W}, d AS (SELECT trat, CASE WHEN t = 0 THEN 1e-5 ELSE t END AS t FROM (SELECT trat, {' + '.join(f'coalesce({c},0)' for c in TIME[1:])} AS t FROM panel)),
+c AS (SELECT t, avg(t) OVER (PARTITION BY trat) AS mu, avg(t) OVER () AS m FROM d),
+e AS (SELECT 2 * sum(ln(m) - ln(mu)) AS gap, sum((t - mu) * (t - mu) / (mu * mu)) / (count(*) - 3) AS phi FROM c)
+SELECT 'trat' AS term, {r('gap / phi', 5)} AS lr_chisq, 2::INTEGER AS df, {r('exp(-gap / phi / 2)', 6)} AS p_value FROM e""")
+def q10_anova(spark, sf):
+    """Type-II table of the total time by treatment."""
+    df = clean.row_sum(wide_panel(spark, sf), TIME[1:], "t_resprout")
+    df = df.withColumn("t_resprout", F.when(F.col("t_resprout") == 0, F.lit(1e-5)).otherwise(F.col("t_resprout")))
+    table = anova_ii(df, "t_resprout", [("trat",)], "gamma", "log", levels={"trat": LEVELS["trat"]})
+    return round_all(table.select("term", "lr_chisq", "df", "p_value"), 6, lr_chisq=5)
+
+
 def time_by_size(spark, sf):
     long = reshape.to_long_multi(wide_panel(spark, sf), ["id"], {"time": TIME, "alt": ALT}, "year")
     return long.withColumn("type", F.when(F.col("year") == 0, "baseline").otherwise("later waves"))
