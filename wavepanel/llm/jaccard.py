@@ -10,7 +10,8 @@ The order is cut into fragments.
    This joins large groups without their pairs.
 3. Cross pairs: every pair of one list that stars have left in different components, and that its sizes and its places in the order allow, is a
    candidate. Pairs inside a component cannot change it.
-4. Candidate pairs are checked exactly: each fragment counts its shared shingles for the pair, and the counts of the fragments are summed.
+4. Candidate pairs are checked exactly. First their prefixes alone are counted, as they bound the rest; of the pairs that are left each
+   fragment counts its shared shingles, and the counts of the fragments are summed.
 
 So every link between different components is found and none is guessed. Equal sets are one set from the start, so copies are no pairs.
 
@@ -134,8 +135,7 @@ def _prefixes(size: int, order):
                     continue
                 seen.add(s)
                 place = ranks.places(shingles)
-                # the smallest partner has ceil(t n) shingles, and all of them must be shared
-                parts.append(place[:len(place) - -(-n * NUMERATOR // DENOMINATOR) + 1])
+                parts.append(place[:prefix_length(n)])
                 keys.append(s)
                 sizes.append(n)
                 rare.append(int(np.searchsorted(place, top)))
@@ -184,34 +184,37 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(rest, True)[0].to_batches()
 
 
-def _segments(size: int, order):
-    """Rows (s, n, frag, places): the set of each text cut into the fragments of the order."""
+def prefix_length(n):
+    """Entries of the order that a set of n shows: the smallest partner has ceil(t n) shingles, and all of them must be shared."""
+    return n - -(-n * NUMERATOR // DENOMINATOR) + 1
+
+
+def _parts(size: int, order, prefix_only: bool):
+    """Rows (a, b, frag, places): for each pair of a set its prefix alone, or the whole set cut into the fragments of the order."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = order.value
         edges = np.arange(1, 1 << FRAGMENT_BITS, dtype=np.uint64) << np.uint64(64 - FRAGMENT_BITS)
-        for _, data, offsets in text_blocks(batches, "text"):
-            seen, rows = set(), []
-            for shingles in shingle_sets(data, offsets, size):
-                if not len(shingles) or (s := set_key(shingles)) in seen:
-                    continue
-                seen.add(s)
+        for rows, data, offsets in text_blocks(batches, "text"):
+            pairs = rows.column(rows.schema.get_field_index("pairs")).to_pylist()
+            out: list[tuple[int, int, int, bytes]] = []
+            for own, shingles in zip(pairs, shingle_sets(data, offsets, size), strict=True):
                 place = ranks.places(shingles)
-                for f, part in enumerate(np.split(place, np.searchsorted(place, edges))):
-                    if len(part):
-                        rows.append((s, len(shingles), f, part.tobytes()))
-            s, n, f, b = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(f, pa.int32()), pa.array(b, pa.binary())],
-                                             names=["s", "n", "frag", "places"])
+                parts = [place[:prefix_length(len(shingles))]] if prefix_only else np.split(place, np.searchsorted(place, edges))
+                out.extend((pair["a"], pair["b"], f, part.tobytes()) for f, part in enumerate(parts) for pair in own)
+            a, b, f, part = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(f, pa.int32()), pa.array(part, pa.binary())],
+                                             names=["a", "b", "frag", "places"])
     return run
 
 
 def _overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shared places of each row's two segments."""
+    """Shared places of the two parts of each row; one part stands for two equal ones."""
     for batch in batches:
-        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        n = [np.isin(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).sum()
-             for x, y in zip(left, right, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["a", "b", "shared"])
+        n = []
+        for parts in batch.column(1).to_pylist():
+            x = [np.frombuffer(p, np.uint64) for p in parts]
+            n.append(len(x[0]) if len(x) == 1 else int(np.isin(x[0], x[1], assume_unique=True).sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["pair", "shared"])
 
 
 class Sets:
@@ -233,20 +236,25 @@ class Sets:
         return entries.repartition("w", "salt").sortWithinPartitions("w", "s").mapInArrow(
             _shared, "w bigint, s bigint, n int, pos int, rare int")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b, na, nb) those that are links, by counts per fragment."""
-        needed = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
+    def shared(self, pairs: DataFrame, prefix_only: bool) -> DataFrame:
+        """pairs (a, b, na, nb) with `shared`: the shingles that both prefixes hold, or that both sets hold."""
+        sides = pairs.select(F.struct("a", "b").alias("pair"), F.explode(F.array("a", "b")).alias("s")).groupBy("s").agg(F.collect_set("pair").alias("pairs"))
         owners = self.rows.where("n > 0").groupBy("s").agg(F.min("k").alias("k"))
-        chosen = keep(owners.join(needed, "s").select("k"))
-        if chosen.count() <= BROADCAST_ROWS:
+        chosen = keep(owners.join(sides, "s").select("k", "pairs"))
+        if pairs.count() <= BROADCAST_ROWS:
             chosen = F.broadcast(chosen)
-        segments = keep(self.texts.join(chosen, "k", "left_semi").select("text").mapInArrow(
-            _segments(self.size, self.order), "s bigint, n int, frag int, places binary").dropDuplicates(["s", "frag"]))
-        left = segments.select(F.col("s").alias("a"), "frag", F.col("places").alias("left"))
-        right = segments.select(F.col("s").alias("b"), "frag", F.col("places").alias("right"))
-        counts = (pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "left", "right")
-                  .mapInArrow(_overlaps, "a bigint, b bigint, shared bigint").groupBy("a", "b").agg(F.sum("shared").alias("shared")))
-        return counts.join(pairs, ["a", "b"]).where(F.col("shared") >= required(F.col("na"), F.col("nb"))).select("a", "b")
+        parts = self.texts.join(chosen, "k").select("text", "pairs").mapInArrow(
+            _parts(self.size, self.order, prefix_only), "a bigint, b bigint, frag int, places binary")
+        counts = (parts.groupBy("a", "b", "frag").agg(F.collect_set("places").alias("parts")).select(F.struct("a", "b").alias("pair"), "parts")
+                  .mapInArrow(_overlaps, "pair struct<a:bigint,b:bigint>, shared bigint").groupBy("pair.a", "pair.b").agg(F.sum("shared").alias("shared")))
+        return pairs.join(counts, ["a", "b"])
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of the kept pairs (a, b, na, nb) those that are links. The prefixes are counted first and bound the whole overlap."""
+        need = required(F.col("na"), F.col("nb"))
+        rest = [F.ceil(F.col(n) * NUMERATOR / F.lit(float(DENOMINATOR)) - 1e-9) - 1 for n in ("na", "nb")]
+        likely = keep(self.shared(pairs, True).where(F.col("shared") + F.greatest(*rest) >= need).drop("shared"))
+        return self.shared(likely, False).where(F.col("shared") >= need).select("a", "b")
 
 
 def _candidates(x: DataFrame, y: DataFrame) -> DataFrame:
