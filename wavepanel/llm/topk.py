@@ -25,6 +25,8 @@ from wavepanel.llm.store import keep, shuffle_width
 
 #: Rows in a block, queries in a block, bins of a histogram.
 ROWS, QUERIES, BINS = 1024, 256, 256
+#: Query blocks whose histograms a task holds at a time.
+HELD = 32
 
 
 def quantised(vector: Column) -> Column:
@@ -74,16 +76,26 @@ def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, dict
 
 
 def _histograms(bins: int):
+    def told(q_ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(counts)
+        return pa.RecordBatch.from_arrays([pa.array(q_ids[some // bins]), pa.array(some % bins), pa.array(counts[some], pa.int64())],
+                                          names=["query_id", "bin", "n"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}    # one histogram per query block, summed over the row blocks of the task
         for batch in batches:
             for ids, q_ids, state, scores in _pairs(batch):
                 place = (scores - state["low"][:, None]) // state["width"][:, None]
                 inside = (place >= 0) & (place < bins) & (ids[None, :] != q_ids[:, None])
                 cell = (np.arange(len(q_ids))[:, None] * bins + place)[inside]
-                counts = np.bincount(cell, minlength=len(q_ids) * bins)
-                some = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[some // bins]), pa.array(some % bins), pa.array(counts[some], pa.int64())],
-                                                 names=["query_id", "bin", "n"])
+                key = q_ids.tobytes()
+                if key not in held:
+                    if len(held) >= HELD:
+                        yield told(*held.pop(next(iter(held))))
+                    held[key] = q_ids, np.zeros(len(q_ids) * bins, np.int64)
+                held[key][1][:] += np.bincount(cell, minlength=len(q_ids) * bins)
+        for q_ids, counts in held.values():
+            yield told(q_ids, counts)
     return run
 
 
