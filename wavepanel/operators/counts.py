@@ -27,7 +27,7 @@ from wavepanel.operators.glm import (PATTERN_SHARE, GlmModel, LinearModel, Model
 from wavepanel.operators.hypothesis import anova_ii
 from wavepanel.operators.terms import Design, base_column
 
-POISSON_LIMIT = 8.0          # log k beyond which the data show no overdispersion
+POISSON_LIMIT = 8.0          # default log k at which a fit stops and reports the Poisson limit
 
 
 @dataclass
@@ -115,7 +115,7 @@ def negbin_terms(y, mu, k, truncated):
 
 
 def _fit(df: DataFrame, y: str, terms: Sequence[tuple], truncated: bool, levels: Mapping | None,
-         intercept: bool, max_passes: int = 60) -> CountModel:
+         intercept: bool, max_passes: int = 60, max_log_k: float = POISSON_LIMIT) -> CountModel:
     inputs = ModelInputs(df, y, terms, levels)
     low = 1 if truncated else 0
     is_bad = (F.col("__y") < low) | (F.col("__y") != F.floor("__y"))
@@ -165,7 +165,7 @@ def _fit(df: DataFrame, y: str, terms: Sequence[tuple], truncated: bool, levels:
 
             def kernel(batch):
                 x, w = design.matrix(batch)[:, cols], batch["__n"].to_numpy(float)
-                mu = np.exp(np.clip(x @ beta, -30, 30))
+                mu = np.exp(np.clip(x @ beta, -700, 700))       # the range of doubles
                 ll, s_m, s_k, h_mm, h_mk, h_kk = negbin_terms(batch["__y"].to_numpy(float), mu, k, truncated)
                 h = np.empty((p + 1, p + 1))
                 h[:p, :p] = x.T @ (x * (w * h_mm)[:, None])
@@ -180,6 +180,10 @@ def _fit(df: DataFrame, y: str, terms: Sequence[tuple], truncated: bool, levels:
         limit, converged, best = False, False, None
         for _ in range(max_passes):
             h, score, ll = evaluate(par)
+            if not math.isfinite(ll) and best is None:
+                raise ArithmeticError("the likelihood has no finite start")
+            if limit and score[p] < -1e-6 * max(1.0, abs(ll)):     # the likelihood rises towards smaller k again
+                limit = False
             if best is not None and not (ll >= best[1] - 1e-9 * (abs(best[1]) + 1)):
                 par = (par + best[0]) / 2
                 continue
@@ -195,8 +199,8 @@ def _fit(df: DataFrame, y: str, terms: Sequence[tuple], truncated: bool, levels:
             if biggest > 2:
                 step *= 2 / biggest
             par = par + (np.append(step, 0.0) if limit else step)
-            if par[-1] > POISSON_LIMIT:
-                par[-1], limit, best = POISSON_LIMIT, True, None
+            if par[-1] > max_log_k:
+                par[-1], limit, best = max_log_k, True, None
         info = -h[:free, :free]
         if converged:   # the last Newton step costs no pass
             par = par + (np.append(step, 0.0) if limit else step)
@@ -217,15 +221,15 @@ def _fit(df: DataFrame, y: str, terms: Sequence[tuple], truncated: bool, levels:
 
 
 def fit_negbin(df: DataFrame, y: str, terms: Sequence[tuple], levels: Mapping | None = None,
-               intercept: bool = True) -> CountModel:
-    """Negative binomial regression with estimated size."""
-    return _fit(df, y, terms, False, levels, intercept)
+               intercept: bool = True, max_log_k: float = POISSON_LIMIT) -> CountModel:
+    """Negative binomial regression with estimated size, up to log k = ``max_log_k``."""
+    return _fit(df, y, terms, False, levels, intercept, max_log_k=max_log_k)
 
 
 def fit_ztnb(df: DataFrame, y: str, terms: Sequence[tuple], levels: Mapping | None = None,
-             intercept: bool = True) -> CountModel:
-    """Zero-truncated negative binomial: log mu on the terms, log k constant."""
-    return _fit(df, y, terms, True, levels, intercept)
+             intercept: bool = True, max_log_k: float = POISSON_LIMIT) -> CountModel:
+    """Zero-truncated negative binomial: log mu on the terms, log k constant, up to ``max_log_k``."""
+    return _fit(df, y, terms, True, levels, intercept, max_log_k=max_log_k)
 
 
 def anova_negbin(df: DataFrame, y: str, terms: Sequence[tuple], model: CountModel, levels: Mapping | None = None,
