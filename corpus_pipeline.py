@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, line dedup, near-duplicate removal, passage dedup, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a DataFrame. All but the last return
-the columns of documents; where a stage changes the text it sets n_chars anew. Rows without doc_id: the near-duplicate stage keeps
-them unless another text of their group has an id.
+the columns of documents; where a stage changes the text it sets n_chars anew. The near-duplicate stage keeps one row of each group, whether
+ids repeat or are missing: a row without doc_id only where no row of its group has one.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    own = unused(docs)
-    groups = jaccard.near_components(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(own + "id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(own + "id"), "left_anti")
+    """Of each group of near duplicates one row stays, that of the smallest id. The rows are written once with a key of their own."""
+    key = unused(docs) + "row"
+    rows = keep(docs.withColumn(key, F.monotonically_increasing_id()))
+    gone = jaccard.near_components(rows, row=key).where("not first").select(F.col("row_key").alias(key))
+    return rows.join(gone, key, "left_anti").select(*map(quoted, docs.columns))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

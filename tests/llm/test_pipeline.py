@@ -81,3 +81,20 @@ def test_odd_rows(spark, sf):
     assert {r.score for r in out[4].collect()} <= {1} and {i for i, _ in texts(out[1])} == {None, 4, 5, 6}
     empty = stage_results(spark, docs.where("false"), sf)
     assert [df.count() for df in empty] == [0] * 6
+
+
+def test_one_row_of_each_group_stays(spark):
+    def text(stem, n=60):
+        return " ".join(f"{stem}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("a")), (1, text("a")),                                  # a repeated row
+            (2, text("b")), (None, text("b")), (None, text("b") + " end"),                   # copies without id
+            (None, text("c")), (None, text("c")), (None, text("d")),                         # no id in the group
+            (3, text("e")), (4, text("e")), (4, text("f")), (4, text("g")), (5, text("g")),  # two texts of one id, one a copy
+            (None, ""), (None, None), (6, ""), (6, "")]                                      # these link with nothing
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert near.columns == docs.columns
+    want = [(1, text("a")), (2, text("b")), (None, text("c")), (None, text("d")), (3, text("e")), (4, text("f")), (4, text("g")),
+            (None, ""), (None, None), (6, ""), (6, "")]
+    assert Counter(texts(near)) == Counter(want)
+    assert Counter(texts(corpus_pipeline.passage_stage(spark, near.cache(), ""))) == Counter((i, t or "") for i, t in want)

@@ -220,10 +220,11 @@ def _overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Sets:
     """What a join knows of a table of texts: one row per row, the distinct sets, and the order."""
 
-    def __init__(self, docs: DataFrame, doc_id: str, text: str, size: int):
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, size: int, row: str | None = None):
         self.size = size
         spark = docs.sparkSession
-        source = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k"), F.col(doc_id).cast("bigint").alias("doc_id"))
+        key = F.xxhash64(F.col(doc_id), F.col(text)) if row is None else F.col(row)
+        source = docs.select(F.col(text).alias("text"), key.alias("k"), F.col(doc_id).cast("bigint").alias("doc_id"))
         self.texts = source
         found = keep(source.mapInArrow(_survey(size), "kind int, a bigint, n bigint, s bigint, doc_id bigint"))
         self.rows = found.where("kind = 0").select("doc_id", F.col("a").alias("k"), "n", "s")
@@ -274,9 +275,13 @@ def _side(entries: DataFrame, mark: str) -> DataFrame:
     return entries.select("w", *[F.col(c).alias(c[0] + mark) for c in ("s", "n", "pos")], *[F.col(c).alias(c + mark) for c in ("comp",) if c in entries.columns])
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id."""
-    sets = Sets(docs, doc_id, text, size)
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id.
+
+    With row, a stored bigint column that differs on every row, also row_key and first: first is true on exactly one row of each component, that of the
+    smallest id (rows without id last) and then the smallest key, and on every row that links with nothing.
+    """
+    sets = Sets(docs, doc_id, text, size, row)
     entries = keep(sets.shared_prefixes())
     pivots = entries.groupBy("w").agg(F.min(F.struct("rare", "s", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
     pivots = pivots.select("w", F.col("p.s").alias("sy"), F.col("p.n").alias("ny"), F.col("p.pos").alias("py"))
@@ -294,8 +299,11 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = keep(links.unionByName(sets.links(cross)))
     labels = components(links)
     named_rows = (sets.rows.join(labels.withColumnRenamed("node", "s"), "s", "left")
-                  .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "s")).alias("comp")))
+                  .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "s")).alias("comp"),
+                          *([] if row is None else [F.col("k").alias("row_key")])))
     named_rows = keep(named_rows)
-    names = keep(named_rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("name")))
+    chosen = [] if row is None else [F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("chosen")]
+    names = keep(named_rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("name"), *chosen))
     return named_rows.join(names, "comp", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"))
+        "doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"),
+        *([] if row is None else ["row_key", (F.col("comp").isNull() | (F.col("row_key") == F.col("chosen"))).alias("first")]))
