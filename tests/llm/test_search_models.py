@@ -83,6 +83,25 @@ def test_language_edges_and_rejection(spark):
     assert language.identify(train.where("false"), model).count() == 0
 
 
+@pytest.mark.parametrize("out", ["de", "en", "es", "fr"])
+def test_language_left_out_is_rejected(spark, out):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200")
+    model = language.fit(docs, F.col("lang") != out)
+    rows = language.identify(docs, model, prefix="p_").select("lang", "p_rejected").collect()
+    share = {known: np.mean([r.p_rejected for r in rows if (r.lang != out) == known]) for known in (False, True)}
+    assert share[False] > 0.95 and share[True] < 0.01, share
+
+
+def test_single_odd_texts_make_no_centroid():
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(size=(200, 40)))
+    x[:, 20:] *= 0.01
+    x[:3] = np.eye(40)[[25, 30, 35]]                             # three odd ones
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centers = language.spherical_means(x, 4)
+    assert np.bincount((x @ centers.T).argmax(1)).min() >= 10 and (centers @ x[:3].T).max() < 0.5
+
+
 # --- toxicity ---
 
 @pytest.fixture(scope="module")

@@ -1,8 +1,9 @@
 """Operator 6: language identification by nearest centroid.
 
 A text becomes a vector of letter n-grams (1 to 3, words bounded): 1 + log of each count, times the inverse document frequency, scaled to length 1. Each
-language has several centroids from spherical k-means over its sample. A text takes the language of the centroid with the
-largest cosine; it is rejected where its distance passes the middle between the language's farthest training text and no likeness at all.
+language has several centroids from spherical k-means over its sample, each for a share of it, so that single odd texts make none. A text takes the
+language of the centroid with the largest cosine; it is rejected where its distance passes the middle between a high quantile of the language's training
+distances and no likeness at all.
 
 The fit reads about SAMPLE texts per language (a hashed share of the ids); executors send sparse vectors, so no
 text reaches the driver. Prediction reads every whole text. Null, empty and letterless texts are `und`, with score 0, and rejected. Texts under MIN_LETTERS n-grams say
@@ -27,7 +28,9 @@ from wavepanel.llm.names import carried, ddl, quoted, unused
 #: Texts per language in the fit, about, and languages at most (those with most rows).
 SAMPLE, LANGUAGES = 600, 200
 BUCKETS, CENTROIDS, ROUNDS = 4096, 4, 12
-#: Where between the largest training distance (0) and distance 1 (1) rejection begins, for texts of so many n-grams on.
+#: Where a next start is taken among the distances from the starts so far, the least share of a cluster, the quantile of the training distances.
+SPREAD, SHARE, REACH = 0.75, 0.05, 0.98
+#: Where between that quantile of the training distances (0) and distance 1 (1) rejection begins, for texts of so many n-grams on.
 MARGIN, MIN_LETTERS = 0.5, 60
 ROWS = 256
 
@@ -55,7 +58,7 @@ class Model:
     languages: list[str]            # of each centroid
     idf: np.ndarray
     centroids: np.ndarray           # rows of length 1
-    radius: np.ndarray              # largest training distance of the language of each centroid
+    radius: np.ndarray              # quantile REACH of the training distances of the language of each centroid
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return _scaled(np.log1p(counts), self.idf)
@@ -80,16 +83,8 @@ def _scaled(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.where(length > 0, length, 1)
 
 
-def spherical_means(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Up to k centroids of unit rows: farthest-first starts, then mean directions."""
-    middle = x.mean(0)
-    chosen = [int((x @ middle).argmax())]
-    while len(chosen) < min(k, len(x)):
-        near = (x @ x[chosen].T).max(1)
-        if near.min() > 1 - 1e-6:
-            break
-        chosen.append(int(near.argmin()))
-    centers = x[chosen].copy()
+def _mean_directions(x: np.ndarray, centers: np.ndarray, rounds: int) -> np.ndarray:
+    centers = centers.copy()
     for _ in range(rounds):
         own = (x @ centers.T).argmax(1)
         for i in range(len(centers)):
@@ -99,6 +94,28 @@ def spherical_means(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centers
 
 
+def spherical_means(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Up to k centroids of unit rows: spread but not extreme starts, then mean directions.
+
+    Clusters under SHARE of the rows are dropped, the smallest first, and their rows go to the others.
+    """
+    middle = x.mean(0)
+    chosen = [int((x @ middle).argmax())]
+    while len(chosen) < min(k, len(x)):
+        near = (x @ x[chosen].T).max(1)
+        others = np.flatnonzero(near <= 1 - 1e-6)
+        if not len(others):
+            break
+        chosen.append(int(others[np.argsort(-near[others], kind="stable")[int(SPREAD * (len(others) - 1))]]))
+    centers = _mean_directions(x, x[chosen], rounds)
+    while len(centers) > 1:
+        size = np.bincount((x @ centers.T).argmax(1), minlength=len(centers))
+        if size.min() >= SHARE * len(x):
+            break
+        centers = _mean_directions(x, np.delete(centers, size.argmin(), 0), rounds)
+    return centers
+
+
 def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, ROWS):
@@ -135,7 +152,7 @@ def fit(docs: DataFrame, learnable: Column, doc_id: str = "doc_id", text: str =
         for center in c:
             languages.append(name)
             centers.append(center)
-            radius.append(1 - float(cosine.min()) if len(cosine) else 1.0)
+            radius.append(float(np.quantile(1 - cosine, REACH)) if len(cosine) else 1.0)
     if not centers:
         return Model([], idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     return Model(languages, idf, np.stack(centers), np.array(radius))
