@@ -154,6 +154,28 @@ def test_toxicity_of_held_out_documents(spark):
     assert np.mean(found) > 0.9 and np.mean(false) < 0.01
 
 
+def test_rare_runs_stay_in_the_character_model(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, row)) for row in rng.integers(0x4E00, 0x9000, (1000, 450))]      # some 450,000 distinct runs, each seen twice
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts, "the zyqvok of it"]], "text string")
+    chars = toxicity.fit_char_model(docs)
+    assert toxicity.read_token("zyqv0k", chars) == ["zyqvok"]
+
+
+def test_signs_beyond_16_bits_are_letters(spark):
+    word = "".join(map(chr, (0x10428, 0x10430, 0x10430, 0x10435)))                       # Deseret
+    chars = toxicity.fit_char_model(spark.createDataFrame([(f"{word} " * 30,)], "text string"))
+    assert toxicity.read_token(word[:2] + word[1] * 3 + word[3], chars) == [word]
+
+
+def test_scores_by_broadcast_and_by_join_agree(spark, insults, monkeypatch):
+    texts = ["the green 1d10t walks", "you m o r o n and the tree", "the green 1d10t walks", "little scuuuuum", "the tree", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted(tuple(r) for r in toxicity.score(docs, insults).select("doc_id", "score").collect())
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
+    assert sorted(tuple(r) for r in toxicity.score(docs, insults).select("doc_id", "score").collect()) == want
+
+
 # --- extraction ---
 
 @pytest.fixture(scope="module")
