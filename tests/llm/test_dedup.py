@@ -80,6 +80,11 @@ def test_exact_dedup_edges(spark):
     assert got == sorted([(a, -1, 3, False, 2), (a, 3, 3, True, 2), (b, -1, -1, True, 1), (e, 1, 1, True, 1)])
 
 
+def test_exact_dedup_of_repeated_ids_across_batches(spark):
+    texts = [(1, "A"), (9, "A"), (9, "B"), (2, "C")]
+    check_exact(exact_dedup.dedup_batches(table(spark, texts), [5]).collect(), texts)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 1000, 40_000])
 def test_fuse_filter_holds_its_keys(n):
     rng = np.random.default_rng(n)

@@ -139,15 +139,21 @@ def screen(batch: DataFrame, against: Snapshot) -> DataFrame:
         ask, "sha string, doc_id bigint, n bigint, key bigint, maybe boolean")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The pairs (sha, old_id, new_id) whose texts agree byte for byte. Only the texts of the pairs move."""
-    needed = pairs.select("sha", F.explode(F.array("old_id", "new_id")).alias("__id")).where("__id is not null")
+def confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, by_digest: bool = False) -> DataFrame:
+    """The pairs (sha, old_id, new_id) whose texts agree byte for byte. Only the texts of the pairs move.
+
+    by_digest: sha is the digest of the texts, which are then fetched by id and digest, as ids may repeat with other texts or be null.
+    """
+    needed = pairs.select(F.col("sha").alias("__sha"), F.explode(F.array("old_id", "new_id")).alias("__id")).distinct()
     if pairs.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
-    texts = (docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(needed, "__id")
-             .withColumn("__text", normal_text(F.col("__text"))))
-    same = texts.groupBy("sha").agg((F.min("__text") == F.max("__text")).alias("same"))
-    return pairs.join(same, "sha", "left").where("same is null or same").drop("same")
+    source = docs.select(F.col(doc_id).cast("bigint").alias("__own"), normal_text(F.col(text)).alias("__text"))
+    fits = F.col("__own") == F.col("__id")
+    if by_digest:
+        fits = F.col("__own").eqNullSafe(F.col("__id")) & (F.sha2("__text", 256) == F.col("__sha"))
+    texts = source.join(needed, fits)
+    same = texts.groupBy("__sha").agg((F.min("__text") == F.max("__text")).alias("same"))
+    return pairs.join(same, F.col("sha") == F.col("__sha")).where("same").drop("same", "__sha")
 
 
 def dedup_batches(docs: DataFrame, cuts: list[int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,7 +175,7 @@ def dedup_batches(docs: DataFrame, cuts: list[int], doc_id: str = "doc_id", text
             asked = keep(screen(new, old))
             pairs = asked.where("maybe").join(old.members.select("sha", F.col("doc_id").alias("old_id")), "sha") \
                 .select("sha", "old_id", F.col("doc_id").alias("new_id"))
-            same = confirm(keep(pairs), docs, doc_id, text).select("sha", F.col("old_id").alias("keep_id"))
+            same = confirm(keep(pairs), docs, doc_id, text, by_digest=True).select("sha", F.col("old_id").alias("keep_id"))
             known = same if known is None else known.unionByName(same)
         if known is None:
             kept.append(new.select("sha", F.col("doc_id").alias("keep_id"), "n", F.lit(b).alias("batch")))
