@@ -6,10 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavepanel.llm import bpe, exact_dedup, html_text, jaccard, language, line_dedup, packing, substrings, topk, toxicity
+from wavepanel.llm import (
+    alignment,
+    bpe,
+    exact_dedup,
+    html_text,
+    jaccard,
+    language,
+    line_dedup,
+    packing,
+    phrases,
+    substrings,
+    topk,
+    toxicity,
+)
 from wavepanel.llm.registry import QUERIES, query
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,4 +130,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeated_passages(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER, PIECES, columns=("doc_id",))
+
+
+@query("op13_phrases", r"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+         w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+         g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+               FROM w, range(1, 6) r(k) WHERE len(w) >= k),
+         f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+         n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+         c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 100),
+         u AS (SELECT c.lang, c.k, c.phrase, a, j, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+               FROM c JOIN n USING (lang), range(1, 5) s(j), f x, f y
+               WHERE j < c.k AND x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ')
+                 AND y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:], ' ')),
+         b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+         s AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c q WHERE q.lang = b.lang AND q.k > b.k AND 100 * q.a >= 100 * b.a
+                                                   AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' '))),
+         o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000""")
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir).select("text", "lang"))
+
+
 __all__ = ["QUERIES"]
