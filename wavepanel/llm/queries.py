@@ -15,6 +15,7 @@ from wavepanel.llm import (
     language,
     line_dedup,
     packing,
+    personal_data,
     phrases,
     substrings,
     topk,
@@ -135,6 +136,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokens(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER, PIECES, columns=("doc_id",))
 
 
+@query("op12_personal_data")
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(documents(spark, sf_dir).select("doc_id", "text"), columns=("doc_id",))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 @query("op13_phrases", r"""
     WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                       'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
