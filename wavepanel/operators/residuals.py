@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from wavepanel.functions.results import result_table
 from wavepanel.functions.storage import durable, maybe_broadcast
 from wavepanel.operators.summaries import _names, _rekeyed, box_stats, counted_quantiles, hide_keys, quantiles, show_keys
 
+LEAF_ROWS = 10_000           # rows of a bin that are sorted together
 SIM_CELLS = 65_536           # rows x simulations worked on at once, sized for the processor cache
 
 
@@ -127,41 +129,64 @@ def simulated_position(low, high, v, h, n: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- uniformity
 
-def uniform_ks(df: DataFrame, u: str, by: Sequence[str] | str | None = None, bins: int = 4096) -> DataFrame:
+def uniform_ks(df: DataFrame, u: str, by: Sequence[str] | str | None = None, bins: int = 4096, leaf: int = LEAF_ROWS) -> DataFrame:
     """Exact Kolmogorov-Smirnov distance from the uniform per cell: ``by..., n, ks``.
 
-    Bin counts bound the distance inside every bin; only the few bins that can
-    hold the maximum are looked at row by row, so no cell is ever sorted as a
-    whole.
+    Rows are counted in bins with their least and greatest value, where the
+    distance is known exactly; the counts bound it inside. Bins that can hold
+    the maximum are cut between their own extremes and counted again, until they
+    hold at most ``leaf`` rows or one value; only such leaves are sorted. However
+    close values lie, a bin of two values or more always splits, so no task sorts
+    more than leaves.
     """
     by = _names(by)
-    data, keys = hide_keys(df.where(F.col(u).isNotNull()).select(*by, F.col(u).alias("__u")), by)
+    data, keys = hide_keys(df.where(F.col(u).isNotNull()).select(*by, F.col(u).cast("double").alias("__u")), by)
     key = keys or ["__all"]
     if not by:
         data = data.withColumn("__all", F.lit(0))
-    data = data.withColumn("__bin", F.least(F.floor(F.col("__u") * bins), F.lit(bins - 1)))
-    counts = data.groupBy(*key, "__bin").agg(F.count(F.lit(1)).alias("c"))
-    cell = Window.partitionBy(*key)
-    edges = (counts.withColumn("n", F.sum("c").over(cell))
-             .withColumn("upto", F.sum("c").over(cell.orderBy("__bin")))
-             .withColumn("before", F.col("upto") - F.col("c"))
-             .withColumn("left", F.col("__bin") / F.lit(float(bins)))
-             .withColumn("right", (F.col("__bin") + 1) / F.lit(float(bins))))
-    at_edges = F.greatest(F.abs(F.col("before") / F.col("n") - F.col("left")),
-                          F.abs(F.col("upto") / F.col("n") - F.col("right")))
-    inside = F.greatest(F.col("upto") / F.col("n") - F.col("left"), F.col("right") - F.col("before") / F.col("n"))
-    open_bins = durable(edges.withColumn("floor", F.max(at_edges).over(cell)).where(inside >= F.col("floor"))
-                        .select(*key, "__bin", "n", "before", "floor"))
-    open_bins = maybe_broadcast(open_bins, open_bins.count())
-    same = all_of([F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*key, "__bin"]])
-    rows = (data.alias("d").join(open_bins.alias("o"), same)
-            .groupBy(*[F.col(f"o.{c}").alias(c) for c in [*key, "__bin", "n", "before", "floor"]], F.col("d.__u"))
-            .agg(F.count(F.lit(1)).alias("c")))
-    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*key, "__bin").orderBy("__u"))
-    gap = F.greatest(F.col("upto") / F.col("n") - F.col("__u"),
-                     F.col("__u") - (F.col("upto") - F.col("c")) / F.col("n"))
-    out = (rows.withColumn("upto", upto).groupBy(*key)
-           .agg(F.max("n").alias("n"), F.greatest(F.max(gap), F.max("floor")).alias("ks")))
+    rows = data.withColumns({"__path": F.lit(""), "lo": F.lit(0.0), "hi": F.lit(1.0), "before": F.lit(0).cast("bigint"),
+                             "n": F.lit(None).cast("bigint")})
+    kept, leaves, floor = [], [], None
+    while True:
+        width = bins if floor is None else 256
+        place = F.least(F.floor((F.col("__u") - F.col("lo")) / (F.col("hi") - F.col("lo")) * width), F.lit(width - 1))
+        parent = Window.partitionBy(*key, "__path")
+        counts = rows.groupBy(*key, "__path", "before", "n", place.alias("__bin")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("__u").alias("lo"), F.max("__u").alias("hi"))
+        upto = F.col("before") + F.sum("c").over(parent.orderBy("__bin"))
+        edges = counts.withColumns({"n": F.coalesce("n", F.sum("c").over(parent)), "upto": upto}).select(
+            *key, F.concat_ws(".", "__path", "__bin").alias("__path"), "n", "c", (F.col("upto") - F.col("c")).alias("before"), "upto", "lo", "hi")
+        edges = durable(edges)
+        kept.append(edges)
+        share, below = F.col("upto") / F.col("n"), F.col("before") / F.col("n")
+        reached = edges.groupBy(*key).agg(F.max("n").alias("n"), F.max(F.greatest(F.col("lo") - below, share - F.col("hi"))).alias("floor"))
+        if floor is not None:
+            reached = floor.unionByName(reached).groupBy(*key).agg(F.max("n").alias("n"), F.max("floor").alias("floor"))
+        floor = reached
+        cells = floor.select(*[F.col(k).alias(f"__f{k}") for k in key], "floor")
+        here = all_of([F.col(k).eqNullSafe(F.col(f"__f{k}")) for k in key])
+        open_bins = edges.join(cells, here).where((F.col("hi") > F.col("lo")) & (F.greatest(share - F.col("lo"), F.col("hi") - below) > F.col("floor")))
+        open_bins = open_bins.select(*key, "__path", "c", "lo", "hi", "before", "n")
+        found, large = open_bins.agg(F.count(F.lit(1)), F.count(F.when(F.col("c") > leaf, 1))).first()
+        if not found:
+            break
+        same = all_of([F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*key, "__path"]])
+        inside = rows.select(*key, F.concat_ws(".", "__path", place).alias("__path"), "__u").alias("d").join(
+            maybe_broadcast(open_bins, found).alias("o"), same).select(*[F.col(f"o.{c}") for c in [*key, "__path", "c", "lo", "hi", "before", "n"]], "d.__u")
+        leaves.append(inside.where(F.col("c") <= leaf).groupBy(*key, "__path", "before", "n", "__u").agg(F.count(F.lit(1)).alias("c")))
+        if not large:
+            break
+        rows = durable(inside.where(F.col("c") > leaf).drop("c"))
+        kept.append(rows)
+    out = floor.select(*key, "n", F.col("floor").alias("ks"))
+    if leaves:
+        values = reduce(DataFrame.unionByName, leaves)
+        upto = F.col("before") + F.sum("c").over(Window.partitionBy(*key, "__path").orderBy("__u"))
+        gap = F.greatest(F.col("upto") / F.col("n") - F.col("__u"), F.col("__u") - (F.col("upto") - F.col("c")) / F.col("n"))
+        out = out.unionByName(values.withColumn("upto", upto).select(*key, "n", gap.alias("ks")))
+    out = durable(out.groupBy(*key).agg(F.max("n").alias("n"), F.max("ks").alias("ks")))       # one row a cell; the rest can go
+    for table in kept:
+        table.unpersist()
     return show_keys(out, by) if by else out.drop("__all")
 
 
