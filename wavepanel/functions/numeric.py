@@ -191,3 +191,38 @@ def ks_tail(d: float, n: float) -> float:
         return 1.0
     total = sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 101))
     return min(1.0, max(0.0, 2 * total))
+
+
+def binomial_two_sided(k: int, n: int, p: float) -> float:
+    """Exact binomial test: probability of all counts that are not likelier than k. Tails are beta integrals, so n may be large."""
+    if not 0 < p < 1:
+        return 1.0 if k == (n if p >= 1 else 0) else 0.0
+
+    def log_pmf(j: int) -> float:
+        return math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)
+
+    def upto(j: int) -> float:
+        return 0.0 if j < 0 else 1.0 if j >= n else float(beta_cdf(1 - p, n - j, j + 1))
+
+    def beyond(j: int) -> float:
+        return 1.0 if j <= 0 else 0.0 if j > n else float(beta_cdf(p, j, n - j + 1))
+
+    mode, bar = min(int((n + 1) * p), n), log_pmf(k) + 1e-7
+    low, high = (mode, n + 1) if k < mode else (-1, mode)
+    while high - low > 1:                            # the first unlikely count beyond the mode, on the other side
+        middle = (low + high) // 2
+        if (log_pmf(middle) <= bar) == (k < mode):
+            high = middle
+        else:
+            low = middle
+    if log_pmf(mode) <= bar:
+        return 1.0
+    return min(1.0, upto(k) + beyond(high) if k < mode else upto(low) + beyond(k))
+
+
+def uniform_variance_p(variance: float, n: int) -> float:
+    """Two-sided p-value of the sample variance of n independent uniforms, by its normal limit."""
+    if n < 4:
+        return math.nan
+    spread = math.sqrt((1 / 80 - (n - 3) / (n - 1) / 144) / n)
+    return normal_two_sided((variance - 1 / 12) / spread)

@@ -10,11 +10,13 @@ p x p system per model; several models (nested in one design) share the job.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ from wavepanel.operators.terms import Design, base_column, numeric_value, term_l
 
 PATTERN_SHARE = 0.1          # compress when patterns are at most this share of the rows
 ROWS_PER_TASK = 50_000       # patterns per task once compressed
+SUM_BUCKETS = 16             # arrays that the driver adds up per pass
 STEP_TOLERANCE = 1e-15       # predicted deviance gain of the next step, relative to the deviance
 FINE_TOLERANCE = 1e-20       # worth one more pass where steps converge quadratically
 
@@ -123,12 +126,24 @@ def independent_columns(gram: np.ndarray, tol: float = 1e-10) -> list[int]:
 
 
 def sum_arrays(df: DataFrame, column: str = "v") -> np.ndarray:
-    """Elementwise sum of an array column. The result has the size of one model system, not of the data."""
-    rows = df.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(len(rows))
-    for r in rows:
-        out[r["i"]] = r["x"]
-    return out
+    """Elementwise sum of an array column of equal lengths; its result has the size of one model system.
+
+    The arrays move whole, one row per task, into SUM_BUCKETS buckets where they are
+    added up in Arrow; the driver adds one array per bucket. So what is shuffled
+    is a row per task, and what is collected does not depend on the tasks.
+    """
+    def add(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).sum(axis=0)
+                total = v if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
+
+    dealt = df.select(F.col(column).alias("v"), F.pmod(F.spark_partition_id(), F.lit(SUM_BUCKETS)).alias("b")).repartition(SUM_BUCKETS, "b")
+    rows = dealt.select("v").mapInArrow(add, "v array<double>").collect()
+    return np.sum([np.asarray(r["v"], float) for r in rows], axis=0) if rows else np.zeros(0)
 
 
 def partial_sums(kernel):
@@ -214,17 +229,17 @@ class ModelFrame:
         self.n, self.saturated, self.sum_y = int(total[0]), total[2], total[3]
         self.constant = self._density_constant(inputs.rows)
 
-    def _density_constant(self, rows: DataFrame) -> float:
-        """Sum of the density's constants, one evaluation per distinct response."""
+    def _density_constant(self, rows: DataFrame) -> Callable[[], float]:
+        """The sum of the density's constants, one evaluation per distinct response; a scan of its own, made when it is asked for."""
         family = self.family
         if family.density_constant(np.ones(1)) is None:
-            return 0.0
+            return lambda: 0.0
 
         @F.pandas_udf("double")
         def constant(y: pd.Series) -> pd.Series:
             return pd.Series(family.density_constant(y.to_numpy(float)))
         counts = rows.groupBy("__y").agg(F.count(F.lit(1)).alias("c"))
-        return counts.agg(F.sum(F.col("c") * constant("__y"))).first()[0]
+        return lambda: counts.agg(F.sum(F.col("c") * constant("__y"))).first()[0]
 
     def _check(self, n, bad) -> None:
         if not n:
@@ -438,7 +453,7 @@ class GlmModel(LinearModel):
     passes: int
     saturated: float
     compressed: bool
-    constant: float = 0.0
+    constant: Callable[[], float] = lambda: 0.0
     aliased: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
 
@@ -477,6 +492,10 @@ class GlmModel(LinearModel):
         return result_table(spark, rows, "position int, term string, estimate double, std_error double, "
                                            "statistic double, p_value double")
 
+    @cached_property
+    def density_constant(self) -> float:
+        return self.constant()
+
     def log_likelihood(self) -> float | None:
         n, dev, s = self.n, self.deviance, self.family.name
         if s == "gaussian":
@@ -487,9 +506,9 @@ class GlmModel(LinearModel):
             a = n / dev
             return n * (a * math.log(a) - math.lgamma(a)) + (a - 1) * self.saturated - a * (dev / 2 + self.saturated + n)
         if s in ("poisson", "negbin"):
-            return self.saturated - dev / 2 + self.constant
+            return self.saturated - dev / 2 + self.density_constant
         if s == "inverse_gaussian":
-            return -0.5 * n * (math.log(2 * math.pi * dev / n) + 1) + self.constant
+            return -0.5 * n * (math.log(2 * math.pi * dev / n) + 1) + self.density_constant
         return None
 
     @property

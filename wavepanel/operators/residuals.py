@@ -21,6 +21,7 @@ from wavepanel.functions import numeric
 from wavepanel.functions.columns import all_of, inverse_link, keyed_uniform
 from wavepanel.functions.results import result_table
 from wavepanel.functions.storage import durable, maybe_broadcast
+from wavepanel.operators.glm import partial_sums, sum_arrays
 from wavepanel.operators.summaries import _names, _rekeyed, box_stats, counted_quantiles, hide_keys, quantiles, show_keys
 
 LEAF_ROWS = 10_000           # rows of a bin that are sorted together
@@ -201,19 +202,59 @@ def _ks_p(n: Column, ks: Column) -> Column:
 
 
 def residual_overall(df: DataFrame, u: str = "residual", sims: int | None = None) -> DataFrame:
-    """Uniformity, spread and outliers of all residuals in one row.
+    """Uniformity, spread and outliers of all residuals in one row, each with its p-value.
 
-    ``dispersion`` is the variance over that of a uniform. With ``sims`` the
-    residuals at exactly 0 or 1 are compared with the 2 / (sims + 1) expected.
+    ``dispersion`` is the variance over that of a uniform, its p-value from the
+    normal limit of a variance of uniforms. With ``sims`` the residuals at
+    exactly 0 or 1 are compared with the 2 / (sims + 1) expected, without it
+    with none expected; their p-value is the exact two-sided binomial one.
     """
-    spread = df.agg(F.count(u).alias("n"), F.avg(u).alias("mean"), (F.var_samp(u) * 12.0).alias("dispersion"),
-                    F.count(F.when((F.col(u) <= 0) | (F.col(u) >= 1), 1)).alias("outliers"))
-    # Two one-row results side by side, without a join.
-    both = spread.unionByName(uniform_ks(df, u).select("ks"), allowMissingColumns=True)
-    one = both.agg(*[F.max(c).alias(c) for c in ("n", "mean", "dispersion", "ks", "outliers")])
-    expected = F.lit(None).cast("double") if sims is None else F.col("n") * F.lit(2.0 / (sims + 1))
-    return one.select("n", "mean", "dispersion", "ks", _ks_p(F.col("n"), F.col("ks")).alias("ks_p"), "outliers",
-                      expected.alias("outliers_expected"))
+    n, mean, variance, outliers = df.agg(F.count(u), F.avg(u), F.var_samp(u), F.count(F.when((F.col(u) <= 0) | (F.col(u) >= 1), 1))).first()
+    one = uniform_ks(df, u).select("ks", _ks_p(F.col("n"), F.col("ks")).alias("p")).first()
+    ks, ks_p = one if one else (None, None)
+    chance = 0.0 if sims is None else 2 / (sims + 1)
+    spread = None if variance is None or math.isnan(variance) else variance
+    row = (n, mean, None if spread is None else spread * 12, None if spread is None else numeric.uniform_variance_p(spread, n), ks, ks_p, outliers,
+           None if sims is None else n * chance, numeric.binomial_two_sided(outliers, n, chance) if n else None)
+    return result_table(df.sparkSession, [row], "n long, mean double, dispersion double, dispersion_p double, ks double, ks_p double, outliers long, "
+                                                "outliers_expected double, outliers_p double")
+
+
+def dispersion_test(model, df: DataFrame, key: Sequence[str], sims: int = 250, seed: int = 0, uniforms: Column | None = None) -> DataFrame:
+    """Squared deviations from the fitted mean against those of simulated responses: ``n, observed, simulated, ratio, p_value``.
+
+    Every task draws its rows' replicates one after the other and keeps one sum
+    per replicate, so no replicate table exists and one vector of sims + 2
+    numbers leaves the pass. ``uniforms``, an array of ``sims`` uniforms per
+    row, replaces the keyed ones where a response comes from one uniform
+    (binomial and counts). The p-value is two-sided.
+    """
+    scored, _ = _scored(model, df)
+    fam, dispersion = model.family, model.dispersion
+    given = uniforms is not None
+    if given and fam.shape not in ("binomial", "poisson", "negbin"):
+        raise ValueError("given uniforms draw binomial and count responses only")
+    rows = scored.select(F.col(model.y).cast("double").alias("y"), F.col("__mu").alias("m"), F.col("__shape").alias("a"),
+                         F.xxhash64(*key, F.lit(int(seed)), F.lit(2)).alias("h"), *([uniforms.alias("u")] if given else []))
+
+    def kernel(batch):
+        y, m, a = (batch[c].to_numpy(float) for c in ("y", "m", "a"))
+        h = batch["h"].to_numpy(np.int64).view(np.uint64)
+        table = np.stack(batch["u"].to_numpy()) if given else None
+        sums = [float(len(y)), ((y - m) ** 2).sum()]
+        for i in range(sims):
+            own = counter_bits(h, i + 1)
+            u = table[:, i] if given else counter_uniform(own, 1)
+            sums.append(((draw_response(fam, dispersion, m, a, own, u) - m) ** 2).sum())
+        return np.array(sums)
+
+    v = sum_arrays(rows.mapInPandas(partial_sums(kernel), "v array<double>"))
+    if not len(v):
+        raise ValueError("no complete rows")
+    n, observed, drawn = int(v[0]), float(v[1]), v[2:]
+    above, below = float((drawn >= observed).mean()), float((drawn <= observed).mean())
+    row = (n, observed, float(drawn.mean()), observed / float(drawn.mean()), min(1.0, 2 * min(above, below)))
+    return result_table(df.sparkSession, [row], "n long, observed double, simulated double, ratio double, p_value double")
 
 
 def residual_qq(df: DataFrame, u: str = "residual", points: int = 100) -> DataFrame:
@@ -411,6 +452,24 @@ def draw_count(u: np.ndarray, mu: np.ndarray, size: float | None, truncated: boo
     return np.maximum(y, 1) if truncated else y
 
 
+def draw_response(fam, dispersion: float, m: np.ndarray, shape: np.ndarray, rows: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """One response per row of a family with these means, from a row hash and a uniform."""
+    if fam.shape == "binomial":
+        return (u < m).astype(float)
+    if fam.shape == "gamma":
+        return draw_gamma(shape, rows, 2) * m / shape
+    if fam.shape == "poisson":
+        return draw_count(u, m, None)
+    if fam.shape == "negbin":
+        return draw_count(u, m, fam.theta if math.isfinite(fam.theta) else None, fam.truncated)
+    z = np.sqrt(-2 * np.log(u)) * np.cos(2 * math.pi * counter_uniform(rows, 2))
+    if fam.shape == "inverse_gaussian":
+        q = m * z * z * dispersion / 2
+        root = m * (1 + q - np.sqrt(2 * q + q * q))
+        return np.where(counter_uniform(rows, 3) <= m / (m + root), root, m * m / root)
+    return m + math.sqrt(dispersion) * z
+
+
 def simulate(model, df: DataFrame, n: int, key: Sequence[str], seed: int = 0, out: str = "y_sim") -> DataFrame:
     """``n`` simulated responses per complete row, long with a ``replicate`` column."""
     scored, extra = _scored(model, df)
@@ -423,21 +482,6 @@ def simulate(model, df: DataFrame, n: int, key: Sequence[str], seed: int = 0, ou
 
     @F.pandas_udf("double")
     def draw(mean: pd.Series, a: pd.Series, h: pd.Series) -> pd.Series:
-        m, rows = mean.to_numpy(float), h.to_numpy(np.int64).view(np.uint64)
-        u = counter_uniform(rows, 1)
-        if fam.shape == "gamma":
-            shape = a.to_numpy(float)
-            y = draw_gamma(shape, rows, 2) * m / shape
-        elif fam.shape == "poisson":
-            y = draw_count(u, m, None)
-        elif fam.shape == "negbin":
-            y = draw_count(u, m, fam.theta, fam.truncated)
-        elif fam.shape == "inverse_gaussian":
-            z = np.sqrt(-2 * np.log(u)) * np.cos(2 * math.pi * counter_uniform(rows, 2))
-            q = m * z * z * dispersion / 2
-            root = m * (1 + q - np.sqrt(2 * q + q * q))
-            y = np.where(counter_uniform(rows, 3) <= m / (m + root), root, m * m / root)
-        else:
-            y = m + math.sqrt(dispersion) * np.sqrt(-2 * np.log(u)) * np.cos(2 * math.pi * counter_uniform(rows, 2))
-        return pd.Series(y)
+        rows = h.to_numpy(np.int64).view(np.uint64)
+        return pd.Series(draw_response(fam, dispersion, mean.to_numpy(float), a.to_numpy(float), rows, counter_uniform(rows, 1)))
     return many.withColumn(out, draw(mu, F.col("__shape"), F.xxhash64(*key, "replicate", F.lit(int(seed))))).drop(*extra)

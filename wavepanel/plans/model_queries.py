@@ -11,7 +11,7 @@ from wavepanel.operators.extended import fit_gamma_ls, fit_glmm_ri
 from wavepanel.operators.glm import fit_glm
 from wavepanel.operators.hypothesis import anova_ii, anova_seq, anova_wald
 from wavepanel.operators.predict import fit_curve, marginal_ci, predict_ci
-from wavepanel.operators.residuals import (levene, residual_by_cell, residual_overall, residual_qq, residual_smooth,
+from wavepanel.operators.residuals import (dispersion_test, levene, residual_by_cell, residual_overall, residual_qq, residual_smooth,
                                            residual_trend, sim_residuals, simulate, uniform_ks)
 from wavepanel.operators.terms import design, poly, power, star, term_list
 from wavepanel.plans.panels import LINES_SQL, lines
@@ -514,10 +514,37 @@ def uniform_ks_query(spark, sf):
     return round_all(uniform_ks(_u(lines(spark, sf)), "u", [FLAG, STATUS]))
 
 
-@query("residual_overall", f"WITH {_U}, {_KS.format(by='', part='', group='')} SELECT count(*) AS n, {r('avg(u)')} AS mean, {r('var_samp(u) * 12')} AS dispersion, "
-                           f"{r('(SELECT ks FROM k)')} AS ks, count(CASE WHEN u <= 0 OR u >= 1 THEN 1 END) AS outliers FROM u")
+def _erfc_sql(x):
+    """Two-sided normal p-value of x >= 0 by Simpson's rule on the density, 2000 panels."""
+    return (f"(1 - 2 * (SELECT sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * pow(least({x}, 12.0) * i / 2000, 2))) "
+            f"FROM range(2001) s(i)) * least({x}, 12.0) / 2000 / 3 / sqrt(2 * pi()))")
+
+
+@query("residual_overall", f"""WITH u AS (SELECT *, CASE WHEN l_orderkey % 97 = 0 AND l_linenumber = 1 THEN 0.0 ELSE fmod(l_extendedprice, 1000) / 1000 END AS u FROM lineitem),
+{_KS.format(by='', part='', group='')}, s AS (SELECT count(*) AS n, avg(u) AS mean, var_samp(u) AS v, count(CASE WHEN u <= 0 OR u >= 1 THEN 1 END) AS outliers FROM u),
+z AS (SELECT *, abs(v - 1 / 12.0) / sqrt((1 / 80.0 - (n - 3.0) / (n - 1.0) / 144) / n) AS z FROM s),
+b AS (SELECT i, lgamma(n + 1) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(2 / 251.0) + (n - i) * ln(1 - 2 / 251.0) AS l FROM s, range(0, (SELECT count(*) + 1 FROM lineitem)) t(i))
+SELECT n, {r('mean')} AS mean, {r('v * 12')} AS dispersion, {r(_erfc_sql('z'))} AS dispersion_p, {r('(SELECT ks FROM k)')} AS ks, outliers, {r('n * 2 / 251.0')} AS outliers_expected,
+{r('(SELECT least(1.0, sum(exp(l))) FROM b WHERE l <= (SELECT l FROM b WHERE i = outliers) + 1e-7)')} AS outliers_p FROM z""")
 def residual_overall_query(spark, sf):
-    return round_all(residual_overall(_u(lines(spark, sf)), "u").drop("ks_p", "outliers_expected"))
+    df = _u(lines(spark, sf)).withColumn("u", F.when((F.col("l_orderkey") % 97 == 0) & (F.col("l_linenumber") == 1), 0.0).otherwise(F.col("u")))
+    return round_all(residual_overall(df, "u", sims=250).drop("ks_p"))
+
+
+def _md5_uniforms(n):
+    """Uniforms from the digest of a row's values and a number, the same in any engine."""
+    row = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.conv(F.substring(F.md5(F.concat_ws("-", row, i)), 1, 13), 16, 10).cast("double") / 2.0**52)
+
+
+@query("dispersion_test", f"""WITH {LINES_SQL}, m AS (SELECT *, avg(big) OVER (PARTITION BY {FLAG}, {STATUS}) AS mu FROM lines),
+d AS (SELECT i, sum(pow((('0x' || substr(md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, i)), 1, 13))::BIGINT / 4503599627370496.0 < mu)::INTEGER - mu, 2)) AS s
+  FROM m, range(1, 21) t(i) GROUP BY i), o AS (SELECT count(*) AS n, sum(pow(big - mu, 2)) AS observed FROM m)
+SELECT any_value(n) AS n, {r('any_value(observed)', 4)} AS observed, {r('avg(s)', 4)} AS simulated, {r('any_value(observed) / avg(s)')} AS ratio,
+{r('least(1.0, 2 * least(avg((s >= observed)::INTEGER), avg((s <= observed)::INTEGER)))')} AS p_value FROM d, o""")
+def dispersion_test_query(spark, sf):
+    df = lines(spark, sf)
+    return round_all(dispersion_test(fit_glm(df, "big", CELL_TERMS, "binomial"), df, ROW_KEY, sims=20, uniforms=_md5_uniforms(20)), observed=4, simulated=4)
 
 
 @query("residual_qq", f"WITH {_U}, p AS (SELECT (i + 0.5) / 100 AS p FROM range(100) t(i)), q AS (SELECT quantile_cont(u, [{', '.join(str((i + 0.5) / 100) for i in range(100))}]) AS q FROM u) "
