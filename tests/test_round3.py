@@ -7,7 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wavepanel.operators import residuals
+from wavepanel.functions import numeric
+from wavepanel.operators import glm, residuals
+from wavepanel.operators.counts import fit_hurdle, fit_negbin, fit_ztnb
+from wavepanel.operators.glm import fit_glm
 
 
 def brute_ks(u):
@@ -41,3 +44,76 @@ def test_ks_of_values_close_together(spark):
     for g, u in (("near", near), ("deep", deep), ("tied", tied), ("one", np.array([0.3]))):
         assert got[g] == (len(u), pytest.approx(brute_ks(u), abs=1e-12)), g
     assert got[None][0] == n
+
+
+def test_size_beyond_the_former_limit(spark):
+    rng = np.random.default_rng(4)
+    n, k, mu = 60_000, math.exp(8.5), 3000.0
+    y = rng.poisson(rng.gamma(k, mu / k, n))
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "h": np.where(rng.random(n) < 0.7, y, 0)}))
+    for m in (fit_negbin(df, "y", []), fit_ztnb(df, "y", []), fit_hurdle(df, "h", [], []).count):
+        se = float(np.sqrt(m.cov[-1, -1]))
+        assert m.converged and not m.poisson_limit and abs(m.log_k - 8.5) < 4 * se < 0.4
+        assert m.boundary_z > 3
+
+
+def test_poisson_boundary(spark):
+    rng = np.random.default_rng(9)
+    y = np.minimum(rng.binomial(20, 0.2, 5000), 19)
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "p": y + 1.0}))
+    m = fit_negbin(df, "y", [])
+    assert m.poisson_limit and math.isinf(m.theta) and m.boundary_z < 0
+    poisson = fit_glm(df, "y", [], "poisson")
+    assert m.log_likelihood == pytest.approx(poisson.log_likelihood(), rel=1e-9)
+    assert m.cov[0, 0] == pytest.approx(poisson.cov[0, 0], rel=1e-6)
+    t = fit_ztnb(df.where("y > 0"), "y", [])
+    mean = df.where("y > 0").withColumn("m", t.mean_positive()).first()["m"]
+    assert t.poisson_limit and mean == pytest.approx(y[y > 0].mean(), rel=1e-6)
+    low, high = t.family.cdf(np.array([1.0, 5.0]), np.array([4.0, 4.0]))
+    assert low[0] == pytest.approx(0, abs=1e-12) and 0 < low[1] < high[1] < 1
+
+
+def test_exact_binomial_p():
+    def brute(k, n, p):
+        pmf = np.array([math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(n + 1)])
+        return min(1.0, pmf[pmf <= pmf[k] * (1 + 1e-7)].sum())
+    for n, p in ((10, 0.3), (50, 0.01), (41, 0.5), (200, 0.97)):
+        for k in range(0, n + 1, max(1, n // 17)):
+            assert numeric.binomial_two_sided(k, n, p) == pytest.approx(brute(k, n, p), abs=1e-10), (k, n, p)
+    assert numeric.binomial_two_sided(0, 10**12, 0.0) == 1 and numeric.binomial_two_sided(3, 10, 0.0) == 0
+
+
+def test_residual_tests_have_p_values(spark):
+    rng = np.random.default_rng(21)
+    flat = spark.createDataFrame(pd.DataFrame({"residual": np.concatenate([rng.random(4000), [0.0] * 60])}))
+    row = residuals.residual_overall(flat, sims=250).first()
+    assert row["outliers"] == 60 and row["outliers_p"] < 1e-4 and 0 < row["dispersion_p"] < 1
+    narrow = spark.createDataFrame(pd.DataFrame({"residual": rng.beta(4, 4, 4000)}))
+    row = residuals.residual_overall(narrow, sims=250).first()
+    assert row["dispersion_p"] < 1e-6 and row["outliers_p"] < 1e-4      # about 32 outliers expected, none seen
+
+
+def test_dispersion_by_replicates(spark):
+    rng = np.random.default_rng(2)
+    n = 3000
+    pdf = pd.DataFrame({"id": np.arange(n), "good": rng.poisson(6.0, n), "wide": rng.poisson(rng.gamma(2.0, 3.0, n))})
+    df = spark.createDataFrame(pdf).repartition(3)
+    good = residuals.dispersion_test(fit_glm(df, "good", [], "poisson"), df, ["id"], sims=100).first()
+    wide = residuals.dispersion_test(fit_glm(df, "wide", [], "poisson"), df, ["id"], sims=100).first()
+    assert 0.9 < good["ratio"] < 1.1 and good["p_value"] > 0.02
+    assert wide["ratio"] > 2 and wide["p_value"] == 0
+    again = residuals.dispersion_test(fit_glm(df, "good", [], "poisson"), df.repartition(7), ["id"], sims=100).first()
+    assert again["simulated"] == pytest.approx(good["simulated"], rel=1e-12)
+
+
+def test_sums_of_models_by_buckets(spark):
+    def vectors(batches):
+        for b in batches:
+            for i in b["id"]:
+                yield pd.DataFrame({"v": [np.arange(5.0) * i]})
+    for parts in (1, 40):
+        df = spark.range(0, 200, 1, parts).mapInPandas(vectors, "v array<double>")
+        assert glm.sum_arrays(df).tolist() == [x * 19900.0 for x in range(5)]
+    assert len(glm.sum_arrays(spark.range(0).mapInPandas(vectors, "v array<double>"))) == 0
+    plan = df._jdf.queryExecution().toString()
+    assert "Generate" not in plan                            # no row per number

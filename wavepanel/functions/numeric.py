@@ -137,7 +137,9 @@ def normal_cdf(z):
 
 
 def negbin_cdf(y, mu, size):
-    """P(Y <= y) of a negative binomial with mean mu and size k; 0 for y < 0."""
+    """P(Y <= y) of a negative binomial with mean mu and size k, a Poisson one if k is infinite; 0 for y < 0."""
+    if np.isinf(size):
+        return poisson_cdf(y, mu)
     y = np.floor(np.asarray(y, float))
     p = beta_cdf(size / (size + mu), size, np.maximum(y, 0) + 1)
     return np.where(y < 0, 0.0, p)

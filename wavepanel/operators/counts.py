@@ -2,7 +2,10 @@
 
 The mean of the untruncated distribution is log-linear in the terms; log k
 (the size, one number) is estimated with it by Newton steps on the analytic
-score and Hessian, one Spark job per step.
+score and Hessian, one Spark job per step. When k grows large the (truncated)
+Poisson model is fitted, the boundary 1/k = 0, and the score of 1/k decides there:
+if the likelihood does not rise into the inside the boundary is the estimate,
+otherwise the steps go on from the size that the score points to.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from wavepanel.operators.glm import (PATTERN_SHARE, GlmModel, LinearModel, Model
 from wavepanel.operators.hypothesis import anova_ii
 from wavepanel.operators.terms import Design, base_column
 
-POISSON_LIMIT = 8.0          # default log k at which a fit stops and reports the Poisson limit
+FAR_LOG_K = 7.0              # log k from which the boundary 1/k = 0 is tried
 
 
 @dataclass
@@ -47,6 +50,8 @@ class CountModel(LinearModel):
     converged: bool
     passes: int
     poisson_limit: bool
+    #: Score of 1/k at the boundary over its standard error, where the fit went there.
+    boundary_z: float | None = None
     warnings: list[str] = field(default_factory=list)
     dispersion: float = 1.0
 
@@ -65,6 +70,12 @@ class CountModel(LinearModel):
     def theta(self) -> float:
         return math.exp(self.log_k)
 
+    def poisson_test(self, spark: SparkSession) -> DataFrame:
+        """Score test of 1/k = 0 against 1/k > 0: ``z, p_value``; NULL where the fit stayed far from the boundary."""
+        z = self.boundary_z
+        p = None if z is None else 0.5 * numeric.normal_two_sided(abs(z))
+        return result_table(spark, [(z, None if z is None else p if z > 0 else 1 - p)], "z double, p_value double")
+
     def coef_table(self, spark: SparkSession) -> DataFrame:
         b = [float(self.beta[j]) for j in self.cols] + [self.log_k]
         se = np.sqrt(np.diag(self.cov))
@@ -85,14 +96,36 @@ class CountModel(LinearModel):
     def mean_positive(self):
         """E[y | y > 0] as a JVM expression over the input columns."""
         mu, k = F.exp(self.eta()), F.lit(self.theta)
-        return mu / -F.expm1(-k * F.log1p(mu / k))
+        return mu / -F.expm1(-mu if self.poisson_limit else -k * F.log1p(mu / k))
+
+
+def poisson_terms(y, mu, truncated):
+    """At 1/k = 0: log-likelihood of each row, first and second derivative in log mu, score of 1/k and its information given mu."""
+    ll = y * np.log(mu) - mu - numeric.lgamma(y + 1)
+    s_m, h_mm = y - mu, -mu
+    s_a, i_a = 0.5 * ((y - mu) ** 2 - y), 0.5 * mu * mu
+    if truncated:
+        r = 1 / np.expm1(mu)                         # P(0) / (1 - P(0))
+        ll = ll - np.log(-np.expm1(-mu))
+        s_m, h_mm = s_m - r * mu, h_mm - r * mu + r * (1 + r) * mu * mu
+        s_a, i_a = s_a + r * 0.5 * mu * mu, i_a * (1 + r)
+    return ll, s_m, h_mm, s_a, i_a
+
+
+def _log_rising(y, k):
+    """log of k (k + 1) ... (k + y - 1) over k^y, without the cancellation of large k."""
+    if k < 1e4:
+        return numeric.lgamma(y + k) - numeric.lgamma(k) - y * np.log(k)
+    def rest(x):
+        return 1 / (12 * x) - 1 / (360 * x**3)
+    return (k + y - 0.5) * np.log1p(y / k) - y + rest(k + y) - rest(k)
 
 
 def negbin_terms(y, mu, k, truncated):
     """Log-likelihood of each row, its first and second derivatives in (log mu, log k)."""
     q = mu / (mu + k)
     log_rest = -np.log1p(mu / k)                     # log(k / (k + mu))
-    ll = numeric.lgamma(y + k) - numeric.lgamma(k) - numeric.lgamma(y + 1) + k * log_rest + y * np.log(q)
+    ll = _log_rising(y, k) - numeric.lgamma(y + 1) + k * log_rest + y * (np.log(mu) + log_rest)
     s_m = y - (y + k) * q
     h_mm = -(y + k) * q * (1 - q)
     s_k = numeric.digamma(y + k) - numeric.digamma(k) + log_rest + 1 - (y + k) / (k + mu)
@@ -115,7 +148,7 @@ def negbin_terms(y, mu, k, truncated):
 
 
 def _fit(df: DataFrame, y: str, terms: Sequence[tuple], truncated: bool, levels: Mapping | None,
-         intercept: bool, max_passes: int = 60, max_log_k: float = POISSON_LIMIT) -> CountModel:
+         intercept: bool, max_passes: int = 60) -> CountModel:
     inputs = ModelInputs(df, y, terms, levels)
     low = 1 if truncated else 0
     is_bad = (F.col("__y") < low) | (F.col("__y") != F.floor("__y"))
@@ -177,40 +210,69 @@ def _fit(df: DataFrame, y: str, terms: Sequence[tuple], truncated: bool, levels:
             h[upper] = v[:len(upper[0])]
             return h + np.triu(h, 1).T, v[len(upper[0]):-1], v[-1]
 
-        limit, converged, best = False, False, None
+        def at_boundary(beta):
+            def kernel(batch):
+                x, w = design.matrix(batch)[:, cols], batch["__n"].to_numpy(float)
+                mu = np.exp(np.clip(x @ beta, -700, 700))
+                ll, s_m, h_mm, s_a, i_a = poisson_terms(batch["__y"].to_numpy(float), mu, truncated)
+                return np.concatenate([(x.T @ (x * (w * h_mm)[:, None])).ravel(), x.T @ (w * s_m),
+                                       [(w * s_a).sum(), (w * i_a).sum(), (w * ll).sum()]])
+            v = total(kernel)
+            return v[:p * p].reshape(p, p), v[p * p:p * p + p], *v[-3:]
+
+        def poisson_fit(beta):
+            """The boundary fit: coefficients, information, score, score and information of 1/k, log-likelihood, whether it converged."""
+            last = None
+            for _ in range(max_passes):
+                h, score, s_a, i_a, ll = at_boundary(beta)
+                if last is not None and not ll >= last[1] - 1e-9 * (abs(last[1]) + 1):
+                    beta = (beta + last[0]) / 2
+                    continue
+                last = (beta, ll)
+                step = np.linalg.solve(-h, score)
+                if float(step @ score) < 1e-8 + 1e-14 * abs(ll):
+                    return beta + step, -h, score, s_a, i_a, ll, True
+                beta = beta + step * min(1.0, 2 / np.abs(step).max())
+            return beta, -h, score, s_a, i_a, ll, False
+
+        limit, converged, best, boundary_z = False, False, None, None
         for _ in range(max_passes):
             h, score, ll = evaluate(par)
             if not math.isfinite(ll) and best is None:
                 raise ArithmeticError("the likelihood has no finite start")
-            if limit and score[p] < -1e-6 * max(1.0, abs(ll)):     # the likelihood rises towards smaller k again
-                limit = False
             if best is not None and not (ll >= best[1] - 1e-9 * (abs(best[1]) + 1)):
                 par = (par + best[0]) / 2
                 continue
             best = (par, ll)
-            free = p if limit else p + 1
-            value, vector = np.linalg.eigh(-h[:free, :free])
-            step = vector @ ((vector.T @ score[:free]) / np.maximum(np.abs(value), 1e-12 * np.abs(value).max()))
-            gain = float(step @ score[:free])
+            value, vector = np.linalg.eigh(-h)
+            step = vector @ ((vector.T @ score) / np.maximum(np.abs(value), 1e-12 * np.abs(value).max()))
+            gain = float(step @ score)
             if gain < 1e-8 + 1e-14 * abs(ll) and value.min() > 0:
                 converged = True
                 break
             biggest = np.abs(step).max()
             if biggest > 2:
                 step *= 2 / biggest
-            par = par + (np.append(step, 0.0) if limit else step)
-            if par[-1] > max_log_k:
-                par[-1], limit, best = max_log_k, True, None
-        info = -h[:free, :free]
-        if converged:   # the last Newton step costs no pass
-            par = par + (np.append(step, 0.0) if limit else step)
+            par = par + step
+            if par[-1] > FAR_LOG_K and boundary_z is None:
+                beta, info, score, s_a, i_a, ll, converged = poisson_fit(par[:-1])
+                boundary_z = float(s_a / math.sqrt(i_a)) if i_a > 0 else 0.0
+                if s_a <= 0 or not converged:
+                    limit, par = True, np.append(beta, math.inf)
+                    break
+                par, best, converged = np.append(beta, math.log(i_a / s_a)), None, False
+        free = p if limit else p + 1
+        if not limit:
+            info = -h
+            if converged:   # the last Newton step costs no pass
+                par = par + step
         cov = np.zeros((p + 1, p + 1))
         cov[:free, :free] = np.linalg.inv(info)
     finally:
         cached.unpersist()
     family = Family("negbin", "log", True, math.exp(par[-1]), truncated)
     model = CountModel(design, family, y, int(n), cols, par[:-1], cov, float(par[-1]), float(ll),
-                       float(np.abs(score[:free]).max()), converged, passes, limit)
+                       float(np.abs(score[:free]).max()), converged, passes, limit, boundary_z)
     if limit:
         model.warnings.append("Poisson limit: the counts show no overdispersion, k is not estimable")
     if not converged:
@@ -221,21 +283,22 @@ def _fit(df: DataFrame, y: str, terms: Sequence[tuple], truncated: bool, levels:
 
 
 def fit_negbin(df: DataFrame, y: str, terms: Sequence[tuple], levels: Mapping | None = None,
-               intercept: bool = True, max_log_k: float = POISSON_LIMIT) -> CountModel:
-    """Negative binomial regression with estimated size, up to log k = ``max_log_k``."""
-    return _fit(df, y, terms, False, levels, intercept, max_log_k=max_log_k)
+               intercept: bool = True) -> CountModel:
+    """Negative binomial regression with estimated size; log k is infinite where the counts show no overdispersion."""
+    return _fit(df, y, terms, False, levels, intercept)
 
 
 def fit_ztnb(df: DataFrame, y: str, terms: Sequence[tuple], levels: Mapping | None = None,
-             intercept: bool = True, max_log_k: float = POISSON_LIMIT) -> CountModel:
-    """Zero-truncated negative binomial: log mu on the terms, log k constant, up to ``max_log_k``."""
-    return _fit(df, y, terms, True, levels, intercept, max_log_k=max_log_k)
+             intercept: bool = True) -> CountModel:
+    """Zero-truncated negative binomial: log mu on the terms, log k constant, infinite without overdispersion."""
+    return _fit(df, y, terms, True, levels, intercept)
 
 
 def anova_negbin(df: DataFrame, y: str, terms: Sequence[tuple], model: CountModel, levels: Mapping | None = None,
                  intercept: bool = True) -> DataFrame:
     """Type-II likelihood-ratio table with the size fixed at its estimate."""
-    return anova_ii(df, y, terms, "negbin", levels=levels, intercept=intercept, theta=model.theta)
+    family, theta = ("poisson", None) if model.poisson_limit else ("negbin", model.theta)
+    return anova_ii(df, y, terms, family, levels=levels, intercept=intercept, theta=theta)
 
 
 @dataclass

@@ -182,7 +182,7 @@ class Family:
         if s == "negbin":
             low, high = numeric.negbin_cdf(y - 1, mu, self.theta), numeric.negbin_cdf(y, mu, self.theta)
             if self.truncated:
-                zero = np.exp(-self.theta * np.log1p(mu / self.theta))
+                zero = numeric.negbin_cdf(np.zeros(mu.shape), mu, self.theta)
                 low, high = (np.clip((v - zero) / (1 - zero), 0, 1) for v in (low, high))
             return low, high
         if s == "gamma":

@@ -396,11 +396,19 @@ _NB = ("f AS (SELECT l_returnflag AS f, avg(excess) AS mu FROM lines GROUP BY 1)
        + stencil_newton_1d("k", "d", "one", "n * " + negbin_log_density("y", "mu", "exp(w)", False), "0.0::DOUBLE"))
 
 
-@query("negbin_fit", f"""WITH RECURSIVE {LINES_SQL}, {_NB}
-SELECT '{FLAG}' || f AS term, {r('ln(mu)', 5)} AS estimate FROM f UNION ALL SELECT 'log(k)', {r('v', 5)} FROM k""")
+def _curvature_sql(table, value, at, h=0.02):
+    """Second derivative of sum({value}) in w at {at}, by five points."""
+    parts = [f"{c} * (SELECT sum({value.replace('@', f'({at} + {i * h})')}) FROM {table})" for i, c in ((-2, -1), (-1, 16), (0, -30), (1, 16), (2, -1))]
+    return f"(({' + '.join(parts)}) / {12 * h * h})"
+
+
+# The size and the cell means are orthogonal at the estimate.
+@query("negbin_fit", f"""WITH RECURSIVE {LINES_SQL}, {_NB}, w AS (SELECT v, exp(v) AS k FROM k), c AS (SELECT f, mu, sum(n) AS n FROM d GROUP BY ALL)
+SELECT '{FLAG}' || f AS term, {r('ln(mu)', 5)} AS estimate, {r('sqrt((mu + k) / (n * mu * k))', 5)} AS std_error FROM c, w
+UNION ALL SELECT 'log(k)', {r('v', 5)}, {r('1 / sqrt(-' + _curvature_sql('d', 'n * ' + negbin_log_density('y', 'mu', 'exp(@)', False), 'v') + ')', 5)} FROM w""")
 def negbin_fit(spark, sf):
     m = fit_negbin(lines(spark, sf), "excess", [(FLAG,)], intercept=False)
-    return round_all(m.coef_table(spark).select("term", "estimate"), 5)
+    return round_all(m.coef_table(spark).select("term", "estimate", "std_error"), 5)
 
 
 @query("negbin_anova", f"""WITH RECURSIVE {LINES_SQL}, {_NB}, t AS (SELECT exp(v) AS k FROM k), o AS (SELECT avg(excess) AS mu0 FROM lines)
@@ -411,11 +419,18 @@ def negbin_anova(spark, sf):
     return round_all(anova_negbin(df, "excess", [(FLAG,)], m).select("term", "df", "lr_chisq"), 4)
 
 
-@query("poisson_limit", "SELECT TRUE AS poisson_limit, " + r("ln(avg(n))", 3) + " AS log_mean FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)")
+_LINE_COUNTS = "y AS (SELECT count(*) AS y FROM lineitem GROUP BY l_orderkey), m AS (SELECT avg(y) AS mu, count(*) AS n FROM y)"
+
+
+# Without overdispersion the fit is the Poisson one and the score of 1/k is negative.
+@query("poisson_limit", f"""WITH {_LINE_COUNTS}, s AS (SELECT sum(0.5 * (pow(y - mu, 2) - y)) / sqrt(any_value(n) * 0.5 * pow(any_value(mu), 2)) AS z FROM y, m)
+SELECT z <= 0 AS poisson_limit, {r('ln(mu)')} AS log_mean, {r('1 / sqrt(n * mu)')} AS std_error, {r('z')} AS score_z FROM s, m""")
 def poisson_limit(spark, sf):
     per_order = lines(spark, sf).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
     m = fit_negbin(per_order, "n_lines", [])
-    return round_all(spark.createDataFrame([(m.poisson_limit, float(m.beta[0]))], "poisson_limit boolean, log_mean double"), 3)
+    table = m.coef_table(spark).where("term = '(Intercept)'").select(
+        F.lit(m.poisson_limit).alias("poisson_limit"), F.col("estimate").alias("log_mean"), "std_error", F.lit(m.boundary_z).cast("double").alias("score_z"))
+    return round_all(table)
 
 
 _ZT = ("y AS (SELECT {x} AS y, count(*)::DOUBLE AS n FROM lines WHERE {x} > 0 GROUP BY 1), "
@@ -423,10 +438,14 @@ _ZT = ("y AS (SELECT {x} AS y, count(*)::DOUBLE AS n FROM lines WHERE {x} > 0 GR
                            ("ln(sum(n * y) / sum(n))", "0.0::DOUBLE"), steps=40))
 
 
-@query("ztnb_fit", f"""WITH RECURSIVE {LINES_SQL}, {_ZT.format(x='l_quantity')}
-SELECT '(Intercept)' AS term, {r('u', 4)} AS estimate FROM z UNION ALL SELECT 'log(k)', {r('v', 4)} FROM z""")
+_ZT1 = ", ".join([f"{LINES_SQL}, src AS (SELECT l_quantity AS y, count(*)::DOUBLE AS n FROM lines GROUP BY 1)", *ztnb_cte("m", "src", ["1"])])
+
+
+@query("ztnb_fit", f"""WITH RECURSIVE {_ZT1} SELECT '(Intercept)' AS term, {r('b[1]', 4)} AS estimate, {r('sqrt(v[1][1])', 5)} AS std_error, {r('b[1] / sqrt(v[1][1])', 1)} AS statistic FROM m, m_v
+UNION ALL SELECT 'log(k)', {r('c', 4)}, {r('sqrt(v[2][2])', 5)}, {r('c / sqrt(v[2][2])', 1)} FROM m, m_v""")
 def ztnb_fit(spark, sf):
-    return round_all(fit_ztnb(lines(spark, sf), "l_quantity", []).coef_table(spark).select("term", "estimate"), 4)
+    table = fit_ztnb(lines(spark, sf), "l_quantity", []).coef_table(spark)
+    return round_all(table.select("term", "estimate", "std_error", "statistic"), 5, estimate=4, statistic=1)
 
 
 @query("ztnb_loglik", f"""WITH {LINES_SQL}, d AS (SELECT l_quantity AS y, 3.2 + 0.02 * (l_returnflag = 'N')::INTEGER - 0.01 * (l_linestatus = 'O')::INTEGER AS eta, exp(0.8) AS k FROM lines)
