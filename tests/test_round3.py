@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from wavepanel.functions import numeric
 from wavepanel.operators import glm, residuals
+from wavepanel.operators.extended import fit_glmm_ri, glmm_log_likelihood, glmm_residuals, mixture_residuals
+from wavepanel.operators import extended
 from wavepanel.operators.counts import fit_hurdle, fit_negbin, fit_ztnb
 from wavepanel.operators.glm import fit_glm
 
@@ -117,3 +119,64 @@ def test_sums_of_models_by_buckets(spark):
     assert len(glm.sum_arrays(spark.range(0).mapInPandas(vectors, "v array<double>"))) == 0
     plan = df._jdf.queryExecution().toString()
     assert "Generate" not in plan                            # no row per number
+
+
+@pytest.fixture(scope="module")
+def grouped(spark):
+    rng = np.random.default_rng(31)
+    groups, each, sigma, nu = 150, 20, 0.5, 4.0
+    g = np.repeat(np.arange(groups), each)
+    x = rng.normal(size=len(g))
+    b = rng.normal(0, sigma, groups)[g]
+    pdf = pd.DataFrame({"g": g, "x": x, "y": rng.gamma(nu, np.exp(1 + 0.3 * x + b) / nu)})
+    df = spark.createDataFrame(pdf).repartition(4)
+    return pdf, df, fit_glmm_ri(df, "y", [("x",)], "g")
+
+
+def brute_log_likelihood(pdf, beta, sigma, nu):
+    """Plain integration on a fine grid of intercepts."""
+    grid = np.linspace(-8, 8, 2001)
+    eta = beta[0] + beta[1] * pdf.x.to_numpy()
+    total = 0.0
+    for _, rows in pd.DataFrame({"g": pdf.g, "y": pdf.y, "eta": eta}).groupby("g"):
+        m = rows.eta.to_numpy()[:, None] + sigma * grid
+        y = rows.y.to_numpy()[:, None]
+        h = (nu * np.log(nu) - math.lgamma(nu) + (nu - 1) * np.log(y) - nu * m - nu * y * np.exp(-m)).sum(axis=0) - grid**2 / 2
+        total += h.max() + math.log(np.trapezoid(np.exp(h - h.max()), grid)) - 0.5 * math.log(2 * math.pi)
+    return total
+
+
+def test_random_intercept_information(grouped, spark):
+    pdf, df, m = grouped
+    par = np.array([*m.beta, math.log(m.sigma), math.log(m.shape)])
+
+    def ll(v):
+        return brute_log_likelihood(pdf, v[:2], math.exp(v[2]), math.exp(v[3]))
+    assert m.converged and m.log_likelihood == pytest.approx(ll(par), abs=1e-4)
+    got = glmm_log_likelihood(df, "y", F.lit(float(par[0])) + F.col("x") * float(par[1]), "g", m.sigma, m.shape).first()
+    assert got["groups"] == 150 and got["log_likelihood"] == pytest.approx(m.log_likelihood, abs=1e-5)
+    step, k = 1e-3, len(par)
+    h = np.zeros((k, k))
+    for i in range(k):
+        for j in range(k):
+            e, f = np.eye(k)[i] * step, np.eye(k)[j] * step
+            h[i, j] = (ll(par + e + f) - ll(par + e - f) - ll(par - e + f) + ll(par - e - f)) / (4 * step * step)
+    want = np.sqrt(np.diag(np.linalg.inv(-h)))
+    table = {r["term"]: r["std_error"] for r in m.coef_table(spark).collect()}
+    got = [table["(Intercept)"], table["x"], table["sd(group intercept)"] / m.sigma, table["shape"] / m.shape]
+    assert got == pytest.approx(want, rel=0.01)
+
+
+def test_random_intercept_residuals(grouped, spark, monkeypatch):
+    _, df, m = grouped
+    u = glmm_residuals(m, df, "g", given="none")
+    ks = residuals.uniform_ks(u, "residual").first()["ks"]
+    assert ks < 0.12                                          # groups share their intercept
+    own = glmm_residuals(m, df, "g")
+    row = residuals.residual_overall(own).first()
+    assert row["n"] == 3000 and row["ks_p"] > 0.01 and row["mean"] == pytest.approx(0.5, abs=0.02)
+    monkeypatch.setattr(extended, "BROADCAST_ROWS", 1)        # the same by a salted join
+    salted = {r["g"]: r["m"] for r in glmm_residuals(m, df, "g").groupBy("g").agg(F.avg("residual").alias("m")).collect()}
+    assert salted == pytest.approx({r["g"]: r["m"] for r in own.groupBy("g").agg(F.avg("residual").alias("m")).collect()})
+    odd = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", None), ("a", -1.0), ("b", 3.0)], "g string, y double")
+    assert mixture_residuals(odd, "y", F.lit(0.0), "g", 0.5, 2.0).count() == 3

@@ -9,12 +9,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavepanel.functions import numeric
 from wavepanel.functions.results import result_table
-from wavepanel.functions.storage import durable
+from wavepanel.functions.storage import BROADCAST_ROWS, durable
 from wavepanel.operators.families import Family
 from wavepanel.operators.glm import (PATTERN_SHARE, LinearModel, ModelInputs, independent_columns, narrow,
                                      partial_sums, sum_arrays)
@@ -22,6 +22,7 @@ from wavepanel.operators.hypothesis import wald_table
 from wavepanel.operators.terms import Design
 
 GAMMA_LOG = Family("gamma", "log", False)
+SALT = 16                    # copies of a group's row where groups are joined by shuffle
 
 
 def _coefficient_rows(labels, beta, cov):
@@ -172,7 +173,10 @@ def fit_gamma_ls(df: DataFrame, y: str, mean_terms: Sequence[tuple], scale_terms
 
 @dataclass
 class RandomInterceptModel(LinearModel):
-    """Gamma log-link model with a normal intercept per group; fixed effects are conditional on it."""
+    """Gamma log-link model with a normal intercept per group; fixed effects are conditional on it.
+
+    ``cov_scaled`` covers the coefficients, log sigma and log shape: the inverse of the observed information.
+    """
 
     design: Design
     family: Family
@@ -199,12 +203,36 @@ class RandomInterceptModel(LinearModel):
     def coef_table(self, spark: SparkSession) -> DataFrame:
         rows = _coefficient_rows(self.labels, self.beta[self.cols], self.cov)
         rows = [(i, *r) for i, r in enumerate(rows)]
-        rows.append((len(rows), "sd(group intercept)", self.sigma, None, None, None))
-        rows.append((len(rows), "shape", self.shape, None, None, None))
+        for i, (label, value) in enumerate((("sd(group intercept)", self.sigma), ("shape", self.shape))):
+            spread = float(self.cov_scaled[len(self.cols) + i, len(self.cols) + i])
+            rows.append((len(rows), label, value, value * math.sqrt(spread) if spread > 0 else None, None, None))
         return result_table(spark, rows, "position int, term string, estimate double, std_error double, "
                                          "statistic double, p_value double")
 
 
+def posterior_nodes(n, ln, e, s, sigma: float, nu: float, t: np.ndarray, wt: np.ndarray):
+    """Adaptive quadrature of each group's standard normal intercept b: nodes, exp(-sigma b), posterior weights, log-likelihood.
+
+    n rows, sums of log y, of eta and of y exp(-eta) are all that a group's likelihood needs.
+    """
+    b = np.log(s / n) * sigma * nu * n / (1 + nu * n * sigma * sigma)
+    for _ in range(50):
+        pull = nu * s * np.exp(-sigma * b)
+        step = np.clip((sigma * (pull - nu * n) - b) / (1 + sigma * sigma * pull), -2, 2)
+        b = b + step
+        if np.abs(step).max() < 1e-10:
+            break
+    width = 1 / np.sqrt(1 + sigma * sigma * nu * s * np.exp(-sigma * b))
+    at = b[:, None] + math.sqrt(2) * width[:, None] * t
+    decay = np.exp(-sigma * at)
+    logw = ((n * (nu * math.log(nu) - math.lgamma(nu)) + (nu - 1) * ln - nu * e)[:, None] - nu * n[:, None] * sigma * at
+            - nu * s[:, None] * decay - 0.5 * at * at + np.log(wt) + t * t)
+    top = logw.max(axis=1, keepdims=True)
+    weights = np.exp(logw - top)
+    mass = weights.sum(axis=1)
+    return at, decay, weights / mass[:, None], top[:, 0] + np.log(mass) + np.log(math.sqrt(2) * width) - 0.5 * math.log(2 * math.pi)
+
+
 def fit_glmm_ri(df: DataFrame, y: str, terms: Sequence[tuple], group: str, levels: Mapping | None = None,
                 nodes: int = 15, max_passes: int = 60) -> RandomInterceptModel:
     """Random-intercept Gamma model by adaptive Gauss-Hermite quadrature.
@@ -212,8 +240,9 @@ def fit_glmm_ri(df: DataFrame, y: str, terms: Sequence[tuple], group: str, level
     Given the coefficients, a group's likelihood depends on its rows only
     through a few sums, so a pass is one grouped aggregation (combined
     map-side, so a huge group is never gathered) followed by a map over one row
-    per group. Standard errors come from the outer product of the group scores and
-    are approximate.
+    per group. Standard errors come from the observed information: at the estimate one
+    more pass adds up the second derivatives of the groups' log-likelihoods, the
+    posterior mean of the inner ones and the posterior variance of the first ones.
     """
     inputs = ModelInputs(df, y, terms, levels, {"__g": F.col(group)})
     n, bad, _, stats = inputs.probe(F.col("__y") <= 0)
@@ -250,7 +279,7 @@ def fit_glmm_ri(df: DataFrame, y: str, terms: Sequence[tuple], group: str, level
 
     wide = data.select("__g", "__n", "__sy", "__ln", *[c.alias(f"m{j}") for j, c in enumerate(columns())])
 
-    def total(beta, kernel):
+    def total(beta, kernel, second=False):
         nonlocal passes
         passes += 1
         eta = F.lit(0.0)
@@ -261,7 +290,8 @@ def fit_glmm_ri(df: DataFrame, y: str, terms: Sequence[tuple], group: str, level
             F.sum("__n").alias("n"), F.sum("__ln").alias("ln"), F.sum(F.col("__n") * F.col("eta")).alias("e"),
             F.sum(e).alias("s"),
             F.array(*[F.sum(F.col("__n") * F.col(f"m{j}")) for j in cols]).alias("x"),
-            F.array(*[F.sum(e * F.col(f"m{j}")) for j in cols]).alias("t")).drop("__g"))
+            F.array(*[F.sum(e * F.col(f"m{j}")) for j in cols]).alias("t"),
+            *([F.array(*[F.sum(e * F.col(f"m{i}") * F.col(f"m{j}")) for i in cols for j in cols]).alias("tt")] if second else [])).drop("__g"))
         return sum_arrays(sums.mapInPandas(partial_sums(kernel), "v array<double>"))
 
     try:
@@ -290,30 +320,12 @@ def fit_glmm_ri(df: DataFrame, y: str, terms: Sequence[tuple], group: str, level
 
         def evaluate(par):
             sigma, nu = math.exp(par[-2]), math.exp(par[-1])
-            lg, dg = math.lgamma(nu), float(numeric.digamma(nu))
+            dg = float(numeric.digamma(nu))
 
             def kernel(batch):
                 n_, ln, e, s = (batch[c].to_numpy(float) for c in ("n", "ln", "e", "s"))
                 x, tt = np.stack(batch["x"].to_numpy()), np.stack(batch["t"].to_numpy())
-                b = np.log(s / n_) * sigma * nu * n_ / (1 + nu * n_ * sigma * sigma)
-                for _ in range(50):
-                    pull = nu * s * np.exp(-sigma * b)
-                    step = (sigma * (pull - nu * n_) - b) / (1 + sigma * sigma * pull)
-                    step = np.clip(step, -2, 2)
-                    b = b + step
-                    if np.abs(step).max() < 1e-10:
-                        break
-                width = 1 / np.sqrt(1 + sigma * sigma * nu * s * np.exp(-sigma * b))
-                at = b[:, None] + math.sqrt(2) * width[:, None] * t
-                decay = np.exp(-sigma * at)
-                h = ((n_ * (nu * math.log(nu) - lg) + (nu - 1) * ln - nu * e)[:, None]
-                     - nu * n_[:, None] * sigma * at - nu * s[:, None] * decay - 0.5 * at * at)
-                logw = h + np.log(wt) + t * t
-                top = logw.max(axis=1, keepdims=True)
-                wgt = np.exp(logw - top)
-                mass = wgt.sum(axis=1)
-                ll = top[:, 0] + np.log(mass) + np.log(math.sqrt(2) * width) - 0.5 * math.log(2 * math.pi)
-                wgt /= mass[:, None]
+                at, decay, wgt, ll = posterior_nodes(n_, ln, e, s, sigma, nu, t, wt)
                 m_decay, m_b = (wgt * decay).sum(axis=1), (wgt * at).sum(axis=1)
                 m_bd = (wgt * at * decay).sum(axis=1)
                 g_beta = nu * (m_decay[:, None] * tt - x)
@@ -349,9 +361,42 @@ def fit_glmm_ri(df: DataFrame, y: str, terms: Sequence[tuple], group: str, level
             if biggest > 1:
                 step, inverse = step / biggest, None      # far away: take a fresh curvature next time
             par = par + step
+        def observed(par):
+            """Minus the second derivatives of the log-likelihood in (beta, log sigma, log shape)."""
+            sigma, nu = math.exp(par[-2]), math.exp(par[-1])
+            dg, tg = float(numeric.digamma(nu)), float(numeric.trigamma(nu))
+
+            def kernel(batch):
+                n_, ln, e, s = (batch[c].to_numpy(float) for c in ("n", "ln", "e", "s"))
+                x, tt = np.stack(batch["x"].to_numpy()), np.stack(batch["t"].to_numpy())
+                square = np.stack(batch["tt"].to_numpy()).reshape(len(batch), p, p)
+                at, decay, wgt, _ = posterior_nodes(n_, ln, e, s, sigma, nu, t, wt)
+                pull = s[:, None] * decay
+                d_sigma = nu * sigma * at * (pull - n_[:, None])
+                d_nu = nu * ((n_ * (math.log(nu) + 1 - dg) + ln - e)[:, None] - n_[:, None] * sigma * at - pull)
+                first = np.concatenate([nu * (decay[:, :, None] * tt[:, None, :] - x[:, None, :]), d_sigma[:, :, None], d_nu[:, :, None]], axis=2)
+                mean = np.einsum("gq,gqk->gk", wgt, first)
+                h = np.einsum("gq,gqk,gql->kl", wgt, first, first) - mean.T @ mean
+                m_decay = (wgt * decay).sum(axis=1)
+                h[:p, :p] -= nu * np.einsum("g,gkl->kl", m_decay, square)
+                cross = -nu * sigma * (wgt * at * decay).sum(axis=1) @ tt
+                h[:p, p] += cross
+                h[p, :p] += cross
+                slope = nu * (m_decay @ tt - x.sum(axis=0))
+                h[:p, p + 1] += slope
+                h[p + 1, :p] += slope
+                both = (wgt * d_sigma).sum()
+                h[p, p] += both - nu * sigma * sigma * (wgt * at * at * pull).sum()
+                h[p, p + 1] += both
+                h[p + 1, p] += both
+                h[p + 1, p + 1] += (wgt * d_nu).sum() + (n_ * nu - n_ * nu * nu * tg).sum()
+                return -h.ravel()
+            return total(par[:-2], kernel, second=True).reshape(p + 2, p + 2)
+
+        par, ll = best
+        info = observed(par)
     finally:
         data.unpersist()
-    par, ll = best
     model = RandomInterceptModel(design, GAMMA_LOG, y, int(n), groups, cols, par[:-2], np.linalg.pinv(info),
                                  math.exp(par[-2]), math.exp(par[-1]), float(ll), converged, passes)
     if not converged:
@@ -377,3 +422,73 @@ def group_intercepts(model: RandomInterceptModel, df: DataFrame, group: str) ->
             b = b + np.clip((sigma * (pull - nu * n_) - b) / (1 + sigma * sigma * pull), -2, 2)
         return pd.Series(sigma * b)
     return sums.select(group, F.col("__n").alias("n"), mode("__n", "__s").alias("intercept"))
+
+
+def group_posterior(df: DataFrame, y: str, eta: Column, group: str, sigma: float, shape: float, nodes: int = 15) -> DataFrame:
+    """Each group's intercepts (on the scale of eta) with posterior weights, and its log-likelihood: ``group, n, intercepts, weights, log_likelihood``.
+
+    One aggregation combined map-side, then one row per group.
+    """
+    t, wt = np.polynomial.hermite.hermgauss(nodes)
+    value = F.col(y).cast("double")
+    rows = df.select(F.col(group).alias("g"), value.alias("y"), eta.cast("double").alias("eta")).where("y > 0 and eta is not null")
+    sums = rows.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.log("y")).alias("ln"), F.sum("eta").alias("e"),
+                                 F.sum(F.col("y") * F.exp(-F.col("eta"))).alias("s"))
+
+    def read(batches):
+        for batch in batches:
+            if len(batch):
+                at, _, weights, ll = posterior_nodes(*(batch[c].to_numpy(float) for c in ("n", "ln", "e", "s")), sigma, shape, t, wt)
+                yield pd.DataFrame({"g": batch["g"], "n": batch["n"].astype(int), "intercepts": list(sigma * at), "weights": list(weights), "log_likelihood": ll})
+
+    kind = dict(rows.dtypes)["g"]
+    found = sums.mapInPandas(read, f"g {kind}, n long, intercepts array<double>, weights array<double>, log_likelihood double")
+    return found.withColumnRenamed("g", group)
+
+
+def glmm_log_likelihood(df: DataFrame, y: str, eta: Column, group: str, sigma: float, shape: float, nodes: int = 15) -> DataFrame:
+    """Log-likelihood of given parameters: ``n, groups, log_likelihood``."""
+    found = group_posterior(df, y, eta, group, sigma, shape, nodes)
+    return found.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.sum("log_likelihood").alias("log_likelihood"))
+
+
+def mixture_residuals(df: DataFrame, y: str, eta: Column, group: str, sigma: float, shape: float, given: str = "group", nodes: int = 15,
+                      out: str = "residual") -> DataFrame:
+    """Position of each response in its distribution under the random-intercept model; rows without a positive response or eta are left out.
+
+    ``given="group"`` mixes the Gamma distribution function over the posterior nodes of the row's group, ``given="none"`` over the normal
+    distribution of intercepts, as for a group not seen. Groups are joined by key: broadcast if few, otherwise with SALT copies, so that one huge
+    group is dealt to as many tasks.
+    """
+    if given not in ("group", "none"):
+        raise ValueError("given must be 'group' or 'none'")
+    rows = df.withColumns({"__eta": eta.cast("double"), "__y": F.col(y).cast("double")}).where("__y > 0 and __eta is not null")
+
+    @F.pandas_udf("double")
+    def place(value: pd.Series, mean: pd.Series, at: pd.Series, weight: pd.Series) -> pd.Series:
+        if not len(value):
+            return pd.Series([], dtype=float)
+        b, w = np.stack(at.to_numpy()), np.stack(weight.to_numpy())
+        x = value.to_numpy(float)[:, None] * shape * np.exp(-mean.to_numpy(float)[:, None] - b)
+        return pd.Series((w * numeric.gamma_cdf(np.full(x.shape, shape), x)).sum(axis=1))
+
+    if given == "none":
+        t, wt = np.polynomial.hermite.hermgauss(nodes)
+        nodes_ = [F.array(*[F.lit(float(v)) for v in values]) for values in (math.sqrt(2) * sigma * t, wt / wt.sum())]
+        return rows.withColumn(out, place("__y", "__eta", *nodes_)).drop("__eta", "__y")
+    known = durable(group_posterior(df, y, eta, group, sigma, shape, nodes).select(F.col(group).alias("__g"), "intercepts", "weights"))
+    count = known.count()
+    same = F.col(group).eqNullSafe(F.col("__g"))
+    if count <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(known), same)
+    else:
+        salted = known.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        salt = F.pmod(F.xxhash64("__y", "__eta"), F.lit(SALT)).cast("int")
+        joined = rows.withColumn("__r", salt).join(salted, same & (F.col("__r") == F.col("__s"))).drop("__r", "__s")
+    return joined.withColumn(out, place("__y", "__eta", "intercepts", "weights")).drop("__eta", "__y", "__g", "intercepts", "weights")
+
+
+def glmm_residuals(model: RandomInterceptModel, df: DataFrame, group: str, given: str = "group", nodes: int = 15, out: str = "residual") -> DataFrame:
+    """``mixture_residuals`` of a fitted model."""
+    scored = model.inputs(df).withColumn("__fixed", model.eta()).drop(*model.design.input_names())
+    return mixture_residuals(scored, model.y, F.col("__fixed"), group, model.sigma, model.shape, given, nodes, out).drop("__fixed")

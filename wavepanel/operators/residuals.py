@@ -51,7 +51,7 @@ def counter_uniform(h: np.ndarray, counter) -> np.ndarray:
 def _scored(model, df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Complete rows with the fitted mean ``__mu`` and, for a Gamma response, the shape ``__shape``."""
     if hasattr(model, "sigma"):
-        raise ValueError("a random-intercept model has no mean without its intercepts; residuals of its fixed part would be wrong")
+        raise ValueError("a random-intercept model has no mean without its intercepts; use glmm_residuals")
     names = model.design.input_names()
     out = model.inputs(df).withColumn("__mu", inverse_link(model.eta(), model.family.link))
     scale = getattr(model, "scale_design", None)

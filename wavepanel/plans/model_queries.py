@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from wavepanel.functions.numeric import normal_quantile
 from wavepanel.operators import joins, summaries
 from wavepanel.operators.counts import (anova_negbin, count_log_likelihood, fit_hurdle, fit_negbin, fit_ztnb)
-from wavepanel.operators.extended import fit_gamma_ls, fit_glmm_ri
+from wavepanel.operators.extended import fit_gamma_ls, fit_glmm_ri, glmm_log_likelihood, mixture_residuals
 from wavepanel.operators.glm import fit_glm
 from wavepanel.operators.hypothesis import anova_ii, anova_seq, anova_wald
 from wavepanel.operators.predict import fit_curve, marginal_ci, predict_ci
@@ -515,6 +518,49 @@ def glmm_ri(spark, sf):
     return round_all(fit_glmm_ri(part_volume(spark, sf), "volume", [(FLAG,), (STATUS,)], "l_partkey").coef_table(spark), 4)
 
 
+# Fixed parameters of the random-intercept queries; the shape is whole, so that SQL has its distribution function.
+_RI_SIGMA, _RI_SHAPE = 0.4, 3
+
+
+def _ri_eta():
+    return F.lit(6.4) + 0.05 * (F.col(FLAG) == "N").cast("int") - 0.03 * (F.col(STATUS) == "O").cast("int")
+
+
+def _ri_sql(nodes=15):
+    """Group sums, the mode of each intercept by Newton steps, and the adaptive nodes with their log weights."""
+    t, w = np.polynomial.hermite.hermgauss(nodes)
+    s, k = _RI_SIGMA, _RI_SHAPE
+    rows = ", ".join(f"({i}, {float(a)!r}::DOUBLE, {math.log(b)!r}::DOUBLE)" for i, (a, b) in enumerate(zip(t, w, strict=True)))
+    pull = f"{k} * s * exp(-{s} * b)"
+    return f"""v AS (SELECT l.l_partkey AS g, l.l_quantity * p_size AS y, 6.4 + 0.05 * ({FLAG} = 'N')::INTEGER - 0.03 * ({STATUS} = 'O')::INTEGER AS eta
+  FROM lineitem l JOIN part ON l_partkey = p_partkey),
+q AS (SELECT g, count(*)::DOUBLE AS n, sum(ln(y)) AS ln, sum(eta) AS e, sum(y * exp(-eta)) AS s FROM v WHERE y > 0 GROUP BY g),
+it(i, g, n, ln, e, s, b) AS (SELECT 0, *, 0.0::DOUBLE FROM q UNION ALL
+  SELECT i + 1, g, n, ln, e, s, b + greatest(-2.0, least(2.0, ({s} * ({pull} - {k} * n) - b) / (1 + {s} * {s} * {pull}))) FROM it WHERE i < 40),
+m AS (SELECT *, 1 / sqrt(1 + {s} * {s} * {pull}) AS width FROM it WHERE i = 40),
+h(j, t, lw) AS (VALUES {rows}),
+a AS (SELECT m.*, b + sqrt(2) * width * t AS pos, t, lw FROM m, h),
+l AS (SELECT *, n * ({k} * ln({k}::DOUBLE) - lgamma({k}::DOUBLE)) + ({k} - 1) * ln - {k} * e - {k} * n * {s} * pos - {k} * s * exp(-{s} * pos) - 0.5 * pos * pos + lw + t * t AS logw FROM a),
+o AS (SELECT g, max(logw) AS top, any_value(n) AS n, any_value(width) AS width FROM l GROUP BY g),
+z AS (SELECT g, sum(exp(logw - top)) AS mass FROM l JOIN o USING (g) GROUP BY g)"""
+
+
+@query("glmm_loglik", f"""WITH RECURSIVE {_ri_sql()}
+SELECT sum(n)::BIGINT AS n, count(*) AS groups, {r('sum(top + ln(mass) + ln(sqrt(2) * width) - 0.5 * ln(2 * pi()))', 4)} AS log_likelihood FROM o JOIN z USING (g)""")
+def glmm_loglik(spark, sf):
+    return round_all(glmm_log_likelihood(part_volume(spark, sf), "volume", _ri_eta(), "l_partkey", _RI_SIGMA, _RI_SHAPE), 4)
+
+
+@query("residual_glmm", f"""WITH RECURSIVE {_ri_sql()}, x AS (SELECT v.g, v.y, v.eta, sum(exp(l.logw - o.top) / z.mass * (1 - exp(-({_RI_SHAPE} * y * exp(-eta - {_RI_SIGMA} * l.pos)))
+  * (1 + ({_RI_SHAPE} * y * exp(-eta - {_RI_SIGMA} * l.pos)) + pow({_RI_SHAPE} * y * exp(-eta - {_RI_SIGMA} * l.pos), 2) / 2))) AS u
+  FROM (SELECT row_number() OVER () AS k, * FROM v WHERE y > 0) v JOIN l ON l.g = v.g JOIN o ON o.g = v.g JOIN z ON z.g = v.g GROUP BY k, v.g, v.y, v.eta)
+SELECT g AS l_partkey, count(*) AS n, {r('avg(u)', 7)} AS mean, {r('min(u)', 7)} AS least, {r('max(u)', 7)} AS most, {r('sum(u * u)', 7)} AS squares FROM x GROUP BY g""")
+def residual_glmm(spark, sf):
+    u = mixture_residuals(part_volume(spark, sf), "volume", _ri_eta(), "l_partkey", _RI_SIGMA, _RI_SHAPE)
+    return round_all(u.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.avg("residual").alias("mean"), F.min("residual").alias("least"),
+                                                F.max("residual").alias("most"), F.sum(F.col("residual") * F.col("residual")).alias("squares")), 7)
+
+
 # ---------------------------------------------------------------- residuals
 
 def _u(df):
