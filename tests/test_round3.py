@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wavepanel.functions import numeric
 from wavepanel.operators import glm, residuals
 from wavepanel.operators.extended import fit_glmm_ri, glmm_log_likelihood, glmm_residuals, mixture_residuals
-from wavepanel.operators import extended
+from wavepanel.operators import extended, summaries
 from wavepanel.operators.counts import fit_hurdle, fit_negbin, fit_ztnb
 from wavepanel.operators.glm import fit_glm
 
@@ -180,3 +180,30 @@ def test_random_intercept_residuals(grouped, spark, monkeypatch):
     assert salted == pytest.approx({r["g"]: r["m"] for r in own.groupBy("g").agg(F.avg("residual").alias("m")).collect()})
     odd = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", None), ("a", -1.0), ("b", 3.0)], "g string, y double")
     assert mixture_residuals(odd, "y", F.lit(0.0), "g", 0.5, 2.0).count() == 3
+
+
+def test_cube_rolls_up_exactly(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rng.choice(["x", "y"], 500), "b": rng.choice(["p", "q", "r"], 500), "v": 1e8 + rng.normal(size=500), "w": rng.normal(size=500)})
+    pdf.loc[pdf.b == "r", "w"] = None
+    pdf.loc[pdf.a == "y", "a"] = None
+    df = spark.createDataFrame(pdf).replace(float("nan"), None)
+    cube = summaries.moment_cube(df, ["a", "b"], ["v", "w"])
+    got = {r["a"]: r for r in summaries.describe_layers(cube, ["a"], ["v", "w"]).where("measure = 'v'").collect()}
+    for a, rows in pdf.groupby("a", dropna=False):
+        r = got[None if pd.isna(a) else a]
+        assert (r["n"], r["mean"], r["se"]) == (len(rows), pytest.approx(rows.v.mean(), rel=1e-14), pytest.approx(rows.v.std() / len(rows) ** 0.5, rel=1e-6))
+    only = {r["b"]: r for r in summaries.roll_up(cube, ["b"], ["w"]).collect()}
+    assert only["r"]["w_n"] == 0 and only["r"]["w_mean"] is None
+    assert only["p"]["w_mean"] == pytest.approx(pdf[pdf.b == "p"].w.mean())
+
+
+def test_box_layers_equal_single_boxes(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"t": rng.choice(["a", "b"], 400), "c": rng.choice(["u", "v"], 400), "x": np.round(rng.normal(size=400), 1)})
+    df = spark.createDataFrame(pdf)
+    stats, outliers = summaries.box_layers(df, "t", {"all": F.lit("all"), "c": "c"}, "x")
+    alone, out = summaries.box_stats(df, ["t", "c"], "x")
+    names = ["t", "n", "ymin", "lower", "middle", "upper", "ymax", "n_outliers"]
+    assert sorted(stats.where("layer = 'c'").select("cell", *names).collect()) == sorted(alone.select("c", *names).collect())
+    assert outliers.where("layer = 'c'").count() == out.count()

@@ -72,6 +72,44 @@ def group_count(df: DataFrame, by: Sequence[str] | str, col: str | None = None,
     return df.dropna("any", subset=[*by, col]).groupBy(*by).agg(F.count(F.lit(1)).alias(out))
 
 
+def moment_cube(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Count, mean and sum of squared deviations of each column per finest cell: ``by..., {col}_n, {col}_mean, {col}_m2``.
+
+    One aggregation from which ``roll_up`` makes any coarser layer without the rows.
+    """
+    return df.groupBy(*by).agg(*[x for c in cols for x in (
+        F.count(c).alias(f"{c}_n"), F.avg(c).alias(f"{c}_mean"), (F.var_pop(c) * F.count(c)).alias(f"{c}_m2"))])
+
+
+def roll_up(cube: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Exact moments of the coarser cells of a cube, merged around each coarser cell's own mean."""
+    cube, keys = hide_keys(cube, by)
+    cell = Window.partitionBy(*keys)
+
+    def n(c):
+        return F.col(f"{c}_n")
+
+    means = cube.select("*", *[(F.sum(n(c) * F.col(f"{c}_mean")).over(cell) / F.nullif(F.sum(n(c)).over(cell), F.lit(0))).alias(f"__m_{c}") for c in cols])
+    aggs = []
+    for c in cols:
+        gap = F.col(f"{c}_mean") - F.col(f"__m_{c}")
+        aggs += [F.sum(n(c)).alias(f"{c}_n"), F.first(f"__m_{c}").alias(f"{c}_mean"), F.sum(F.col(f"{c}_m2") + n(c) * gap * gap).alias(f"{c}_m2")]
+    return show_keys(means.groupBy(*keys).agg(*aggs), by)
+
+
+def moment_error(col: str) -> Column:
+    """Standard error of the mean from a column's moments."""
+    n = F.col(f"{col}_n")
+    return F.when(n > 1, F.sqrt(F.col(f"{col}_m2") / (n - 1)) / F.sqrt(n))
+
+
+def describe_layers(cube: DataFrame, by: Sequence[str], cols: Sequence[str], measure: str = "measure") -> DataFrame:
+    """Mean, standard error and n per cell of a rolled-up cube, long: ``by..., measure, mean, se, n``."""
+    layers = roll_up(cube, by, cols)
+    rows = [F.struct(F.lit(c).alias(measure), F.col(f"{c}_mean").alias("mean"), moment_error(c).alias("se"), F.col(f"{c}_n").alias("n")) for c in cols]
+    return layers.select(*by, F.inline(F.array(*rows)))
+
+
 def describe_waves(df: DataFrame, by: Sequence[str], measures: Mapping[str, Sequence[str]],
                    index: str = "wave", measure: str = "measure") -> DataFrame:
     """Mean, standard error and n per group x measure x wave.
@@ -242,6 +280,20 @@ def box_stats(df: DataFrame, by: Sequence[str] | str, col: str, whisker: float =
     return stats, outliers
 
 
+def box_layers(df: DataFrame, by: Sequence[str] | str, layers: Mapping[str, str | Column], col: str, whisker: float = 1.5,
+               layer: str = "layer", cell: str = "cell") -> tuple[DataFrame, DataFrame]:
+    """``box_stats`` of several groupings at once: per layer the cells of ``by`` and the layer's own column.
+
+    A layer is a part of the key, so all of them share every pass of the quantiles; the values are read once and kept.
+    """
+    by = _names(by)
+    x = F.col(col).cast("double")
+    several = F.array(*[F.struct(F.lit(name).alias(layer), (F.col(c) if isinstance(c, str) else c).cast("string").alias(cell)) for name, c in layers.items()])
+    kept = durable(df.where(x.isNotNull() & ~F.isnan(x)).select(*by, col, several.alias("__layers")))
+    each = kept.select(*by, col, F.inline("__layers"))
+    return box_stats(each, [*by, layer, cell], col, whisker)
+
+
 def crosstab_prop(df: DataFrame, row: str, col: str, row_levels: Levels | Sequence | None = None,
                   col_levels: Levels | Sequence | None = None, margin: str = "row") -> DataFrame:
     """Two-way counts and proportions of the row (or all) totals; absent cells count 0.

@@ -22,10 +22,22 @@ TIME = [f"t{k}" for k in WAVE_YEARS]
 IDS = ["id", "sp", "trat", "dom"]
 
 
+def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per customer: id, species, treatment, dominance and stump height."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    trat = None
+    for segment, code in TREATMENTS.items():
+        trat = F.when(F.col("c_mktsegment") == segment, code) if trat is None else trat.when(F.col("c_mktsegment") == segment, code)
+    return customer.select(
+        F.col("c_custkey").alias("id"),
+        F.when(F.col("c_nationkey") < 12, "ang").otherwise("ata").alias("sp"), trat.alias("trat"),
+        F.when(F.col("c_acctbal") >= 4500, "dom").otherwise("sub").alias("dom"),
+        (F.col("c_acctbal") / 100).alias("tocon0"))
+
+
 def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer. Orders are combined map-side before the shuffle on the customer."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     year, price = F.year("o_orderdate"), F.col("o_totalprice")
     aggs = []
     for k, y in WAVE_YEARS.items():
@@ -39,18 +51,21 @@ def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k > 0:
             aggs.append(F.max(F.when(now, 1).otherwise(0)).alias(f"sup{k}"))
     waves = orders.groupBy("o_custkey").agg(*aggs)
-    trat = None
-    for segment, code in TREATMENTS.items():
-        trat = F.when(F.col("c_mktsegment") == segment, code) if trat is None else trat.when(F.col("c_mktsegment") == segment, code)
-    subjects = customer.select(
-        F.col("c_custkey").alias("id"),
-        F.when(F.col("c_nationkey") < 12, "ang").otherwise("ata").alias("sp"), trat.alias("trat"),
-        F.when(F.col("c_acctbal") >= 4500, "dom").otherwise("sub").alias("dom"),
-        (F.col("c_acctbal") / 100).alias("tocon0"))
-    joined = subjects.join(waves, subjects["id"] == waves["o_custkey"], "left")
+    people = subjects(spark, sf_dir)
+    joined = people.join(waves, people["id"] == waves["o_custkey"], "left")
     return joined.select(*IDS, "tocon0", *ALT, *SUP, *FRUTOS, *TIME)
 
 
+def long_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per customer and wave with orders: ids, wave, alt, t and frutos, without forming the wide table first."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    price = F.col("o_totalprice")
+    waves = orders.groupBy("o_custkey", (F.year("o_orderdate") - WAVE_YEARS[0]).alias("wave")).agg(
+        (F.avg(price) / 1000).alias("alt"), (F.sum(price) / 10000).alias("t"),
+        F.count(F.when(F.col("o_orderpriority").isin(*URGENT), 1)).alias("frutos"))
+    return waves.where(F.col("wave").isin(*WAVE_YEARS)).join(subjects(spark, sf_dir), F.col("o_custkey") == F.col("id")).drop("o_custkey")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the roles used by the large models."""
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavepanel.functions.numeric import normal_quantile
+from wavepanel.functions.storage import durable
 from wavepanel.operators import clean, joins, reshape, summaries
 from wavepanel.operators.counts import fit_hurdle, fit_negbin, fit_ztnb
 from wavepanel.operators.extended import fit_gamma_ls
@@ -235,17 +236,17 @@ FROM (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNI
 
 
 def height_boxes(spark, sf):
-    """Box layers of height by wave and treatment: overall, by height class, dominance and species."""
-    panel, _ = clean.cut_equal(wide_panel(spark, sf), "alt0", 3, HEIGHT_CLASSES, out="alt_cat")
+    """Box layers of height by wave and treatment: overall, by height class, dominance and species, in the same passes."""
+    panel = durable(wide_panel(spark, sf).select(*IDS, *ALT))
+    panel, _ = clean.cut_equal(panel, "alt0", 3, HEIGHT_CLASSES, out="alt_cat")
     long = reshape.to_long(panel, [*IDS, "alt_cat"], ALT, "name", "alt", index="wave")
-    cells = {"marginal": F.lit("all"), "height": F.col("alt_cat"), "dominance": F.col("dom"), "species": F.col("sp")}
-    return {name: summaries.box_stats(long.withColumn("cell", c), ["trat", "wave", "cell"], "alt") for name, c in cells.items()}
+    layers = {"marginal": F.lit("all"), "height": "alt_cat", "dominance": "dom", "species": "sp"}
+    return summaries.box_layers(long, ["trat", "wave"], layers, "alt")
 
 
 @query("q4_boxes", _Q4_BOX)
 def q4_boxes(spark, sf):
-    stats = {name: boxes for name, (boxes, _) in height_boxes(spark, sf).items()}
-    return round_all(joins.union_labelled(stats, "layer"), 9)
+    return round_all(height_boxes(spark, sf)[0], 9)
 
 
 def spec_label(terms):

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from wavepanel.functions.columns import paste, plogis, wave_index
 from wavepanel.functions.numeric import normal_quantile
+from wavepanel.functions.storage import durable
 from wavepanel.operators import clean, joins, reshape, summaries
-from wavepanel.plans.panels import ALT, FRUTOS, IDS, LAST_WAVE, LINES_SQL, PANEL_SQL, SUP, TIME, lines, long_sql, wide_panel
+from wavepanel.plans.panels import (ALT, FRUTOS, IDS, LAST_WAVE, LINES_SQL, PANEL_SQL, SUP, TIME, lines, long_panel, long_sql, subjects,
+                                    wide_panel)
 from wavepanel.plans.registry import query, r, round_all
 from wavepanel.sources.tables import preview, read_panel
 
@@ -362,11 +364,25 @@ def _q1_sql():
         for c in cols:
             parts.append(f"SELECT trat, '{m}' AS measure, {c[-1]}::INTEGER AS wave, {r(f'avg({c})')} AS mean, "
                          f"{r(f'stddev_samp({c})/sqrt(count({c}))')} AS se, count({c}) AS n FROM panel GROUP BY trat")
+    # the first cutting time weighted by the stump
+    parts.append(f"SELECT trat, 't0pond', 0, {r('avg(t0 * tocon0 / 45)')}, {r('stddev_samp(t0 * tocon0 / 45)/sqrt(count(t0 * tocon0))')}, count(t0 * tocon0) FROM panel GROUP BY trat")
     return f"{W} " + " UNION ALL ".join(parts)
 
 
 @query("q1_descriptive", _q1_sql())
 def q1_descriptive(spark, sf):
+    """One scan of the orders: moments of the finest cells, merged for each treatment and wave. A wave without values has a row with n = 0."""
+    long = long_panel(spark, sf).withColumn("t0pond", F.when(F.col("wave") == 0, F.col("t") * F.col("tocon0") / 45))
+    measures = ["alt", "t", "frutos", "t0pond"]
+    found = summaries.describe_layers(summaries.moment_cube(long, ["trat", "dom", "sp", "wave"], measures), ["trat", "wave"], measures)
+    cells = subjects(spark, sf).groupBy("trat").agg(F.lit(0)).select("trat", F.explode(F.array(*[F.struct(
+        F.lit(m).alias("measure"), F.lit(w).alias("wave")) for m in measures for w in ([0] if m == "t0pond" else range(LAST_WAVE + 1))])).alias("c")).select("trat", "c.*")
+    table = joins.left_join(cells, found, ["trat", "measure", "wave"])
+    return round_all(table.select("trat", "measure", "wave", "mean", "se", F.coalesce("n", F.lit(0)).alias("n")))
+
+
+@query("describe_waves", _q1_sql().rsplit(" UNION ALL ", 1)[0])
+def describe_waves_query(spark, sf):
     return round_all(summaries.describe_waves(wide_panel(spark, sf), ["trat"], {"alt": ALT, "t": TIME, "frutos": FRUTOS}))
 
 
@@ -379,13 +395,21 @@ UNION ALL SELECT 'dominance', wave, trat, NULL, dom, {r('avg(survival)')}, NULL
 
 
 def observed_survival(spark, sf):
-    """Observed proportions by wave x treatment: overall, by height class and by dominance."""
-    panel, _ = clean.cut_equal(wide_panel(spark, sf), "alt0", 3, ["low", "mid", "high"], out="alt_cat")
-    long = reshape.to_long(panel, [*IDS, "alt0", "alt_cat"], SUP, "name", "survival", index="year")
-    return joins.union_labelled({
-        "marginal": summaries.group_mean(long, ["year", "trat"], ["survival"], casewise=True),
-        "height": summaries.group_mean(long, ["year", "trat", "alt_cat"], ["survival", "alt0"], casewise=True),
-        "dominance": summaries.group_mean(long, ["year", "trat", "dom"], ["survival"], casewise=True)}, label="kind")
+    """Observed proportions by wave x treatment: overall, by height class and by dominance.
+
+    The panel is made once; its finest cells give every layer.
+    """
+    panel = durable(wide_panel(spark, sf).select("trat", "dom", "alt0", *SUP))
+    panel, _ = clean.cut_equal(panel, "alt0", 3, ["low", "mid", "high"], out="alt_cat")
+    long = reshape.to_long(panel, ["trat", "dom", "alt0", "alt_cat"], SUP, "name", "survival", index="year").where("survival is not null")
+    cube = durable(summaries.moment_cube(long, ["year", "trat", "dom", "alt_cat"], ["survival", "alt0"]))
+
+    def layer(by, cols):
+        rows = summaries.roll_up(cube.dropna("any", subset=by), by, cols)
+        return rows.select(*by, *[F.col(f"{c}_mean").alias(c) for c in cols])
+
+    return joins.union_labelled({"marginal": layer(["year", "trat"], ["survival"]), "height": layer(["year", "trat", "alt_cat"], ["survival", "alt0"]),
+                                 "dominance": layer(["year", "trat", "dom"], ["survival"])}, label="kind")
 
 
 @query("q2_observed", _Q2)
