@@ -83,6 +83,50 @@ def test_language_edges_and_rejection(spark):
     assert language.identify(train.where("false"), model).count() == 0
 
 
+def plain_grams(text):
+    """Hashed n-grams of one text, letter by letter."""
+    letters = "".join(c if c.isalpha() else "\0" for c in text.lower())
+    words = [w for w in letters.split("\0") if w]
+    stream = [0] + [x for w in words for x in [*map(ord, w), 0]]
+    out = np.zeros(language.BUCKETS)
+    mask = 0xFFFFFFFF
+    for a, b, c in zip(stream, stream[1:], stream[2:] + [0], strict=False):
+        if b:
+            two = (a * 40503 + b) & mask
+            for gram in ((b * 2654435761) & mask, (two * 2246822519 + 1) & mask, (((two * 69069 + c) & mask) * 3266489917 + 2) & mask):
+                out[gram >> 20] += 1
+    return out
+
+
+def test_language_scores_by_plain_arithmetic(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choice("abcde" if i % 2 else "vwxyz") for _ in range(rng.randint(1, 6))) for _ in range(50)), "one" if i % 2 else "two") for i in range(60)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    probe = ["a", "v", "b a", "abc, de!", "the house", *[t for _, t, _ in rows[:20]], "é a", "x1y", "", "?"]
+    alone = [model.predict([t]) for t in probe]
+    for t, (name, score, _) in zip(probe, alone, strict=True):
+        v = np.log1p(plain_grams(t)) * model.idf
+        cosine = model.centroids @ v / max(np.linalg.norm(v), 1e-12)
+        assert score[0] == pytest.approx(max(0, cosine.max()) if v.any() else 0, abs=1e-5)
+        assert name == ["und"] if not v.any() else name == [model.languages[int(cosine.argmax())]]
+    assert alone[0][0] == ["one"] and alone[1][0] == ["two"]                      # one letter is a text
+    for order in (probe, probe[::-1], sorted(probe)):
+        names, scores, rejected = model.predict(order)
+        for t, n, s, r in zip(order, names, scores, rejected, strict=True):
+            want = alone[probe.index(t)]
+            assert (n, r) == (want[0][0], want[2][0]) and s == pytest.approx(want[1][0], abs=1e-6)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(probe)], "doc_id long, text string")
+    for parts in (1, 7):
+        for r in language.identify(df.repartition(parts), model).collect():
+            assert (r.lang_pred, r.rejected) == (alone[r.doc_id][0][0], alone[r.doc_id][2][0])
+
+
+def test_many_languages_are_learned(spark):
+    rows = [(i * 300 + j, chr(0x4E00 + 3 * i) * 3 + chr(0x4E01 + 3 * i) * (2 + j), f"l{i:03d}") for i in range(230) for j in range(3)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(set(model.languages)) == 230
+
+
 @pytest.mark.parametrize("out", ["de", "en", "es", "fr"])
 def test_language_left_out_is_rejected(spark, out):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200")
@@ -216,6 +260,26 @@ def test_pages_query(spark, sf):
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<video src=x><article><h1>Title here</h1><p>One two three four five.</p></article>", "Title here\nOne two three four five."),
+    ("<article><p>See <video>no video</video> this text here.</p></article>", "See this text here."),
+    ("<article><p>See this text.</p><object><div>no object</div></object><p>More of it here.</p></article>", "See this text.\nMore of it here.")])
+def test_media_elements(field, html, want):
+    assert html_text.main_text(html, field) == want
+
+
+def test_nesting_costs_nothing(field):
+    import time
+    import tracemalloc
+    for html in ("<div>x" * 50_000, "<div>" * 50_000 + "</b>" * 50_000, "<p><i>" * 30_000, "<body>" * 30_000, "<a>" * 50_000 + "x"):
+        tracemalloc.start()
+        start = time.time()
+        html_text.main_text(html, field)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200 << 20 and time.time() - start < 60
+
+
 def test_pages_edges(spark, field):
     df = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (3, "<p>" * 3000 + "x", "t"), (4, "<!-- <p>a</p> -->", "t")], "page_id long, html string, text string")
     out = html_text.extract(df, field=field)

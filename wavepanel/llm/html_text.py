@@ -6,7 +6,7 @@ each pair of neighbours; it is trained by gradient ascent on labelled pages (mad
 the best labelling of a whole page.
 
 Character references are decoded, white space inside a block becomes one space, blocks that stay are joined by \\n. Scripts,
-styles, templates, the head and comments of the markup are no text. Null and empty pages, and pages without a kept block, give an empty text. Unclosed and
+styles, templates, the head, comments of the markup and the inside of closed media elements are no text. Reading is linear in the page, however deep it is nested. Null and empty pages, and pages without a kept block, give an empty text. Unclosed and
 stray tags are tolerated; rows are independent, so ties and repeated rows need no rule. An empty table gives an empty result.
 """
 
@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,9 @@ from wavepanel.llm.names import carried, ddl, quoted, unused
 
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                        "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-SILENT_TAGS = frozenset("head script style template noscript svg canvas iframe object select option textarea audio video title math datalist".split())
+SILENT_TAGS = frozenset("head script style template noscript svg iframe select option textarea title math datalist".split())
+#: Their text is for readers without them, unless they are left open.
+MEDIA_TAGS = frozenset("audio video object canvas".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that a new one closes where they are still open, up to the nearest container.
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -58,21 +61,49 @@ def _groups(names: str) -> tuple[str, ...]:
     return tuple(sorted({_GROUP_OF[w] for w in (x.lower() for x in _PARTS.findall(names)) if w in _GROUP_OF}))
 
 
+class Context(NamedTuple):
+    """What a block's ancestors say, kept with each open element so that nesting costs nothing per block."""
+    tags: frozenset[str] = frozenset()
+    groups: frozenset[str] = frozenset()
+    leaf: str = "none"              # the nearest section tag
+    content: bool = False           # an article, main or content element is open
+    apart: bool = False             # something that is no content lies between the nearest of them and the block
+
+    def inside(self, tag: str, groups: tuple[str, ...]) -> Context:
+        """The context within an element."""
+        section = tag in SECTION_TAGS
+        main = tag in ("article", "main") or "content" in groups
+        apart = bool(set(groups) - {"content", "head"}) or tag in ("aside", "nav", "form", "footer", "button")
+        return Context(self.tags if not section or tag in self.tags else self.tags | {tag},
+                       self.groups if self.groups.issuperset(groups) else self.groups.union(groups), tag if section else self.leaf,
+                       self.content or main, apart if main else (self.content and (self.apart or apart)))
+
+
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
-        self.blocks: list[tuple[str, float, tuple[tuple[str, tuple[str, ...]], ...]]] = []
+        self.open: list[tuple[str, Context]] = []
+        self.count: dict[str, int] = {}
+        self.blocks: list[tuple[str, float, Context]] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.links = 0
         self.silent = 0
+        self.media: list[int] | None = None                     # depth of the outermost media element, blocks, parts and linked signs before it
+
+    def emit(self, parts: list[str], linked: int) -> None:
+        text = " ".join("".join(parts).split())
+        if text:
+            self.blocks.append((text, linked / max(1, sum(map(len, parts))), self.open[-1][1] if self.open else Context()))
 
     def flush(self) -> None:
+        if self.media and self.media[2]:                         # what stood before a media element is a block of its own
+            _, _, parts, linked = self.media
+            self.emit(self.parts[:parts], linked)
+            del self.parts[:parts]
+            self.linked -= linked
+            self.media[1:] = [len(self.blocks), 0, 0]
         if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                self.blocks.append((text, self.linked / max(1, sum(map(len, self.parts))), tuple(self.open)))
+            self.emit(self.parts, self.linked)
             self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -84,24 +115,31 @@ class _Reader(HTMLParser):
             return
         if tag in SILENT_TAGS:
             self.silent += 1
-        elif tag == "body":                                      # a head left open ends here
+        elif tag == "body" and self.silent:                      # a head left open ends here
             self.silent = 0
             self.open = [o for o in self.open if o[0] not in SILENT_TAGS]
+            for silent in SILENT_TAGS:
+                self.count.pop(silent, None)
         if tag in BLOCK_TAGS:
             self.flush()
             if tag in CLOSES:
                 self.close_until(CLOSES[tag])
-            if any(t == "p" for t, _ in self.open):
+            if self.count.get("p"):
                 self.close_until(frozenset(("p",)))
-        self.links += tag == "a"
+        if tag in MEDIA_TAGS and not self.media:
+            self.media = [len(self.open), len(self.blocks), len(self.parts), self.linked]
         names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "itemprop"))
-        self.open.append((tag, _groups(names) if names else ()))
+        outer = self.open[-1][1] if self.open else Context()
+        self.open.append((tag, outer.inside(tag, _groups(names) if names else ())))
+        self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID_TAGS:
             self.handle_starttag(tag, attrs)
 
     def close_until(self, tags: frozenset[str]) -> None:
+        if not any(self.count.get(t) for t in tags):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in tags:
                 self.drop_to(i)
@@ -110,28 +148,38 @@ class _Reader(HTMLParser):
                 return
 
     def drop_to(self, at: int) -> None:
-        gone = self.open[at:]
-        self.silent = max(0, self.silent - sum(t in SILENT_TAGS for t, _ in gone))
-        self.links = max(0, self.links - sum(t == "a" for t, _ in gone))
+        for tag, _ in self.open[at:]:
+            self.count[tag] = max(0, self.count.get(tag, 0) - 1)
+            if tag in SILENT_TAGS:
+                self.silent = max(0, self.silent - 1)
         del self.open[at:]
+        if self.media and at <= self.media[0]:
+            self.media = None
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.count.get(tag):
+            if tag in BLOCK_TAGS:
+                self.flush()
+            return
+        i = len(self.open) - 1
+        while self.open[i][0] != tag:
+            i -= 1
+        if self.media and i == self.media[0]:                    # closed as it should be: what it holds is for readers without media
+            _, blocks, parts, self.linked = self.media
+            del self.blocks[blocks:], self.parts[parts:]
         if tag in BLOCK_TAGS:
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.drop_to(i)
-                return
+        self.drop_to(i)
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.parts.append(data)
-            if self.links:
+            if self.count.get("a"):
                 self.linked += len(data)
 
 
-def leaf_blocks(html: str) -> list[tuple[str, float, tuple]]:
-    """(text, share of linked text, open elements as (tag, word groups)) of each leaf block in page order."""
+def leaf_blocks(html: str) -> list[tuple[str, float, Context]]:
+    """(text, share of linked text, context) of each leaf block in page order."""
     reader = _Reader()
     reader.feed(html)
     reader.close()
@@ -143,22 +191,16 @@ _END = re.compile(r"[.!?…:;\"'»”)]$")
 _SIGN = re.compile(r"[©®™]|\(c\) ")
 
 
-def block_features(blocks: list[tuple[str, float, tuple]]) -> list[list[str]]:
+def block_features(blocks: list[tuple[str, float, Context]]) -> list[list[str]]:
     """Names of the features of each block."""
-    whole = any(t in ("article", "main") or "content" in g for _, _, path in blocks for t, g in path)
+    whole = any(context.content for _, _, context in blocks)
     out = []
-    for i, (text, linked, path) in enumerate(blocks):
-        tags = {t for t, _ in path if t in SECTION_TAGS}
-        groups = {g for _, own in path for g in own}
-        f = ["bias", *("tag:" + t for t in sorted(tags)), *("group:" + g for g in sorted(groups))]
-        inner = [t for t, _ in path if t in SECTION_TAGS]
-        f.append("leaf:" + (inner[-1] if inner else "none"))
-        outside = not ({"article", "main"} & tags or "content" in groups)
+    for i, (text, linked, context) in enumerate(blocks):
+        tags, groups = context.tags, context.groups
+        f = ["bias", *("tag:" + t for t in sorted(tags)), *("group:" + g for g in sorted(groups)), "leaf:" + context.leaf]
         if whole:
-            f.append("outside" if outside else "inside")
-            # whatever lies between the content element and the block
-            depth = max((k for k, (t, g) in enumerate(path) if t in ("article", "main") or "content" in g), default=-1)
-            if depth >= 0 and any(set(g) - {"content", "head"} or t in ("aside", "nav", "form", "footer", "button") for t, g in path[depth:]):
+            f.append("inside" if context.content else "outside")
+            if context.apart:
                 f.append("inside:apart")
         else:
             f.append("no content element")

@@ -5,10 +5,11 @@ language has several centroids from spherical k-means over its sample, each for
 language of the centroid with the largest cosine; it is rejected where its distance passes the middle between a high quantile of the language's training
 distances and no likeness at all.
 
-The fit reads about SAMPLE texts per language (a hashed share of the ids); executors send sparse vectors, so no
-text reaches the driver. Prediction reads every whole text. Null, empty and letterless texts are `und`, with score 0, and rejected. Texts under MIN_LETTERS n-grams say
-too little about distance and are never rejected for it. Rows without an id are predicted, not learned from. Without learnable rows every text is `und`.
-Ties go to the language that sorts first.
+The fit reads about SAMPLE texts per language (a hashed share of the ids), however many languages there are; each language is clustered in a task of its own,
+so only centroids reach the driver. Prediction reads every whole text. Null, empty and letterless texts are `und`, with score 0, and rejected. Texts under MIN_LETTERS n-grams say
+too little about distance and are never rejected for it. Rows without an id are predicted, not learned from; rows that repeat are predicted alike, and are learned
+from as often as they stand in the sample. Without learnable rows every text is `und`. An empty table gives an empty result. Ties go to the language that sorts first.
+A prediction depends on its text alone, not on the texts around it.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +26,10 @@ from pyspark.sql import functions as F
 from wavepanel.llm.bounded import hash_share
 from wavepanel.llm.letters import letter_stream, strings
 from wavepanel.llm.names import carried, ddl, quoted, unused
+from wavepanel.llm.store import keep
 
-#: Texts per language in the fit, about, and languages at most (those with most rows).
-SAMPLE, LANGUAGES = 600, 200
+#: Texts per language in the fit, about.
+SAMPLE = 600
 BUCKETS, CENTROIDS, ROUNDS = 4096, 4, 12
 #: Where a next start is taken among the distances from the starts so far, the least share of a cluster, the quantile of the training distances.
 SPREAD, SHARE, REACH = 0.75, 0.05, 0.98
@@ -38,6 +41,7 @@ ROWS = 256
 def feature_counts(texts: list[str]) -> np.ndarray:
     """n-gram counts per text, hashed into BUCKETS columns."""
     stream, place = letter_stream(texts)
+    stream, place = np.append(stream, 0), np.append(place, max(0, len(texts) - 1))          # the last word ends, too
     n = len(texts)
     out = np.zeros(n * BUCKETS, np.float32)
     if len(stream) < 3:
@@ -130,29 +134,30 @@ def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, learnable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learn from the rows where learnable holds and the language is known."""
     rows = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    have = rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    share = F.lit(0.0)
-    for r in have:
-        share = F.when(F.col(lang) == r.lang, F.lit(SAMPLE / r.n)).otherwise(share)
-    chosen = rows.where(hash_share(F.col(doc_id), share)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    found = sorted(((r.lang, r.places, r.counts) for r in chosen.select("text", "lang").mapInArrow(
-        _vectors, "lang string, places array<int>, counts array<float>").collect() if r.places))
-    x = np.zeros((len(found), BUCKETS), np.float32)
-    for i, (_, places, counts) in enumerate(found):
-        x[i, places] = counts
-    label = np.array([f[0] for f in found], object)
-    enough = x.sum(1) / 3 >= MIN_LETTERS
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.05).astype(np.float32)
-    x = _scaled(np.log1p(x), idf)
-    languages, centers, radius = [], [], []
-    for name in sorted(set(label.tolist())):
-        own = x[label == name]
-        c = spherical_means(own, CENTROIDS)
-        cosine = (own @ c.T).max(1)[enough[label == name]]
-        for center in c:
-            languages.append(name)
-            centers.append(center)
-            radius.append(float(np.quantile(1 - cosine, REACH)) if len(cosine) else 1.0)
+    share = rows.groupBy(F.col(lang).alias("lang")).agg((F.lit(SAMPLE) / F.count(F.lit(1))).alias("share"))
+    chosen = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("id")).join(share, "lang").where(hash_share(F.col("id"), F.col("share")))
+    found = keep(chosen.select("text", "lang").mapInArrow(_vectors, "lang string, places array<int>, counts array<float>").where("size(places) > 0"))
+    n = found.count()
+    seen = found.select(F.explode("places").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()          # BUCKETS rows at most
+    held = np.zeros(BUCKETS)
+    held[[r.place for r in seen]] = [r.n for r in seen]
+    idf = (np.log((1 + n) / (1 + held)) + 0.05).astype(np.float32)
+
+    def cluster(own: pd.DataFrame) -> pd.DataFrame:
+        """The centroids of one language and the reach of its texts; about SAMPLE rows."""
+        order = sorted(range(len(own)), key=lambda i: (own["places"].iloc[i].tolist(), own["counts"].iloc[i].tolist()))
+        x = np.zeros((len(own), BUCKETS), np.float32)
+        for row, i in enumerate(order):
+            x[row, own["places"].iloc[i]] = own["counts"].iloc[i]
+        enough = x.sum(1) / 3 >= MIN_LETTERS
+        x = _scaled(np.log1p(x), idf)
+        c = spherical_means(x, CENTROIDS)
+        cosine = (x @ c.T).max(1)[enough]
+        reach = float(np.quantile(1 - cosine, REACH)) if len(cosine) else 1.0
+        return pd.DataFrame({"lang": own["lang"].iloc[0], "number": range(len(c)), "center": list(c), "radius": reach})
+
+    rows = sorted(found.groupBy("lang").applyInPandas(cluster, "lang string, number int, center array<float>, radius double").collect(), key=lambda r: (r.lang, r.number))
+    languages, centers, radius = [r.lang for r in rows], [np.array(r.center, np.float32) for r in rows], [r.radius for r in rows]
     if not centers:
         return Model([], idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     return Model(languages, idf, np.stack(centers), np.array(radius))
