@@ -181,6 +181,38 @@ def test_disguised_toxic_texts_are_found(spark, insults):
     assert toxicity.score(df.where("false"), insults).count() == 0
 
 
+def test_long_tokens_and_runs_are_read_whole(insults):
+    assert toxicity.read_token("idi0t-" * 10 + "m0ron", insults.chars)[:11] == ["idiot"] * 10 + ["moron"]
+    assert toxicity.read_token("idiot" * 12 + "0", insults.chars)                                # 61 signs
+    assert toxicity.parse('token="0641917ea4e9feb9cda83477b57ac2654884f485"')[1] == []
+    assert toxicity.parse("https://x.org/idi0t/a1b2")[1] == []
+    letters = " ".join("worthless" * 12)
+    assert toxicity.read_text(f"so {letters} end")[1] == ["worthless" * 12]
+    assert "".join(toxicity.restore("worthless" * 12, insults.chars, True)) == "worthless" * 12
+    for gap in ("  ", "\t", "\n", " \n "):
+        assert toxicity.read_text(f"you {gap.join('moron')} and")[1] == ["moron"]
+    assert toxicity.read_text("a s s")[1] == ["ass"] and toxicity.read_text("a a a")[1] == [] and toxicity.read_text("x b o y")[1] == ["xboy"] and toxicity.read_text("the d o g")[1] == ["dog"]
+    assert toxicity.read_text("1 2 3 4 5")[1] == []
+
+
+def test_viterbi_by_full_enumeration(insults):
+    from itertools import product
+    for token, spaced in (("m0r0n", False), ("$cum", False), ("1d10t", False), ("scuuum", False), ("idi0t", True), ("(um", False)):
+        model = insults.chars.covering(token, spaced)
+        best = None
+        for path in product(*toxicity.lattice(token, spaced), [("\0", 0.0)]):
+            cost, history = 0.0, "\0"
+            for letters, channel in path:
+                cost += channel
+                for sign in letters:
+                    cost += model.cost(history, sign)
+                    history = (history + sign)[-(toxicity.ORDER - 1):]
+            said = "".join(x for x, _ in path[:-1])
+            if best is None or cost < best[0] - 1e-9:
+                best = (cost, said)
+        assert toxicity.restore(token, model, spaced) == [w for w in best[1].split("\0") if w], token
+
+
 def test_toxicity_without_both_classes(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, toxic int")
@@ -216,7 +248,7 @@ def test_scores_by_broadcast_and_by_join_agree(spark, insults, monkeypatch):
     texts = ["the green 1d10t walks", "you m o r o n and the tree", "the green 1d10t walks", "little scuuuuum", "the tree", "", None]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     want = sorted(tuple(r) for r in toxicity.score(docs, insults).select("doc_id", "score").collect())
-    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(toxicity, "SENT_BYTES", -1)
     assert sorted(tuple(r) for r in toxicity.score(docs, insults).select("doc_id", "score").collect()) == want
 
 

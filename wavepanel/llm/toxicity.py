@@ -5,7 +5,7 @@ letters spaced out, letters repeated) become a lattice of readings, and Viterbi
 dealt to blocks, the runs that the lattices of a block can ask for are joined with the counts, and each block is read with its own counts. The restored
 words and their beginnings are the features of a logistic regression, learned from a bounded sample of labelled rows.
 
-Every whole text is scored; null and empty texts get the score of no feature at all. Labels that contradict each other for one id count
+Every whole text is scored, tokens and spaced runs of any length; keys in hexadecimal, addresses of web pages and runs of bare digits are no words by their form. Null and empty texts get the score of no feature at all; an empty table gives an empty result. Outputs replace columns of their names. Labels that contradict each other for one id count
 as toxic. Rows without an id are scored, not learned from; rows that repeat are scored alike. Without labels of both classes every score is 0.
 """
 
@@ -25,10 +25,14 @@ from pyspark.sql import functions as F
 from wavepanel.llm.bounded import hash_share
 from wavepanel.llm.letters import letter_stream, strings
 from wavepanel.llm.names import carried, ddl, quoted, unused
-from wavepanel.llm.store import BROADCAST_ROWS, keep
-
-#: Labelled rows in the fit at most, toxic and not; features of the classifier at most.
-TOXIC_ROWS, CLEAN_ROWS, FEATURES = 6_000, 18_000, 4_000
+from wavepanel.llm.store import keep
+
+#: Labelled rows in the fit at most, toxic and not.
+TOXIC_ROWS, CLEAN_ROWS = 6_000, 18_000
+#: Toxic sample texts that a feature needs.
+SUPPORT = 3
+#: Bytes of disguised units with features up to which they are sent to every executor.
+SENT_BYTES = 16 << 20
 ORDER = 4
 PREFIXES = (3, 4, 5, 6)
 #: Distinct words remembered in a task.
@@ -39,8 +43,10 @@ UNITS = 10_000
 #: What a sign may stand for, besides itself or nothing. Fixed values.
 READINGS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li",
             "+": "t", "€": "e", "£": "l", "(": "c", "*": "aeiou", "#": "aeiou"}
-_SEPARATED = re.compile(r"(?<!\S)(?:[^\W_]|[0-9@$!|+€£]) (?:(?:[^\W_]|[0-9@$!|+€£]) ){2,}(?:[^\W_]|[0-9@$!|+€£])(?!\S)")
+_SEPARATED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€£])(?:\s+(?:[^\W_]|[@$!|+€£])){2,}(?!\S)")
 _INNER = re.compile(r"^(?:[^\W_][.\-_*·~]+){2,}[^\W_]$")
+_JOINT = re.compile(r"[^\w@$!|+€£(*#]+|_+")
+_KEY = re.compile(r"[0-9a-f]{16,}$")
 _REPEAT = re.compile(r"(.)\1\1")
 _EDGES = re.compile(r"^[^\w@$€£|(+]+|[^\w@$€£|+]+$")
 _NOISE = re.compile(r"^([@$€£|(+])\1{2,}|([@$€£|+])\2{2,}$")
@@ -171,24 +177,36 @@ def restore(token: str, model: CharModel | CharTable, spaced: bool = False) -> l
     return [w for w in best.split("\0") if w]
 
 
-def parse(token: str) -> tuple[list[str], str | None]:
-    """The plain words of one lower-case token without white space, or what is to be restored."""
-    token = _NOISE.sub("", _EDGES.sub("", token))
-    if not token:
-        return [], None
-    if token.isalpha():
-        return ([], token) if _REPEAT.search(token) else ([token], None)
-    if _INNER.match(token):
-        return [], re.sub(r"[.\-_*·~]+", "", token)
-    if any(c.isalpha() for c in token) and any(c in READINGS for c in token) and len(token) <= 40:
-        return [], token
-    return [w for w in re.split(r"[^\w]+|_", token) if w.isalpha()], None
+def _disguised(part: str) -> bool:
+    return (any(c.isalpha() for c in part) and any(c in READINGS for c in part) and not _KEY.match(part)) or bool(part.isalpha() and _REPEAT.search(part))
+
+
+def parse(token: str) -> tuple[list[str], list[str]]:
+    """The plain words of one lower-case token without white space, and what is to be restored: the whole, and the parts that joints separate."""
+    if not token.isalpha():
+        if token[:-1].isalpha() and token[-1] in ".,;:!?":       # the most frequent case by far
+            token = token[:-1]
+        else:
+            token = _NOISE.sub("", _EDGES.sub("", token))
+            if not token:
+                return [], []
+            if not token.isalpha():
+                if _INNER.match(token):
+                    return [], [re.sub(r"[.\-_*·~]+", "", token)]
+                parts = [x for x in _JOINT.split(token) if x]
+                if "://" in token:
+                    return [x for x in parts if x.isalpha()], []
+                units = [x for x in parts if _disguised(x)]
+                if len(parts) > 1 and units and not any(_KEY.match(x) for x in parts):
+                    units.append(token)
+                return [w for x in parts if x not in units for w in re.split(r"[^\w]+|_", x) if w.isalpha()], units
+    return ([], [token]) if _REPEAT.search(token) else ([token], [])
 
 
 def read_token(token: str, model: CharModel | CharTable) -> list[str]:
     """Words of one lower-case token without white space; a plain word is itself."""
-    words, unit = parse(token)
-    return words if unit is None else restore(unit, model)
+    words, units = parse(token)
+    return [*words, *(w for unit in units for w in restore(unit, model))]
 
 
 def _features(word: str) -> list[str]:
@@ -200,9 +218,9 @@ def read_text(text: str) -> tuple[set[str], list[str]]:
     spaced: list[str] = []
     low = text.lower()
     for m in _SEPARATED.finditer(low):
-        run = m.group().replace(" ", "")
-        if len(set(run)) > 2:                                    # not one sign again and again
-            spaced.extend(run[start:start + 70] for start in range(0, len(run), 60))
+        run = "".join(m.group().split())
+        if len(set(run)) > 1 and not run.isdigit():              # not one sign again and again, and no numbers
+            spaced.append(run)
     return set(low.split()), spaced
 
 
@@ -214,8 +232,7 @@ def _new_units(text: str, seen: set) -> Iterator[tuple[str, bool]]:
         seen.clear()
     for token in tokens - seen:
         seen.add(token)
-        unit = parse(token)[1]
-        if unit is not None:
+        for unit in parse(token)[1]:
             yield unit, False
     for run in runs:
         if (run, True) not in seen:
@@ -295,8 +312,11 @@ def gather(text: str, of_words: Callable[[list[str]], tuple], known: dict[tuple[
         if hit is None:
             if len(memo) >= MEMO:
                 memo.clear()
-            words, unit = parse(t)
-            hit = memo[t] = of_words(words) if unit is None else known.get((unit, False), ())
+            words, units = parse(t)
+            hit = of_words(words) if words else ()
+            for unit in units:
+                hit += known.get((unit, False), ())
+            memo[t] = hit
         if hit:
             out.update(hit)
     for run in runs:
@@ -355,8 +375,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, doc_id: str = "do
     counts = rows.select("text", "y").mapInArrow(words, "f string, y int").groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     a, b = F.col("a"), F.col("b")
     p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-    best = (counts.where((a >= 3) & (p > 2 * q)).withColumn("gain", a * F.log(p / q)).orderBy(F.desc("gain"), "f").limit(FEATURES).select("f").collect())
-    places = {r.f: i for i, r in enumerate(best)}
+    best = counts.where((a >= SUPPORT) & (p > 2 * q)).select("f").collect()               # from the bounded sample of texts
+    places = {f: i for i, f in enumerate(sorted(r.f for r in best))}
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple] = {}
@@ -397,7 +417,8 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", output: str =
     known, extra = context.broadcast({}), F.lit(None).cast("array<int>")
     if model.weights.trained:
         units = keep(restored(texts, model.chars).mapInArrow(unit_features, "unit string, spaced boolean, found array<int>").where("size(found) > 0"))
-        if units.count() <= BROADCAST_ROWS:
+        bytes_ = units.agg(F.sum(F.octet_length("unit") + 8 * F.size("found") + 100)).first()[0] or 0
+        if bytes_ <= SENT_BYTES:
             known = context.broadcast({(r.unit, r.spaced): tuple(r.found) for r in units.collect()})
         else:
             pairs = texts.select(F.sha2("text", 256).alias("key"), "text").where("text is not null").mapInArrow(
