@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import replace
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ from wavepanel.llm.names import carried, ddl, quoted, unused
 from wavepanel.llm.store import keep
 
 #: Bytes of texts whose pairs travel together, and bytes encoded at once.
-BLOCK_BYTES, ENCODE_BYTES = 4 << 20, 1 << 20
+BLOCK_BYTES, ENCODE_BYTES = 2 << 20, 1 << 19
 #: An id pair is a * PAIR + b.
 PAIR = 1 << 20
 OUTPUTS = {"n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint", "count_sum": "bigint", "groups_sha256": "string"}
@@ -143,7 +144,7 @@ def align(texts: list[str], path_a: str, path_b: str) -> tuple[pd.DataFrame, np.
     ids_a, first_a, _, _ = checked_encode(data, offsets, plain(path_a))
     lists = pieces(path_b).encode([t or "" for t in texts])
     first_b = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    ids_b = np.fromiter((i for x in lists for i in x), np.int64, first_b[-1])
+    ids_b = np.fromiter(chain.from_iterable(lists), np.int64, first_b[-1])
     a, b = Side(ids_a, first_a, plain(path_a), data, offsets), Side(ids_b, first_b, pieces(path_b), data, offsets)
     whole = a.fits & b.fits & (np.diff(offsets) > 0)
     a.only(whole)
