@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from wavepanel.functions import numeric
 from wavepanel.operators import glm, residuals
 from wavepanel.operators.extended import fit_glmm_ri, glmm_log_likelihood, glmm_residuals, mixture_residuals
-from wavepanel.operators import extended, summaries
+from wavepanel.operators import extended, predict, summaries
 from wavepanel.operators.counts import fit_hurdle, fit_negbin, fit_ztnb
 from wavepanel.operators.glm import fit_glm
+from wavepanel.sources import tables
 
 
 def brute_ks(u):
@@ -207,3 +208,62 @@ def test_box_layers_equal_single_boxes(spark):
     names = ["t", "n", "ymin", "lower", "middle", "upper", "ymax", "n_outliers"]
     assert sorted(stats.where("layer = 'c'").select("cell", *names).collect()) == sorted(alone.select("c", *names).collect())
     assert outliers.where("layer = 'c'").count() == out.count()
+
+
+def test_marginal_interval_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"x": rng.normal(size=900), "g": rng.choice(["a", "b"], 900), "d": rng.choice(["u", "v", "w"], 900)})
+    pdf["y"] = (rng.random(900) < 1 / (1 + np.exp(-pdf.x - (pdf.g == "a")))).astype(int)
+    df = spark.createDataFrame(pdf)
+    m = fit_glm(df, "y", [("x",), ("g",), ("d",)], "binomial")
+    grid = spark.createDataFrame([(float(i), g, d) for i in range(4) for g in "ab" for d in "uvw"], "x double, g string, d string")
+    share = spark.createDataFrame([("a", "u", 0.2), ("a", "v", 0.3), ("a", "w", 0.5), ("b", "u", 0.6), ("b", "v", 0.4)], "g string, d string, share double")
+
+    def run(**more):
+        rows = predict.marginal_ci(m, grid, "d", ["x", "g"], share, ["g"], draws=500, seed=3, **more).collect()
+        return {(r["x"], r["g"]): (r["p_mle"], r["p_lower"], r["p_upper"]) for r in rows}
+    whole = run()
+    assert len(whole) == 8 and all(whole[x, "b"] == (None, None, None) for x in range(4))          # no weight of w for b
+    point, low, high = whole[1.0, "a"]
+    sims = predict.coefficient_draws(m.beta_scaled, predict.covariance_root(m.cov_scaled), 500, 3)
+    cells = m.design.matrix(m.inputs(grid.where("x = 1 and g = 'a'").orderBy("d")).toPandas())[:, m.cols]
+    p = (1 / (1 + np.exp(-cells @ sims.T))) * np.array([[0.2], [0.3], [0.5]])
+    assert (low, high) == pytest.approx(np.quantile(p.sum(axis=0), [0.025, 0.975]), rel=1e-9) and low < point < high
+    monkeypatch.setattr(predict, "LEVELS_PER_BLOCK", 1)
+    monkeypatch.setattr(predict, "BATCH_BYTES", 8 * 500 * 2)
+    blocks = run()
+    for k, v in whole.items():
+        assert blocks[k] == (pytest.approx(v, rel=1e-9) if v[0] is not None else v)
+    natural = spark.createDataFrame([(i, t, float(v)) for i in range(40) for t, v in m.coef.items()], "draw int, term string, value double")
+    same = run(coefficients=natural)
+    assert same[2.0, "a"][1:] == pytest.approx((whole[2.0, "a"][0],) * 2)                            # equal draws give the point itself
+    with pytest.raises(ValueError, match="every draw"):
+        run(coefficients=natural.where("draw > 0 or term <> 'x'"))
+    assert predict.marginal_ci(m, grid, "d", [], draws=50).count() == 1
+
+
+def test_malformed_rows_are_quarantined(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("ID,trat,alt0,alt1\n1,a,10.5,11\n2,b,NA,12\n3,a,tall,9\n4,a\n5,b,1,2,3\nNA,a,1,2\n6,b,7,NA\n")
+    good, rejected = tables.read_checked(spark, str(tmp_path / "p.csv"), "ID long, alt0 double, alt1 double", ["ID"])
+    assert sorted((r["ID"], r["alt0"], r["alt1"]) for r in good.collect()) == [(1, 10.5, 11.0), (2, None, 12.0), (6, 7.0, None)]
+    assert good.select("ID").count() == 3 and rejected.count() == 4
+    lines = {r["line"]: r["reason"] for r in rejected.collect()}
+    assert lines["3,a,tall,9"] == lines["4,a"] == lines["5,b,1,2,3"] == "malformed" and "missing ID" in lines.values()
+    counts = {r["reason"]: r["n"] for r in tables.quarantine(rejected, str(tmp_path / "q")).collect()}
+    assert counts == {"malformed": 3, "missing ID": 1}
+
+
+def test_bundles_are_seen_whole_or_not(spark, tmp_path):
+    path = str(tmp_path / "study")
+    a, b = spark.range(5).toDF("x"), spark.range(3).toDF("y")
+    first = tables.write_bundle({"points": a, "boxes": b}, path)
+    broken = spark.range(4).select(F.raise_error(F.lit("lost")).cast("int").alias("z"))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_bundle({"points": b, "boxes": broken}, path)                # half a version: no manifest
+    layers = tables.read_bundle(spark, path)
+    assert {k: v.count() for k, v in layers.items()} == {"points": 5, "boxes": 3}
+    second = tables.write_bundle({"points": b}, path)
+    assert second > first and set(tables.read_bundle(spark, path)) == {"points"}
+    assert tables.read_bundle(spark, path, first)["boxes"].count() == 3
+    with pytest.raises(ValueError, match="no version"):
+        tables.read_bundle(spark, path, 1)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000     # counted rows up to which a narrow side is broadcast
@@ -28,3 +30,13 @@ def durable(df: DataFrame) -> DataFrame:
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a table whose counted rows are few; beyond that Spark and AQE choose the join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="wavepanel-")

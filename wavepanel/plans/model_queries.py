@@ -369,6 +369,27 @@ def marginal_ci_query(spark, sf):
     return marginal_ci(m, grid, STATUS, ["l_quantity", FLAG], share, [FLAG])
 
 
+# Given coefficients, so that any engine can average and take quantiles.
+_GIVEN = {"(Intercept)": "-1 + 0.1 * sin(i)", "l_quantity": "0.01 + 0.002 * cos(i)", f"{FLAG}N": "0.2 + 0.1 * sin(2 * i)", f"{FLAG}R": "-0.1 + 0.1 * cos(3 * i)",
+          f"{STATUS}O": "0.3 + 0.1 * sin(5 * i)"}
+
+
+@query("marginal_ci_given", f"""WITH {LINES_SQL}, s AS (SELECT {FLAG} AS f, {STATUS} AS g, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY {FLAG}) AS share FROM lines GROUP BY {FLAG}, {STATUS}),
+d AS (SELECT i, {', '.join(f'{v} AS b{j}' for j, v in enumerate(_GIVEN.values()))} FROM range(1, 201) t(i)),
+x AS (SELECT q::DOUBLE AS q, f, i, sum(share / (1 + exp(-(b0 + b1 * q + b2 * (f = 'N')::INTEGER + b3 * (f = 'R')::INTEGER + b4 * (g = 'O')::INTEGER)))) AS p
+  FROM s, d, range(1, 51) r(q) GROUP BY ALL)
+SELECT q AS l_quantity, f AS {FLAG}, {r('quantile_cont(p, 0.025)')} AS p_lower, {r('quantile_cont(p, 0.975)')} AS p_upper FROM x GROUP BY ALL""")
+def marginal_ci_given(spark, sf):
+    df = lines(spark, sf)
+    m = fit_glm(df, "big", term_list("l_quantity", FLAG, STATUS), "binomial")
+    grid = joins.expand_grid(spark, l_quantity=[float(i) for i in range(1, 51)], **{FLAG: m.design.levels[FLAG], STATUS: m.design.levels[STATUS]})
+    table = spark.range(1, 201).withColumnRenamed("id", "i").select("i", F.inline(F.array(*[
+        F.struct(F.lit(t).alias("term"), F.expr(e).alias("value")) for t, e in _GIVEN.items()])))
+    share = summaries.level_share(df, STATUS, FLAG, m.design.levels[STATUS])
+    out = marginal_ci(m, grid, STATUS, ["l_quantity", FLAG], share, [FLAG], coefficients=table.withColumnRenamed("i", "draw"))
+    return round_all(out.select("l_quantity", FLAG, "p_lower", "p_upper"))
+
+
 def _curve_sql():
     # Per status its own 2-coefficient Gamma regression on centred x; dispersion from all rows.
     fits = ", ".join(glm_cte(f"m_{g}", f"d_{g}", ["1", "x"], "gamma", sweeps=120) for g in "FO")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wavepanel.functions.columns import paste, plogis, wave_index
 from wavepanel.functions.numeric import normal_quantile
-from wavepanel.functions.storage import durable
+from wavepanel.functions.storage import durable, shared_folder
 from wavepanel.operators import clean, joins, reshape, summaries
 from wavepanel.plans.panels import (ALT, FRUTOS, IDS, LAST_WAVE, LINES_SQL, PANEL_SQL, SUP, TIME, lines, long_panel, long_sql, subjects,
                                     wide_panel)
 from wavepanel.plans.registry import query, r, round_all
-from wavepanel.sources.tables import preview, read_panel
+from wavepanel.sources.tables import preview, quarantine, read_bundle, read_checked, read_panel, write_bundle
 
 W = f"WITH {PANEL_SQL}"
 L = f"WITH {LINES_SQL}"
@@ -25,6 +27,36 @@ def scan_panel(spark, sf):
     return round_all(df)
 
 
+_BROKEN = """l AS (SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderkey % 50 = 0 THEN 'malformed' WHEN o_orderkey % 50 = 1 THEN 'malformed'
+  WHEN o_orderkey % 50 = 2 THEN 'missing o_custkey' WHEN o_orderkey % 50 = 3 THEN 'missing o_orderkey' END AS reason FROM orders)"""
+
+
+def _broken_orders(spark, sf):
+    """Orders as CSV lines, some with a word for a number, some with a value too few, some without a key."""
+    k = F.col("o_orderkey") % 50
+    price = F.format_string("%.2f", "o_totalprice")
+    line = (F.when(k == 0, F.concat_ws(",", "o_orderkey", F.lit("x"), price)).when(k == 1, F.concat_ws(",", "o_orderkey", "o_custkey"))
+            .when(k == 2, F.concat_ws(",", "o_orderkey", F.lit("NA"), price)).when(k == 3, F.concat_ws(",", F.lit("NA"), "o_custkey", price))
+            .otherwise(F.concat_ws(",", "o_orderkey", "o_custkey", price)))
+    path = f"{shared_folder(spark)}/wavepanel-csv-{uuid.uuid4().hex}"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(line.alias("value"))
+    head = F.concat(F.lit("o_orderkey,o_custkey,o_totalprice\n"), F.array_join(F.collect_list("value"), "\n")).alias("value")
+    # a file of its own with a header for each part of the table
+    parts = orders.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(64))).groupBy("part").agg(head)
+    parts.write.partitionBy("part").text(path)
+    return path
+
+
+@query("csv_quarantine", f"""WITH {_BROKEN} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n, {r('coalesce(sum(CASE WHEN reason IS NULL THEN round(o_totalprice, 2) END), 0)', 2)} AS price
+FROM l GROUP BY ALL""")
+def csv_quarantine(spark, sf):
+    path = _broken_orders(spark, sf)
+    good, rejected = read_checked(spark, f"{path}/*", "o_orderkey long, o_custkey long, o_totalprice double", ["o_custkey", "o_orderkey"])
+    counts = quarantine(rejected, f"{path}-quarantine").withColumn("price", F.lit(0.0))
+    kept = good.agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("price"))
+    return round_all(kept.unionByName(counts), 2)
+
+
 def _preview_sql(cols):
     one = ("SELECT '{0}' AS \"column\", count({0}) AS n, count(*) - count({0}) AS n_missing, "
            "{1} AS \"min\", {2} AS mean, {3} AS \"max\" FROM panel")
@@ -417,6 +449,17 @@ def q2_observed(spark, sf):
     return round_all(observed_survival(spark, sf).select("kind", "year", "trat", "alt_cat", "dom", "survival", "alt0"))
 
 
+@query("study_bundle", _Q2)
+def study_bundle(spark, sf):
+    """The layers of the observed survival, written as one version and read back."""
+    table = observed_survival(spark, sf).select("kind", "year", "trat", "alt_cat", "dom", "survival", "alt0")
+    path = f"{shared_folder(spark)}/wavepanel-bundle-{uuid.uuid4().hex}"
+    table = durable(table)
+    write_bundle({kind: table.where(F.col("kind") == kind) for kind in ("marginal", "height", "dominance")}, path)
+    layers = read_bundle(spark, path)
+    return round_all(layers["marginal"].unionByName(layers["height"]).unionByName(layers["dominance"]))
+
+
 @query("observed_slice", f"""{L} SELECT yr, l_returnflag AS trat, {r('avg(big)')} AS p, {r('stddev_samp(big)/sqrt(count(*))')} AS se, count(*) AS n
 FROM lines GROUP BY yr, l_returnflag""")
 def observed_slice(spark, sf):
