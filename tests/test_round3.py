@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from wavepanel.functions import numeric
 from wavepanel.operators import glm, residuals
 from wavepanel.operators.extended import fit_glmm_ri, glmm_log_likelihood, glmm_residuals, mixture_residuals
-from wavepanel.operators import extended, predict, summaries
+from wavepanel.operators import absorb, extended, predict, summaries
 from wavepanel.operators.counts import fit_hurdle, fit_negbin, fit_ztnb
 from wavepanel.operators.glm import fit_glm
+from wavepanel.plans.panels import lines
 from wavepanel.sources import tables
 
 
@@ -267,3 +268,34 @@ def test_bundles_are_seen_whole_or_not(spark, tmp_path):
     assert tables.read_bundle(spark, path, first)["boxes"].count() == 3
     with pytest.raises(ValueError, match="no version"):
         tables.read_bundle(spark, path, 1)
+
+
+@pytest.mark.parametrize("family, y", [("gaussian", "l_extendedprice"), ("binomial", "big")])
+def test_absorbed_factor_equals_the_expanded_one(spark, sf, family, y):
+    df = lines(spark, sf).withColumn("part", F.col("l_partkey").cast("string"))
+    terms = [("l_quantity",), ("l_returnflag",), ("l_quantity", "l_returnflag")]
+    m = absorb.fit_absorbed(df, y, terms, "part", family)
+    if m.left_out:
+        mixed = df.groupBy("part").agg(F.avg(y).alias("a")).where("a > 0 and a < 1").select("part")
+        df = df.join(mixed, "part", "left_semi")
+    dense = fit_glm(df, y, [*terms, ("part",)], family)
+    own, table = dense.coef, {r["term"]: r["std_error"] for r in dense.coef_table(spark).collect()}
+    assert m.converged and m.n == dense.n and m.deviance == pytest.approx(dense.deviance, rel=1e-8)
+    for r in m.coef_table(spark).collect():
+        assert r["estimate"] == pytest.approx(own[r["term"]], rel=1e-6, abs=1e-9) and r["std_error"] == pytest.approx(table[r["term"]], rel=1e-6)
+    assert m.df_resid == dense.df_resid and set(m.coef) == {"l_quantity", "l_returnflagN", "l_returnflagR", "l_quantity:l_returnflagN", "l_quantity:l_returnflagR"}
+    effects = {r["part"]: r["effect"] for r in m.effects.collect()}
+    some = sorted(effects)[:2]
+    gap = own.get(f"part{some[1]}", 0.0) - own.get(f"part{some[0]}", 0.0)
+    assert len(effects) == m.levels and effects[some[1]] - effects[some[0]] == pytest.approx(gap, rel=1e-5, abs=1e-7)
+
+
+def test_absorbed_factor_with_odd_levels(spark):
+    rows = [("a", 0, 1.0), ("a", 1, 2.0), ("a", 1, 3.0), ("b", 1, 1.0), ("b", 1, 2.0), (None, 1, 5.0), ("c", 0, 3.0), ("c", 1, 1.0), ("c", None, 1.0), ("c", 0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, y int, x double").withColumn("one", F.col("g").eqNullSafe("a").cast("double"))
+    m = absorb.fit_absorbed(df, "y", [("x",), ("one",)], "g", "binomial")
+    assert m.left_out == 1 and m.levels == 2 and set(m.coef) == {"x"} and any("aliased" in w for w in m.warnings)
+    with pytest.raises(ValueError, match="not 0 or 1"):
+        absorb.fit_absorbed(df.withColumn("y", F.lit(2)), "y", [("x",)], "g", "binomial")
+    with pytest.raises(ValueError, match="no complete rows"):
+        absorb.fit_absorbed(df.where("false"), "y", [("x",)], "g")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wavepanel.functions.numeric import normal_quantile
 from wavepanel.operators import joins, summaries
+from wavepanel.operators.absorb import fit_absorbed
 from wavepanel.operators.counts import (anova_negbin, count_log_likelihood, fit_hurdle, fit_negbin, fit_ztnb)
 from wavepanel.operators.extended import fit_gamma_ls, fit_glmm_ri, glmm_log_likelihood, mixture_residuals
 from wavepanel.operators.glm import fit_glm
@@ -412,6 +413,20 @@ def glm_curve(spark, sf):
     return round_all(fit_curve(lines(spark, sf), "l_quantity", "l_extendedprice", STATUS, n=20), 3, l_quantity=6)
 
 
+# The part takes an intercept of its own: least squares on deviations from its means.
+_WITHIN = ("d AS (SELECT l_extendedprice - avg(l_extendedprice) OVER w AS y, l_quantity - avg(l_quantity) OVER w AS x FROM lineitem WINDOW w AS (PARTITION BY l_partkey)), "
+           "t AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, sum(y * y) AS syy, count(*) AS n, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS g FROM d), "
+           "e AS (SELECT *, (syy - b * b * sxx) / (n - g - 1) AS s2 FROM t)")
+
+
+@query("absorbed_part", f"""WITH {_WITHIN} SELECT 'l_quantity' AS term, {r('b')} AS estimate, {r('sqrt(s2 / sxx)')} AS std_error, {r('b / sqrt(s2 / sxx)', 4)} AS statistic,
+g::BIGINT AS levels, (n - g - 1)::BIGINT AS df_resid FROM e""")
+def absorbed_part(spark, sf):
+    m = fit_absorbed(lines(spark, sf), "l_extendedprice", [("l_quantity",)], "l_partkey")
+    table = m.coef_table(spark).select("term", "estimate", "std_error", "statistic")
+    return round_all(table.withColumns({"levels": F.lit(m.levels).cast("long"), "df_resid": F.lit(m.df_resid).cast("long")}), statistic=4)
+
+
 # ---------------------------------------------------------------- counts
 
 _NB = ("f AS (SELECT l_returnflag AS f, avg(excess) AS mu FROM lines GROUP BY 1), "

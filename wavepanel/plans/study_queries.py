@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wavepanel.functions.numeric import normal_quantile
 from wavepanel.functions.storage import durable
 from wavepanel.operators import clean, joins, reshape, summaries
-from wavepanel.operators.counts import fit_hurdle, fit_negbin, fit_ztnb
+from wavepanel.operators.counts import anova_negbin, fit_hurdle, fit_negbin, fit_ztnb
 from wavepanel.operators.extended import fit_gamma_ls
 from wavepanel.operators.glm import fit_glm
 from wavepanel.operators.hypothesis import anova_ii, anova_wald, fit_and_test
@@ -22,7 +22,7 @@ from wavepanel.operators.residuals import residual_by_cell, residual_overall, re
 from wavepanel.operators.terms import base_column, poly, star, term_list
 from wavepanel.plans.panels import ALT, FRUTOS, IDS, LAST_WAVE, LINES_SQL, PANEL_SQL, SUP, TIME, lines, long_sql, wide_panel
 from wavepanel.plans.registry import query, r, round_all
-from wavepanel.plans.sql_models import design_list, predict_sql, term_columns, type_ii_sql, wald_sql, ztnb_cte
+from wavepanel.plans.sql_models import design_list, predict_sql, stencil_newton_2d, term_columns, type_ii_sql, wald_sql, ztnb_cte
 from wavepanel.plans.table_queries import observed_survival
 
 W = f"WITH {PANEL_SQL}"
@@ -385,6 +385,42 @@ def q13_predictions(spark, sf):
     return round_all(predict_ci(model, grid.drop("grid_id").withColumn("tax", F.lit(mean_tax))), 5)
 
 
+def _q13_classes_sql():
+    ctes, mle, lower, upper = predict_sql("m", "src", FRUIT_P, _FRUIT_LEVELS, {"tax": "t"}, "binomial", Z, steps=6)
+    bins = "CASE WHEN tax <= lo + w THEN 'low' WHEN tax <= lo + 2 * w THEN 'mid' ELSE 'high' END"
+    return (f"WITH RECURSIVE {LINES_SQL}, b AS (SELECT min(tax) AS lo, (max(tax) - min(tax)) / 3 AS w FROM lines), k AS (SELECT lines.*, {bins} AS class FROM lines, b), "
+            f"src AS (SELECT yr, l_returnflag, l_linestatus, tax - 4 AS t, count(*)::DOUBLE AS n, sum((excess > 0)::INTEGER)::DOUBLE AS s FROM lines GROUP BY ALL), {', '.join(ctes)}, "
+            f"grid AS (SELECT o.*, mid - 4 AS t FROM (SELECT yr, l_returnflag, l_linestatus, class, avg((excess > 0)::INTEGER) AS seen, count(*) AS n_lines FROM k GROUP BY ALL) o "
+            f"JOIN (SELECT class, avg(tax) AS mid FROM k GROUP BY class) c USING (class)) "
+            f"SELECT yr, l_returnflag, l_linestatus, class, n_lines, {r('seen', 5)} AS observed, {r(mle, 5)} AS p_mle, {r(lower, 5)} AS p_lower, {r(upper, 5)} AS p_upper FROM m, m_v, m_phi, grid")
+
+
+@query("q13_classes", _q13_classes_sql())
+def q13_classes(spark, sf):
+    """Probability of a positive count at the mean of three classes of the covariate, beside the observed shares."""
+    df = clean.indicator(lines(spark, sf), F.col("excess") > 0, "positive")
+    df, _ = clean.cut_equal(df, "tax", 3, HEIGHT_CLASSES, out="class")
+    model = fit_glm(df, "positive", FRUIT_P, "binomial")
+    middle = summaries.group_mean(df, "class", ["tax"])
+    seen = df.groupBy("yr", "l_returnflag", "l_linestatus", "class").agg(F.count(F.lit(1)).alias("n_lines"), F.avg("positive").alias("observed"))
+    return round_all(predict_ci(model, joins.left_join(seen, middle, ["class"])).drop("tax"), 5)
+
+
+def _species_height_sql():
+    terms = term_list(HEIGHT, "sp")
+    ctes, mle, lower, upper = predict_sql("m", "src", terms, _HEIGHT_LEVELS, _HEIGHT_X, "gamma", Z, steps=24)
+    return (f"WITH RECURSIVE {_HEIGHT_SRC}, {', '.join(ctes)}, grid AS ({_height_grid_sql(True)}) SELECT {r('alt0', 3)} AS alt0, year, trat, dom, sp, "
+            f"{r(mle, 3)} AS p_mle, {r(lower, 3)} AS p_lower, {r(upper, 3)} AS p_upper FROM m, m_v, m_phi, grid")
+
+
+@query("q7_height_prediction", _species_height_sql())
+def q7_height_prediction(spark, sf):
+    """Heights of the model with the species beside the other terms, on the grid with species."""
+    long = height_long(spark, sf)
+    model = fit_glm(long, "alt", term_list(HEIGHT, "sp"), "gamma", "log", levels=height_levels(True))
+    return round_all(predict_ci(model, _height_grid(spark, long, True)), 3)
+
+
 # ---------------------------------------------------------------- species tables
 
 _SP_LINES = LINES_SQL.replace("lines AS (SELECT *,", "lines AS (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 'ang' ELSE 'ata' END AS sp,")
@@ -452,6 +488,42 @@ def q9_total_nb(spark, sf):
     return round_all(model.fitted(df), 4)
 
 
+_Q9 = f"""{W}, d AS (SELECT trat, {' + '.join(f'coalesce({c},0)' for c in FRUTOS[1:])} AS y FROM panel),
+m AS (SELECT trat, y, avg(y) OVER (PARTITION BY trat) AS mu, avg(y) OVER () AS m0, count(*) OVER (PARTITION BY trat) AS n FROM d)"""
+
+
+# The totals show no overdispersion: the score of 1/k is negative and the fit is the Poisson one.
+@query("q9_coefficients", f"""{_Q9}, s AS (SELECT sum(0.5 * (pow(y - mu, 2) - y)) / sqrt(sum(0.5 * mu * mu)) AS z FROM m)
+SELECT 'trat' || trat AS term, {r('ln(any_value(mu))')} AS estimate, {r('1 / sqrt(any_value(n) * any_value(mu))')} AS std_error, any_value(z) <= 0 AS poisson_limit, {r('any_value(z)')} AS score_z
+FROM m, s GROUP BY trat""")
+def q9_coefficients(spark, sf):
+    """Coefficients of the total count by treatment, and the score test of the size at its boundary."""
+    df = clean.row_sum(wide_panel(spark, sf), FRUTOS[1:], "frut_sum")
+    model = fit_negbin(df, "frut_sum", [("trat",)], levels={"trat": LEVELS["trat"]}, intercept=False)
+    return round_all(model.coef_table(spark).where("term <> 'log(k)'").select("term", "estimate", "std_error", F.lit(model.poisson_limit).alias("poisson_limit"),
+                                                                            F.lit(model.boundary_z).cast("double").alias("score_z")))
+
+
+@query("q9_anova", f"""{_Q9} SELECT 'trat' AS term, 2::INTEGER AS df, {r('2 * sum(y * ln(mu / m0))', 5)} AS lr_chisq, {r('exp(-sum(y * ln(mu / m0)))')} AS p_value FROM m""")
+def q9_anova(spark, sf):
+    """Type-II table of the total count by treatment."""
+    df = clean.row_sum(wide_panel(spark, sf), FRUTOS[1:], "frut_sum")
+    levels = {"trat": LEVELS["trat"]}
+    table = anova_negbin(df, "frut_sum", [("trat",)], fit_negbin(df, "frut_sum", [("trat",)], levels=levels), levels=levels)
+    return round_all(table.select("term", "df", "lr_chisq", "p_value"), 6, lr_chisq=5)
+
+
+@query("q9_by_time", f"""{W.replace('WITH', 'WITH RECURSIVE', 1)}, d AS (SELECT {' + '.join(f'coalesce({c},0)' for c in FRUTOS[1:])} AS y, ({' + '.join(f'coalesce({c},0)' for c in TIME[1:])} - 100) / 50 AS x
+  FROM panel WHERE trat = 'b'), {stencil_newton_2d("z", "d", "y * (u + v * x) - exp(u + v * x)", ("ln(avg(y))", "0.0::DOUBLE"))},
+i AS (SELECT sum(exp(u + v * x)) AS a, sum(x * exp(u + v * x)) AS b, sum(x * x * exp(u + v * x)) AS c FROM d, z)
+SELECT 't_resprout' AS term, {r('v / 50', 7)} AS estimate, {r('sqrt(a / (a * c - b * b)) / 50', 7)} AS std_error, {r('v / sqrt(a / (a * c - b * b))', 3)} AS statistic FROM z, i""")
+def q9_by_time(spark, sf):
+    """Total count on the total cutting time within one treatment."""
+    df = clean.row_sum(clean.row_sum(wide_panel(spark, sf), FRUTOS[1:], "frut_sum"), TIME[1:], "t_resprout").where("trat = 'b'")
+    table = fit_negbin(df, "frut_sum", [("t_resprout",)]).coef_table(spark)
+    return round_all(table.where("term = 't_resprout'").select("term", "estimate", "std_error", "statistic"), 7, statistic=3)
+
+
 @query("q10_total_time", f"""{W}, d AS (SELECT trat, CASE WHEN t = 0 THEN 1e-5 ELSE t END AS t FROM (SELECT trat, {' + '.join(f'coalesce({c},0)' for c in TIME[1:])} AS t FROM panel))
 SELECT trat, {r('avg(t)')} AS fitted, {r(f'avg(t) / {LAST_WAVE - 1}')} AS per_year FROM d GROUP BY trat""")
 def q10_total_time(spark, sf):
@@ -495,6 +567,18 @@ def q11_time_size(spark, sf):
     return round_all(fit_curve(time_by_size(spark, sf), "alt", "time", "type", n=80), 8)
 
 
+def _q11_anova_sql():
+    long = " UNION ALL ".join(f"SELECT '{'baseline' if k == 0 else 'later waves'}' AS type, t{k} AS time, alt{k} AS alt FROM panel" for k in range(LAST_WAVE + 1))
+    src = f"{PANEL_SQL}, src AS (SELECT type, alt, 1.0::DOUBLE AS n, time AS s, ln(time) AS ln FROM ({long}) WHERE time IS NOT NULL AND alt IS NOT NULL)"
+    return type_ii_sql(src, "src", _Q11_TERMS, {"type": ["baseline", "later waves"]}, _Q11_X, "gamma", _HEIGHT_PHI.format(p=4), steps=40)
+
+
+@query("q11_anova", _q11_anova_sql())
+def q11_anova(spark, sf):
+    """Type-II table of the cutting time by size and type."""
+    return round_all(anova_ii(time_by_size(spark, sf), "time", _Q11_TERMS, "gamma", "log").select("term", "lr_chisq", "df"), 4)
+
+
 @query("q11_calibration", f"""{W}, l AS ({' UNION ALL '.join(f"SELECT '{'baseline' if k == 0 else 'later waves'}' AS type, t{k} AS time, alt{k} AS alt FROM panel" for k in range(LAST_WAVE + 1))})
 SELECT type, count(*) AS n, {r('count(*)', 4)} AS ratio_total, {r('sum(alt) / 1000', 4)} AS weighted_total FROM l WHERE time IS NOT NULL AND alt IS NOT NULL GROUP BY type""")
 def q11_calibration(spark, sf):
