@@ -4,35 +4,42 @@ The shingles of a text (5 words) are hashed to 64 bits and put in one global ord
 many texts of some block share, by ascending count. Any order gives right results; this one keeps common passages at its end.
 The order is cut into fragments.
 
-1. Two sets of similarity t or more share a shingle among their first ones in the order (the prefix, about 1 - t of a set). Prefix entries meet
-   by shingle in one shuffle and are read as sorted streams; hot shingles are spread.
-2. Stars: in each list of a shingle every set is paired with the set of the fewest rare shingles, which in a group of near copies is near their origin.
+1. Sets that may be linked meet in lists. Two keys serve, and every set has the ones that it needs:
+   a) neighbours: two shingles that follow each other in the order of a set. Of sets of n and m shingles with similarity t or more all but few are shared, and
+      private shingles break the shared ones into few runs, so linked sets share neighbours, the first of them among the first n / 2 of a set. Sets that only share
+      a passage here and there do not. This serves sets with n / 2 + 2 rare shingles or more.
+   b) single shingles among the first ones in the order (the prefix, about 1 - t of a set), for sets with less than 2 n / 3 + 2 rare ones. There common passages
+      stand behind the prefix. A set below the bound of a) can be linked to sets below the bound of b) alone, so no pair falls between them.
+   An entry says up to which size a partner is possible from its place on. Lists are made in one shuffle and read as sorted streams; hot shingles are spread.
+2. Stars: in each list every set is paired with the set of the smallest share of rare shingles, which in a group of near copies is near their origin.
    This joins large groups without their pairs.
 3. Cross pairs: every pair of one list that stars have left in different components, and that its sizes and its places in the order allow, is a
-   candidate. Pairs inside a component cannot change it.
-4. Candidate pairs are checked exactly. First their prefixes alone are counted, as they bound the rest; of the pairs that are left each
-   fragment counts its shared shingles, and the counts of the fragments are summed.
+   candidate. Pairs inside a component cannot change it. Lists are cut by bands of sizes before they are paired, only entries near the beginning of the smaller
+   set are paired at all, and a pair is taken where it first meets, not again in the lists that follow in both sets.
+4. Candidate pairs are checked exactly: one set of a pair owns it and sends each of its fragments once for OWNED pairs, the other sends its own; the
+   shared shingles of the fragments are counted in sorted streams and summed.
 
 So every link between different components is found and none is guessed. Equal sets are one set from the start, so copies are no pairs.
 
 A-Z count as a-z; words are [^\\x20\\x09-\\x0D]+. Texts with fewer than 5 words have one shingle, the whole sequence; null and empty texts have none and link
 with nothing. Rows may repeat ids or have none: they take part by their text, and the smallest id of a component names it (null if it has none).
-An empty table gives an empty result.
+Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavepanel.llm.blocks import LOWER, mix, run_hashes, span_hashes, text_blocks, words
 from wavepanel.llm.bounded import most_frequent
 from wavepanel.llm.graph import components
-from wavepanel.llm.store import BROADCAST_ROWS, keep
+from wavepanel.llm.store import keep
 
 SHINGLE = 5
 #: Similarity of a link as a fraction.
@@ -42,6 +49,10 @@ HOT_COUNT, HOT_SHINGLES, BLOCK_SHINGLES = 4, 500_000, 4_000_000
 #: Tasks over which the list of a hot shingle is spread.
 HOT_SPREAD = 16
 FRAGMENT_BITS = 3
+#: Pairs for which an owner sends its fragments once; pairs in one row of a member; bytes of pairs up to which they are sent to every executor; bytes in a batch of parts.
+OWNED, HELD, SENT_BYTES, PART_BYTES = 256, 64, 16 << 20, 4 << 20
+#: An entry carries n, the largest possible partner and the share of rare shingles in one number.
+RARE_BITS, REACH_BITS = 5, 30
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -117,43 +128,53 @@ class Order:
         return np.unique(out)
 
 
-def required(a: Column, b: Column) -> Column:
-    """Least overlap of a link between sets of these sizes: overlap / (a + b - overlap) >= t."""
-    return F.ceil((a + b) * NUMERATOR / F.lit(float(NUMERATOR + DENOMINATOR)) - 1e-9)
+def entry_keys(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the lists of a set in the global order, and the size up to which a partner is possible from each."""
+    n = len(place)
+    rare = int(np.searchsorted(place, _HOT))
+    keys, reach = [], []
+    if 2 * rare >= n + 4:                                        # neighbours: at most (5 n - 2 m) / 7 of them come before the first shared one
+        k = min(rare - 1, n // 2 + 2)
+        with np.errstate(over="ignore"):
+            keys.append(mix(place[:k] * np.uint64(0x9E3779B97F4A7C15) + place[1:k + 1]) >> np.uint64(1))
+        reach.append((5 * n - 7 * np.arange(k)) // 2)
+    if 3 * rare < 2 * n + 6:                                     # single shingles: at most n less the overlap come before the first shared one
+        k = prefix_length(n)
+        keys.append(place[:k])
+        reach.append((4 * n - 7 * np.arange(k)) // 3)
+    return np.concatenate(keys), np.concatenate(reach)
+
+
+_HOT = np.uint64(1) << np.uint64(63)
 
 
 def _prefixes(size: int, order):
-    """Rows (w, s, n, pos, rare, salt): the prefix entries of each set once per block of texts."""
+    """Rows (w, s, info): the entries of each set once per block of texts."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = order.value
-        top = np.uint64(1) << np.uint64(63)
         for _, data, offsets in text_blocks(batches, "text"):
-            seen, parts, keys, sizes, rare = set(), [], [], [], []
+            seen: set[int] = set()
+            keys, owners, infos = [], [], []
             for shingles in shingle_sets(data, offsets, size):
                 n = len(shingles)
                 if not n or (s := set_key(shingles)) in seen:
                     continue
                 seen.add(s)
                 place = ranks.places(shingles)
-                parts.append(place[:prefix_length(n)])
-                keys.append(s)
-                sizes.append(n)
-                rare.append(int(np.searchsorted(place, top)))
-            counts = np.array([len(p) for p in parts], np.int64)
-            w = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            s = np.repeat(np.array(keys, np.int64), counts)
-            pos = np.arange(len(w)) - np.repeat(np.cumsum(counts) - counts, counts)
-            salt = np.where(w >= top, mix(s.view(np.uint64)) % np.uint64(HOT_SPREAD), np.uint64(0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(w.view(np.int64)), pa.array(s), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(pos.astype(np.int32)),
-                 pa.array(np.repeat(np.array(rare, np.int32), counts)), pa.array(salt.astype(np.int32))],
-                names=["w", "s", "n", "pos", "rare", "salt"])
+                w, reach = entry_keys(place)
+                share = int(np.searchsorted(place, _HOT)) * ((1 << RARE_BITS) - 1) // n
+                keys.append(w)
+                owners.append(np.full(len(w), s, np.int64))
+                infos.append((n << REACH_BITS + RARE_BITS) | (np.maximum(reach, 0) << RARE_BITS) | share)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)),
+                                                  pa.array(np.concatenate(infos).astype(np.int64))], names=["w", "s", "info"])
     return run
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (w, s): each set once per shingle, and only shingles of two sets or more. Hot shingles (w < 0) always stay."""
-    names = ["w", "s", "n", "pos", "rare"]
+    names = ["w", "s", "info"]
     rest: pa.Table | None = None
 
     def settle(table: pa.Table, last: bool) -> tuple[pa.Table, pa.Table | None]:
@@ -189,32 +210,51 @@ def prefix_length(n):
     return n - -(-n * NUMERATOR // DENOMINATOR) + 1
 
 
-def _parts(size: int, order, prefix_only: bool):
-    """Rows (a, b, frag, places): for each pair of a set its prefix alone, or the whole set cut into the fragments of the order."""
+def _parts(size: int, order):
+    """Rows (owner, salt, frag, member, total, places): a set cut into the fragments of the order, for each of its jobs; member is null where the owner itself is sent."""
+    names = ["owner", "salt", "frag", "member", "total", "places"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = order.value
         edges = np.arange(1, 1 << FRAGMENT_BITS, dtype=np.uint64) << np.uint64(64 - FRAGMENT_BITS)
+        out: list[tuple] = []
+        held = 0
         for rows, data, offsets in text_blocks(batches, "text"):
-            pairs = rows.column(rows.schema.get_field_index("pairs")).to_pylist()
-            out: list[tuple[int, int, int, bytes]] = []
-            for own, shingles in zip(pairs, shingle_sets(data, offsets, size), strict=True):
+            jobs = rows.column(rows.schema.get_field_index("jobs")).to_pylist()
+            for own, shingles in zip(jobs, shingle_sets(data, offsets, size), strict=True):
                 place = ranks.places(shingles)
-                parts = [place[:prefix_length(len(shingles))]] if prefix_only else np.split(place, np.searchsorted(place, edges))
-                out.extend((pair["a"], pair["b"], f, part.tobytes()) for f, part in enumerate(parts) for pair in own)
-            a, b, f, part = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(f, pa.int32()), pa.array(part, pa.binary())],
-                                             names=["a", "b", "frag", "places"])
+                parts = [(f, part.tobytes()) for f, part in enumerate(np.split(place, np.searchsorted(place, edges))) if len(part)]
+                for job in own:
+                    out.extend((job["owner"], job["salt"], f, job["member"], job["total"], part) for f, part in parts)
+                    held += 8 * len(place) + 100
+                    if held > PART_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
     return run
 
 
 def _overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shared places of the two parts of each row; one part stands for two equal ones."""
+    """Shared places of each member's part and its owner's, from rows sorted by owner, salt, fragment and member, the owner first."""
+    at, own, last = None, np.zeros(0, np.uint64), None
     for batch in batches:
-        n = []
-        for parts in batch.column(1).to_pylist():
-            x = [np.frombuffer(p, np.uint64) for p in parts]
-            n.append(len(x[0]) if len(x) == 1 else int(np.isin(x[0], x[1], assume_unique=True).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["pair", "shared"])
+        owners, members, totals, shared = [], [], [], []
+        for owner, salt, frag, member, total, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            key = (owner, salt, frag)
+            if member is None:
+                at, own = key, np.frombuffer(places, np.uint64)
+            elif at == key and last != (key, member):            # rows that repeat an id and a text send a part twice
+                other = np.frombuffer(places, np.uint64)
+                n = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
+                if n:
+                    owners.append(owner)
+                    members.append(member)
+                    totals.append(total)
+                    shared.append(n)
+            last = (key, member)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (owners, members, totals, shared)], names=["owner", "member", "total", "shared"])
 
 
 class Sets:
@@ -232,47 +272,66 @@ class Sets:
         hot = most_frequent(hot, "a", "c", HOT_SHINGLES).toPandas()
         self.order = spark.sparkContext.broadcast(Order(hot["a"].to_numpy(np.int64).view(np.uint64), hot["c"].to_numpy(np.int64)))
 
-    def shared_prefixes(self) -> DataFrame:
-        entries = self.texts.select("text").mapInArrow(_prefixes(self.size, self.order), "w bigint, s bigint, n int, pos int, rare int, salt int")
-        return entries.repartition("w", "salt").sortWithinPartitions("w", "s").mapInArrow(
-            _shared, "w bigint, s bigint, n int, pos int, rare int")
-
-    def shared(self, pairs: DataFrame, prefix_only: bool) -> DataFrame:
-        """pairs (a, b, na, nb) with `shared`: the shingles that both prefixes hold, or that both sets hold."""
-        sides = pairs.select(F.struct("a", "b").alias("pair"), F.explode(F.array("a", "b")).alias("s")).groupBy("s").agg(F.collect_set("pair").alias("pairs"))
-        owners = self.rows.where("n > 0").groupBy("s").agg(F.min("k").alias("k"))
-        chosen = keep(owners.join(sides, "s").select("k", "pairs"))
-        if pairs.count() <= BROADCAST_ROWS:
-            chosen = F.broadcast(chosen)
-        parts = self.texts.join(chosen, "k").select("text", "pairs").mapInArrow(
-            _parts(self.size, self.order, prefix_only), "a bigint, b bigint, frag int, places binary")
-        counts = (parts.groupBy("a", "b", "frag").agg(F.collect_set("places").alias("parts")).select(F.struct("a", "b").alias("pair"), "parts")
-                  .mapInArrow(_overlaps, "pair struct<a:bigint,b:bigint>, shared bigint").groupBy("pair.a", "pair.b").agg(F.sum("shared").alias("shared")))
-        return pairs.join(counts, ["a", "b"])
+    def shared_entries(self) -> DataFrame:
+        """(w, s, n, reach, share) of the lists of two sets or more."""
+        entries = self.texts.select("text").mapInArrow(_prefixes(self.size, self.order), "w bigint, s bigint, info bigint")
+        spread = F.when(F.col("w") < 0, F.pmod(F.col("s"), F.lit(HOT_SPREAD))).otherwise(F.lit(0))
+        found = entries.repartition("w", spread).sortWithinPartitions("w", "s").mapInArrow(_shared, "w bigint, s bigint, info bigint")
+        return found.select("w", "s", F.shiftright("info", RARE_BITS + REACH_BITS).alias("n"),
+                            F.shiftright("info", RARE_BITS).bitwiseAND((1 << REACH_BITS) - 1).alias("reach"),
+                            F.col("info").bitwiseAND((1 << RARE_BITS) - 1).alias("share"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Of the kept pairs (a, b, na, nb) those that are links. The prefixes are counted first and bound the whole overlap."""
-        need = required(F.col("na"), F.col("nb"))
-        rest = [F.ceil(F.col(n) * NUMERATOR / F.lit(float(DENOMINATOR)) - 1e-9) - 1 for n in ("na", "nb")]
-        likely = keep(self.shared(pairs, True).where(F.col("shared") + F.greatest(*rest) >= need).drop("shared"))
-        return self.shared(likely, False).where(F.col("shared") >= need).select("a", "b")
-
-
-def _candidates(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs of the joined entries x and y (columns with suffixes) whose sizes and places allow a link; not inside a component."""
-    need = required(F.col("nx"), F.col("ny"))
-    fits = ((F.least("nx", "ny") * DENOMINATOR >= F.greatest("nx", "ny") * NUMERATOR)
-            & (F.col("px") <= F.col("nx") - need) & (F.col("py") <= F.col("ny") - need))
-    if "compx" in x.columns:
-        fits = fits & (F.col("compx") != F.col("compy"))
-    first = F.col("sx") < F.col("sy")
-    return x.join(y, "w").where((F.col("sx") != F.col("sy")) & fits).select(
-        F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b"),
-        F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+        """Of the kept pairs (owner, member, total) those that are links, as (a, b)."""
+        owned = pairs.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(OWNED))).cast("int").alias("salts"))
+        held = pairs.groupBy("member").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(HELD))).alias("rows"))
+        jobs = pairs.join(owned, "owner").join(held, "member").select(
+            F.col("member").alias("s"), F.pmod(F.xxhash64("owner"), "rows").alias("row"),
+            F.struct("owner", F.pmod(F.xxhash64("member"), "salts").cast("int").alias("salt"), "member", "total").alias("job"))
+        own = owned.select("owner", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(
+            F.col("owner").alias("s"), (-1 - F.floor(F.col("salt") / HELD)).alias("row"),
+            F.struct("owner", "salt", F.lit(None).cast("bigint").alias("member"), F.lit(None).cast("bigint").alias("total")).alias("job"))
+        rows = jobs.unionByName(own).groupBy("s", "row").agg(F.collect_list("job").alias("jobs"))        # HELD jobs or about
+        keys = self.rows.where("n > 0").groupBy("s").agg(F.min("k").alias("k"))
+        chosen = keep(rows.join(keys, "s").select("k", "jobs"))
+        size = chosen.agg(F.sum(F.size("jobs") * 64 + 100)).first()[0] or 0
+        parts = self.texts.join(F.broadcast(chosen) if size <= SENT_BYTES else chosen, "k").select("text", "jobs").mapInArrow(
+            _parts(self.size, self.order), "owner bigint, salt int, frag int, member bigint, total bigint, places binary")
+        counts = (parts.repartition("owner", "frag", "salt").sortWithinPartitions("owner", "salt", "frag", "member")
+                  .mapInArrow(_overlaps, "owner bigint, member bigint, total bigint, shared bigint")
+                  .groupBy("owner", "member", "total").agg(F.sum("shared").alias("shared")))
+        least = F.ceil(F.col("total") * NUMERATOR / F.lit(float(NUMERATOR + DENOMINATOR)) - 1e-9)       # overlap / (total - overlap) >= t
+        return counts.where(F.col("shared") >= least).select(F.least("owner", "member").alias("a"), F.greatest("owner", "member").alias("b"))
+
+
+def _band(n):
+    """Sizes in bands of a fifteenth or so, four to the ratio of linked sizes."""
+    return F.floor(F.log(n.cast("double")) * (4 / log(DENOMINATOR / NUMERATOR)) + 1e-9).cast("int")
+
+
+def _pairs(joined: DataFrame, owner: str) -> DataFrame:
+    """Distinct (owner, member, total) of joined entries (columns with suffixes x and y) whose sizes and places allow a link."""
+    fits = ((F.least("nx", "ny") * DENOMINATOR >= F.greatest("nx", "ny") * NUMERATOR) & (F.col("ny") <= F.col("rx")) & (F.col("nx") <= F.col("ry")))
+    return joined.where((F.col("sx") != F.col("sy")) & fits).groupBy(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b")).agg(
+        F.min(owner).alias("owner"), F.min(F.col("nx") + F.col("ny")).alias("total")).select(
+        "owner", F.when(F.col("owner") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"), "total")
 
 
 def _side(entries: DataFrame, mark: str) -> DataFrame:
-    return entries.select("w", *[F.col(c).alias(c[0] + mark) for c in ("s", "n", "pos")], *[F.col(c).alias(c + mark) for c in ("comp",) if c in entries.columns])
+    names = {"s": "s", "n": "n", "reach": "r", "comp": "c", "before": "p"}
+    return entries.select("w", *[F.col(c).alias(short + mark) for c, short in names.items() if c in entries.columns])
+
+
+def _larger_and_smaller(larger: DataFrame, smaller: DataFrame) -> DataFrame:
+    """Entries of one list in different components, the larger set as x. A smaller set meets only larger ones that its place and theirs allow, by bands of sizes; a
+    pair whose entries follow the same list in both sets has met in that list."""
+    least = F.ceil(F.col("nx") * NUMERATOR / F.lit(float(DENOMINATOR)) - 1e-9)
+    x = _side(larger, "x").where(F.col("rx") >= least)
+    x = x.withColumn("band", F.explode(F.sequence(_band(least), _band(F.least("nx", "rx")))))
+    y = _side(smaller, "y").where("ry >= ny").withColumn("band", _band(F.col("ny")))
+    fresh = ~F.coalesce(F.col("px") == F.col("py"), F.lit(False))
+    ordered = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("sx") > F.col("sy")))
+    return x.join(y, ["w", "band"]).where((F.col("cx") != F.col("cy")) & ordered & fresh & (F.col("ny") <= F.col("rx")) & (F.col("nx") <= F.col("ry")))
 
 
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, row: str | None = None) -> DataFrame:
@@ -282,22 +341,25 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     smallest id (rows without id last) and then the smallest key, and on every row that links with nothing.
     """
     sets = Sets(docs, doc_id, text, size, row)
-    entries = keep(sets.shared_prefixes())
-    pivots = entries.groupBy("w").agg(F.min(F.struct("rare", "s", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    pivots = pivots.select("w", F.col("p.s").alias("sy"), F.col("p.n").alias("ny"), F.col("p.pos").alias("py"))
-    stars = keep(_candidates(_side(entries, "x"), pivots).distinct())
+    entries = keep(sets.shared_entries())
+    pivots = entries.groupBy("w").agg(F.min(F.struct("share", "s", "n", "reach")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    pivots = pivots.select("w", F.col("p.s").alias("sy"), F.col("p.n").alias("ny"), F.col("p.reach").alias("ry"))
+    stars = keep(_pairs(_side(entries, "x").join(pivots, "w"), "sy"))
     links = keep(sets.links(stars))
     labels = components(links)
     # every list in which components differ: whoever is not in the component of the list's pivot meets the whole list
     named = (entries.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("comp", F.coalesce("label", "s")).drop("label"))
-    mixed = (named.groupBy("w").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("rare", "s", "comp")).alias("p"))
+    mixed = (named.groupBy("w").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("share", "s", "comp")).alias("p"))
              .where("low <> high").select("w", F.col("p.comp").alias("main")))
-    rest = keep(named.join(mixed, "w"))
-    outside = rest.where("comp <> main").drop("main")
-    cross = _candidates(_side(outside, "x"), _side(rest.drop("main"), "y")).distinct()
-    cross = keep(cross.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
-    links = keep(links.unionByName(sets.links(cross)))
-    labels = components(links)
+    before = F.lag("w").over(Window.partitionBy("s").orderBy(F.desc("reach"), "w"))                 # in the order of one set
+    rest = keep(named.join(mixed, "w").withColumn("before", before))
+    outside = rest.where("comp <> main")
+    cross = _pairs(_larger_and_smaller(outside, rest).unionByName(_larger_and_smaller(rest, outside)), "sy")
+    known = stars.select(F.least("owner", "member").alias("a"), F.greatest("owner", "member").alias("b"))
+    cross = keep(cross.join(known, (F.least("owner", "member") == F.col("a")) & (F.greatest("owner", "member") == F.col("b")), "left_anti"))
+    if not cross.isEmpty():
+        links = keep(links.unionByName(sets.links(cross)))
+        labels = components(links)
     named_rows = (sets.rows.join(labels.withColumnRenamed("node", "s"), "s", "left")
                   .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "s")).alias("comp"),
                           *([] if row is None else [F.col("k").alias("row_key")])))
