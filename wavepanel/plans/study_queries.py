@@ -516,12 +516,12 @@ def q9_anova(spark, sf):
 @query("q9_by_time", f"""{W.replace('WITH', 'WITH RECURSIVE', 1)}, d AS (SELECT {' + '.join(f'coalesce({c},0)' for c in FRUTOS[1:])} AS y, ({' + '.join(f'coalesce({c},0)' for c in TIME[1:])} - 100) / 50 AS x
   FROM panel WHERE trat = 'b'), {stencil_newton_2d("z", "d", "y * (u + v * x) - exp(u + v * x)", ("ln(avg(y))", "0.0::DOUBLE"))},
 i AS (SELECT sum(exp(u + v * x)) AS a, sum(x * exp(u + v * x)) AS b, sum(x * x * exp(u + v * x)) AS c FROM d, z)
-SELECT 't_resprout' AS term, {r('v / 50', 7)} AS estimate, {r('sqrt(a / (a * c - b * b)) / 50', 7)} AS std_error, {r('v / sqrt(a / (a * c - b * b))', 3)} AS statistic FROM z, i""")
+SELECT 't_resprout' AS term, {r('v / 50', 6)} AS estimate, {r('sqrt(a / (a * c - b * b)) / 50', 6)} AS std_error, {r('v / sqrt(a / (a * c - b * b))', 1)} AS statistic FROM z, i""")
 def q9_by_time(spark, sf):
     """Total count on the total cutting time within one treatment."""
     df = clean.row_sum(clean.row_sum(wide_panel(spark, sf), FRUTOS[1:], "frut_sum"), TIME[1:], "t_resprout").where("trat = 'b'")
     table = fit_negbin(df, "frut_sum", [("t_resprout",)]).coef_table(spark)
-    return round_all(table.where("term = 't_resprout'").select("term", "estimate", "std_error", "statistic"), 7, statistic=3)
+    return round_all(table.where("term = 't_resprout'").select("term", "estimate", "std_error", "statistic"), 6, statistic=1)
 
 
 @query("q10_total_time", f"""{W}, d AS (SELECT trat, CASE WHEN t = 0 THEN 1e-5 ELSE t END AS t FROM (SELECT trat, {' + '.join(f'coalesce({c},0)' for c in TIME[1:])} AS t FROM panel))
