@@ -19,7 +19,7 @@ from wavepanel.operators.residuals import (dispersion_test, levene, residual_by_
                                            residual_trend, sim_residuals, simulate, uniform_ks)
 from wavepanel.operators.terms import design, poly, power, star, term_list
 from wavepanel.plans.panels import LINES_SQL, lines
-from wavepanel.plans.registry import query, r, round_all
+from wavepanel.plans.registry import SEED, query, r, round_all
 from wavepanel.plans.sql_models import (glm_cte, glm_deviance, negbin_log_density, newton_cte, newton_deviance, pivot_sql,
                                         stencil_newton_1d, stencil_newton_2d, term_columns, type_ii_sql, wald_sql, ztnb_cte)
 
@@ -739,27 +739,27 @@ def residual_exact(spark, sf):
 @query("residual_keyed")
 def residual_keyed(spark, sf):
     df = lines(spark, sf)
-    return _summary(sim_residuals(fit_glm(df, "big", _RES_TERMS, "binomial"), df, ROW_KEY, seed=11), [FLAG, STATUS])
+    return _summary(sim_residuals(fit_glm(df, "big", _RES_TERMS, "binomial"), df, ROW_KEY, seed=SEED), [FLAG, STATUS])
 
 
 @query("residual_sim")
 def residual_sim(spark, sf):
     df = lines(spark, sf)
     m = fit_glm(df, "big", term_list(star("l_quantity", FLAG), STATUS), "binomial")
-    return _summary(sim_residuals(m, df, ROW_KEY, seed=11, mode="sim", n=2000), [FLAG, STATUS])
+    return _summary(sim_residuals(m, df, ROW_KEY, seed=SEED, mode="sim", n=2000), [FLAG, STATUS])
 
 
 @query("residual_gamma")
 def residual_gamma(spark, sf):
     df = lines(spark, sf)
     m = fit_glm(df, "l_extendedprice", CELL_TERMS, "gamma", "log")
-    return _summary(sim_residuals(m, df, ROW_KEY, seed=11), [FLAG, STATUS])
+    return _summary(sim_residuals(m, df, ROW_KEY, seed=SEED), [FLAG, STATUS])
 
 
 @query("residual_ztnb")
 def residual_ztnb(spark, sf):
     df = lines(spark, sf)
-    return _summary(sim_residuals(fit_ztnb(df, "l_quantity", [(FLAG,), (STATUS,)]), df, ROW_KEY, seed=34234), [FLAG, STATUS])
+    return _summary(sim_residuals(fit_ztnb(df, "l_quantity", [(FLAG,), (STATUS,)]), df, ROW_KEY, seed=SEED), [FLAG, STATUS])
 
 
 @query("residual_truncated", f"""WITH RECURSIVE {LINES_SQL}, {_ZT.format(x='l_quantity')}, k AS (SELECT i::DOUBLE AS y, exp({negbin_log_density('i', 'exp(u)', 'exp(v)', True)}) AS f FROM z, range(1, 51) t(i)),
@@ -774,6 +774,6 @@ def residual_truncated(spark, sf):
 @query("simulate")
 def simulate_query(spark, sf):
     df = lines(spark, sf)
-    draws = simulate(fit_ztnb(df, "l_quantity", [(FLAG,), (STATUS,)]), df, 10, ROW_KEY, seed=34234)
+    draws = simulate(fit_ztnb(df, "l_quantity", [(FLAG,), (STATUS,)]), df, 10, ROW_KEY, seed=SEED)
     return round_all(draws.groupBy(FLAG, STATUS).agg(F.count(F.lit(1)).alias("n"), F.avg("y_sim").alias("mean"), F.min("y_sim").alias("low"), F.max("y_sim").alias("high")), 3)
 

@@ -17,6 +17,8 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+#: The seed of all simulations in the queries; results with draws belong to it alone.
+SEED = 11
 
 
 def query(name: str, sql: str | None = None):
@@ -39,4 +41,4 @@ def r(expr: str, digits: int = 6) -> str:
     return f"(round(({expr})::DOUBLE, {digits}) + 0.0)"
 
 
-__all__ = ["QUERIES", "Column", "Query", "query", "r", "round_all"]
+__all__ = ["QUERIES", "SEED", "Column", "Query", "query", "r", "round_all"]

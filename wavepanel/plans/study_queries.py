@@ -21,7 +21,7 @@ from wavepanel.operators.predict import fit_curve, marginal_ci, predict_ci
 from wavepanel.operators.residuals import residual_by_cell, residual_overall, residual_smooth, sim_residuals
 from wavepanel.operators.terms import base_column, poly, star, term_list
 from wavepanel.plans.panels import ALT, FRUTOS, IDS, LAST_WAVE, LINES_SQL, PANEL_SQL, SUP, TIME, lines, long_sql, wide_panel
-from wavepanel.plans.registry import query, r, round_all
+from wavepanel.plans.registry import SEED, query, r, round_all
 from wavepanel.plans.sql_models import design_list, predict_sql, stencil_newton_2d, term_columns, type_ii_sql, wald_sql, ztnb_cte
 from wavepanel.plans.table_queries import observed_survival
 
@@ -71,9 +71,9 @@ def survival_layers(spark, sf, draws: int = 30_000):
     share_by_class = summaries.level_share(panel, "dom", ["trat", "alt_cat"], doms)
     return {
         "dominance": predict_ci(model, one.drop("grid_id")),
-        "marginal": marginal_ci(model, one, "dom", ["year", "trat"], share, ["trat"], draws=draws, seed=270),
+        "marginal": marginal_ci(model, one, "dom", ["year", "trat"], share, ["trat"], draws=draws, seed=SEED),
         "height": marginal_ci(model, three, "dom", ["year", "trat", "alt_cat"], share_by_class, ["trat", "alt_cat"],
-                              draws=draws, seed=270),
+                              draws=draws, seed=SEED),
         "observed": observed_survival(spark, sf),
     }
 
@@ -138,7 +138,7 @@ def q3_residuals(spark, sf):
     """Uniformity overall and in every treatment x wave x dominance cell."""
     _, long = survival_long(spark, sf)
     model = survival_model(long)
-    res = sim_residuals(model, long, ["id", "wave"], seed=164, mode="sim", n=2000).persist()
+    res = sim_residuals(model, long, ["id", "wave"], seed=SEED, mode="sim", n=2000).persist()
     cells = residual_by_cell(res, ["trat", "wave", "dom"])
     whole = residual_overall(res, sims=2000).select("n", "ks", "ks_p")
     return round_all(joins.union_labelled({"cell": cells, "all": whole}, "scope"), 4)
@@ -147,7 +147,7 @@ def q3_residuals(spark, sf):
 @query("q3_smooth")
 def q3_smooth(spark, sf):
     _, long = survival_long(spark, sf)
-    res = sim_residuals(survival_model(long), long, ["id", "wave"], seed=164)
+    res = sim_residuals(survival_model(long), long, ["id", "wave"], seed=SEED)
     return round_all(residual_smooth(res, "alt0", ["wave", "trat"], knots=5, points=25), 4)
 
 
@@ -219,7 +219,7 @@ def q4_anova(spark, sf):
 def q4_residuals(spark, sf):
     long = height_long(spark, sf)
     model = fit_glm(long, "alt", HEIGHT, "gamma", "log", levels=height_levels())
-    res = sim_residuals(model, long, ["id", "wave"], seed=473)
+    res = sim_residuals(model, long, ["id", "wave"], seed=SEED)
     return round_all(residual_by_cell(res, ["trat", "year", "dom"]), 4)
 
 
@@ -355,7 +355,7 @@ def q6_count_residuals(spark, sf):
     df = lines(spark, sf).where("excess > 0")
     model = fit_ztnb(lines(spark, sf).where(F.col("excess") > 0), "excess", FRUIT_N)
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
-    return round_all(residual_by_cell(sim_residuals(model, df, key, seed=34234), ["yr"]), 4)
+    return round_all(residual_by_cell(sim_residuals(model, df, key, seed=SEED), ["yr"]), 4)
 
 
 @query("q13_fruit_prob", f"""WITH {LINES_SQL} SELECT yr, l_returnflag, count(*) AS n, {r('avg((excess > 0)::INTEGER)')} AS observed, {r('avg((excess > 0)::INTEGER)')} AS fitted FROM lines GROUP BY ALL""")
