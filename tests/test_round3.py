@@ -13,7 +13,7 @@ from wavepanel.operators.extended import fit_glmm_ri, glmm_log_likelihood, glmm_
 from wavepanel.operators import absorb, extended, predict, summaries
 from wavepanel.operators.counts import fit_hurdle, fit_negbin, fit_ztnb
 from wavepanel.operators.glm import fit_glm
-from wavepanel.plans.panels import lines
+from wavepanel.plans.panels import lines, long_panel, wide_panel
 from wavepanel.sources import tables
 
 
@@ -299,3 +299,13 @@ def test_absorbed_factor_with_odd_levels(spark):
         absorb.fit_absorbed(df.withColumn("y", F.lit(2)), "y", [("x",)], "g", "binomial")
     with pytest.raises(ValueError, match="no complete rows"):
         absorb.fit_absorbed(df.where("false"), "y", [("x",)], "g")
+
+
+def test_orders_outside_the_waves_are_an_error(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/customer.parquet").write.parquet(str(tmp_path / "customer.parquet"))
+    orders = spark.read.parquet(f"{sf}/orders.parquet").limit(20)
+    late = orders.withColumn("o_orderdate", F.to_timestamp(F.lit("2020-05-01")))
+    orders.unionByName(late.limit(1)).write.parquet(str(tmp_path / "orders.parquet"))
+    for panel in (wide_panel, long_panel):
+        with pytest.raises(Exception, match="outside the waves"):
+            panel(spark, str(tmp_path)).collect()

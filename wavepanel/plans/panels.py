@@ -22,6 +22,13 @@ TIME = [f"t{k}" for k in WAVE_YEARS]
 IDS = ["id", "sp", "trat", "dom"]
 
 
+def order_year():
+    """Year of an order; an order outside the waves is an error, not a row that vanishes."""
+    year = F.year("o_orderdate")
+    outside = F.raise_error(F.concat(F.lit("an order of "), year.cast("string"), F.lit(" lies outside the waves"))).cast("int")
+    return F.when(year.isNull() | year.isin(*WAVE_YEARS.values()), year).otherwise(outside)
+
+
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer: id, species, treatment, dominance and stump height."""
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
@@ -38,7 +45,8 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer. Orders are combined map-side before the shuffle on the customer."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    year, price = F.year("o_orderdate"), F.col("o_totalprice")
+    orders = orders.select("o_custkey", order_year().alias("year"), "o_totalprice", "o_orderpriority")
+    year, price = F.col("year"), F.col("o_totalprice")
     aggs = []
     for k, y in WAVE_YEARS.items():
         now = year == y
@@ -60,10 +68,10 @@ def long_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer and wave with orders: ids, wave, alt, t and frutos, without forming the wide table first."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     price = F.col("o_totalprice")
-    waves = orders.groupBy("o_custkey", (F.year("o_orderdate") - WAVE_YEARS[0]).alias("wave")).agg(
+    waves = orders.groupBy("o_custkey", (order_year() - WAVE_YEARS[0]).alias("wave")).agg(
         (F.avg(price) / 1000).alias("alt"), (F.sum(price) / 10000).alias("t"),
         F.count(F.when(F.col("o_orderpriority").isin(*URGENT), 1)).alias("frutos"))
-    return waves.where(F.col("wave").isin(*WAVE_YEARS)).join(subjects(spark, sf_dir), F.col("o_custkey") == F.col("id")).drop("o_custkey")
+    return waves.where("wave is not null").join(subjects(spark, sf_dir), F.col("o_custkey") == F.col("id")).drop("o_custkey")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
