@@ -6,7 +6,7 @@ distinct word of the block is looked up in the automaton once, and words that it
 The lexicon only saves time: results are the same with any lexicon, also with none.
 
 Null and empty texts have no ids. A special token written in a text counts as that token, as the public library does
-by default. Rows, columns and ties stay as they are; an output replaces an input column of its name. An empty table gives an empty result.
+by default. A text of any length is encoded whole. Rows, columns and ties stay as they are; an output replaces an input column of its name. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ pass joins the exact bucket by digest, and the two texts are compared byte by by
 
 Texts are equal when identical after replacing each run of ASCII white space by one space; null counts as empty. The
 smallest id stays. Rows without an id are grouped with equal texts and stay only if no equal text has an id. Rows that
-repeat an id share its decision. Ties cannot occur otherwise. An empty table gives an empty result.
+repeat an id share its decision. Ties cannot occur otherwise. Texts of any length are hashed and compared whole; only the id
+and the text are read, whatever other columns are called. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ lines are put together again by position. All native: no line leaves the JVM.
 
 A text is split at \\n; null counts as empty, which is one empty line. A line's key is the line without ASCII white space at
 both ends, with A-Z in lower case; keys under min_chars code points never count. Rows without an id take no part
-and stay whole. Rows that repeat an id count as one document and lose the same lines.
+and stay whole. Rows that repeat an id count as one document and lose the same lines. Texts of any length are split whole;
+outputs replace columns of their names, other columns stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations

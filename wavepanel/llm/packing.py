@@ -9,7 +9,8 @@ on the window alone. Every piece finds its sequence by its length and its rank a
 from one count per (length, bucket of documents) and a rank inside the bucket, so a length that a third of all pieces
 share is never sorted in one task.
 
-Null and empty texts hold the end token alone. Rows that repeat a document id are packed as they are, each for itself.
+Null and empty texts hold the end token alone. Rows that repeat a document id, or have none, are packed as they are, each for itself.
+Texts of any length are encoded whole; only the id and the text are read, whatever other columns are called.
 An empty table gives no pieces.
 """
 
