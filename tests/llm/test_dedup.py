@@ -233,3 +233,27 @@ def test_minimisers_agree_for_equal_windows():
         assert least[i] == span.min() and i + int(span.argmin()) in places
     begin, count, _ = substrings.super_kmers(least, valid)
     assert count.sum() == valid.sum() and len(begin) == len(count)
+
+
+def test_a_common_passage_alone_makes_no_pair(spark, monkeypatch):
+    asked = []
+    real = jaccard.Sets.links
+    monkeypatch.setattr(jaccard.Sets, "links", lambda self, pairs: (asked.append(pairs.count()), real(self, pairs))[1])
+    rows = [(i, " ".join(f"p{k}" for k in range(60)) + " " + " ".join(f"o{i}x{k}" for k in range(14 + i % 3))) for i in range(300)]
+    out = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.where("doc_id <> component_id").count() == 0 and sum(asked) == 0
+
+
+def test_a_star_of_near_copies_has_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "OWNED", 16)
+    monkeypatch.setattr(jaccard, "HELD", 8)
+    rng = random.Random(7)
+    rows = []
+    for i in range(200):
+        words = [f"s{k}" for k in range(120)]
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(120)] = f"n{i}x{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    rows += [(500, rows[0][1]), (None, rows[0][1]), (0, rows[0][1])]
+    out = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == brute_components(rows)
