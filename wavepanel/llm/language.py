@@ -30,6 +30,8 @@ from wavepanel.llm.store import keep
 
 #: Texts per language in the fit, about.
 SAMPLE = 600
+#: Counted languages up to which their shares are sent to all tasks.
+SENT_LANGUAGES = 100_000
 BUCKETS, CENTROIDS, ROUNDS = 4096, 4, 12
 #: Where a next start is taken among the distances from the starts so far, the least share of a cluster, the quantile of the training distances.
 SPREAD, SHARE, REACH = 0.75, 0.05, 0.98
@@ -134,7 +136,9 @@ def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, learnable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learn from the rows where learnable holds and the language is known."""
     rows = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    share = rows.groupBy(F.col(lang).alias("lang")).agg((F.lit(SAMPLE) / F.count(F.lit(1))).alias("share"))
+    share = keep(rows.groupBy(F.col(lang).alias("lang")).agg((F.lit(SAMPLE) / F.count(F.lit(1))).alias("share")))
+    if share.count() <= SENT_LANGUAGES:                          # texts are not dealt by language
+        share = F.broadcast(share)
     chosen = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("id")).join(share, "lang").where(hash_share(F.col("id"), F.col("share")))
     found = keep(chosen.select("text", "lang").mapInArrow(_vectors, "lang string, places array<int>, counts array<float>").where("size(places) > 0"))
     n = found.count()
