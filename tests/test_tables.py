@@ -2,11 +2,13 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from wavepanel.functions.columns import paste
 from wavepanel.operators import clean, joins, reshape, summaries
 from wavepanel.sources.tables import panel_schema, preview, read_panel, write_layers, write_table
@@ -191,3 +193,14 @@ def test_preview(na_panel):
 def test_column_choice(na_panel):
     assert clean.cols_matching(na_panel, "alt") == ["alt0", "alt1", "alt2"]
     assert clean.cols_any_of(na_panel, ["alt9", "alt2", "id"]) == ["id", "alt2"]
+
+
+def test_histogram_query_counts_its_intervals_beside_a_longer_tail(spark, tmp_path):
+    values = [0.0, 50.0, 50.1, 600.0, 600.1, 731.5, None, float("nan")]
+    spark.createDataFrame([(v,) for v in values], "value double").write.parquet(str(tmp_path / "events.parquet"))
+    with pytest.warns(UserWarning, match="3 values"):
+        got = entry.queries()["histogram"](spark, str(tmp_path)).orderBy("bin").collect()
+    want = duckdb.connect()
+    want.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert [tuple(r) for r in got] == sorted(want.execute(entry.oracle_sql()["histogram"]).fetchall())
+    assert [r["count"] for r in got] == [2, 1] + [0] * 9 + [1]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -352,8 +353,13 @@ def pretty_breaks(low: float, high: float, n: int) -> list[float]:
     return [unit * i for i in range(first, last + 1)]
 
 
-def histogram(df: DataFrame, col: str, breaks: Sequence[float] | str = "sturges") -> DataFrame:
-    """Counts per right-closed interval (the first one closed on both sides). Values outside the breaks are an error."""
+def histogram(df: DataFrame, col: str, breaks: Sequence[float] | str = "sturges", outside: str = "error") -> DataFrame:
+    """Counts per right-closed interval (the first one closed on both sides).
+
+    Values outside the breaks are an error; with ``outside="warn"`` they lie in no interval and a warning gives their number.
+    """
+    if outside not in ("error", "warn"):
+        raise ValueError("outside must be 'error' or 'warn'")
     x = F.col(col).cast("double")
     if isinstance(breaks, str):
         if breaks != "sturges":
@@ -368,9 +374,12 @@ def histogram(df: DataFrame, col: str, breaks: Sequence[float] | str = "sturges"
     for i, edge in enumerate(edges[1:]):
         expr = expr.when(F.col("x") <= edge, F.lit(i))
     counts = durable(data.groupBy(expr.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
-    outside = counts.where("bin = -1").first()
-    if outside:
-        raise ValueError(f"{outside['count']} values of {col!r} lie outside the breaks")
+    beyond = counts.where("bin = -1").first()
+    if beyond:
+        said = f"{beyond['count']} values of {col!r} lie outside the breaks"
+        if outside == "error":
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
     bins = df.sparkSession.createDataFrame(
         [(i, a, b) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))],
         "bin int, lower double, upper double")
