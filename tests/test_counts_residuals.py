@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavepanel.functions import numeric as N
+from wavepanel.operators import residuals
 from wavepanel.operators.counts import anova_negbin, count_log_likelihood, fit_hurdle, fit_negbin, fit_ztnb, negbin_terms
 from wavepanel.operators.extended import fit_gamma_ls, fit_glmm_ri, group_intercepts
 from wavepanel.operators.glm import fit_glm
@@ -255,3 +256,32 @@ def test_outlier_count_of_simulated_residuals(counts):
     r = residual_overall(sim_residuals(m, df, ["id"], mode="sim", n=100), sims=100).first()
     assert r["outliers"] > 3 * r["outliers_expected"] and r["dispersion"] > 1.5
     assert N.ks_tail(r["ks"], r["n"]) < 1e-6 and term_list(star("a", "b"))[-1] == ("a", "b")
+
+
+def _counted(df, into):
+    """The rows with a residual made in Python, which counts the rows it is made for."""
+    @F.pandas_udf("double")
+    def place(x: pd.Series) -> pd.Series:
+        into.add(len(x))
+        return (x * 0.6180339887498949) % 1
+    return df.withColumn("residual", place("x"))
+
+
+def test_cells_and_overall_make_each_residual_once(spark):
+    df = spark.range(4000).select("id", (F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
+    for read in (lambda d: residual_by_cell(d, "g"), residual_overall):
+        made = spark.sparkContext.accumulator(0)
+        table = read(_counted(df, made))
+        assert table.count() and table.collect() and made.value == 4000
+
+
+def test_distinct_cdf_places_every_row():
+    class Shifted:
+        def cdf(self, y, mu, dispersion, shape):
+            asked.append(len(y))
+            return y - mu * shape, y + mu * shape + dispersion
+    asked = []
+    y, mu, a = np.array([1.0, 2, 1, 3, 2, 1]), np.array([0.5, 0.5, 0.5, 7, 0.5, 8]), np.array([1.0, 1, 1, 2, 3, 1])
+    low, high = residuals.distinct_cdf(Shifted(), y, mu, 0.25, a)
+    assert asked == [5] and (low == y - mu * a).all() and (high == y + mu * a + 0.25).all()
+    assert len(residuals.distinct_cdf(Shifted(), y[:0], mu[:0], 0.25, a[:0])[0]) == 0

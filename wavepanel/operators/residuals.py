@@ -9,11 +9,13 @@ compares with ``n`` simulated responses per row.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,9 +104,13 @@ def sim_residuals(model, df: DataFrame, key: Sequence[str], seed: int = 0, mode:
 
 def distinct_cdf(fam, y, mu, dispersion, shape) -> tuple[np.ndarray, np.ndarray]:
     """The family's distribution function, evaluated once per distinct (y, mean, shape) of a batch."""
-    points, where = np.unique(np.stack([y, mu, shape]), axis=1, return_inverse=True)
-    low, high = fam.cdf(points[0], points[1], dispersion, points[2])
-    return np.asarray(low)[where.ravel()], np.asarray(high)[where.ravel()]
+    where = np.zeros(len(y), np.int64)
+    for column in (y, mu, shape):
+        codes, found = pd.factorize(column, use_na_sentinel=False)
+        where = pd.factorize(where * max(len(found), 1) + codes)[0]
+    at = np.unique(where, return_index=True)[1]
+    low, high = fam.cdf(y[at], mu[at], dispersion, shape[at])
+    return np.asarray(low)[where], np.asarray(high)[where]
 
 
 def simulated_position(low, high, v, h, n: int) -> np.ndarray:
@@ -201,6 +207,22 @@ def _ks_p(n: Column, ks: Column) -> Column:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
 
 
+@contextmanager
+def _kept(df: DataFrame, cols: Sequence[str]) -> Iterator[DataFrame]:
+    """These columns of a residual table, which several passes read; a table the caller has persisted is read as it is.
+
+    It has as many rows as its source, so it is persisted and not written: a lost block is recomputed from its own split.
+    """
+    if df.is_cached:
+        yield df
+        return
+    data = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield data
+    finally:
+        data.unpersist()
+
+
 def residual_overall(df: DataFrame, u: str = "residual", sims: int | None = None) -> DataFrame:
     """Uniformity, spread and outliers of all residuals in one row, each with its p-value.
 
@@ -209,8 +231,9 @@ def residual_overall(df: DataFrame, u: str = "residual", sims: int | None = None
     exactly 0 or 1 are compared with the 2 / (sims + 1) expected, without it
     with none expected; their p-value is the exact two-sided binomial one.
     """
-    n, mean, variance, outliers = df.agg(F.count(u), F.avg(u), F.var_samp(u), F.count(F.when((F.col(u) <= 0) | (F.col(u) >= 1), 1))).first()
-    one = uniform_ks(df, u).select("ks", _ks_p(F.col("n"), F.col("ks")).alias("p")).first()
+    with _kept(df, [u]) as data:
+        n, mean, variance, outliers = data.agg(F.count(u), F.avg(u), F.var_samp(u), F.count(F.when((F.col(u) <= 0) | (F.col(u) >= 1), 1))).first()
+        one = uniform_ks(data, u).select("ks", _ks_p(F.col("n"), F.col("ks")).alias("p")).first()
     ks, ks_p = one if one else (None, None)
     chance = 0.0 if sims is None else 2 / (sims + 1)
     spread = None if variance is None or math.isnan(variance) else variance
@@ -295,11 +318,12 @@ def levene(df: DataFrame, value: str, by: Sequence[str] | str) -> DataFrame:
 def residual_by_cell(df: DataFrame, by: Sequence[str] | str, u: str = "residual") -> DataFrame:
     """Box statistics and uniformity test of the residuals in each categorical cell."""
     by = _names(by)
-    boxes, _ = box_stats(df, by, u)
-    ks = _rekeyed(uniform_ks(df, u, by).select(*by, "ks"), by)
-    joined = boxes.join(ks, all_of([F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]))
-    return joined.select(*by, "n", "lower", "middle", "upper", "n_outliers", "ks",
-                         _ks_p(F.col("n"), F.col("ks")).alias("ks_p"))
+    with _kept(df, [*by, u]) as data:
+        boxes, _ = box_stats(data, by, u)
+        ks = _rekeyed(uniform_ks(data, u, by).select(*by, "ks"), by)
+        joined = boxes.join(ks, all_of([F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]))
+        return durable(joined.select(*by, "n", "lower", "middle", "upper", "n_outliers", "ks",
+                                     _ks_p(F.col("n"), F.col("ks")).alias("ks_p")))      # one row a cell; the rows can go
 
 
 def residual_trend(df: DataFrame, x: str, u: str = "residual", bins: int = 20,
