@@ -16,6 +16,8 @@ from wavepanel.operators.hypothesis import anova_wald
 from wavepanel.operators.residuals import (counter_uniform, draw_count, draw_gamma, levene, residual_by_cell, residual_overall,
                                            residual_qq, residual_smooth, residual_trend, sim_residuals, simulate,
                                            simulated_position, uniform_ks)
+from wavepanel.operators.reshape import to_long
+from wavepanel.operators.summaries import box_stats
 from wavepanel.operators.terms import star, term_list
 
 
@@ -275,6 +277,18 @@ def test_cells_and_overall_make_each_residual_once(spark):
         assert table.count() and table.collect() and made.value == 4000
 
 
+def test_persisted_long_residuals_are_not_made_again_in_joins(spark):
+    wide = spark.range(1000).select("id", (F.col("id") % 3).alias("g"), *[(F.col("id") * 7 + k).cast("double").alias(f"x{k}") for k in range(4)])
+    made = spark.sparkContext.accumulator(0)
+    res = _counted(to_long(wide, ["id", "g"], [f"x{k}" for k in range(4)], "name", "x", index="wave"), made).persist()
+    cells = residual_by_cell(res, ["g", "wave"]).collect()
+    whole = residual_overall(res).first()
+    boxes = box_stats(res, ["g", "wave"], "residual")[0].collect()
+    assert made.value == 4000 and whole["n"] == 4000 and sum(r["n"] for r in cells) == 4000
+    assert {(r["g"], r["wave"], r["middle"]) for r in cells} == {(r["g"], r["wave"], r["middle"]) for r in boxes}
+    res.unpersist()
+
+
 def test_distinct_cdf_places_every_row():
     class Shifted:
         def cdf(self, y, mu, dispersion, shape):

@@ -14,18 +14,23 @@ def to_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str, v
             index: str | None = None, base: str | None = None, base_as: str | None = None) -> DataFrame:
     """Unpivot ``cols``; missing cells are kept. No shuffle.
 
+    Rows are exploded from an array and not by ``unpivot``, whose plan Spark does
+    not find again in a join of a persisted table with its own aggregate, so that
+    the table would be computed a second time.
+
     ``index`` adds the wave number taken from the column name. ``base`` keeps a
     column that is itself unpivoted (the baseline) next to every wave, in place
     of joining it back by subject.
     """
     ids = list(ids)
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias(name), F.col(c).alias(value)) for c in cols]))
     if base is not None:
         keep = base_as or base
         hidden = "__base"
-        long = df.withColumn(hidden, F.col(base)).unpivot([*ids, hidden], list(cols), name, value)
+        long = df.select(*ids, F.col(base).alias(hidden), cells)
         long = long.withColumnRenamed(hidden, keep)
     else:
-        long = df.unpivot(ids, list(cols), name, value)
+        long = df.select(*ids, cells)
     if index is not None:
         long = long.withColumn(index, wave_index(name))
     return long

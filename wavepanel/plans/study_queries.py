@@ -138,9 +138,10 @@ def q3_residuals(spark, sf):
     """Uniformity overall and in every treatment x wave x dominance cell."""
     _, long = survival_long(spark, sf)
     model = survival_model(long)
-    res = sim_residuals(model, long, ["id", "wave"], seed=SEED, mode="sim", n=2000).persist()
+    res = sim_residuals(model, long, ["id", "wave"], seed=SEED, mode="sim", n=2000).select("trat", "wave", "dom", "residual").persist()
     cells = residual_by_cell(res, ["trat", "wave", "dom"])
     whole = residual_overall(res, sims=2000).select("n", "ks", "ks_p")
+    res.unpersist()
     return round_all(joins.union_labelled({"cell": cells, "all": whole}, "scope"), 4)
 
 
