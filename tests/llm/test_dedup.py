@@ -257,3 +257,34 @@ def test_a_star_of_near_copies_has_bounded_rows(spark, monkeypatch):
     rows += [(500, rows[0][1]), (None, rows[0][1]), (0, rows[0][1])]
     out = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == brute_components(rows)
+
+
+def test_signatures_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(3)
+    for n, m, shared in [(0, 1, 0), (1, 1, 1), (5, 9, 3), (146, 150, 118), (800, 700, 690), (5000, 4900, 4000)]:
+        pool = np.unique(rng.integers(0, 2**64, n + m, dtype=np.uint64))
+        a, b = pool[:n], pool[n - shared:n - shared + m]
+        differing = (jaccard.signature(a) ^ jaccard.signature(b)).view(np.uint64)
+        assert sum(int(x).bit_count() for x in differing) <= n + m - 2 * shared
+    assert (jaccard.signature(pool) == jaccard.signature(pool[::-1])).all()
+
+
+def test_far_copies_of_a_large_group_ask_few_pairs(spark, monkeypatch):
+    asked = []
+    real = jaccard.Sets.links
+    monkeypatch.setattr(jaccard.Sets, "links", lambda self, pairs: (asked.append(pairs.count()), real(self, pairs))[1])
+    rng = random.Random(11)
+
+    def copy(i, places, base):
+        words = list(base)
+        for at in places:
+            words[at] = f"n{i}x{at}"
+        return words
+    origin = [f"s{k}" for k in range(150)]
+    near = [copy(i, rng.sample(range(5, 100, 10), 1 + i % 3), origin) for i in range(150)]
+    far = [copy(500 + i, rng.sample(range(105, 150, 10), 4), origin) for i in range(20)]             # linked with none of the others
+    chained = [copy(600 + i, (105 + 10 * (i % 5),), near[2 + 3 * i]) for i in range(15)]            # with some of them alone
+    rows = [(i, " ".join(words)) for i, words in enumerate(far + near + chained)]
+    out = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == brute_components(rows)
+    assert asked[0] < 2 * len(rows) and sum(asked[1:]) < 2 * len(rows)

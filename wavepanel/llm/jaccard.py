@@ -15,7 +15,9 @@ The order is cut into fragments.
    This joins large groups without their pairs.
 3. Cross pairs: every pair of one list that stars have left in different components, and that its sizes and its places in the order allow, is a
    candidate. Pairs inside a component cannot change it. Lists are cut by bands of sizes before they are paired, only entries near the beginning of the smaller
-   set are paired at all, and a pair is taken where it first meets, not again in the lists that follow in both sets.
+   set are paired at all, and a pair is taken where it first meets, not again in the lists that follow in both sets. Signatures refute most of the others in the join:
+   bit i of a set's signature is the parity of its shingles that hash to i, so two signatures differ in no more bits than their sets differ in shingles. Of each two
+   components the pair of the nearest signatures is checked first; the others are only where that leaves them apart.
 4. Candidate pairs are checked exactly: one set of a pair owns it and sends each of its fragments once for OWNED pairs, the other sends its own; the
    shared shingles of the fragments are counted in sorted streams and summed.
 
@@ -51,6 +53,9 @@ HOT_SPREAD = 16
 FRAGMENT_BITS = 3
 #: Pairs for which an owner sends its fragments once; pairs in one row of a member; bytes of pairs up to which they are sent to every executor; bytes in a batch of parts.
 OWNED, HELD, SENT_BYTES, PART_BYTES = 256, 64, 16 << 20, 4 << 20
+#: Words of 64 bits in the signature of a set, a power of two. Of sets up to the number of its bits it tells most pairs that are no links; of larger ones fewer.
+SIGN_WORDS = 8
+SIGNS = [f"g{i}" for i in range(SIGN_WORDS)]
 #: An entry carries n, the largest possible partner and the share of rare shingles in one number.
 RARE_BITS, REACH_BITS = 5, 30
 
@@ -76,8 +81,17 @@ def set_key(shingles: np.ndarray) -> int:
         return int(mix(np.add.reduce(mix(shingles), keepdims=True))[:1].view(np.int64)[0])
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Bit i is the parity of the shingles that hash to i: the signatures of two sets differ in at most as many bits as the sets in shingles."""
+    bits = 64 * SIGN_WORDS
+    at = (mix(shingles) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _survey(size: int):
-    """Rows kind 0: (row key, set size, set key, document id); kind 1: (hot shingle, count in a block, -, -)."""
+    """Rows kind 0: (row key, set size, set key, document id, signature); kind 1: (hot shingle, count in a block, -, -, -)."""
+    names = ["kind", "a", "n", "s", "doc_id", *SIGNS]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set[int] = set()
@@ -88,21 +102,21 @@ def _survey(size: int):
             often = n >= HOT_COUNT
             k = int(often.sum())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(found[often].view(np.int64)),
-                                               pa.array(n[often].astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())],
-                                              names=["kind", "a", "n", "s", "doc_id"])
+                                               pa.array(n[often].astype(np.int64)), *[pa.nulls(k, pa.int64())] * (2 + SIGN_WORDS)], names=names)
 
         for rows, data, offsets in text_blocks(batches, "text"):
-            n, s = [], []
+            n, s, signs = [], [], [np.zeros((0, SIGN_WORDS), np.int64)]
             for shingles in shingle_sets(data, offsets, size):
                 n.append(len(shingles))
                 s.append(set_key(shingles))
+                signs.append(signature(shingles)[None])
                 if len(shingles) and s[-1] not in seen:
                     seen.add(s[-1])
                     held.append(shingles)
                     total += len(shingles)
             k = len(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), rows.column(1), pa.array(n, pa.int64()), pa.array(s, pa.int64()),
-                                              rows.column(2)], names=["kind", "a", "n", "s", "doc_id"])
+                                              rows.column(2), *map(pa.array, np.concatenate(signs).T.copy())], names=names)
             if total >= BLOCK_SHINGLES:
                 yield hot()
                 held, seen, total = [], set(), 0
@@ -266,8 +280,8 @@ class Sets:
         key = F.xxhash64(F.col(doc_id), F.col(text)) if row is None else F.col(row)
         source = docs.select(F.col(text).alias("text"), key.alias("k"), F.col(doc_id).cast("bigint").alias("doc_id"))
         self.texts = source
-        found = keep(source.mapInArrow(_survey(size), "kind int, a bigint, n bigint, s bigint, doc_id bigint"))
-        self.rows = found.where("kind = 0").select("doc_id", F.col("a").alias("k"), "n", "s")
+        found = keep(source.mapInArrow(_survey(size), ", ".join(["kind int", *(f"{c} bigint" for c in ("a", "n", "s", "doc_id", *SIGNS))])))
+        self.rows = found.where("kind = 0").select("doc_id", F.col("a").alias("k"), "n", "s", *SIGNS)
         hot = keep(found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")))
         hot = most_frequent(hot, "a", "c", HOT_SHINGLES).toPandas()
         self.order = spark.sparkContext.broadcast(Order(hot["a"].to_numpy(np.int64).view(np.uint64), hot["c"].to_numpy(np.int64)))
@@ -281,6 +295,10 @@ class Sets:
                             F.shiftright("info", RARE_BITS).bitwiseAND((1 << REACH_BITS) - 1).alias("reach"),
                             F.col("info").bitwiseAND((1 << RARE_BITS) - 1).alias("share"))
 
+    def signatures(self) -> DataFrame:
+        """(s, its signature), one row per set."""
+        return self.rows.where("n > 0").groupBy("s").agg(*[F.min(c).alias(c) for c in SIGNS])
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of the kept pairs (owner, member, total) those that are links, as (a, b)."""
         owned = pairs.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(OWNED))).cast("int").alias("salts"))
@@ -310,28 +328,33 @@ def _band(n):
 
 
 def _pairs(joined: DataFrame, owner: str) -> DataFrame:
-    """Distinct (owner, member, total) of joined entries (columns with suffixes x and y) whose sizes and places allow a link."""
+    """Distinct (owner, member, total) of joined entries (columns with suffixes x and y) whose sizes and places allow a link; cross pairs with their components
+    (low, high) and how far their signatures are apart."""
+    extra = [c for c in ("low", "high", "apart") if c in joined.columns]
     fits = ((F.least("nx", "ny") * DENOMINATOR >= F.greatest("nx", "ny") * NUMERATOR) & (F.col("ny") <= F.col("rx")) & (F.col("nx") <= F.col("ry")))
     return joined.where((F.col("sx") != F.col("sy")) & fits).groupBy(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b")).agg(
-        F.min(owner).alias("owner"), F.min(F.col("nx") + F.col("ny")).alias("total")).select(
-        "owner", F.when(F.col("owner") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"), "total")
+        F.min(owner).alias("owner"), F.min(F.col("nx") + F.col("ny")).alias("total"), *[F.min(c).alias(c) for c in extra]).select(
+        "owner", F.when(F.col("owner") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"), "total", *extra)
 
 
 def _side(entries: DataFrame, mark: str) -> DataFrame:
-    names = {"s": "s", "n": "n", "reach": "r", "comp": "c", "before": "p"}
+    names = {"s": "s", "n": "n", "reach": "r", "comp": "c", "before": "p"} | {c: c for c in SIGNS}
     return entries.select("w", *[F.col(c).alias(short + mark) for c, short in names.items() if c in entries.columns])
 
 
 def _larger_and_smaller(larger: DataFrame, smaller: DataFrame) -> DataFrame:
     """Entries of one list in different components, the larger set as x. A smaller set meets only larger ones that its place and theirs allow, by bands of sizes; a
-    pair whose entries follow the same list in both sets has met in that list."""
+    pair whose entries follow the same list in both sets has met in that list. A pair whose signatures differ in more bits than linked sets do in shingles is none."""
     least = F.ceil(F.col("nx") * NUMERATOR / F.lit(float(DENOMINATOR)) - 1e-9)
     x = _side(larger, "x").where(F.col("rx") >= least)
     x = x.withColumn("band", F.explode(F.sequence(_band(least), _band(F.least("nx", "rx")))))
     y = _side(smaller, "y").where("ry >= ny").withColumn("band", _band(F.col("ny")))
     fresh = ~F.coalesce(F.col("px") == F.col("py"), F.lit(False))
     ordered = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("sx") > F.col("sy")))
-    return x.join(y, ["w", "band"]).where((F.col("cx") != F.col("cy")) & ordered & fresh & (F.col("ny") <= F.col("rx")) & (F.col("nx") <= F.col("ry")))
+    apart = sum((F.bit_count(F.col(c + "x").bitwiseXOR(F.col(c + "y"))) for c in SIGNS), F.lit(0))
+    near = apart * (DENOMINATOR + NUMERATOR) <= (F.col("nx") + F.col("ny")) * (DENOMINATOR - NUMERATOR)
+    met = x.join(y, ["w", "band"]).where((F.col("cx") != F.col("cy")) & ordered & fresh & (F.col("ny") <= F.col("rx")) & (F.col("nx") <= F.col("ry")) & near)
+    return met.select("sx", "nx", "rx", "sy", "ny", "ry", F.least("cx", "cy").alias("low"), F.greatest("cx", "cy").alias("high"), apart.alias("apart"))
 
 
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, row: str | None = None) -> DataFrame:
@@ -352,14 +375,21 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     mixed = (named.groupBy("w").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("share", "s", "comp")).alias("p"))
              .where("low <> high").select("w", F.col("p.comp").alias("main")))
     before = F.lag("w").over(Window.partitionBy("s").orderBy(F.desc("reach"), "w"))                 # in the order of one set
-    rest = keep(named.join(mixed, "w").withColumn("before", before))
+    rest = keep(named.join(mixed, "w").join(sets.signatures(), "s").withColumn("before", before))
     outside = rest.where("comp <> main")
     cross = _pairs(_larger_and_smaller(outside, rest).unionByName(_larger_and_smaller(rest, outside)), "sy")
     known = stars.select(F.least("owner", "member").alias("a"), F.greatest("owner", "member").alias("b"))
     cross = keep(cross.join(known, (F.least("owner", "member") == F.col("a")) & (F.greatest("owner", "member") == F.col("b")), "left_anti"))
     if not cross.isEmpty():
-        links = keep(links.unionByName(sets.links(cross)))
+        nearest = keep(cross.groupBy("low", "high").agg(F.min(F.struct("apart", "owner", "member", "total")).alias("p")).select("p.owner", "p.member", "p.total"))
+        links = keep(links.unionByName(sets.links(nearest)))
         labels = components(links)
+        ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("owner", "member")]
+        others = cross.join(nearest, ["owner", "member"], "left_anti").join(ends[0], "owner", "left").join(ends[1], "member", "left")
+        others = keep(others.where(F.coalesce("owner_label", "owner") != F.coalesce("member_label", "member")).select("owner", "member", "total"))
+        if not others.isEmpty():
+            links = keep(links.unionByName(sets.links(others)))
+            labels = components(links)
     named_rows = (sets.rows.join(labels.withColumnRenamed("node", "s"), "s", "left")
                   .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "s")).alias("comp"),
                           *([] if row is None else [F.col("k").alias("row_key")])))
